@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlake.llm import exact_dedup, mixing
+from planlake.llm import exact_dedup, mixing, packing, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,31 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
+    return p.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+TOKEN_LIMIT = 4096
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = token_counts.prefix_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    c = c.select("doc_id", "n_bytes", token_counts.n_tokens().alias("n_tokens"), token_counts.fitting(TOKEN_LIMIT).alias("fitting_chars"))
+    return c.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
+    "op8_token_counts": op8_token_counts,
 }
 
 AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
