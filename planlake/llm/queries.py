@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlake.llm import exact_dedup, mixing, packing, token_counts
+from planlake.llm import exact_dedup, mixing, ngram_join, packing, pii, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,11 +43,24 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), with_text=False)
+    kinds = F.split("base", ",")
+    counts = [F.size(F.filter(kinds, lambda x, k=k: x.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
     "op8_token_counts": op8_token_counts,
+    "op9_ngram_join": op9_ngram_join,
+    "op10_pii": op10_pii,
 }
 
 AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
