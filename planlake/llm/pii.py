@@ -87,6 +87,7 @@ def labelled_rows(n: int = 400, seed: int = 7) -> list[list[tuple[str, str]]]:
         ("ip", lambda: f"{d(2)}.{d(3)}.{d(2)}.{d(3)}"),
         ("ip", lambda: f"{d(3)}.{d(2)}.{d(1)}.{d(2)}"),
         ("card", lambda: d(16)),
+        ("card", lambda: d(15)),
         ("card", lambda: " ".join(d(4) for _ in range(4))),
         ("card", lambda: "-".join(d(4) for _ in range(4))),
         ("phone", lambda: f"+1 ({d(3)}) {d(3)}-{d(4)}"),
@@ -262,12 +263,22 @@ def crf_spans(texts: list[str], model: Crf) -> list[list[Span]]:
     return out
 
 
+def plausible(kind: str, found: str) -> bool:
+    """What a span of the model must still satisfy: check digits, ranges and lengths that a shape can't show."""
+    digits = NOT_DIGIT.sub("", found)
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == "ip":
+        return bool(m := IP.search(found)) and all(int(p) <= 255 for p in m[0].split(".") if len(p) < 10)
+    return 7 <= len(digits) <= 15 if kind == "phone" else "@" in found
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1])))
 
 
 def all_spans(texts: list[str], model: Crf) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, base and added spans) of each text; a span of the model that touches a base span is not added."""
+    """(base spans, base and added spans) of each text; a span of the model is added where it touches no base span and is plausible."""
     out = []
     for text, more in zip(texts, crf_spans(texts, model), strict=True):
         base = base_spans(text)
@@ -278,7 +289,7 @@ def all_spans(texts: list[str], model: Crf) -> list[tuple[list[Span], list[Span]
             else:
                 starts.append(s)
                 ends.append(e)
-        free = [x for x in more if (i := bisect_right(ends, x[1])) == len(starts) or starts[i] >= x[2]]
+        free = [x for x in more if plausible(x[0], text[x[1] : x[2]]) and ((i := bisect_right(ends, x[1])) == len(starts) or starts[i] >= x[2])]
         out.append((base, base + free))
     return out
 
