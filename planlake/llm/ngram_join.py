@@ -13,9 +13,10 @@ merged ones of the bands down to t times its size, and each pair meets in the sm
 document left with too few non-empty blocks also writes its single shingles, which covers pairs of two such.
 
 Documents with one set are one class. Within a map task, then within a hash shard, a key's classes
-beyond the first are recorded as members; keys met once vanish there. Rounds follow: classes are
-compared with their key's first class, then with ever different ones, only where the key still joins
-separate components; what is left is compared in full. Components only grow by verified links, so no
+beyond the first are recorded as members; keys met once vanish there. Rounds follow: classes that
+share fewer keys than a link implies are dropped; the rest are compared with their key's first class, then with
+ever different ones, only where the key still joins separate components; what is left and shares enough keys is
+compared in full. Components only grow by verified links, so no
 link between different texts is lost and no group of copies is expanded into all its pairs.
 """
 
@@ -37,8 +38,10 @@ from planlake.session import bounded_broadcast, materialize
 WORDS = 5
 PERCENT = 80
 STAR_ROUNDS = 2
+PRUNINGS = 2
 BROADCAST_ROWS = 500_000
 SHARD_BYTES = 24 << 20
+NEED = 1 << 40
 
 
 def most_apart(a: int, b: int, percent: int) -> int:
@@ -49,7 +52,7 @@ def most_apart(a: int, b: int, percent: int) -> int:
 def band(a: int, percent: int) -> int:
     """Blocks for pairs whose smaller set has ``a`` shingles: above the largest difference, with room for empty ones."""
     d = most_apart(a, 100 * a // percent, percent)
-    return 1 if d == 0 else d + 1 + -(-3 * (d + 1) // 20) + 3
+    return 1 if d == 0 else d + 1 + -(-(d + 1) // 4) + 4
 
 
 def block_ids(u: np.ndarray, k: int) -> np.ndarray:
@@ -73,24 +76,26 @@ def block_keys(u: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[n
     return own, keys
 
 
-def document_keys(u: np.ndarray, percent: int) -> np.ndarray:
-    """All join keys of a document with the sorted shingle set u."""
+def document_keys(u: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """All join keys of a document with the sorted shingle set u, and how many of them it shares with any partner at least.
+
+    A partner differs in at most d blocks, so of m non-empty blocks m - d are shared. This is taken over every
+    band the document takes part in; between two bands checked, m is that of the lower and d that of the upper.
+    """
     b = len(u)
-    own, keys = block_keys(u, band(b, percent))
-    lows = sorted({-(-percent * b // 100), -(-(percent + 100) * b // 200)})
-    out, seen = [keys], own
-    few = len(own) <= most_apart(b, 100 * b // percent, percent)
-    for low, upto in zip(lows, [*lows[1:], b], strict=True):
-        if band(low, percent) == band(b, percent) and upto == b:
-            few |= len(own) <= most_apart(b, b, percent)
-            continue
+    top = band(b, percent)
+    own, keys = block_keys(u, top)
+    out = [keys]
+    need = len(own) - most_apart(b, 100 * b // percent, percent)
+    steps = sorted({-(-percent * b // 100), -(-(percent + 100) * b // 200), b})
+    for low, upto in zip(steps, [*steps[1:], b], strict=True):
         ids = block_ids(u, band(low, percent))
-        few |= 1 + int((ids[1:] != ids[:-1]).sum()) <= most_apart(upto, b, percent)
-    if (k := band(lows[0], percent)) != band(b, percent):
-        out.append(block_keys(u, k, seen)[1])
-    if few:
+        need = min(need, 1 + int((ids[1:] != ids[:-1]).sum()) - most_apart(upto, b, percent))
+    if (k := band(steps[0], percent)) != top:
+        out.append(block_keys(u, k, own)[1])
+    if need < 1:
         out.append(mix(u ^ np.uint64(0x5851F42D4C957F2D)))
-    return np.concatenate(out)
+    return np.concatenate(out), max(1, need)
 
 
 def _pairs(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,7 +111,7 @@ def _pairs(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _docs_and_members(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, shards: int) -> DataFrame:
-    """Rows (kind, a, b, c, n): kind 0 a document (id, fingerprint, second fingerprint, size), kind 1 a member (key, fingerprint)."""
+    """Rows (kind, a, b, c, n): kind 0 a document (id, fingerprint, second fingerprint, size + need * NEED), kind 1 a member (key, fingerprint)."""
     packed = "shard int, kind int, a binary, b binary, c binary, n binary"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,16 +137,17 @@ def _docs_and_members(docs: DataFrame, id_col: str, text_col: str, words: int, p
             fp2 = again[at[1:]] - again[at[:-1]]
             ids = batch.column(0)
             known = np.asarray(ids.is_valid())
+            for i in np.flatnonzero(known & (n > 0)):
+                keys, need = document_keys(u[at[i] : at[i + 1]], percent)
+                held.append((keys, np.full(len(keys), fp[i])))
+                size += len(keys)
+                n[i] += need * NEED
             # Rows without an id are given back without links: kind 3.
             for kind, rows in ((0, known), (3, ~known)):
                 if rows.any():
                     row = (turn % shards, kind, np.asarray(ids.fill_null(0))[rows].astype(np.int64).tobytes(), fp[rows].tobytes(), fp2[rows].tobytes(), n[rows].tobytes())
                     yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, row, strict=True))], schema=arrow)
             turn += 7
-            for i in np.flatnonzero(known & (n > 0)):
-                keys = document_keys(u[at[i] : at[i + 1]], percent)
-                held.append((keys, np.full(len(keys), fp[i])))
-                size += len(keys)
             if size > 500_000:
                 yield from flush()
                 held, size = [], 0
@@ -219,10 +225,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     found = materialize(_docs_and_members(docs, id_col, text_col, words, percent, shards_for(spark, docs, text_col)), "ngram-keys")
-    info = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("fp"), F.col("c").alias("fp2"), "n")
-    classes = materialize(info.where("n > 0").groupBy("fp", "fp2").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "ngram-classes")
+    info = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("fp"), F.col("c").alias("fp2"), (F.col("n") % NEED).alias("n"), F.shiftright("n", 40).alias("need"))
+    classes = materialize(info.where("n > 0").groupBy("fp", "fp2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("need").alias("need")), "ngram-classes")
     keyed = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp")).distinct()
-    members = materialize(keyed.join(classes.select("fp", "rep", "n"), "fp").select("key", "rep", "n"), "ngram-members")
+    members = keyed.join(classes.select("fp", "rep", "n", "need"), "fp").select("key", "rep", "n", "need")
+    for _ in range(PRUNINGS):
+        # Who shares fewer keys than any partner would is out; then keys may be left with one class.
+        few = members.groupBy("rep").agg(F.count(F.lit(1)).alias("keys"), F.first("need").alias("least")).where("keys >= least").select("rep")
+        members = members.join(few, "rep", "left_semi")
+        met = members.groupBy("key").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).where("p < q").select("key")
+        members = materialize(members.join(met, "key", "left_semi"), "ngram-members")
     sets = materialize(_sets(docs, id_col, text_col, words, bounded_broadcast(members.select("rep").distinct(), BROADCAST_ROWS)).dropDuplicates(["rep"]), "ngram-sets")
     seen: DataFrame | None = None
     links: DataFrame | None = None
@@ -231,28 +243,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for turn in range(STAR_ROUNDS + 1):
         placed = left.join(label, "rep")
         open_keys = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("key")
-        left = materialize(placed.join(open_keys, "key", "left_semi").select("key", "rep", "n", "component"), "ngram-open")
+        left = materialize(placed.join(open_keys, "key", "left_semi").select("key", "rep", "n", "need", "component"), "ngram-open")
         if left.isEmpty():
             break
-        if turn < STAR_ROUNDS:
+        last = turn == STAR_ROUNDS
+        if not last:
             # the key's centre: its smallest id first, later another one for every key
             rank = F.col("rep") if turn == 0 else F.xxhash64("rep", "key", F.lit(turn))
             centre = left.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "rep", "n", "component")).alias("c")).select("key", "c.*")
         else:
             centre = left
-        centre = centre.select("key", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("component").alias("other"))
+        centre = centre.select("key", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("component").alias("other"), *[F.col("need").alias("needs")] * last)
         pairs = left.join(centre, "key").where(
             (F.col("component") != F.col("other")) & (F.col("rep") != F.col("y")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
         )
-        if turn == STAR_ROUNDS:
-            pairs = pairs.where("rep < y")
-        pairs = pairs.select(F.least("rep", "y").alias("x"), F.greatest("rep", "y").alias("y")).distinct()
+        if last:
+            shared = pairs.where("rep < y").groupBy(F.col("rep").alias("x"), "y").agg(F.count(F.lit(1)).alias("keys"), F.first(F.greatest("need", "needs")).alias("least"))
+            pairs = shared.where("keys >= least").select("x", "y")
+        else:
+            pairs = pairs.select(F.least("rep", "y").alias("x"), F.greatest("rep", "y").alias("y")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["x", "y"], "left_anti")
         pairs = materialize(pairs, "ngram-pairs")
         seen = pairs if seen is None else seen.unionByName(pairs)
         good = materialize(_similar(pairs, sets, percent), "ngram-links")
-        left = left.select("key", "rep", "n")
+        left = left.select("key", "rep", "n", "need")
         if good.isEmpty():
             continue
         links = good if links is None else links.unionByName(good)
