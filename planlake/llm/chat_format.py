@@ -109,12 +109,21 @@ def tokenize(nodes: DataFrame, path: str) -> DataFrame:
 def layout(nodes: DataFrame) -> DataFrame:
     """(node, start, position, end) of the nodes (node, parent, n): places in the depth-first layout of their tree."""
     jumps = [materialize(nodes.where("parent IS NOT NULL").select("node", F.col("parent").alias("up")), "chat-jump")]
-    total = nodes.select("node", F.col("n").alias("total"))
+    # Only nodes that still have an ancestor 2^k above stay in the loop; what they add to it is kept apart.
+    active, parts = nodes.select("node", F.col("n").alias("total")), [nodes.select("node", F.col("n").alias("total"))]
     while not jumps[-1].isEmpty():
         j = jumps[-1]
-        below = j.join(total, "node").groupBy(F.col("up").alias("node")).agg(F.sum("total").alias("more"))
-        total = materialize(total.join(below, "node", "left").select("node", (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")), "chat-total")
+        own = j.join(active, "node")
+        below = materialize(own.groupBy(F.col("up").alias("node")).agg(F.sum("total").alias("total")), "chat-below")
+        parts.append(below)
         jumps.append(materialize(j.join(j.select(F.col("node").alias("up"), F.col("up").alias("upper")), "up").select("node", F.col("upper").alias("up")), "chat-jump"))
+        more = below.withColumnRenamed("total", "more")
+        active = own.join(jumps[-1], "node", "left_semi").join(more, "node", "left").select("node", (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"))
+        active = materialize(active, "chat-active")
+    total = parts[0]
+    for part in parts[1:]:
+        total = total.unionByName(part)
+    total = materialize(total.groupBy("node").agg(F.sum("total").alias("total")), "chat-total")
     # Before a node come its parent and its earlier siblings. Siblings are summed by the first byte of their
     # name, then within it, so that a node with very many children is not one window.
     kids = nodes.where("parent IS NOT NULL").select("node", "parent").join(total, "node").withColumn("part", F.substring("node", 1, 1))
@@ -128,10 +137,14 @@ def layout(nodes: DataFrame) -> DataFrame:
     own = kids.withColumn("here", earlier("total", ["parent", "part"], "node")).select("node", "parent", "part", "here").join(parts, ["parent", "part"])
     own = own.join(nodes.select(F.col("node").alias("parent"), F.col("n").alias("up_n")), "parent").select("node", (F.col("ahead") + F.col("here") + F.col("up_n")).alias("start"), F.col("up_n").alias("position"))
     place = nodes.select("node").join(own, "node", "left").select("node", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("position", F.lit(0)).alias("position"))
-    place = materialize(place, "chat-place")
+    active, done = materialize(place, "chat-place"), None
     for j in jumps[:-1]:
-        upper = j.join(place.select(F.col("node").alias("up"), F.col("start").alias("s"), F.col("position").alias("p")), "up").select("node", "s", "p")
-        place = materialize(place.join(upper, "node", "left").select("node", (F.col("start") + F.coalesce("s", F.lit(0))).alias("start"), (F.col("position") + F.coalesce("p", F.lit(0))).alias("position")), "chat-place")
+        ready = materialize(active.join(j, "node", "left_anti"), "chat-ready")  # nodes less deep than 2^k: their path is summed
+        done = ready if done is None else done.unionByName(ready)
+        upper = done.unionByName(active.join(j, "node", "left_semi")).select(F.col("node").alias("up"), F.col("start").alias("s"), F.col("position").alias("p"))
+        active = active.join(j, "node").join(upper, "up").select("node", (F.col("start") + F.col("s")).alias("start"), (F.col("position") + F.col("p")).alias("position"))
+        active = materialize(active, "chat-place")
+    place = active if done is None else done.unionByName(active)
     return place.join(total, "node").select("node", "start", "position", (F.col("start") + F.col("total")).alias("end"))
 
 

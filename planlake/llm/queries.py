@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlake.llm import chat_format, embedding_dedup, exact_dedup, mixing, ngram_join, packing, pii, token_counts
+from planlake.llm import chat_format, embedding_dedup, exact_dedup, line_dedup, mixing, ngram_join, packing, pii, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -49,6 +54,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(nodes, members, path)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.clean(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.char_length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 TOKEN_LIMIT = 4096
 
 
@@ -74,7 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_chat_format": op6_chat_format,
+    "op7_line_dedup": op7_line_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_ngram_join": op9_ngram_join,
     "op10_pii": op10_pii,
@@ -88,4 +100,22 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    "op7_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+        k AS (SELECT doc_id, line, pos, list_transform(list_filter(string_split_regex(line, '[ \t\x0B\f\r]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens FROM l),
+        m AS (SELECT doc_id, line, pos, tokens, (len(tokens), tokens[1:3])::VARCHAR AS leaf FROM k),
+        seen AS (SELECT DISTINCT doc_id, leaf, tokens FROM m WHERE len(tokens) > 0),
+        variants AS (SELECT DISTINCT leaf, tokens FROM seen),
+        mixed AS (SELECT leaf, count(DISTINCT tokens) AS n FROM seen GROUP BY leaf HAVING count(DISTINCT doc_id) >= 3 AND count(DISTINCT tokens) > 1),
+        places AS (SELECT v.leaf, v.tokens, unnest(v.tokens) AS token, generate_subscripts(v.tokens, 1) AS place, n FROM variants v JOIN mixed USING (leaf)),
+        kept AS (SELECT leaf, place, token FROM places GROUP BY leaf, place, token, n HAVING count(*) >= 0.6 * n AND token <> '<*>'),
+        sizes AS (SELECT leaf, count(*) AS kept FROM kept GROUP BY leaf),
+        fits AS (SELECT leaf, tokens, count(*) AS met FROM places JOIN kept USING (leaf, place, token) GROUP BY leaf, tokens),
+        general AS (SELECT leaf, tokens FROM fits JOIN sizes USING (leaf) WHERE met = kept AND kept >= 0.7 * len(tokens)),
+        named AS (SELECT s.*, CASE WHEN g.leaf IS NULL THEN s.tokens END AS own FROM seen s LEFT JOIN general g ON s.leaf = g.leaf AND s.tokens = g.tokens),
+        bad AS (SELECT leaf, own FROM named GROUP BY leaf, own HAVING count(DISTINCT doc_id) >= 3),
+        gone AS (SELECT DISTINCT n.tokens FROM named n JOIN bad b ON n.leaf = b.leaf AND n.own IS NOT DISTINCT FROM b.own),
+        f AS (SELECT m.*, g.tokens IS NOT NULL AS is_gone FROM m LEFT JOIN gone g ON m.tokens = g.tokens),
+        d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE is_gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT is_gone), '') AS t FROM f GROUP BY doc_id)
+        SELECT doc_id, n_lines, n_dropped, length(t) AS kept_chars, sha256(t) AS text_sha256 FROM d""",
 }
