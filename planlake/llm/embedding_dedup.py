@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planlake.llm.forest import join_roots
 from planlake.operators.graph import components
 from planlake.session import materialize
 
@@ -139,13 +140,7 @@ def links(a: Tree, b: Tree, same: bool, cosine: float) -> pd.DataFrame:
         size, other = ta - fa, tb - fb
         u = np.concatenate([np.repeat(fa - np.cumsum(size) + size, size) + np.arange(size.sum()), np.repeat(fb - np.cumsum(other) + other, other) + np.arange(other.sum()) + shift])
         v = np.concatenate([np.repeat(fb + shift, size), np.repeat(fa, other)])
-        while True:
-            ru, rv = root[u], root[v]
-            if (ru == rv).all():
-                break
-            np.minimum.at(root, np.maximum(ru, rv), np.minimum(ru, rv))
-            while (root[root] != root).any():
-                root = root[root]
+        root = join_roots(root, u, v)
     total = np.cumsum(count[:-1])
     hit = total > 0
     return pd.DataFrame({"id": ids[hit], "n": total[hit], "root": ids[root[hit]]})

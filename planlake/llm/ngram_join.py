@@ -13,11 +13,11 @@ merged ones of the bands down to t times its size, and each pair meets in the sm
 document left with too few non-empty blocks also writes its single shingles, which covers pairs of two such.
 
 Documents with one set are one class. Within a map task, then within a hash shard, a key's classes
-beyond the first are recorded as members; keys met once vanish there. Rounds follow: classes that
-share fewer keys than a link implies are dropped; the rest are compared with their key's first class, then with
-ever different ones, only where the key still joins separate components; what is left and shares enough keys is
-compared in full. Components only grow by verified links, so no
-link between different texts is lost and no group of copies is expanded into all its pairs.
+beyond the first are recorded as members; keys met once vanish there. Classes that share fewer keys than any
+link implies are dropped. The rest are compared with the smallest class of each of their keys, its
+centre; the links found merge most copies. Only the stars of centres that still hold separate components
+are compared in full, in blocks within tasks. So no link between different texts is lost, and no group of
+copies is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession 
 from pyspark.sql import functions as F
 
+from planlake.llm.forest import join_roots
 from planlake.llm.segments import slices
 from planlake.llm.shingles import mix, shingle_sets
 from planlake.operators.graph import components
@@ -37,7 +38,8 @@ from planlake.session import bounded_broadcast, materialize
 
 WORDS = 5
 PERCENT = 80
-STAR_ROUNDS = 2
+BLOCK_SHINGLES = 150_000
+COLUMNS = 4096
 PRUNINGS = 2
 BROADCAST_ROWS = 500_000
 SHARD_BYTES = 24 << 20
@@ -209,6 +211,49 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sx, "x").join(sy, "y").select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
 
 
+def _in_blocks(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) between different components of each star (c, rep, n, component), as a spanning forest per task.
+
+    A star's members are cut into blocks of about BLOCK_SHINGLES shingles; each pair of blocks is compared by
+    counting common shingles in a matrix product, so no pair becomes a row.
+    """
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        rep, comp, block = (np.asarray(table.column(c)) for c in ("rep", "component", "block"))
+        none = pa.table({"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64())})
+        if (comp == comp[0]).all():
+            return none
+        u = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in table.column("set")]
+        size = np.array([len(v) for v in u])
+        _, col, seen = np.unique(np.concatenate(u), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(u)), size)
+        both = seen[col] > 1  # what one set has alone is in no intersection
+        number = np.cumsum(seen > 1) - 1
+        row, col = row[both], number[col[both]]
+        a, b = (np.flatnonzero(block == k) for k in (i, j))
+        common = np.zeros((len(a), len(b)), dtype=np.float32)
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        for lo in range(0, int(number[-1]) + 1, COLUMNS):
+            part = slice(*np.searchsorted(col, [lo, lo + COLUMNS]))
+            have = np.zeros((len(u), COLUMNS), dtype=np.float32)
+            have[row[part], col[part] - lo] = 1
+            common += have[a] @ have[b].T
+        common = common.astype(np.int64)
+        x, y = np.nonzero((100 * common >= percent * (size[a][:, None] + size[b][None, :] - common)) & (comp[a][:, None] != comp[b][None, :]))
+        root = join_roots(np.arange(len(u)), a[x], b[y])
+        hit = np.flatnonzero(root != np.arange(len(u)))
+        return pa.table({"x": pa.array(rep[hit]), "y": pa.array(rep[root[hit]])})
+
+    cuts = stars.groupBy("c").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("cuts"), F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("c", "cuts")
+    rows = stars.join(cuts, "c").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("cuts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    rows = rows.select("c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component")
+    rows = rows.join(sets, "rep").groupBy("c", "i", "j")
+    return rows.applyInArrow(compare, "x long, y long")
+
+
 def shards_for(spark: SparkSession, docs: DataFrame, text_col: str) -> int:
     """Shards of about SHARD_BYTES of keys each, from the length of all texts; at least the session's shuffle partitions."""
     chars = docs.select(F.sum(F.length(text_col))).first()[0] or 0
@@ -236,43 +281,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met = members.groupBy("key").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).where("p < q").select("key")
         members = materialize(members.join(met, "key", "left_semi"), "ngram-members")
     sets = materialize(_sets(docs, id_col, text_col, words, bounded_broadcast(members.select("rep").distinct(), BROADCAST_ROWS)).dropDuplicates(["rep"]), "ngram-sets")
-    seen: DataFrame | None = None
-    links: DataFrame | None = None
-    label = members.select("rep").distinct().withColumn("component", F.col("rep"))
-    left = members
-    for turn in range(STAR_ROUNDS + 1):
-        placed = left.join(label, "rep")
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("key")
-        left = materialize(placed.join(open_keys, "key", "left_semi").select("key", "rep", "n", "need", "component"), "ngram-open")
-        if left.isEmpty():
-            break
-        last = turn == STAR_ROUNDS
-        if not last:
-            # the key's centre: its smallest id first, later another one for every key
-            rank = F.col("rep") if turn == 0 else F.xxhash64("rep", "key", F.lit(turn))
-            centre = left.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "rep", "n", "component")).alias("c")).select("key", "c.*")
-        else:
-            centre = left
-        centre = centre.select("key", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("component").alias("other"), *[F.col("need").alias("needs")] * last)
-        pairs = left.join(centre, "key").where(
-            (F.col("component") != F.col("other")) & (F.col("rep") != F.col("y")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-        )
-        if last:
-            shared = pairs.where("rep < y").groupBy(F.col("rep").alias("x"), "y").agg(F.count(F.lit(1)).alias("keys"), F.first(F.greatest("need", "needs")).alias("least"))
-            pairs = shared.where("keys >= least").select("x", "y")
-        else:
-            pairs = pairs.select(F.least("rep", "y").alias("x"), F.greatest("rep", "y").alias("y")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["x", "y"], "left_anti")
-        pairs = materialize(pairs, "ngram-pairs")
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        good = materialize(_similar(pairs, sets, percent), "ngram-links")
-        left = left.select("key", "rep", "n", "need")
-        if good.isEmpty():
-            continue
-        links = good if links is None else links.unionByName(good)
-        label = members.select("rep").distinct().join(components(links, "x", "y").withColumnRenamed("node", "rep"), "rep", "left")
-        label = materialize(label.select("rep", F.coalesce("component", "rep").alias("component")), "ngram-labels")
+    # Every key has a centre, its smallest set; two linked classes are in the star of each centre whose key they share.
+    nodes = members.select("rep", "n").distinct()
+    centre = members.groupBy("key").agg(F.min(F.struct("n", "rep")).alias("c")).select("key", F.col("c.rep").alias("c"))
+    stars = materialize(members.join(centre, "key").select("c", "rep", "n").distinct(), "ngram-stars")
+    size_c = nodes.select(F.col("rep").alias("c"), F.col("n").alias("m"))
+    pairs = stars.where("c <> rep").join(size_c, "c").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    pairs = pairs.select(F.least("c", "rep").alias("x"), F.greatest("c", "rep").alias("y")).distinct()
+    links = materialize(_similar(pairs, sets, percent), "ngram-links")
+    label = components(links, "x", "y").withColumnRenamed("node", "rep")
+    placed = stars.join(label, "rep", "left").select("c", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    more = materialize(_in_blocks(placed, sets, percent), "ngram-links")
+    if not more.isEmpty():
+        label = components(links.unionByName(more), "x", "y").withColumnRenamed("node", "rep")
     of_class = materialize(classes.join(label, "rep", "left").select("fp", "fp2", F.coalesce("component", "rep").alias("component_id")), "ngram-components")
     rows = info.join(of_class, ["fp", "fp2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     unknown = found.where("kind = 3").select(F.lit(None).cast("long").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
