@@ -93,15 +93,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scores = [g_score(F.col(x).cast("double"), F.col("n").cast("double"), F.lit(float(totals[x] or 0)), F.lit(float(n))) for x in names]
     best = counts.select("feature", F.greatest(*scores, F.lit(0.0)).alias("g")).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "feature").limit(MAX_FEATURES)
     chosen = [x["feature"] for x in best.collect()]  # at most MAX_FEATURES
-    number = {f: i for i, f in enumerate(chosen)}
-    picked = sample.select("id", F.array_intersect("features", F.array(*[F.lit(f) for f in chosen]).cast("array<string>")).alias("f"), *names)
-    data = picked.orderBy("id").toPandas()  # at most MAX_LABELLED rows of chosen features
-    rows = np.array([i for i, fs in enumerate(data["f"]) for _ in fs], dtype=np.int64)
-    cols = np.array([number[f] for fs in data["f"] for f in fs], dtype=np.int64)
+    spark = docs.sparkSession
+    numbers = spark.createDataFrame(list(zip(chosen, range(len(chosen)), strict=True)), "feature string, number int")
+    # What reaches the driver: ids and labels of at most MAX_LABELLED rows, and where they have chosen features.
+    data = sample.select("id", *names).toArrow()
+    ids = np.sort(np.asarray(data.column("id"), dtype=np.int64))
+    data = data.sort_by("id")
+    ones = sample.select("id", F.explode("features").alias("feature")).join(F.broadcast(numbers), "feature").select("id", "number").toArrow().sort_by([("id", "ascending"), ("number", "ascending")])
+    rows = np.searchsorted(ids, np.asarray(ones.column("id"), dtype=np.int64))
+    cols = np.asarray(ones.column("number"), dtype=np.int64)
     fold = np.array([i % FOLDS for i in range(n)])
     dense, links = np.zeros((n, 0)), []
     for name in names:
-        y = data[name].to_numpy(dtype=float)
+        y = np.asarray(data.column(name), dtype=float)
         w = fit(rows, cols, n, len(chosen), dense, y)
         k = 1 + dense.shape[1]
         links.append(Link(w[0], {f: v for f, v in zip(chosen, w[k:], strict=True) if v}, w[1:k]))
