@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Streaming operators (I rows). Stateless ones are the batch functions themselves; see streams.py."""
