@@ -82,10 +82,10 @@ def d06(spark, sf):
     return wall_scores(spark, sf).select(*K, r6(F.col("score")).alias("score"), "status")
 
 
-@query("d07_report_summary", WALL_SCORES + f" SELECT plan_id, count(*) AS n, {s6('avg(score)')} AS mean, min(score) AS least, max(score) AS most, {s6("avg(CASE WHEN status = 'PASS' THEN 1e0 ELSE 0 END)")} AS pass_rate, {s6('0.4e0 * avg(iou) + 0.6e0 * avg(score) / 100')} AS overall FROM ws GROUP BY plan_id")
+@query("d07_report_summary", WALL_SCORES + f" SELECT plan_id, count(*) AS n, round(avg(score), 4) AS mean, min(score) AS least, max(score) AS most, {s6("avg(CASE WHEN status = 'PASS' THEN 1e0 ELSE 0 END)")} AS pass_rate, round(0.4e0 * avg(iou) + 0.6e0 * avg(score) / 100, 5) AS overall FROM ws GROUP BY plan_id")
 def d07(spark, sf):
     w = wall_scores(spark, sf)
-    return w.groupBy("plan_id").agg(F.count("*").alias("n"), r6(F.avg("score")).alias("mean"), F.min("score").alias("least"), F.max("score").alias("most"), r6(F.avg(F.when(F.col("status") == "PASS", 1.0).otherwise(0.0))).alias("pass_rate"), r6(0.4 * F.avg("iou") + 0.6 * F.avg("score") / 100).alias("overall"))
+    return w.groupBy("plan_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean"), F.min("score").alias("least"), F.max("score").alias("most"), r6(F.avg(F.when(F.col("status") == "PASS", 1.0).otherwise(0.0))).alias("pass_rate"), F.round(0.4 * F.avg("iou") + 0.6 * F.avg("score") / 100, 5).alias("overall"))
 
 
 @query("d08_reconstruction_stats", agg(f"{s6('avg(CASE WHEN abs(jit) <= 1 THEN 1e0 ELSE 0 END)')} AS parallel_ratio, avg(CASE WHEN abs(jit) <= 1 THEN 1e0 ELSE 0 END) < 0.7e0 AS warned", src="wall"))
