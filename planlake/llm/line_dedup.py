@@ -25,15 +25,22 @@ BLANK = "[ \\t\\x0B\\f\\r]"
 
 def masked(line: Column) -> Column:
     """The line's tokens joined by single spaces, each token with a digit replaced by FIELD."""
-    one = F.regexp_replace(F.regexp_replace(line, f"^{BLANK}+|{BLANK}+$", ""), f"{BLANK}+", " ")
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | F.contains(line, F.lit("  "))
+    for c in "\t\x0b\f\r":
+        odd = odd | F.contains(line, F.lit(c))
+    # Few lines are rewritten; the rest only pass cheap tests.
+    one = F.when(odd, F.regexp_replace(F.regexp_replace(line, f"^{BLANK}+|{BLANK}+$", ""), f"{BLANK}+", " ")).otherwise(line)
     # Anchored at token starts and possessive, so a long token is read once.
-    return F.regexp_replace(one, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(one, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(one)
+
+
+def n_tokens(mask: Column) -> Column:
+    return F.octet_length(mask) - F.octet_length(F.replace(mask, F.lit(" "), F.lit(""))) + 1
 
 
 def leaf_of(mask: Column) -> Column:
     """Where the tree puts a line: number of tokens and the first DEPTH of them."""
-    n = F.length(mask) - F.length(F.replace(mask, F.lit(" "), F.lit(""))) + 1
-    return F.xxhash64(n, F.substring_index(mask, " ", DEPTH))
+    return F.xxhash64(n_tokens(mask), F.substring_index(mask, " ", DEPTH))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -43,7 +50,7 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def recurring(docs: DataFrame, id_col: str, text_col: str, least_docs: int) -> DataFrame:
-    """(line) hashes of the masked lines whose template is found in ``least_docs`` documents or more."""
+    """(id, line): which documents have which lines, by hash of the masked line, whose template is found in ``least_docs`` documents or more."""
     lines = lines_of(docs, id_col, text_col)
     seen = lines.select("id", leaf_of(F.col("mask")).alias("leaf"), F.xxhash64("mask").alias("line")).distinct()
     seen = materialize(seen, "lines-seen")
@@ -58,7 +65,7 @@ def recurring(docs: DataFrame, id_col: str, text_col: str, least_docs: int) -> D
     common = tokens.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n")).join(mixed, "leaf")
     common = materialize(common.where((F.col("n") >= AGREE * F.col("variants")) & (F.col("token") != FIELD)).select("leaf", "place", "token"), "lines-kept")
     kept = common.groupBy("leaf").agg(F.count(F.lit(1)).alias("kept"))
-    size = F.length("mask") - F.length(F.replace("mask", F.lit(" "), F.lit(""))) + 1
+    size = n_tokens(F.col("mask"))
     fits = tokens.join(common, ["leaf", "place", "token"]).groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("met"))
     general = variants.select("leaf", F.xxhash64("mask").alias("line"), size.alias("size")).join(fits, ["leaf", "line"]).join(kept, "leaf")
     general = general.where((F.col("met") == F.col("kept")) & (F.col("kept") >= KEPT * F.col("size"))).select("leaf", "line", F.lit(True).alias("general"))
@@ -68,7 +75,8 @@ def recurring(docs: DataFrame, id_col: str, text_col: str, least_docs: int) -> D
     key = ["leaf", "template", "general"]
     often = named.select(*key, "id").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= least_docs).select(*key)
     template = per_line.select("leaf", "line").join(general, ["leaf", "line"], "left").select("line", "leaf", F.when(F.col("general"), F.lit(0)).otherwise(F.col("line")).alias("template"), F.coalesce("general", F.lit(False)).alias("general"))
-    return materialize(template.join(often, key, "left_semi").select("line").distinct(), "lines-recurring")
+    bad = materialize(template.join(often, key, "left_semi").select("line").distinct(), "lines-recurring")
+    return seen.select("id", "line").join(bounded_broadcast(bad, BROADCAST_ROWS), "line", "left_semi")
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -79,10 +87,8 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     document, rows with a null id are one document together. A text whose lines all go becomes empty. Columns named
     n_lines or n_dropped are replaced. Empty tables give empty results.
     """
-    bad = recurring(docs, id_col, text_col, least_docs)
     rows = docs.drop("n_lines", "n_dropped")
-    hits = lines_of(docs, id_col, text_col).select("id", F.xxhash64("mask").alias("line")).distinct()
-    hits = hits.join(bounded_broadcast(bad, BROADCAST_ROWS), "line", "left_semi").groupBy("id").agg(F.collect_set("line").alias("__bad"))
+    hits = recurring(docs, id_col, text_col, least_docs).groupBy("id").agg(F.collect_set("line").alias("__bad"))
     hits = materialize(hits.select(F.col("id").alias("__id"), "__bad"), "lines-hits")
     joined = rows.join(hits, rows[id_col].eqNullSafe(hits["__id"]), "left")
     lines = F.split(F.col(text_col), "\n", -1)
