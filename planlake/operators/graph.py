@@ -13,7 +13,7 @@ MAX_ROUNDS = 60
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", keys: tuple[str, ...] = ()) -> DataFrame:
     """Label every node of ``edges`` with the smallest node of its component.
 
-    Each round hooks a node on its smallest neighbour, jumps pointers twice and
+    Each round hooks a node on its smallest neighbour, jumps pointers until they end at roots and
     contracts the edge table; edges between merged nodes vanish, so the table shrinks
     and a component of any size takes a logarithmic number of rounds. ``keys`` are extra
     columns (for example plan_id) that separate independent graphs. Null ends are ignored.
@@ -29,10 +29,15 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", keys: tuple
         if e.isEmpty():
             return labels
         p = materialize(e.groupBy(*k, "u").agg(F.min("v").alias("p")).withColumn("p", F.least("u", "p")), "cc-hooks")
-        for _ in range(2):
-            q = p.select(*k, F.col("u").alias("p"), F.col("p").alias("pp"))
-            p = p.join(q, [*k, "p"], "left").select(*k, "u", F.coalesce("pp", "p").alias("p"))
-        p = materialize(p, "cc-parents")
+        while True:
+            # Jump until every node points at a root: only then does a round halve a long chain's or a grid's nodes.
+            for _ in range(2):
+                q = p.select(*k, F.col("u").alias("p"), F.col("p").alias("pp"))
+                p = p.join(q, [*k, "p"], "left").select(*k, "u", F.coalesce("pp", "p").alias("p"))
+            p = materialize(p, "cc-parents")
+            q = p.where("u <> p").select(*k, F.col("u").alias("p"))
+            if p.join(q, [*k, "p"], "left_semi").isEmpty():
+                break
         up = p.select(*k, F.col("u").alias("component"), F.col("p").alias("root"))
         labels = materialize(
             labels.join(up, [*k, "component"], "left").select(*k, "node", F.coalesce("root", "component").alias("component")),
