@@ -9,6 +9,8 @@ texts are read once. The rates are then rounded to whole copies by systematic ro
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ TOLERANCE = 1e-12
 TILT_DIGITS = 8
 MAX_NEWTON = 60
 CELL_ROWS = 200
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -54,11 +57,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
     )
 
 
-def newton_tilts(hist: DataFrame, targets: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
+def newton_tilts(hist: DataFrame, targets: DataFrame, max_repeat: int = MAX_REPEAT, small: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """The tilt of each source. hist: source, size, n (size > 0); targets: source, target. One row per source comes back.
 
     Each iteration is one aggregate of the histogram per source; a Newton step that leaves the bracket is
-    replaced by its middle, so it always converges. A target of max_repeat times the source gets the tilt
+    replaced by its middle, so it always converges. ``small`` is the hint for tables with one row per source. A target of max_repeat times the source gets the tilt
     at which every document of the source is repeated max_repeat times.
     """
     top = F.log(F.lit(float(max_repeat)))
@@ -72,7 +75,7 @@ def newton_tilts(hist: DataFrame, targets: DataFrame, max_repeat: int = MAX_REPE
         open_ = state.where("NOT done")
         if open_.isEmpty():
             break
-        h = hist.alias("h").join(F.broadcast(open_.alias("s")), F.expr("h.source <=> s.source"))
+        h = hist.alias("h").join(small(open_.alias("s")), F.expr("h.source <=> s.source"))
         x = F.col("tilt") * F.col("size") / F.col("mean")
         rate = F.when(x >= top, F.lit(float(max_repeat))).otherwise(F.exp(x))
         slope = F.when(x >= top, F.lit(0.0)).otherwise(F.exp(x) * F.col("size") * F.col("size") / F.col("mean"))
@@ -105,9 +108,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = materialize(source_targets(sizes, weights, max_repeat), "mix-targets")
     full = hist.where("size > 0")
-    tilts = newton_tilts(full, targets.where("source_size > 0").select("source", "target"), max_repeat)
+    # Tables with one row per source are broadcast if their number, counted here, allows.
+    small = F.broadcast if targets.count() <= BROADCAST_SOURCES else lambda d: d
+    tilts = newton_tilts(full, targets.where("source_size > 0").select("source", "target"), max_repeat, small)
     # Rates per (source, size): how many copies all its n documents take together.
-    h = full.alias("h").join(F.broadcast(tilts.alias("s")), F.expr("h.source <=> s.source")).select(
+    h = full.alias("h").join(small(tilts.alias("s")), F.expr("h.source <=> s.source")).select(
         F.col("h.source").alias("source"), "size", "n", F.least(F.lit(float(max_repeat)), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(2.0 + max_repeat)))).alias("rate")
     )
     h = h.withColumn("whole", F.least(F.floor(F.col("rate") + 1e-9), F.lit(max_repeat))).withColumn("part", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
@@ -133,7 +138,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     none = base.where("size = 0").select("id", "source", "size", F.lit(0.0).alias("rate"), F.lit(0).cast("long").alias("copies"))
     rows = rows.unionByName(none)
-    return rows.alias("r").join(F.broadcast(targets.alias("t")), F.expr("r.source <=> t.source")).select(
+    return rows.alias("r").join(small(targets.alias("t")), F.expr("r.source <=> t.source")).select(
         F.col("r.id").alias(id_col), F.col("r.source").alias(source_col), "size", "source_size", "target", "rate", "copies"
     )
 
