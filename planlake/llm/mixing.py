@@ -23,6 +23,7 @@ TILT_DIGITS = 8
 MAX_NEWTON = 60
 CELL_ROWS = 200
 BROADCAST_SOURCES = 100_000
+SETTLING = 3
 
 
 def word_count(text: Column) -> Column:
@@ -93,13 +94,31 @@ def newton_tilts(hist: DataFrame, targets: DataFrame, max_repeat: int = MAX_REPE
     return state.select("source", "mean", F.round("tilt", TILT_DIGITS).alias("tilt"))
 
 
+def settled(cells: DataFrame, targets: DataFrame, max_repeat: int, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The cells (source, size, n, rate, taken: copies of all n documents) after SETTLING corrections of one copy per source.
+
+    Rounding leaves a source up to half a large document away from its target. Each correction adds or takes one copy
+    in the cell that brings the source closest, if that helps; ties go to the smaller size.
+    """
+    for _ in range(SETTLING):
+        have = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("taken")).alias("have"))
+        goal = have.alias("a").join(small(targets.alias("t")), F.expr("a.source <=> t.source")).select("a.source", (F.col("target") - F.col("have")).alias("gap"))
+        c = cells.alias("c").join(small(goal.alias("g")), F.expr("c.source <=> g.source")).select("c.*", "gap")
+        more = F.col("gap") > 0
+        can = F.when(more, F.col("taken") < F.col("n") * max_repeat).otherwise(F.col("taken") > 0)
+        gain = F.round(F.abs("gap") - F.abs(F.abs("gap") - F.col("size")), 6)
+        best = c.where(can & (gain > 0)).groupBy("source").agg(F.max_by("size", F.struct(gain, -F.col("size"))).alias("at"), F.first(F.when(more, 1).otherwise(-1)).alias("step"))
+        moved = cells.alias("c").join(small(best.alias("b")), F.expr("c.source <=> b.source AND c.size = b.at"), "left")
+        cells = materialize(moved.select("c.source", "c.size", "c.n", "c.rate", (F.col("taken") + F.coalesce("step", F.lit(0))).alias("taken")), "mix-cells")
+    return cells
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, rate, copies.
 
     A document's size is its word count (null and empty texts: 0, never taken). Rows with a null source form
-    a source of their own, last in order. copies is floor(rate) or one more; sums stay within about one
-    document of the target per source, as equal-sized documents are rounded together and the running
-    remainder passes through the sizes in order. Which of several equal-sized documents get the extra copy
+    a source of their own, last in order. copies is floor(rate) or one more, but for SETTLING corrections of one copy
+    per source; equal-sized documents are rounded together and the running remainder passes through the sizes in order. Which of several equal-sized documents get the extra copy
     follows a hash of the id, so reruns agree; null ids come last and repeated rows get answers that agree
     as a set. A source whose words are all missing has target 0. Empty tables give empty results.
     """
@@ -119,7 +138,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     up = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     h = h.withColumn("end", F.sum(F.round(F.col("part") * F.col("n"), 9)).over(up))
     h = h.withColumn("extra", (F.floor(F.col("end") + 0.5) - F.floor(F.col("end") - F.round(F.col("part") * F.col("n"), 9) + 0.5)).cast("long"))
-    h = materialize(h.select("source", "size", "n", "rate", "whole", "extra"), "mix-cells")
+    h = h.select("source", "size", "n", "rate", (F.col("whole") * F.col("n") + F.col("extra")).cast("long").alias("taken"))
+    h = settled(materialize(h, "mix-cells"), targets, max_repeat, small)
+    h = h.select("source", "size", "n", "rate", F.expr("taken div n").alias("whole"), F.expr("taken % n").alias("extra"))
     # extra of the n documents of a cell get one more copy. Large cells are cut into sub-cells by hash;
     # each gets its share of the extra by a running sum over the cell's few sub-cells.
     cells = h.select("source", "size", "n", "rate", "whole", "extra", F.ceil(F.col("n") / CELL_ROWS).alias("cuts"))
