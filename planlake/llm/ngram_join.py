@@ -39,6 +39,7 @@ from planlake.session import bounded_broadcast, materialize
 WORDS = 5
 PERCENT = 80
 BLOCK_SHINGLES = 150_000
+BLOCK_SETS = 1_000
 COLUMNS = 4096
 PRUNINGS = 2
 BROADCAST_ROWS = 500_000
@@ -214,7 +215,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _in_blocks(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (x, y) between different components of each star (c, rep, n, component), as a spanning forest per task.
 
-    A star's members are cut into blocks of about BLOCK_SHINGLES shingles; each pair of blocks is compared by
+    A star's members are cut into blocks of about BLOCK_SHINGLES shingles and BLOCK_SETS sets; each pair of blocks is compared by
     counting common shingles in a matrix product, so no pair becomes a row.
     """
 
@@ -246,7 +247,7 @@ def _in_blocks(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         hit = np.flatnonzero(root != np.arange(len(u)))
         return pa.table({"x": pa.array(rep[hit]), "y": pa.array(rep[root[hit]])})
 
-    cuts = stars.groupBy("c").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("cuts"), F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("c", "cuts")
+    cuts = stars.groupBy("c").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).alias("cuts"), F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("c", "cuts")
     rows = stars.join(cuts, "c").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("cuts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     rows = rows.select("c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component")

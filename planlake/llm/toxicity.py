@@ -25,6 +25,7 @@ MAX_LABELLED = 20_000
 MAX_FEATURES = 2_000
 LEAST_G = 16.0
 FOLDS = 5
+SAMPLE_SLICE = 1 << 19
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
 WORD = re.compile(r"[^\s.,!?;:\"'()|%#$&*<>\[\]]+")
@@ -81,7 +82,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     names = [name for name, _, _ in chain]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, part in slices(batches, 1):
+        for batch, part in slices(batches, 1, SAMPLE_SLICE):
             found = [list(features(t)) for t in part.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string())), *batch.columns[2:]], names=["id", "features", *names])
 
