@@ -165,11 +165,11 @@ def d19(spark, sf):
     return walls(spark, sf).groupBy("plan_id").agg(r6(F.coalesce(F.try_divide(F.sum(F.col("thk") * F.col("len")), F.sum("len")), F.avg("thk"), F.lit(40.0))).alias("width"))
 
 
-@query("d20_line_fit", agg(f"{s6('covar_pop(x0, y0)')} AS cxy, {s6('var_pop(x0)')} AS cxx, {s6('var_pop(y0)')} AS cyy, {s6('0.5e0 * atan2(2 * round(covar_pop(x0, y0), 4), round(var_pop(x0) - var_pop(y0), 4))')} AS angle", src="wall", having="HAVING count(*) > 2"))
+@query("d20_line_fit", agg(f"{s6('covar_pop(x0, y0) / 1e6')} AS cxy, {s6('var_pop(x0) / 1e6')} AS cxx, {s6('var_pop(y0) / 1e6')} AS cyy, {s6('0.5e0 * atan2(2 * round(covar_pop(x0, y0), 4), round(var_pop(x0) - var_pop(y0), 4))')} AS angle", src="wall", having="HAVING count(*) > 2"))
 def d20(spark, sf):
     """Principal direction from the covariances."""
     c, x, y = F.covar_pop("x0", "y0"), F.var_pop("x0"), F.var_pop("y0")
-    d = walls(spark, sf).groupBy("plan_id").agg(F.count("*").alias("n"), r6(c).alias("cxy"), r6(x).alias("cxx"), r6(y).alias("cyy"), r6(0.5 * F.atan2(2 * F.round(c, 4), F.round(x - y, 4))).alias("angle"))
+    d = walls(spark, sf).groupBy("plan_id").agg(F.count("*").alias("n"), r6(c / 1e6).alias("cxy"), r6(x / 1e6).alias("cxx"), r6(y / 1e6).alias("cyy"), r6(0.5 * F.atan2(2 * F.round(c, 4), F.round(x - y, 4))).alias("angle"))
     return d.where("n > 2").drop("n")
 
 

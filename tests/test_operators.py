@@ -172,3 +172,13 @@ def test_failing_step_keeps_the_last_good_points(spark):
     d = rings(spark, [(0, 0), (3, 0), (3, 3)])
     r = apply_steps(d, {"double": numpy_step(lambda a: a * 2), "cut": numpy_step(lambda a: a[:1]), "more": lambda p: G.snap_to_grid(p, F.lit(100.0))}).first()
     assert r["failed_step"] == "cut" and tuple(r["points"][1]) == (6.0, 0.0)
+
+
+def test_clean_stream_equals_batch(spark, tmp_path):
+    d = rings(spark, [(0, 0), (101, 2), (100, 52), (0, 50)], [(3, 4), (57, 4), (57, 36), (3, 36)])
+    d.repartition(1).write.parquet(str(tmp_path / "in"))
+    steps = [lambda x: apply_steps(x, {"grid": lambda p: G.snap_to_grid(p, F.lit(10.0)), "right": G.right_angle})]
+    live = streams.clean_stream(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), *steps)
+    q = live.writeStream.format("memory").queryName("cleaned").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(map(str, spark.table("cleaned").collect())) == sorted(map(str, streams.clean_stream(d, *steps).collect()))
