@@ -64,7 +64,7 @@ def d05(spark, sf):
 
 
 SCORE = "100 * (0.4e0 * iou + 0.2e0 * greatest(0, 1 - least(abs(dt), 50) / 50) + 0.2e0 * greatest(0, 1 - least(abs(dl), 250) / 250) + 0.1e0 * greatest(0, 1 - least(abs(dc), 75) / 75) + 0.1e0)"
-WALL_SCORES = f"{CTE}, m AS (SELECT plan_id, det_id, 1 - abs(jit) / 10 AS iou, jit * 20 AS dt, jit * 30 AS dl, jit * 5 AS dc FROM wall), s AS (SELECT plan_id, det_id, iou, dt, round({SCORE}, 6) AS score FROM m), ws AS (SELECT plan_id, det_id, score, iou, CASE WHEN iou < 0.3e0 AND abs(dt) > 80 THEN 'FAIL' WHEN score >= 75 AND iou >= 0.55e0 AND abs(dt) <= 60 THEN 'PASS' ELSE 'WARN' END AS status FROM s)"
+WALL_SCORES = f"{CTE}, m AS (SELECT plan_id, det_id, 1 - abs(jit) / 10 AS iou, jit * 20 AS dt, jit * 30 AS dl, jit * 5 AS dc FROM wall), s AS (SELECT plan_id, det_id, iou, dt, round({SCORE} + 1e-9, 6) AS score FROM m), ws AS (SELECT plan_id, det_id, score, iou, CASE WHEN iou < 0.3e0 AND abs(dt) > 80 THEN 'FAIL' WHEN score >= 75 AND iou >= 0.55e0 AND abs(dt) <= 60 THEN 'PASS' ELSE 'WARN' END AS status FROM s)"
 
 
 def wall_scores(spark, sf):
@@ -72,7 +72,7 @@ def wall_scores(spark, sf):
     j = F.col("jit")
     w = walls(spark, sf).select(*K, (1 - F.abs(j) / 10).alias("iou"), (j * 20).alias("dt"), (j * 30).alias("dl"), (j * 5).alias("dc"))
     s = 100 * (0.4 * F.col("iou") + 0.2 * G.score_component(F.col("dt"), 50.0) + 0.2 * G.score_component(F.col("dl"), 250.0) + 0.1 * G.score_component(F.col("dc"), 75.0) + 0.1)
-    w = w.withColumn("score", F.round(s, 6))
+    w = w.withColumn("score", F.round(s + 1e-9, 6))
     status = F.when((F.col("iou") < 0.3) & (F.abs("dt") > 80), "FAIL").when((F.col("score") >= 75) & (F.col("iou") >= 0.55) & (F.abs("dt") <= 60), "PASS").otherwise("WARN")
     return w.withColumn("status", status)
 

@@ -141,14 +141,14 @@ def midline():
     return F.abs((mx - F.col("a_ax1")) * (F.col("a_ay2") - F.col("a_ay1")) - (my - F.col("a_ay1")) * (F.col("a_ax2") - F.col("a_ax1"))) / F.col("a_len")
 
 
-@query("c07_match_walls", f"{CTE}, p AS (SELECT a.plan_id, a.det_id, b.det_id AS other, round(b.confidence * least(a.len, b.len) / greatest(a.len, b.len) * (1 - ({MIDLINE}) / 30), 6) AS score FROM wall a JOIN wall b ON a.plan_id = b.plan_id AND a.det_id <> b.det_id AND a.horizontal = b.horizontal WHERE ({MIDLINE}) <= 30 AND least(a.bx, b.bx) + 500 >= greatest(a.x0, b.x0) AND least(a.by_, b.by_) + 500 >= greatest(a.y0, b.y0)), r AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY score DESC, other) AS k FROM p) SELECT plan_id, det_id, other, score FROM r WHERE k = 1")
+@query("c07_match_walls", f"{CTE}, p AS (SELECT a.plan_id, a.det_id, b.det_id AS other, round(b.confidence * least(a.len, b.len) / greatest(a.len, b.len) * (1 - ({MIDLINE}) / 30) + 1e-9, 6) AS score FROM wall a JOIN wall b ON a.plan_id = b.plan_id AND a.det_id <> b.det_id AND a.horizontal = b.horizontal WHERE ({MIDLINE}) <= 30 AND least(a.bx, b.bx) + 500 >= greatest(a.x0, b.x0) AND least(a.by_, b.by_) + 500 >= greatest(a.y0, b.y0)), r AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY score DESC, other) AS k FROM p) SELECT plan_id, det_id, other, score FROM r WHERE k = 1")
 def c07(spark, sf):
     """Parallel walls near each other's line: best by confidence, length ratio and distance."""
     cols = ["det_id", *AXIS, *BOX]
     w = walls(spark, sf)
     pairs = grid_join(renamed(w, "a_", cols), renamed(w, "b_", cols), tuple(f"a_{c}" for c in BOX), tuple(f"b_{c}" for c in BOX), 500.0)
     pairs = pairs.where("a_det_id <> b_det_id AND a_horizontal = b_horizontal").withColumn("d", midline()).where("d <= 30")
-    score = F.round(F.col("b_confidence") * F.least("a_len", "b_len") / F.greatest("a_len", "b_len") * (1 - F.col("d") / 30), 6)
+    score = F.round(F.col("b_confidence") * F.least("a_len", "b_len") / F.greatest("a_len", "b_len") * (1 - F.col("d") / 30) + 1e-9, 6)
     best = best_match(pairs.withColumn("score", score), ["plan_id", "a_det_id"], [F.desc("score"), F.col("b_det_id")])
     return best.select("plan_id", F.col("a_det_id").alias("det_id"), F.col("b_det_id").alias("other"), "score")
 
@@ -415,7 +415,7 @@ def c28(spark, sf):
     return with_nearest(o, best, F.col("w_det_id").alias("wall_id"), F.when(F.col("distance").isNotNull(), method).alias("method"), (F.col("distance") <= F.col("w_thk") / 2 + 5).alias("inside"))
 
 
-@query("c29_refine_axes", f"{CTE}, p AS (SELECT a.plan_id, a.det_id, b.det_id AS line_id, round(sqrt({MID2}), 6) AS score FROM wall a JOIN wall b ON a.plan_id = b.plan_id AND a.det_id <> b.det_id AND a.horizontal = b.horizontal WHERE b.confidence > 0.7e0 AND {MID2} <= 1000000), r AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY score, line_id) AS k FROM p) SELECT plan_id, det_id, line_id, score FROM r WHERE k = 1")
+@query("c29_refine_axes", f"{CTE}, p AS (SELECT a.plan_id, a.det_id, b.det_id AS line_id, round(sqrt({MID2}) + 1e-9, 6) AS score FROM wall a JOIN wall b ON a.plan_id = b.plan_id AND a.det_id <> b.det_id AND a.horizontal = b.horizontal WHERE b.confidence > 0.7e0 AND {MID2} <= 1000000), r AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY score, line_id) AS k FROM p) SELECT plan_id, det_id, line_id, score FROM r WHERE k = 1")
 def c29(spark, sf):
     """The image line of the same direction with the least score, within a metre."""
     w = walls(spark, sf)
@@ -423,21 +423,21 @@ def c29(spark, sf):
     mids = lambda p: w.select("plan_id", *[F.col(c).alias(f"{p}{c}") for c in cols], ((F.col("ax1") + F.col("ax2")) / 2).alias(f"{p}mx"), ((F.col("ay1") + F.col("ay2")) / 2).alias(f"{p}my"))
     pairs = grid_join(mids("a_"), mids("b_").where("b_confidence > 0.7"), ("a_mx", "a_my", "a_mx", "a_my"), ("b_mx", "b_my", "b_mx", "b_my"), 1000.0)
     pairs = pairs.where("a_det_id <> b_det_id AND a_horizontal = b_horizontal").withColumn("m2", mid2()).where("m2 <= 1000000")
-    best = best_match(pairs.withColumn("score", F.round(F.sqrt("m2"), 6)), ["plan_id", "a_det_id"], [F.col("score"), F.col("b_det_id")])
+    best = best_match(pairs.withColumn("score", F.round(F.sqrt("m2") + 1e-9, 6)), ["plan_id", "a_det_id"], [F.col("score"), F.col("b_det_id")])
     return best.select("plan_id", F.col("a_det_id").alias("det_id"), F.col("b_det_id").alias("line_id"), "score")
 
 
 FIT = "greatest(0, o_len - abs(d)) / (o_len + abs(d))"
 
 
-@query("c30_fit_opening", f"{OW}, r AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY distance, wall_id) AS k FROM ow WHERE distance <= 500 AND oh = wh), c AS (SELECT DISTINCT plan_id, det_id, o_len, distance, unnest(generate_series(-150, 150, 20)) AS step FROM r WHERE k = 1), f AS (SELECT *, distance - step AS d FROM c), g AS (SELECT *, round({FIT}, 6) AS iou FROM f), b AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY iou DESC, step) AS u FROM g) SELECT plan_id, det_id, CAST(step AS BIGINT) AS step, iou FROM b WHERE u = 1")
+@query("c30_fit_opening", f"{OW}, r AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY distance, wall_id) AS k FROM ow WHERE distance <= 500 AND oh = wh), c AS (SELECT DISTINCT plan_id, det_id, o_len, distance, unnest(generate_series(-150, 150, 20)) AS step FROM r WHERE k = 1), f AS (SELECT *, distance - step AS d FROM c), g AS (SELECT *, round({FIT} + 1e-9, 6) AS iou FROM f), b AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY iou DESC, step) AS u FROM g) SELECT plan_id, det_id, CAST(step AS BIGINT) AS step, iou FROM b WHERE u = 1")
 def c30(spark, sf):
     """Sixteen candidate offsets; the one with the best overlap along the axis wins."""
     o, pairs = near_walls(spark, sf, 500.0)
     best = best_match(pairs.where("o_horizontal = w_horizontal"), ["plan_id", "o_det_id"], [F.col("distance"), F.col("w_det_id")])
     c = best.select("plan_id", F.col("o_det_id").alias("det_id"), "o_len", "distance", F.explode(F.sequence(F.lit(-150), F.lit(150), F.lit(20))).alias("step")).distinct()
     d = F.abs(F.col("distance") - F.col("step"))
-    c = c.withColumn("iou", F.round(F.greatest(F.lit(0.0), F.col("o_len") - d) / (F.col("o_len") + d), 6))
+    c = c.withColumn("iou", F.round(F.greatest(F.lit(0.0), F.col("o_len") - d) / (F.col("o_len") + d) + 1e-9, 6))
     return best_match(c, ["plan_id", "det_id"], [F.desc("iou"), F.col("step")]).select("plan_id", "det_id", F.col("step").cast("long").alias("step"), "iou")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+NUDGE = 1e-9
 
 
 def query(name: str, sql: str | None = None):
@@ -24,9 +25,9 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(c: Column) -> Column:
-    """Rounded to six places, without negative zero."""
-    return F.round(c, 6) + F.lit(0.0)
+    """Rounded to six places, without negative zero. Moved off exact halves, which engines round either way."""
+    return F.round(c + F.lit(NUDGE), 6) + F.lit(0.0)
 
 
 def s6(expr: str) -> str:
-    return f"(round(CAST({expr} AS DOUBLE), 6) + 0.0)"
+    return f"(round(CAST({expr} AS DOUBLE) + {NUDGE}, 6) + 0.0)"
