@@ -202,3 +202,5 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_BYTES
             j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + most, side="right")))
             yield batch.slice(i, j - i), texts.slice(i, j - i)
             i = j
+    # The worker serves other operators next: what Arrow keeps for reuse goes back now.
+    pa.default_memory_pool().release_unused()
