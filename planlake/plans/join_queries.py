@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from planlake.functions import geom as G
 from planlake.operators.graph import components
-from planlake.operators.spatial import best_match, grid_join, renamed, self_pairs
+from planlake.operators.spatial import CELL, best_match, grid_join, renamed, self_pairs
 from planlake.plans.demo import CTE, detections, openings, walls
 from planlake.plans.registry import query, r6, s6
 from planlake.plans.scalar_queries import seg
+from planlake.session import materialize
 
 BOX = ("x0", "y0", "bx", "by_")
 AXIS = ["ax1", "ay1", "ax2", "ay2", "thk", "len", "horizontal", "confidence"]
@@ -60,13 +61,27 @@ def opening_sides(spark, sf):
     return renamed(o, "o_", ["det_id", "cx", "cy", "horizontal", "confidence", "x0", "y0", "bx", "by_", "thk", "len"]), renamed(walls(spark, sf), "w_", ["det_id", *AXIS, *BOX])
 
 
-def near_walls(spark, sf, reach):
+def near_walls(spark, sf, reach, cell=CELL):
     o, w = opening_sides(spark, sf)
-    pairs = grid_join(o, w, ("o_cx", "o_cy", "o_cx", "o_cy"), ("w_ax1", "w_ay1", "w_ax2", "w_ay2"), reach)
+    pairs = grid_join(o, w, ("o_cx", "o_cy", "o_cx", "o_cy"), ("w_ax1", "w_ay1", "w_ax2", "w_ay2"), reach, cell)
     p = G.project_on_line(*[F.col(c) for c in ("o_cx", "o_cy", "w_ax1", "w_ay1", "w_ax2", "w_ay2")])
     return o, pairs.withColumn("p", p).withColumn("distance", r6(F.col("p.distance"))).where(F.col("distance") <= reach)
 
 
+def nearest_walls(spark, sf, reach):
+    """Openings, and each one's nearest wall of its plan at any distance; ties by wall id.
+
+    Openings that the grid leaves without a hit within ``reach`` meet all walls of their plan; each task keeps one row of an opening.
+    """
+    o, pairs = near_walls(spark, sf, reach, reach)
+    match = F.min(F.struct("distance", "w_det_id", "w_thk")).alias("m")
+    near = materialize(pairs.groupBy("plan_id", "o_det_id").agg(match), "near-walls")
+    left = o.join(near, ["plan_id", "o_det_id"], "left_anti")
+    p = G.project_on_line(*[F.col(c) for c in ("o_cx", "o_cy", "w_ax1", "w_ay1", "w_ax2", "w_ay2")])
+    far = left.join(opening_sides(spark, sf)[1], "plan_id").withColumn("distance", r6(p["distance"])).where("distance IS NOT NULL")
+    return o, near.unionByName(far.groupBy("plan_id", "o_det_id").agg(match)).select("plan_id", "o_det_id", "m.*")
+
+
 OW = CTE + ", o AS (SELECT *, (x0 + bx) / 2 AS cx, (y0 + by_) / 2 AS cy FROM opening), ow AS (SELECT o.plan_id, o.det_id, w.det_id AS wall_id, o.horizontal AS oh, w.horizontal AS wh, o.confidence, o.len AS o_len, o.thk AS o_thk, w.thk AS w_thk, {d} AS distance, {s} AS s FROM o JOIN wall w ON o.plan_id = w.plan_id)".format(d=s6(seg("cx", "cy", "w.ax1", "w.ay1", "w.ax2", "w.ay2")), s="least(1, greatest(0, ((cx - w.ax1) * (w.ax2 - w.ax1) + (cy - w.ay1) * (w.ay2 - w.ay1)) / ((w.ax2 - w.ax1) ** 2 + (w.ay2 - w.ay1) ** 2)))")
 
 
@@ -409,8 +424,7 @@ def c27(spark, sf):
 @query("c28_fallback_wall", nearest_sql("true", "distance", ", CASE WHEN r.distance <= 500 THEN 'primary' WHEN r.distance < 5000 THEN 'fallback_nearest' WHEN r.wall_id IS NOT NULL THEN 'fallback_first' END AS method, r.distance <= r.w_thk / 2 + 5 AS inside"))
 def c28(spark, sf):
     """The nearest axis at any distance: by the grid within 5000 mm, else by the plan's own walls."""
-    o, pairs = near_walls(spark, sf, 5000.0)
-    best = best_match(pairs, ["plan_id", "o_det_id"], [F.col("distance"), F.col("w_det_id")])
+    o, best = nearest_walls(spark, sf, 5000.0)
     method = F.when(F.col("distance") <= 500, "primary").when(F.col("distance") < 5000, "fallback_nearest").otherwise("fallback_first")
     return with_nearest(o, best, F.col("w_det_id").alias("wall_id"), F.when(F.col("distance").isNotNull(), method).alias("method"), (F.col("distance") <= F.col("w_thk") / 2 + 5).alias("inside"))
 
