@@ -1,18 +1,17 @@
-"""N-gram Jaccard join by parity sketches.
+"""N-gram Jaccard join by XOR-hashed blocks.
 
-A document is its set of distinct word shingles, hashed to 64 bits. Hash space is cut into K blocks; in each
-block the set leaves a parity sketch: one bit per hash position, flipped by every shingle that hashes there.
-The Hamming distance of two sketches is at most the symmetric difference of the sets, and at similarity
+A document is its set of distinct word shingles, hashed to 64 bits. Hash space is cut into K blocks; a block's
+key is the XOR of the mixed hashes of the set's shingles in it, mixed with the block's number. No bit sketch is
+kept and no Hamming distance is formed: a shingle that only one of two sets has changes one block's key at most. At similarity
 t a pair of sizes a <= b <= a/t differs in at most d = (1-t)/(1+t) * (a+b) shingles. So with more than d
-non-empty blocks some non-empty block is equal in both (pigeonhole). A block's sketch is joined by a 64-bit
-XOR-hash of its flipped positions.
+non-empty blocks some non-empty block is equal in both (pigeonhole), and its key is equal.
 
 K follows the size of the smaller set: every size is a band. Blocks of neighbouring bands are nested
 (growing K by one splits one block), so a document writes the blocks of its own band and the few
 merged ones of the bands down to t times its size, and each pair meets in the smaller one's band. A
 document left with too few non-empty blocks also writes its single shingles, which covers pairs of two such.
 
-Documents with one set are one class. Within a map task, then within a hash shard, a key's classes
+Documents with one set are one class, known by two fingerprints of the set and numbered; ids only label the result. Within a map task, then within a hash shard, a key's classes
 beyond the first are recorded as members; keys met once vanish there. Classes that share fewer keys than any
 link implies are dropped. The rest are compared with the smallest class of each of their keys, its
 centre; the links found merge most copies. Only the stars of centres that still hold separate components
@@ -113,9 +112,17 @@ def _pairs(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys, nodes, first, several
 
 
+def fingerprints(u: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two fingerprints of each set u[at[i] : at[i + 1]], 63 and 64 bits; together they name a class."""
+    m, n = mix(u), np.diff(at)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(m, dtype=np.uint64)])
+    again = np.concatenate([[np.uint64(0)], np.cumsum(mix(m), dtype=np.uint64)])
+    return mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64)) >> np.uint64(1), again[at[1:]] - again[at[:-1]]
+
+
 def _docs_and_members(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, shards: int) -> DataFrame:
-    """Rows (kind, a, b, c, n): kind 0 a document (id, fingerprint, second fingerprint, size + need * NEED), kind 1 a member (key, fingerprint)."""
-    packed = "shard int, kind int, a binary, b binary, c binary, n binary"
+    """Rows (kind, a, b, c, n, t): kind 0 a document (id, fingerprint, second fingerprint, size + need * NEED, text's hash), kind 1 a member (key, fingerprint)."""
+    packed = "shard int, kind int, a binary, b binary, c binary, n binary, t binary"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn, held, size = 0, [], 0
@@ -125,20 +132,16 @@ def _docs_and_members(docs: DataFrame, id_col: str, text_col: str, words: int, p
             keys, nodes, first, several = _pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
             cut = np.searchsorted(keys[first], (np.arange(shards + 1, dtype=object) * (1 << 64) // shards).astype(object)[:-1].astype(np.uint64))
             k1, n1 = keys[first], nodes[first]
-            rows = [(s, 2, k1[i:j].tobytes(), n1[i:j].tobytes(), b"", b"") for s, (i, j) in enumerate(zip(cut, [*cut[1:], len(k1)], strict=True)) if j > i]
+            rows = [(s, 2, k1[i:j].tobytes(), n1[i:j].tobytes(), b"", b"", b"") for s, (i, j) in enumerate(zip(cut, [*cut[1:], len(k1)], strict=True)) if j > i]
             if several.any():  # members found here only pass through; any shard will do
-                rows.append((turn % shards, 1, keys[several].tobytes(), nodes[several].tobytes(), b"", b""))
+                rows.append((turn % shards, 1, keys[several].tobytes(), nodes[several].tobytes(), b"", b"", b""))
             turn += 7
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["shard", "kind", "a", "b", "c", "n"]).astype({"shard": "int32", "kind": "int32"}), schema=arrow, preserve_index=False)
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["shard", "kind", "a", "b", "c", "n", "t"]).astype({"shard": "int32", "kind": "int32"}), schema=arrow, preserve_index=False)
 
         for batch, texts in slices(batches, 1):
             u, at = shingle_sets(texts, words)
-            m, n = mix(u), np.diff(at)
-            total = np.concatenate([[np.uint64(0)], np.cumsum(m, dtype=np.uint64)])
-            again = np.concatenate([[np.uint64(0)], np.cumsum(mix(m), dtype=np.uint64)])
-            fp = mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64)) >> np.uint64(1)
-            fp2 = again[at[1:]] - again[at[:-1]]
-            ids = batch.column(0)
+            n, (fp, fp2) = np.diff(at), fingerprints(u, at)
+            ids, hashes = batch.column(0), np.asarray(batch.column(2)).astype(np.int64)
             known = np.asarray(ids.is_valid())
             for i in np.flatnonzero(known & (n > 0)):
                 keys, need = document_keys(u[at[i] : at[i + 1]], percent)
@@ -148,7 +151,7 @@ def _docs_and_members(docs: DataFrame, id_col: str, text_col: str, words: int, p
             # Rows without an id are given back without links: kind 3.
             for kind, rows in ((0, known), (3, ~known)):
                 if rows.any():
-                    row = (turn % shards, kind, np.asarray(ids.fill_null(0))[rows].astype(np.int64).tobytes(), fp[rows].tobytes(), fp2[rows].tobytes(), n[rows].tobytes())
+                    row = (turn % shards, kind, np.asarray(ids.fill_null(0))[rows].astype(np.int64).tobytes(), fp[rows].tobytes(), fp2[rows].tobytes(), n[rows].tobytes(), hashes[rows].tobytes())
                     yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, row, strict=True))], schema=arrow)
             turn += 7
             if size > 500_000:
@@ -161,38 +164,40 @@ def _docs_and_members(docs: DataFrame, id_col: str, text_col: str, words: int, p
         empty = np.zeros(0, np.int64)
         shard: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def rows(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray = empty, n: np.ndarray = empty) -> Iterator[pa.RecordBatch]:
-            c, n = (x if len(x) else np.zeros(len(a), np.int64) for x in (c, n))
+        def rows(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray = empty, n: np.ndarray = empty, t: np.ndarray = empty) -> Iterator[pa.RecordBatch]:
+            c, n, t = (x if len(x) else np.zeros(len(a), np.int64) for x in (c, n, t))
             for i in range(0, len(a), 100_000):
-                cols = [pa.array(np.full(len(a[i : i + 100_000]), kind, np.int32)), *(pa.array(x[i : i + 100_000].view(np.int64)) for x in (a, b, c, n))]
-                yield pa.record_batch(cols, names=["kind", "a", "b", "c", "n"])
+                cols = [pa.array(np.full(len(a[i : i + 100_000]), kind, np.int32)), *(pa.array(x[i : i + 100_000].view(np.int64)) for x in (a, b, c, n, t))]
+                yield pa.record_batch(cols, names=["kind", "a", "b", "c", "n", "t"])
 
         for batch in batches:
             for x in batch.to_pylist():
-                a, b, c, n = (np.frombuffer(x[k], dtype=np.int64) for k in "abcn")
+                a, b, c, n, t = (np.frombuffer(x[k], dtype=np.int64) for k in "abcnt")
                 if x["kind"] == 2:
                     shard.setdefault(x["shard"], []).append((a.view(np.uint64), b.view(np.uint64)))
                 else:
-                    yield from rows(x["kind"], a, b, c, n)
+                    yield from rows(x["kind"], a, b, c, n, t)
         for held in shard.values():
             keys, nodes, _, several = _pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
             yield from rows(1, keys[several], nodes[several])
 
-    arrow = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("n", pa.binary())])
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col)).mapInArrow(write, packed)
-    return rows.repartition(shards, "shard").mapInArrow(read, "kind int, a long, b long, c long, n long")
+    arrow = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("n", pa.binary()), ("t", pa.binary())])
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col), F.xxhash64(text_col)).mapInArrow(write, packed)
+    return rows.repartition(shards, "shard").mapInArrow(read, "kind int, a long, b long, c long, n long, t long")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
-    """(rep, set): the sorted shingle hashes of the documents in ``wanted`` (rep)."""
+    """(node, set): the sorted shingle hashes of the classes in ``wanted`` (node, fp, fp2, rep), read from rows with the id rep, each known by its text's fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, 1):
+        for _, texts in slices(batches, 1):
             u, at = shingle_sets(texts, words)
-            yield pa.record_batch([batch.column(0), pa.array([u[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["rep", "set"])
+            fps = [pa.array(x.view(np.int64)) for x in fingerprints(u, at)]
+            yield pa.record_batch([*fps, pa.array([u[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["fp", "fp2", "set"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col)).join(wanted, "rep", "left_semi")
-    return rows.mapInArrow(run, "rep long, set binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col)).join(bounded_broadcast(wanted.select("rep").distinct(), BROADCAST_ROWS), "rep", "left_semi")
+    sets = rows.mapInArrow(run, "fp long, fp2 long, set binary")
+    return sets.join(bounded_broadcast(wanted.select("fp", "fp2", "node"), BROADCAST_ROWS), ["fp", "fp2"]).dropDuplicates(["fp", "fp2"]).select("node", "set")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -208,12 +213,12 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep))
 
-    sx, sy = sets.select(F.col("rep").alias("x"), F.col("set").alias("sx")), sets.select(F.col("rep").alias("y"), F.col("set").alias("sy"))
+    sx, sy = sets.select(F.col("node").alias("x"), F.col("set").alias("sx")), sets.select(F.col("node").alias("y"), F.col("set").alias("sy"))
     return pairs.join(sx, "x").join(sy, "y").select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
 
 
 def _in_blocks(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (x, y) between different components of each star (c, rep, n, component), as a spanning forest per task.
+    """Links (x, y) between different components of each star (c, node, n, component), as a spanning forest per task.
 
     A star's members are cut into blocks of about BLOCK_SHINGLES shingles and BLOCK_SETS sets; each pair of blocks is compared by
     counting common shingles in a matrix product, so no pair becomes a row.
@@ -221,7 +226,7 @@ def _in_blocks(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
-        rep, comp, block = (np.asarray(table.column(c)) for c in ("rep", "component", "block"))
+        node, comp, block = (np.asarray(table.column(c)) for c in ("node", "component", "block"))
         none = pa.table({"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64())})
         if (comp == comp[0]).all():
             return none
@@ -245,13 +250,13 @@ def _in_blocks(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         x, y = np.nonzero((100 * common >= percent * (size[a][:, None] + size[b][None, :] - common)) & (comp[a][:, None] != comp[b][None, :]))
         root = join_roots(np.arange(len(u)), a[x], b[y])
         hit = np.flatnonzero(root != np.arange(len(u)))
-        return pa.table({"x": pa.array(rep[hit]), "y": pa.array(rep[root[hit]])})
+        return pa.table({"x": pa.array(node[hit]), "y": pa.array(node[root[hit]])})
 
     cuts = stars.groupBy("c").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).alias("cuts"), F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("c", "cuts")
-    rows = stars.join(cuts, "c").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("cuts")))
+    rows = stars.join(cuts, "c").withColumn("block", F.pmod(F.xxhash64("node"), F.col("cuts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    rows = rows.select("c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component")
-    rows = rows.join(sets, "rep").groupBy("c", "i", "j")
+    rows = rows.select("c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
+    rows = rows.join(sets, "node").groupBy("c", "i", "j")
     return rows.applyInArrow(compare, "x long, y long")
 
 
@@ -261,51 +266,62 @@ def shards_for(spark: SparkSession, docs: DataFrame, text_col: str) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // SHARD_BYTES)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (smallest id reachable by links, itself included).
-
-    Two rows link when 100 * |intersection| >= percent * |union| of their shingle sets. Null and empty
-    texts and texts without words have no shingles and link with nothing. Rows with a null id come back with a null
-    component_id and link with nothing. Repeated rows each come back; rows that share an id but not a text are
-    linked each by its text. Other columns are ignored. Empty tables give empty results.
-    """
+def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """(id, n, component_id, t) of each row; t is the text's hash, which tells rows of one id apart."""
     spark = docs.sparkSession
     found = materialize(_docs_and_members(docs, id_col, text_col, words, percent, shards_for(spark, docs, text_col)), "ngram-keys")
-    info = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("fp"), F.col("c").alias("fp2"), (F.col("n") % NEED).alias("n"), F.shiftright("n", 40).alias("need"))
-    classes = materialize(info.where("n > 0").groupBy("fp", "fp2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("need").alias("need")), "ngram-classes")
+    info = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("fp"), F.col("c").alias("fp2"), (F.col("n") % NEED).alias("n"), F.shiftright("n", 40).alias("need"), "t")
+    classes = info.where("n > 0").groupBy("fp", "fp2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("need").alias("need"))
+    # A class has a number of its own: several classes can have one smallest id. The numbers are fixed once written.
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
     keyed = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp")).distinct()
-    members = keyed.join(classes.select("fp", "rep", "n", "need"), "fp").select("key", "rep", "n", "need")
+    members = keyed.join(classes.select("fp", "node", "n", "need"), "fp").select("key", "node", "n", "need")
     for _ in range(PRUNINGS):
         # Who shares fewer keys than any partner would is out; then keys may be left with one class.
-        few = members.groupBy("rep").agg(F.count(F.lit(1)).alias("keys"), F.first("need").alias("least")).where("keys >= least").select("rep")
-        members = members.join(few, "rep", "left_semi")
-        met = members.groupBy("key").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).where("p < q").select("key")
+        few = members.groupBy("node").agg(F.count(F.lit(1)).alias("keys"), F.first("need").alias("least")).where("keys >= least").select("node")
+        members = members.join(few, "node", "left_semi")
+        met = members.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p < q").select("key")
         members = materialize(members.join(met, "key", "left_semi"), "ngram-members")
-    sets = materialize(_sets(docs, id_col, text_col, words, bounded_broadcast(members.select("rep").distinct(), BROADCAST_ROWS)).dropDuplicates(["rep"]), "ngram-sets")
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "fp", "fp2", "rep")
+    sets = materialize(_sets(docs, id_col, text_col, words, wanted), "ngram-sets")
     # Every key has a centre, its smallest set; two linked classes are in the star of each centre whose key they share.
-    nodes = members.select("rep", "n").distinct()
-    centre = members.groupBy("key").agg(F.min(F.struct("n", "rep")).alias("c")).select("key", F.col("c.rep").alias("c"))
-    stars = materialize(members.join(centre, "key").select("c", "rep", "n").distinct(), "ngram-stars")
-    size_c = nodes.select(F.col("rep").alias("c"), F.col("n").alias("m"))
-    pairs = stars.where("c <> rep").join(size_c, "c").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    pairs = pairs.select(F.least("c", "rep").alias("x"), F.greatest("c", "rep").alias("y")).distinct()
+    nodes = members.select("node", "n").distinct()
+    centre = members.groupBy("key").agg(F.min(F.struct("n", "node")).alias("c")).select("key", F.col("c.node").alias("c"))
+    stars = materialize(members.join(centre, "key").select("c", "node", "n").distinct(), "ngram-stars")
+    size_c = nodes.select(F.col("node").alias("c"), F.col("n").alias("m"))
+    pairs = stars.where("c <> node").join(size_c, "c").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    pairs = pairs.select(F.least("c", "node").alias("x"), F.greatest("c", "node").alias("y")).distinct()
     links = materialize(_similar(pairs, sets, percent), "ngram-links")
-    label = components(links, "x", "y").withColumnRenamed("node", "rep")
-    placed = stars.join(label, "rep", "left").select("c", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    label = components(links, "x", "y")
+    placed = stars.join(label, "node", "left").select("c", "node", "n", F.coalesce("component", "node").alias("component"))
     more = materialize(_in_blocks(placed, sets, percent), "ngram-links")
     if not more.isEmpty():
-        label = components(links.unionByName(more), "x", "y").withColumnRenamed("node", "rep")
-    of_class = materialize(classes.join(label, "rep", "left").select("fp", "fp2", F.coalesce("component", "rep").alias("component_id")), "ngram-components")
-    rows = info.join(of_class, ["fp", "fp2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    unknown = found.where("kind = 3").select(F.lit(None).cast("long").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+        label = components(links.unionByName(more), "x", "y")
+    smallest = label.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = label.join(smallest, "component").select("node", "component_id")
+    of_class = materialize(classes.join(named, "node", "left").select("fp", "fp2", F.coalesce("component_id", "rep").alias("component_id")), "ngram-components")
+    rows = info.join(of_class, ["fp", "fp2"], "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"), "t")
+    unknown = found.where("kind = 3").select(F.lit(None).cast("long").alias("id"), "n", F.lit(None).cast("long").alias("component_id"), "t")
     return rows.unionByName(unknown)
 
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (smallest id reachable by links, itself included).
+
+    Two rows link when 100 * |intersection| >= percent * |union| of their shingle sets. Null and empty
+    texts and texts without words have no shingles and link with nothing. Rows with a null id come back with a null
+    component_id and link with nothing. Repeated rows each come back; rows that share an id but not a text are
+    linked each by its text. Other columns are ignored. Empty tables give empty results.
+    """
+    return _labelled(docs, id_col, text_col, words, percent).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged: of each group of linked rows the one with the smallest id.
 
-    Rows without shingles and rows without an id link with nothing and stay; rows that repeat the smallest id all stay.
+    Rows without shingles and rows without an id link with nothing and stay; rows that repeat the smallest id all stay. Of rows that
+    share an id but not a text, each stays or goes by its text.
     """
-    gone = near_duplicates(docs, id_col, text_col, words, percent).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
+    gone = _labelled(docs, id_col, text_col, words, percent).where("id <> component_id").select(F.col("id").alias("__id"), F.col("t").alias("__t")).distinct()
     gone = bounded_broadcast(materialize(gone, "ngram-gone"), BROADCAST_ROWS)
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    return docs.join(gone, (docs[id_col] == gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__t"]), "left_anti")
