@@ -1,9 +1,10 @@
 """Embedding near-dedup by dual traversal of cover trees.
 
-Unit vectors with cosine >= t are those at Euclidean distance <= r, r^2 = 2 - 2t. Distinct vectors are dealt to
-blocks of about BLOCK vectors around a few pivots; each block gets a cover tree: nested levels of centres whose
-radii halve (1, 1/2, 1/4), every node a contiguous range with its true covering radius. Pairs of blocks are the
-unit of work. Two trees are walked together level by level: a pair of nodes at distance D with covering radii
+Unit vectors with cosine >= t are those at Euclidean distance <= r, r^2 = 2 - 2t. Distinct vectors are dealt to the
+nearest of some pivots, one for about BLOCK vectors; each pivot's vectors are a block, or several where there are more, with
+the pivot's covering radius. Pairs of blocks whose balls lie farther than r apart are never brought together. Each block gets a
+cover tree: nested levels of centres whose radii halve (1, 1/2, 1/4), every node a contiguous range with its true
+covering radius. Two trees are walked together level by level: a pair of nodes at distance D with covering radii
 a, b is dropped if D > r + a + b, taken whole if D + a + b <= r, and otherwise replaced by the pairs of its
 children. At the leaves the cosine decides, in double precision, so the links are exact.
 
@@ -15,51 +16,81 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planlake.llm.forest import join_roots
+from planlake.llm.segments import give_back
 from planlake.operators.graph import components
-from planlake.session import materialize
+from planlake.session import bounded_broadcast, materialize
 
 COSINE = 0.9
-BLOCK = 2048
-PIVOTS = 64
+BLOCK = 8192
+MAX_PIVOTS = 1024
+BROADCAST_PAIRS = 500_000
 RADII = (1.0, 0.5, 0.25)
 SLACK = 1e-9
-PAIRS_AT_ONCE = 200_000
+PAIRS_AT_ONCE = 50_000
+CENTRES_AT_ONCE = 256
 
 
 @dataclass
 class Tree:
-    """Vectors in depth-first order; levels[l] = (first point, end point, covering radius) of the nodes; a node's centre is its first point."""
+    """Vectors in depth-first order; levels[l] = (first point, end point, covering radius) of the nodes; a node's centre is its first point.
+
+    What travels are the vectors as they came; ``unit`` is worked out again where a tree arrives.
+    """
 
     ids: np.ndarray
     weight: np.ndarray
-    unit: np.ndarray
+    vec: np.ndarray
     levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
+    def __post_init__(self) -> None:
+        self.unit = units(self.vec)
+
+    def dumps(self) -> bytes:
+        return pickle.dumps((self.ids, self.weight, self.vec, self.levels), protocol=5)
+
+
+def units(vec: np.ndarray) -> np.ndarray:
+    v = vec.astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True, initial=0)  # no overflow in the squares
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
 
-def cover_tree(ids: np.ndarray, weight: np.ndarray, unit: np.ndarray) -> Tree:
+def balls(unit: np.ndarray, points: np.ndarray, least: float) -> list[np.ndarray]:
+    """The points in groups: the first point not yet taken is a centre and takes every free one at cosine >= ``least``."""
+    out = []
+    while len(points):
+        centres = points[:CENTRES_AT_ONCE]
+        near = unit[points] @ unit[centres].T >= least
+        free = np.ones(len(points), dtype=bool)
+        for k in range(len(centres)):
+            if free[k]:
+                own = near[:, k] & free
+                own[k] = True
+                free &= ~own
+                own[k] = False
+                out.append(np.concatenate([centres[k : k + 1], points[own]]))
+        points = points[free]
+    return out
+
+
+def cover_tree(ids: np.ndarray, weight: np.ndarray, vec: np.ndarray) -> Tree:
+    unit = units(vec)
     order = np.arange(len(ids))
     bounds = [0, len(ids)]
     starts = []
     for radius in RADII:
         # Cut each range of the level above into balls of this radius, the range's own centre first.
-        parts, cuts = [], []
         least = 1 - radius * radius / 2
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            rest = order[lo:hi]
-            while len(rest):
-                near = unit[rest] @ unit[rest[0]] >= least if len(rest) > 1 else np.ones(1, dtype=bool)
-                near[0] = True
-                cuts.append(sum(map(len, parts[-1:])) + (cuts[-1] if cuts else 0))
-                parts.append(rest[near])
-                rest = rest[~near]
+        parts = [ball for lo, hi in zip(bounds[:-1], bounds[1:], strict=True) for ball in (balls(unit, order[lo:hi], least) if hi - lo > 1 else [order[lo:hi]])]
+        cuts = (np.cumsum([0, *map(len, parts)])[:-1]).tolist() if parts else []
         order = np.concatenate(parts) if parts else order
         bounds = [*cuts, len(ids)]
         starts.append(np.array(cuts, dtype=np.int64))
@@ -71,7 +102,7 @@ def cover_tree(ids: np.ndarray, weight: np.ndarray, unit: np.ndarray) -> Tree:
         apart = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", unit, unit[centre]))) if len(ids) else np.zeros(0)
         apart[lo] = 0
         levels.append((lo, hi, np.maximum.reduceat(apart, lo) if len(lo) else apart))
-    return Tree(ids[order], weight[order], unit, levels)
+    return Tree(ids[order], weight[order], vec[order], levels)
 
 
 def walk(a: Tree, b: Tree, same: bool, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -79,9 +110,9 @@ def walk(a: Tree, b: Tree, same: bool, cosine: float) -> Iterator[tuple[np.ndarr
     r = np.sqrt(2 - 2 * cosine)
     (la, _, ra), (lb, _, rb) = a.levels[0], b.levels[0]
     todo = []
-    for i in range(0, len(la), 512):
-        s = a.unit[la[i : i + 512]] @ b.unit[lb].T
-        far = np.minimum(r + SLACK + ra[i : i + 512, None] + rb[None, :], 2)
+    for i in range(0, len(la), 128):
+        s = a.unit[la[i : i + 128]] @ b.unit[lb].T
+        far = np.minimum(r + SLACK + ra[i : i + 128, None] + rb[None, :], 2)
         x, y = np.nonzero(s >= 1 - far * far / 2)
         x += i
         todo.append((x[x <= y], y[x <= y]) if same else (x, y))
@@ -120,8 +151,8 @@ def walk(a: Tree, b: Tree, same: bool, cosine: float) -> Iterator[tuple[np.ndarr
         x, y = (np.concatenate(v) if v else np.zeros(0, int) for v in (nx, ny))
 
 
-def links(a: Tree, b: Tree, same: bool, cosine: float) -> pd.DataFrame:
-    """id, n (weight of what it links to in the other tree), root (an id of its local component) for the points with links."""
+def links(a: Tree, b: Tree, same: bool, cosine: float) -> pa.RecordBatch:
+    """node, n (weight of what it links to in the other tree), root (a node of its local component) for the points with links."""
     n = len(a.ids)
     shift = 0 if same else n
     ids = a.ids if same else np.concatenate([a.ids, b.ids])
@@ -143,92 +174,93 @@ def links(a: Tree, b: Tree, same: bool, cosine: float) -> pd.DataFrame:
         root = join_roots(root, u, v)
     total = np.cumsum(count[:-1])
     hit = total > 0
-    return pd.DataFrame({"id": ids[hit], "n": total[hit], "root": ids[root[hit]]})
-
+    return pa.record_batch([pa.array(x) for x in (ids[hit], total[hit], ids[root[hit]])], names=["node", "n", "root"])
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
-    """One row per input row: id, n_links (other rows at cosine >= ``cosine``), component_id, kept (id = component_id).
 
-    component_id is the smallest id reachable by links, itself included. Vectors that are null, empty or zero, that hold
-    null or non-finite components, or whose length is not the table's commonest link with nothing. Repeated vectors link
-    with each other and are compared as one; repeated ids with one vector each count. A null id is no row's component; a
-    row with a null id comes back with its own links and its group's component. Other columns are ignored. Empty tables
-    give empty results.
-    """
-    vec = F.col(vec_col).cast("array<double>")
-    ok = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"), F.coalesce(ok, F.lit(False)).alias("ok"))
-    common = rows.where("ok").groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = common["dim"] if common else 0
-    rows = rows.withColumn("ok", F.col("ok") & (F.size("vec") == dim))
-    classes = rows.where("ok").groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
-    classes = materialize(classes.withColumn("node", F.coalesce("rep", F.lit(-(2**62)) + F.pmod(F.xxhash64("vec"), F.lit(2**61)))), "vec-classes")
+def linked(classes: DataFrame, dim: int, cosine: float) -> DataFrame:
+    """(node, n, root) of the classes (node, weight, vec) whose vectors all have ``dim`` components: link counts and forests, several rows for a node."""
+    spark = classes.sparkSession
+    wanted = min(MAX_PIVOTS, max(1, -(-classes.count() // BLOCK)))
+    pivots = classes.orderBy(F.xxhash64("node"), "node").limit(wanted).select("vec").toArrow().column("vec")  # at most MAX_PIVOTS rows
 
-    pivots = [x["vec"] for x in classes.orderBy(F.xxhash64("node")).limit(PIVOTS).collect()]
-    centre = np.array(pivots, dtype=np.float64).reshape(len(pivots), dim)
-    centre /= np.linalg.norm(centre, axis=1, keepdims=True) if len(pivots) else 1
+    def matrix(column: pa.Array) -> np.ndarray:
+        return np.asarray(column.flatten()).reshape(-1, dim)
 
-    def units(column: pa.Array) -> np.ndarray:
-        v = np.asarray(column.flatten()).reshape(-1, dim)
-        v = v / np.abs(v).max(axis=1, keepdims=True)  # no overflow in the squares
-        return v / np.linalg.norm(v, axis=1, keepdims=True)
+    centre = units(matrix(pivots.combine_chunks()))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
-                s = units(part.column("vec")) @ centre.T
+                s = units(matrix(part.column("vec"))) @ centre.T
                 near = s.argmax(1)
                 apart = np.sqrt(np.maximum(0, 2 - 2 * s[np.arange(len(near)), near]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near.astype(np.int32)), pa.array(apart)], names=[*part.schema.names, "pivot", "apart"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(near.astype(np.int32)), pa.array(apart)], names=["node", "pivot", "apart"])
 
-    dealt = classes.select("node", "weight", "vec").mapInArrow(deal, "node long, weight long, vec array<double>, pivot int, apart double")
-    dealt = materialize(dealt, "vec-dealt")
-    groups = {x["pivot"]: x for x in dealt.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("radius")).collect()}  # at most PIVOTS rows
-    first, plan = {}, []
+    # Nodes with their pivots are narrow; the vectors move once more, to their blocks.
+    dealt = materialize(classes.select("node", "vec").mapInArrow(deal, "node long, pivot int, apart double"), "vec-dealt")
+    groups = {x["pivot"]: x for x in dealt.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("radius")).collect()}  # at most MAX_PIVOTS rows
+    plan = {}
     for p, x in sorted(groups.items()):
-        first[p] = sum(k for _, _, k in plan)
-        plan.append((p, first[p], -(-x["n"] // BLOCK)))
-    spark = vectors.sparkSession
-    blocks = spark.createDataFrame(plan, "pivot int, first int, cuts int")
-    r = float(np.sqrt(2 - 2 * cosine))
-    near = [
-        (p, q)
-        for p in first
-        for q in first
-        if p <= q and np.linalg.norm(centre[p] - centre[q]) <= r + SLACK + groups[p]["radius"] + groups[q]["radius"]
-    ]
+        plan[p] = (sum(k for _, k in plan.values()), -(-x["n"] // BLOCK))
+    reach = float(np.sqrt(2 - 2 * cosine)) + SLACK
+    near = [(*plan[p], *plan[q]) for p in plan for q in plan if p <= q and np.linalg.norm(centre[p] - centre[q]) <= reach + groups[p]["radius"] + groups[q]["radius"]]
+    blocks = spark.createDataFrame([(p, *x) for p, x in plan.items()], "pivot int, first int, cuts int")
     block = (F.col("first") + F.pmod(F.xxhash64("node"), F.col("cuts"))).cast("int").alias("block")
-    placed = dealt.join(F.broadcast(blocks), "pivot").select(block, "node", "weight", "vec")
+    placed = dealt.join(F.broadcast(blocks), "pivot").select("node", block).join(classes, "node")
 
     def build(key: tuple, frame: pa.Table) -> pa.Table:
         t = frame.combine_chunks()
-        column = t.column("vec").chunk(0) if t.num_rows else pa.array([], pa.list_(pa.float64()))
-        tree = cover_tree(np.asarray(t.column("node")), np.asarray(t.column("weight")), units(column))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "tree": pa.array([pickle.dumps(tree, protocol=5)], pa.binary())})
+        tree = cover_tree(*(np.asarray(t.column(c)) for c in ("node", "weight")), matrix(t.column("vec").chunk(0)))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "tree": pa.array([tree.dumps()], pa.binary())})
 
-    trees = materialize(placed.groupBy("block").applyInArrow(build, "block int, tree binary"), "vec-trees")
-    pivot_pairs = spark.createDataFrame([(*plan_by[p], *plan_by[q]) for p, q in near], "p int, pk int, q int, qk int") if (plan_by := {p: (f, k) for p, f, k in plan}) else spark.createDataFrame([], "p int, pk int, q int, qk int")
-    pairs = pivot_pairs.select(F.explode(F.expr("sequence(p, p + pk - 1)")).alias("x"), "q", "qk").select("x", F.explode(F.expr("sequence(q, q + qk - 1)")).alias("y")).where("x <= y")
+    trees = materialize(placed.select("block", "node", "weight", "vec").groupBy("block").applyInArrow(build, "block int, tree binary"), "vec-trees")
+    pairs = spark.createDataFrame(near, "p int, pk int, q int, qk int")
+    pairs = pairs.select(F.explode(F.expr("sequence(p, p + pk - 1)")).alias("x"), "q", "qk").select("x", F.explode(F.expr("sequence(q, q + qk - 1)")).alias("y")).where("x <= y")
 
-    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x, y, a, b in zip(*(batch.column(i) for i in range(4)), strict=True):
-                same = x.as_py() == y.as_py()
-                ta = pickle.loads(a.as_buffer())
-                tb = ta if same else pickle.loads(b.as_buffer())
-                yield pa.RecordBatch.from_pandas(links(ta, tb, same, cosine).astype("int64"), preserve_index=False)
-
-    # Few large rows: each pair of blocks is a task's worth of work, so they are dealt out evenly.
-    work = pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "x", "y")
-    work = work.join(trees.select(F.col("block").alias("x"), F.col("tree").alias("a")), "x").join(trees.select(F.col("block").alias("y"), F.col("tree").alias("b")), "y")
-    found = materialize(work.select("x", "y", "a", "b").mapInArrow(traverse, "id long, n long, root long"), "vec-links")
-    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    label = components(found.select(F.col("id").alias("src"), F.col("root").alias("dst")))
-    of_node = classes.select("vec", "rep", "node", "weight").join(counts.withColumnRenamed("id", "node"), "node", "left").join(label, "node", "left")
-    # A class of null ids only has a negative stand-in number, which never leaves this function unless nothing else is linked.
-    of_node = of_node.select("vec", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    of_node = materialize(of_node, "vec-labels")
-    out = rows.where("ok").join(of_node, "vec").select("id", "n_links", F.when(F.col("component") > -(2**60), F.col("component")).alias("component_id"))
+    def traverse(key: tuple, frame: pa.Table) -> pa.Table:
+        x, y = (k.as_py() for k in key)
+        tree = {b.as_py(): Tree(*pickle.loads(t.as_buffer())) for b, t in zip(frame.column("block"), frame.column("tree"), strict=True)}
+        found = pa.Table.from_batches([links(tree[x], tree[y], x == y, cosine)])
+        del tree, frame
+        give_back()
+        return found
+
+    # Each pair of blocks is a task's worth of work that gets the two trees, one if a block meets itself.
+    sides = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    work = trees.join(bounded_broadcast(sides, BROADCAST_PAIRS), "block").select("x", "y", "block", "tree")
+    return materialize(work.groupBy("x", "y").applyInArrow(traverse, "node long, n long, root long"), "vec-links")
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
+    """One row per input row: id, n_links (other rows at cosine >= ``cosine``), component_id, kept (id = component_id).
+
+    component_id is the smallest id reachable by links, itself included. Vectors that are null, empty or zero, or that hold
+    null or non-finite components link with nothing. Vectors of different lengths have no cosine: each length is compared for itself,
+    one after the other. Repeated vectors link with each other and are compared as one; rows that share an id each have their
+    vector's links. A null id is no row's component; a row with a null id comes back with its own links and its group's component.
+    Other columns are ignored. Empty tables give empty results.
+    """
+    single = vectors.schema[vec_col].dataType.jsonValue().get("elementType") == "float"
+    vec = F.transform(F.col(vec_col).cast(f"array<{'float' if single else 'double'}>"), lambda x: x + F.lit(0).cast("float" if single else "double"))  # no negative zeros
+    ok = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    prints = [F.xxhash64("vec").alias("fp"), F.xxhash64(F.lit(11), "vec", F.lit(13)).alias("fp2")]
+    rows = rows.select("id", "ok", F.when(F.col("ok"), F.col("vec")).alias("vec"), *prints)
+    classes = rows.where("ok").groupBy("vec").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
+    # A class has a number of its own: several classes can have one smallest id. The numbers are fixed once written.
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "vec-classes")
+    dims = [x["dim"] for x in classes.select(F.size("vec").alias("dim")).distinct().orderBy("dim").collect()]  # lengths, not rows
+    none = vectors.sparkSession.createDataFrame([], "node long, n long, root long")
+    found = reduce(DataFrame.unionByName, [linked(classes.where(F.size("vec") == d).select("node", "weight", "vec"), d, cosine) for d in dims], none)
+    label = components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
+    numbered = classes.select("node", "fp", "fp2", "rep", "weight")
+    smallest = label.join(numbered.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = label.join(smallest, "component").select("node", "component_id")
+    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
+    of_class = numbered.join(counts, "node", "left").join(named, "node", "left")
+    of_class = of_class.select("fp", "fp2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    of_class = materialize(of_class, "vec-labels")
+    out = rows.where("ok").select("id", "fp", "fp2").join(of_class, ["fp", "fp2"]).select("id", "n_links", "component_id")
     alone = rows.where("NOT ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.expr("id <=> component_id").alias("kept"))
