@@ -119,10 +119,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A document's size is its word count (null and empty texts: 0, never taken). Rows with a null source form
     a source of their own, last in order. copies is floor(rate) or one more, but for SETTLING corrections of one copy
     per source; equal-sized documents are rounded together and the running remainder passes through the sizes in order. Which of several equal-sized documents get the extra copy
-    follows a hash of the id, so reruns agree; null ids come last and repeated rows get answers that agree
-    as a set. A source whose words are all missing has target 0. Empty tables give empty results.
+    follows a hash of the id and the text, so reruns agree; repeated rows get answers that agree as a set. A source whose words are all missing has target 0. Empty tables give empty results.
     """
-    base = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
+    plan = _plan(docs, id_col, text_col, source_col, weights, max_repeat)
+    return plan.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", "copies")
+
+
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], max_repeat: int) -> DataFrame:
+    """What ``mix`` gives, with the text's hash: id, source, mark, size, source_size, target, rate, copies."""
+    base = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("mark"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
     hist = materialize(base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-histogram")
     sizes = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = materialize(source_targets(sizes, weights, max_repeat), "mix-targets")
@@ -144,34 +149,39 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # extra of the n documents of a cell get one more copy. Large cells are cut into sub-cells by hash;
     # each gets its share of the extra by a running sum over the cell's few sub-cells.
     cells = h.select("source", "size", "n", "rate", "whole", "extra", F.ceil(F.col("n") / CELL_ROWS).alias("cuts"))
-    spread = F.xxhash64(F.col("id"), F.lit(29))
+    spread = F.xxhash64(F.col("id"), F.col("mark"), F.lit(29))
     rows = base.alias("b").join(cells.alias("c"), F.expr("b.source <=> c.source AND b.size = c.size")).select(
-        "b.id", "b.source", "b.size", "rate", "whole", "extra", "n", F.pmod(F.xxhash64(F.col("b.id"), F.lit(31)), F.col("cuts")).alias("cut"), spread.alias("spread")
+        "b.id", "b.source", "b.mark", "b.size", "rate", "whole", "extra", "n", F.pmod(F.xxhash64(F.col("b.id"), F.col("b.mark"), F.lit(31)), F.col("cuts")).alias("cut"), spread.alias("spread")
     )
     sub = rows.groupBy("source", "size", "cut").agg(F.count(F.lit(1)).alias("m"), F.first("extra").alias("extra"), F.first("n").alias("n"))
     to = F.sum("m").over(Window.partitionBy("source", "size").orderBy("cut").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     sub = sub.withColumn("to", to).withColumn("share", F.expr("(extra * to) div n - (extra * (to - m)) div n"))
     sub = materialize(sub.where("share > 0").select("source", "size", "cut", "share"), "mix-shares")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "cut").orderBy("spread", F.col("id").asc_nulls_last()))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "cut").orderBy("spread", F.col("id").asc_nulls_last(), "mark"))
     rows = rows.withColumn("rank", rank)
     rows = rows.alias("r").join(sub.alias("s"), F.expr("r.source <=> s.source AND r.size = s.size AND r.cut = s.cut"), "left").select(
-        "r.id", "r.source", "r.size", "rate", (F.col("whole") + F.when(F.col("rank") <= F.coalesce("share", F.lit(0)), 1).otherwise(0)).cast("long").alias("copies")
+        "r.id", "r.source", "r.mark", "r.size", "rate", (F.col("whole") + F.when(F.col("rank") <= F.coalesce("share", F.lit(0)), 1).otherwise(0)).cast("long").alias("copies")
     )
-    none = base.where("size = 0").select("id", "source", "size", F.lit(0.0).alias("rate"), F.lit(0).cast("long").alias("copies"))
+    none = base.where("size = 0").select("id", "source", "mark", "size", F.lit(0.0).alias("rate"), F.lit(0).cast("long").alias("copies"))
     rows = rows.unionByName(none)
-    return rows.alias("r").join(small(targets.alias("t")), F.expr("r.source <=> t.source")).select(
-        F.col("r.id").alias(id_col), F.col("r.source").alias(source_col), "size", "source_size", "target", "rate", "copies"
-    )
+    return rows.alias("r").join(small(targets.alias("t")), F.expr("r.source <=> t.source")).select("r.id", "r.source", "mark", "size", "source_size", "target", "rate", "copies")
 
 
 def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, all columns unchanged.
 
-    Rows with a null id take part in the sums; they cannot be matched to their copies and are taken once if
-    their text has a word.
+    Rows are matched with their copies by id, source and text, null ids and sources included. Rows equal in all three share their
+    copies evenly; what is left over goes to the first of them by a hash of the whole row.
     """
-    plan = mix(docs, id_col, text_col, source_col).where("copies > 0").groupBy(F.col(id_col).alias("__id"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
-    tagged = docs.withColumn("__id", F.col(id_col)).withColumn("__size", word_count(F.col(text_col)))
-    known = tagged.join(plan.where("__id IS NOT NULL"), ["__id", "__size"]).withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    unknown = tagged.where("__id IS NULL AND __size > 0").drop("__id", "__size")
-    return known.drop("__id", "__size", "__copies", "__n").unionByName(unknown)
+    plan = _plan(docs, id_col, text_col, source_col, WEIGHTS, MAX_REPEAT)
+    plan = plan.groupBy("id", "source", "mark").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("alike")).where("copies > 0")
+    plan = materialize(plan.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("mark").alias("__mark"), F.col("copies").alias("__copies"), F.col("alike").alias("__alike")), "mix-plan")
+    tagged = docs.withColumn("__text", F.xxhash64(text_col))
+    same = docs[id_col].eqNullSafe(plan["__id"]) & docs[source_col].eqNullSafe(plan["__source"]) & (F.col("__text") == F.col("__mark"))
+    found = tagged.join(plan, same)
+    single = found.where("__alike = 1")
+    several = found.where("__alike > 1")
+    order = Window.partitionBy("__id", "__source", "__mark").orderBy(F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]))
+    rank = F.row_number().over(order)
+    several = several.withColumn("__copies", F.expr("__copies div __alike") + F.when(rank <= F.expr("__copies % __alike"), 1).otherwise(0)).where("__copies > 0")
+    return single.unionByName(several).withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
