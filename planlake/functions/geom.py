@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +32,11 @@ def fsum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once: columns in lambdas are copied wherever they are named."""
+    return F.transform(F.array(value), body)[0]
+
+
 def nxt(points: Column) -> Column:
     """The points moved up by one, the first one last."""
     return F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
@@ -60,7 +66,11 @@ def ring(points: Column) -> Column:
 
 def polygon_area(points: Column) -> Column:
     """Shoelace."""
-    return F.abs(fsum(F.transform(edges(points), lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]))) / 2
+    return F.abs(signed_area(points))
+
+
+def signed_area(points: Column) -> Column:
+    return let(points, lambda q: fsum(F.transform(edges(q), lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2)
 
 
 def bounds(points: Column) -> Column:
@@ -136,18 +146,32 @@ def longest_edge(points: Column) -> Column:
 
 
 def oriented_rect(points: Column) -> Column:
-    """struct(area, width, length) of the least rectangle with a side along a pair of points (exact: a hull side is one)."""
-    directions = F.flatten(F.transform(points, lambda a: F.transform(points, lambda b: point(b["x"] - a["x"], b["y"] - a["y"]))))
-    directions = F.filter(directions, lambda d: (d["x"] != 0) | (d["y"] != 0))
+    """struct(area, width, length, dx, dy) of the least rectangle with a side along a pair of points (exact: a hull side is one).
+
+    (dx, dy) is the unit direction of the long side, pointing right, or up.
+    """
 
     def extent(d: Column) -> Column:
         n = hypot(d["x"], d["y"])
         along = F.transform(points, lambda p: (p["x"] * d["x"] + p["y"] * d["y"]) / n)
         across = F.transform(points, lambda p: (p["y"] * d["x"] - p["x"] * d["y"]) / n)
-        u, v = F.array_max(along) - F.array_min(along), F.array_max(across) - F.array_min(across)
-        return F.struct(F.round(u * v, 6).alias("area"), F.round(F.least(u, v), 6).alias("width"), F.round(F.greatest(u, v), 6).alias("length"))
+        span = lambda values: let(values, lambda v: F.array_max(v) - F.array_min(v))
+
+        def rect(s: Column) -> Column:
+            u, v = s["u"], s["v"]
+            dx, dy = F.when(u >= v, d["x"] / n).otherwise(-d["y"] / n), F.when(u >= v, d["y"] / n).otherwise(d["x"] / n)
+            sign = F.when((dx < -1e-12) | ((F.abs(dx) <= 1e-12) & (dy < 0)), -1.0).otherwise(1.0)
+            return F.struct(F.round(u * v, 6).alias("area"), F.round(F.least(u, v), 6).alias("width"), F.round(F.greatest(u, v), 6).alias("length"), (dx * sign).alias("dx"), (dy * sign).alias("dy"))
 
-    return F.array_min(F.transform(directions, extent))
+        return let(F.struct(span(along).alias("u"), span(across).alias("v")), rect)
+
+    return let(points, lambda q: _least_rect(q, extent))
+
+
+def _least_rect(points: Column, extent: Callable[[Column], Column]) -> Column:
+    later = lambda i: F.slice(points, i + 2, F.size(points))
+    directions = F.flatten(F.transform(points, lambda a, i: F.transform(later(i), lambda b: point(b["x"] - a["x"], b["y"] - a["y"]))))
+    return F.array_min(F.transform(F.filter(directions, lambda d: (d["x"] != 0) | (d["y"] != 0)), extent))
 
 
 def default_thickness(external: Column) -> Column:
@@ -221,6 +245,14 @@ def rect_check(points: Column, tolerance: float = 1.0) -> Column:
     return F.struct(F.array_min(lens).alias("thickness"), (square & (F.size(kinds) == 2)).alias("ok"))
 
 
+def space_filter(points: Column, ex0: Column, ey0: Column, ex1: Column, ey1: Column, least_area: float = 5000.0, least_side: float = 200.0, reach: float = 150.0) -> Column:
+    """Large and wide enough, and within ``reach`` of the envelope (ex0, ey0, ex1, ey1)."""
+    b = bounds(points)
+    wide = F.least(b["x1"] - b["x0"], b["y1"] - b["y0"]) >= least_side
+    near = (b["x0"] <= ex1 + reach) & (b["x1"] >= ex0 - reach) & (b["y0"] <= ey1 + reach) & (b["y1"] >= ey0 - reach)
+    return (polygon_area(points) >= least_area) & wide & near
+
+
 def contains(points: Column, px: Column, py: Column) -> Column:
     """Strictly inside, by crossings of a ray to the right."""
     crossings = F.filter(edges(points), lambda e: ((e["a"]["y"] > py) != (e["b"]["y"] > py)) & (px < (e["b"]["x"] - e["a"]["x"]) * (py - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))
@@ -235,32 +267,51 @@ def box_iou(a: list[Column], b: list[Column]) -> Column:
     return F.when(union > 0, both / union).otherwise(0.0)
 
 
-def signed_area(points: Column) -> Column:
-    return fsum(F.transform(edges(points), lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2
-
-
 def convex_clip(poly: Column, convex: Column) -> Column:
     """The part of a polygon inside a convex one (Sutherland-Hodgman, one fold per side of the convex one)."""
-    turn = F.when(signed_area(convex) >= 0, 1.0).otherwise(-1.0)
-
-    def side(e: Column, p: Column) -> Column:
-        return turn * ((e["b"]["x"] - e["a"]["x"]) * (p["y"] - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (p["x"] - e["a"]["x"]))
 
     def cut(done: Column, e: Column) -> Column:
-        def pieces(v: Column) -> Column:
-            da, db = side(e, v["a"]), side(e, v["b"])
-            t = da / (da - db)
-            cross = point(v["a"]["x"] + t * (v["b"]["x"] - v["a"]["x"]), v["a"]["y"] + t * (v["b"]["y"] - v["a"]["y"]))
-            none = F.slice(F.array(v["a"]), 1, 0)
-            return F.when((da >= 0) & (db >= 0), F.array(v["b"])).when((da >= 0) & (db < 0), F.array(cross)).when((da < 0) & (db >= 0), F.array(cross, v["b"])).otherwise(none)
+        # Each corner's side of the line is worked out once; then neighbours are compared.
+        side = lambda p: (e["b"]["x"] - e["a"]["x"]) * (p["y"] - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (p["x"] - e["a"]["x"])
+        sided = F.transform(done, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), side(p).alias("d")))
+
+        def pieces(a: Column, b: Column) -> Column:
+            t = a["d"] / (a["d"] - b["d"])
+            cross = point(a["x"] + t * (b["x"] - a["x"]), a["y"] + t * (b["y"] - a["y"]))
+            end = point(b["x"], b["y"])
+            inside, stays = a["d"] >= 0, b["d"] >= 0
+            return F.when(inside & stays, F.array(end)).when(inside, F.array(cross)).when(stays, F.array(cross, end)).otherwise(F.slice(F.array(end), 1, 0))
+
+        return F.flatten(let(sided, lambda q: F.zip_with(q, nxt(q), pieces)))
+
+    turned = let(convex, lambda c: F.when(signed_area(c) >= 0, c).otherwise(F.reverse(c)))
+    return F.aggregate(let(turned, edges), poly, cut)
 
-        return F.flatten(F.transform(edges(done), pieces))
 
-    return F.aggregate(edges(convex), poly, cut)
+def shared_area(poly: Column, convex: Column) -> Column:
+    """Area of a polygon inside a convex one; boxes that lie apart are not clipped."""
+    def clipped(v: Column) -> Column:
+        a, b = v["a"], v["b"]
+        apart = (b["x0"] > a["x1"]) | (a["x0"] > b["x1"]) | (b["y0"] > a["y1"]) | (a["y0"] > b["y1"])
+        return F.when(apart, 0.0).otherwise(polygon_area(convex_clip(poly, convex)))
+
+    return let(F.struct(bounds(poly).alias("a"), bounds(convex).alias("b")), clipped)
 
 
 def iou(rect: Column, poly: Column) -> Column:
     """Intersection over union of a convex polygon and any polygon without holes."""
-    both = polygon_area(convex_clip(poly, rect))
-    union = polygon_area(rect) + polygon_area(poly) - both
-    return F.when(union > 0, both / union).otherwise(0.0)
+
+    def ratio(v: Column) -> Column:
+        union = v["a"] + v["b"] - v["both"]
+        return F.when(union > 0, v["both"] / union).otherwise(0.0)
+
+    measured = lambda v: F.struct(polygon_area(v["r"]).alias("a"), polygon_area(v["p"]).alias("b"), shared_area(v["p"], v["r"]).alias("both"))
+    return let(let(F.struct(rect.alias("r"), poly.alias("p")), measured), ratio)
+
+
+def segments_distance(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Column, Column]) -> Column:
+    """Distance of two segments (x1, y1, x2, y2); 0 where they cross."""
+    pa, pb = (point(a[0], a[1]), point(a[2], a[3])), (point(b[0], b[1]), point(b[2], b[3]))
+    turn = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+    crosses = (turn(*pa, pb[0]) * turn(*pa, pb[1]) < 0) & (turn(*pb, pa[0]) * turn(*pb, pa[1]) < 0)
+    return F.when(crosses, 0.0).otherwise(F.least(*[segment_distance(p, *pb) for p in pa], *[segment_distance(p, *pa) for p in pb]))

@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 # Characters that decompose to an ASCII letter, and that letter; others above ASCII vanish.
 FOLD_FROM = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 FOLD_TO = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyy"[: len(FOLD_FROM)]
-# Keywords of each class, in order of precedence.
-WALL_WORDS = ("wall", "wand", "mauer")
-DOOR_WORDS = ("door", "tuer", "tur")
-WINDOW_WORDS = ("window", "fenster")
+# Keywords of each class, in order of precedence: walls, doors, windows, stairs.
+WALL_WORDS = ("wall", "wand")
+DOOR_WORDS = ("door", "doorway", "doorframe", "glassdoor", "tuer", "tur")
+WINDOW_WORDS = ("window", "windowframe", "fenster", "fenst")
 WINDOW_NAMES = ("win", "wnd")
-STAIR_WORDS = ("stair", "treppe")
+STAIR_WORDS = ("stair",)
+# Keywords of each room category, in order of precedence.
 ROOM_WORDS = (
-    ("OFFICE", ("office", "buero", "büro")),
-    ("BEDROOM", ("bedroom", "schlaf")),
-    ("KITCHEN", ("kitchen", "küche", "kueche")),
-    ("BATHROOM", ("bath", "bad", "wc")),
-    ("LIVING_ROOM", ("living", "wohn")),
+    ("OFFICE", ("office", "büro")),
+    ("BEDROOM", ("bedroom", "schlafzimmer")),
+    ("KITCHEN", ("kitchen", "küche")),
+    ("BATHROOM", ("bathroom", "badezimmer", "wc")),
+    ("LIVING_ROOM", ("living", "wohnzimmer")),
 )
 DEFAULT_DPI = 400
 
@@ -38,14 +39,14 @@ def normalize_label(label: Column) -> Column:
 
 
 def classify(label: Column) -> Column:
-    """B2: WALL, DOOR, WINDOW, STAIR or the raw label."""
+    """B2: WALL, DOOR, WINDOW, STAIR or the raw label, trimmed and in lower case."""
     n = normalize_label(label)
     return (
         F.when(has_any(n, WALL_WORDS), "WALL")
         .when(has_any(n, DOOR_WORDS), "DOOR")
         .when(has_any(n, WINDOW_WORDS) | n.isin(*WINDOW_NAMES), "WINDOW")
         .when(has_any(n, STAIR_WORDS), "STAIR")
-        .otherwise(label)
+        .otherwise(F.lower(F.trim(label)))
     )
 
 
@@ -56,8 +57,9 @@ def is_external(label: Column) -> Column:
 
 
 def clean_name(name: Column, default: str = "Unnamed") -> Column:
-    """Allowed characters only, single blanks, at most 100 characters."""
-    kept = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), "[^A-Za-z0-9 _.-]", ""), " +", " "))
+    """Letters, digits, blanks, hyphens and underscores only, single blanks, at most 100 characters."""
+    kept = F.regexp_replace(F.coalesce(name, F.lit("")), "(?U)[^a-zA-Z0-9\\s_-]", "")
+    kept = F.trim(F.regexp_replace(kept, "(?U)\\s+", " "))
     return F.when(kept == "", default).otherwise(F.substring(kept, 1, 100))
 
 

@@ -1,10 +1,20 @@
-"""Opening rules."""
+"""Openings on walls at any angle.
+
+Openings have a key (plan_id), an id (det_id), a ring ``points`` and a type ``kind``; walls are those of ``walls``.
+Key and id columns are parameters. An opening's direction is that of the long side of the least rectangle around it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planlake.functions import geom as G
+from planlake.operators.spatial import best_match, grid_join
+from planlake.operators.walls import AXIS, BOX, cols, length, with_box
+from planlake.session import materialize
+
+CELL = 1000.0
 # Fixed values, metres: type -> sill, head, height.
 VERTICAL = (("DOOR", 0.0, 2.0, 2.0), ("WINDOW", 0.9, 2.1, 1.2))
 
@@ -15,3 +25,144 @@ def with_vertical(openings: DataFrame, depth: Column) -> DataFrame:
     rules = spark.createDataFrame(list(VERTICAL), "kind string, sill double, head0 double, height double")
     d = openings.join(F.broadcast(rules), "kind")
     return d.withColumn("head", F.greatest(F.col("head0"), F.col("sill") + F.col("height"))).withColumn("depth", depth)
+
+
+def centred(openings: DataFrame, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
+    """key, o_id, o_cx, o_cy, o_angle (degrees), o_points, o_kind."""
+    box = G.oriented_rect(F.col("points"))
+    o = openings.select(key, F.col(id_col).alias("o_id"), F.col("points").alias("o_points"), F.col("kind").alias("o_kind"), G.centroid(F.col("points")).alias("__c"), box.alias("__b"))
+    return o.select(key, "o_id", "o_points", "o_kind", F.col("__c.x").alias("o_cx"), F.col("__c.y").alias("o_cy"), G.line_angle(F.lit(0.0), F.lit(0.0), F.col("__b.dx"), F.col("__b.dy")).alias("o_angle"))
+
+
+def sided(walls: DataFrame, key: str = "plan_id", id_col: str = "det_id", thick: bool = False) -> DataFrame:
+    """key, w_id, w_x1..w_y2, w_thickness and the axis' box, or that of the whole wall."""
+    return with_box(walls.where(length() > 0), F.col("thickness") / 2 if thick else 0.0).select(key, F.col(id_col).alias("w_id"), *[F.col(c).alias(f"w_{c}") for c in (*AXIS, "thickness")], *BOX)
+
+
+def measured(pairs: DataFrame) -> DataFrame:
+    """+ s (place on the axis, 0..1), axis_distance, wall_distance (of the centre to the wall's rectangle), degrees."""
+    n = length("w_")
+    dx, dy = (F.col("w_x2") - F.col("w_x1")) / n, (F.col("w_y2") - F.col("w_y1")) / n
+    vx, vy = F.col("o_cx") - F.col("w_x1"), F.col("o_cy") - F.col("w_y1")
+    pairs = pairs.withColumns({"along": vx * dx + vy * dy, "across": vy * dx - vx * dy, "w_length": n})
+    beyond = F.greatest(F.lit(0.0), -F.col("along"), F.col("along") - F.col("w_length"))
+    beside = F.greatest(F.lit(0.0), F.abs("across") - F.col("w_thickness") / 2)
+    return pairs.withColumns({
+        "s": F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("along") / F.col("w_length"))),
+        "axis_distance": F.round(G.hypot(beyond, F.col("across")) + 1e-9, 6),
+        "wall_distance": F.round(G.hypot(beyond, beside) + 1e-9, 6),
+        "degrees": G.angle_delta(F.col("o_angle"), G.line_angle(*cols("w_"))),
+    })
+
+
+def near_axes(openings: DataFrame, walls: DataFrame, reach: float, key: str = "plan_id", id_col: str = "det_id", thick: bool = False) -> DataFrame:
+    """Openings with the walls whose axis, or whose rectangle where ``thick``, comes within ``reach`` of their centre, measured."""
+    pairs = grid_join(centred(openings, key, id_col), sided(walls, key, id_col, thick), ("o_cx", "o_cy", "o_cx", "o_cy"), BOX, reach, max(reach, CELL), key)
+    return measured(pairs).where(F.col("wall_distance" if thick else "axis_distance") <= reach)
+
+
+def assign_openings(openings: DataFrame, walls: DataFrame, max_distance: float = 500.0, max_degrees: float = 30.0, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
+    """Each opening's wall: key, id, wall_id, axis_distance, wall_distance, degrees.
+
+    The best by (axis distance, wall distance, angle) among the axes within ``max_distance`` and ``max_degrees``; an opening
+    without one gets the wall whose rectangle is nearest at any distance, with null axis_distance and degrees. Ties go to the
+    smaller wall id. An opening of a plan without walls comes back with nulls. Distances are those of the opening's centre.
+    """
+    order = [F.col("axis_distance"), F.col("wall_distance"), F.col("degrees"), F.col("w_id")]
+    near = best_match(near_axes(openings, walls, max_distance, key, id_col).where(F.col("degrees") <= max_degrees), [key, "o_id"], order)
+    near = materialize(near.select(key, "o_id", "w_id", "axis_distance", "wall_distance", "degrees"), "opening-walls")
+    left = centred(openings, key, id_col).join(near, [key, "o_id"], "left_anti")
+    # The few left over meet all walls of their plan; every task keeps one row of an opening.
+    far = measured(left.join(sided(walls, key, id_col), key)).groupBy(key, "o_id").agg(F.min(F.struct("wall_distance", "w_id")).alias("m"))
+    far = far.select(key, "o_id", F.col("m.w_id").alias("w_id"), F.lit(None).cast("double").alias("axis_distance"), F.col("m.wall_distance").alias("wall_distance"), F.lit(None).cast("double").alias("degrees"))
+    found = near.unionByName(far).withColumnsRenamed({"o_id": id_col, "w_id": "wall_id"})
+    return openings.select(key, id_col).distinct().join(found, [key, id_col], "left")
+
+
+def on_wall(assigned: DataFrame, openings: DataFrame, walls: DataFrame, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
+    """Assigned openings with their wall's columns and the opening's spans along and across its axis (C31): span_from, span_to, width, cross."""
+    o = centred(openings, key, id_col).join(assigned.select(key, F.col(id_col).alias("o_id"), F.col("wall_id").alias("w_id")), [key, "o_id"])
+    p = measured(o.join(sided(walls, key, id_col).drop(*BOX), [key, "w_id"]))
+    dx, dy = (F.col("w_x2") - F.col("w_x1")) / F.col("w_length"), (F.col("w_y2") - F.col("w_y1")) / F.col("w_length")
+    spans = lambda f: F.transform("o_points", lambda q: f(q["x"] - F.col("w_x1"), q["y"] - F.col("w_y1")))
+    p = p.withColumns({"__a": spans(lambda x, y: x * dx + y * dy), "__b": spans(lambda x, y: y * dx - x * dy)})
+    return p.withColumns({"span_from": F.array_min("__a"), "span_to": F.array_max("__a"), "width": F.array_max("__a") - F.array_min("__a"), "cross": F.array_max("__b") - F.array_min("__b")}).drop("__a", "__b")
+
+
+# Fixed values, mm: least depth of an opening, default width by type.
+LEAST_DEPTH = 80.0
+DEFAULT_WIDTH = (("DOOR", 900.0), ("WINDOW", 1200.0))
+
+
+def default_width() -> Column:
+    return F.when(F.col("o_kind") == DEFAULT_WIDTH[0][0], DEFAULT_WIDTH[0][1]).otherwise(DEFAULT_WIDTH[1][1])
+
+
+def opening_placement(assigned: DataFrame, openings: DataFrame, walls: DataFrame, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
+    """Key, id, wall_id, width (span along the axis, half the default at least), depth, cx, cy (the centre, clamped to the axis)."""
+    p = on_wall(assigned, openings, walls, key, id_col)
+    t = F.col("w_thickness")
+    width = F.greatest("width", default_width() / 2)
+    depth = F.greatest(F.least(t, F.greatest(F.col("cross"), F.least(t, F.lit(LEAST_DEPTH)))), F.least(t, F.lit(LEAST_DEPTH / 2)))
+    at = lambda a, b: F.col(f"w_{a}") + F.col("s") * (F.col(f"w_{b}") - F.col(f"w_{a}"))
+    return p.select(key, F.col("o_id").alias(id_col), F.col("w_id").alias("wall_id"), width.alias("width"), depth.alias("depth"), at("x1", "x2").alias("cx"), at("y1", "y2").alias("cy"))
+
+
+def fit_opening(assigned: DataFrame, openings: DataFrame, walls: DataFrame, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
+    """Each opening's rectangle along its wall's axis, moved to where it overlaps the detection most.
+
+    key, id, step, iou, width, depth, cx, cy. The direction is the axis' nearer one of 0 and 90 degrees; centres are the middle of the
+    detection's span and its centroid, moved by -150..150 mm in steps of 20; the first best wins. Below an IoU of 0.05 the
+    placement of C31 is kept, with a null step.
+    """
+    p = on_wall(assigned, openings, walls, key, id_col)
+    upright = G.angle_delta(G.line_angle(*cols("w_")), F.lit(90.0)) <= 45
+    ux, uy = F.when(upright, 0.0).otherwise(1.0), F.when(upright, 1.0).otherwise(0.0)
+    along = F.transform("o_points", lambda q: (q["x"] - F.col("w_x1")) * ux + (q["y"] - F.col("w_y1")) * uy)
+    across = F.transform("o_points", lambda q: (q["y"] - F.col("w_y1")) * ux - (q["x"] - F.col("w_x1")) * uy)
+    p = p.select(key, "o_id", "w_id", "o_points", "w_x1", "w_y1", "w_thickness", ux.alias("ux"), uy.alias("uy"), along.alias("__a"), across.alias("__b"), ((F.col("o_cx") - F.col("w_x1")) * ux + (F.col("o_cy") - F.col("w_y1")) * uy).alias("__mid"))
+    t = F.col("w_thickness")
+    p = p.withColumns({"width": F.greatest(F.lit(1.0), F.array_max("__a") - F.array_min("__a")), "__cross": F.greatest(F.lit(1.0), F.array_max("__b") - F.array_min("__b")), "__span": (F.array_max("__a") + F.array_min("__a")) / 2})
+    p = p.withColumn("depth", F.least(t, F.greatest("__cross", F.least(t, F.lit(LEAST_DEPTH)))))
+    centres = F.array(F.struct(F.lit(0).alias("turn"), F.col("__span").alias("at")), F.struct(F.lit(1).alias("turn"), F.col("__mid").alias("at")))
+    c = p.withColumn("__c", F.explode(centres)).withColumn("step", F.explode(F.sequence(F.lit(-150), F.lit(150), F.lit(20))))
+    place = F.col("__c.at") + F.col("step")
+    c = c.withColumns({"cx": F.col("w_x1") + F.col("ux") * place, "cy": F.col("w_y1") + F.col("uy") * place})
+    rect = G.rect_from_centre(F.col("cx"), F.col("cy"), F.col("width"), F.col("depth"), F.col("ux"), F.col("uy"))
+    c = c.withColumn("iou", F.round(G.iou(rect, F.col("o_points")) + 1e-9, 6))
+    best = best_match(c, [key, "o_id"], [F.desc("iou"), F.col("__c.turn"), F.col("step")])
+    kept = opening_placement(assigned, openings, walls, key, id_col).select(key, F.col(id_col).alias("o_id"), *[F.col(x).alias(f"__{x}") for x in ("width", "depth", "cx", "cy")])
+    best = best.join(kept, [key, "o_id"])
+    fits = F.col("iou") >= 0.05
+    pick = lambda name: F.when(fits, F.col(name)).otherwise(F.col(f"__{name}")).alias(name)
+    return best.select(key, F.col("o_id").alias(id_col), F.when(fits, F.col("step")).alias("step"), F.when(fits, F.col("iou")).otherwise(0.0).alias("iou"), *map(pick, ("width", "depth", "cx", "cy")))
+
+
+# The sizes tried, and the least width and depth that is left (mm).
+SCALES = (1.0, 0.98, 0.95, 0.9, 0.85, 0.8, 0.7, 0.6, 0.5)
+LEAST_SIZE = (100.0, 40.0)
+
+
+def fit_inside(placed: DataFrame, walls: DataFrame, tolerance: float = 5.0, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
+    """+ scale, the largest size at which a placed opening (key, id, wall_id, cx, cy, width, depth) lies inside its wall's
+    rectangle by the tolerance, along and across the axis; null if none does."""
+    w = sided(walls, key, id_col).drop(*BOX).withColumnRenamed("w_id", "wall_id")
+    p = placed.withColumns({"o_cx": F.col("cx"), "o_cy": F.col("cy"), "o_angle": F.lit(0.0)}).join(w, [key, "wall_id"])
+    p = measured(p)
+    room = F.col("w_length") / 2 - F.abs(F.col("along") - F.col("w_length") / 2) - tolerance
+    side = F.col("w_thickness") / 2 - F.abs("across") - tolerance
+    fits = lambda s: (s * F.col("width") / 2 <= F.round(room, 6)) & (s * F.col("depth") / 2 <= F.round(side, 6)) & ((s == 1) | ((s * F.col("width") >= LEAST_SIZE[0]) & (s * F.col("depth") >= LEAST_SIZE[1])))
+    return p.withColumn("scale", F.array_max(F.filter(F.array(*map(F.lit, SCALES)), fits))).select(*placed.columns, "scale")
+
+
+def clip_to_wall(openings: DataFrame, walls: DataFrame, reach: float = 100.0, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
+    """Openings on their nearest wall within ``reach`` of its rectangle: key, id, wall_id, clipped (the ring's part inside the wall), area.
+
+    Openings without such a wall have nulls; an opening that lies beside its wall has an empty ring and area 0.
+    """
+    pairs = near_axes(openings, walls, reach, key, id_col, thick=True)
+    best = best_match(pairs, [key, "o_id"], [F.col("wall_distance"), F.col("axis_distance"), F.col("w_id")])
+    rect = G.rect_from_axis(*cols("w_"), F.col("w_thickness"))
+    best = best.withColumn("clipped", G.convex_clip(F.col("o_points"), rect)).select(key, F.col("o_id").alias(id_col), F.col("w_id").alias("wall_id"), "clipped")
+    best = best.withColumn("area", F.when(F.size("clipped") > 0, G.polygon_area(F.col("clipped"))).otherwise(0.0))
+    return openings.select(key, id_col).distinct().join(best, [key, id_col], "left")

@@ -199,15 +199,20 @@ def d23(spark, sf):
     return o.groupBy(F.col("o_orderpriority").alias("type")).agg(F.count("*").alias("n"))
 
 
-# Element, external, U-value, fire rating, sound reduction in dB.
-THERMAL = (("WALL", True, 0.24, "F90", 55), ("WALL", False, 0.5, "F30", 45), ("DOOR", None, 1.8, "T30", 32), ("WINDOW", None, 1.3, "-", 35))
+# Element, external, U-value in W/(m2 K), fire rating, acoustic rating. A wall is external only where that is known.
+THERMAL = (
+    ("WALL", True, 0.28, "REI90", "Rw 52 dB"),
+    ("WALL", False, None, "REI60", "Rw 45 dB"),
+    ("WINDOW", False, 1.3, "E30", None),
+    ("DOOR", False, 2.0, "E30", "Rw 30 dB"),
+)
 
 
-@query("d24_thermal_defaults", f"{CTE} SELECT plan_id, det_id, CASE WHEN kind = 'WALL' THEN CASE WHEN {EXT} THEN 0.24e0 ELSE 0.5e0 END WHEN kind = 'DOOR' THEN 1.8e0 ELSE 1.3e0 END AS u_value, CASE WHEN kind = 'WALL' THEN CASE WHEN {EXT} THEN 55 ELSE 45 END WHEN kind = 'DOOR' THEN 32 ELSE 35 END AS sound_db FROM det WHERE kind IN ('WALL', 'DOOR', 'WINDOW')")
+@query("d24_thermal_defaults", f"{CTE} SELECT plan_id, det_id, CASE WHEN kind = 'WALL' THEN CASE WHEN {EXT} THEN 0.28e0 END WHEN kind = 'DOOR' THEN 2.0e0 ELSE 1.3e0 END AS u_value, CASE WHEN kind <> 'WALL' THEN 'E30' WHEN coalesce({EXT}, false) THEN 'REI90' ELSE 'REI60' END AS fire, CASE WHEN kind = 'WALL' THEN CASE WHEN coalesce({EXT}, false) THEN 'Rw 52 dB' ELSE 'Rw 45 dB' END WHEN kind = 'DOOR' THEN 'Rw 30 dB' END AS acoustic FROM det WHERE kind IN ('WALL', 'DOOR', 'WINDOW')")
 def d24(spark, sf):
-    rules = spark.createDataFrame(list(THERMAL), "kind string, external boolean, u_value double, fire string, sound_db int")
-    d = detections(spark, sf).withColumn("external", L.is_external(F.col("label")))
-    return d.join(F.broadcast(rules), (d["kind"] == rules["kind"]) & d["external"].eqNullSafe(rules["external"])).select(*K, "u_value", "sound_db")
+    rules = spark.createDataFrame(list(THERMAL), "kind string, external boolean, u_value double, fire string, acoustic string")
+    d = detections(spark, sf).withColumn("external", F.coalesce(L.is_external(F.col("label")), F.lit(False)))
+    return d.join(F.broadcast(rules), ["kind", "external"]).select(*K, "u_value", "fire", "acoustic")
 
 
 @query("d25_duplicate_guids", "SELECT l_orderkey AS guid, l_linenumber AS part, count(*) AS n, string_agg(l_partkey, ',' ORDER BY l_partkey) AS members FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")

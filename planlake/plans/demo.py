@@ -45,6 +45,37 @@ DET = f"WITH base AS ({_BASE.format(labels=_CASES)}), det AS ({_CORNERS})"
 #: For DuckDB: walls and openings by plan.
 CTE = DET + ", wall AS (SELECT * FROM det WHERE kind = 'WALL'), opening AS (SELECT * FROM det WHERE kind IN ('DOOR', 'WINDOW'))"
 
+#: For both engines: walls and openings with axes in several directions (unit vectors ux, uy with whole-number triangles).
+TILT = DET + """, dir AS (SELECT *,
+       CASE WHEN jit = 3 THEN 0.6e0 WHEN jit = -3 THEN 0.8e0 WHEN jit = 2 THEN 0.28e0 WHEN horizontal THEN 1e0 ELSE 0e0 END AS ux,
+       CASE WHEN jit = 3 THEN 0.8e0 WHEN jit = -3 THEN 0.6e0 WHEN jit = 2 THEN 0.96e0 WHEN horizontal THEN 0e0 ELSE 1e0 END AS uy FROM det),
+tilt AS (SELECT plan_id, det_id, kind, label, confidence, line_no, jit, thk AS thickness, len AS length, ux, uy,
+       x0 AS x1, y0 AS y1, x0 + len * ux AS x2, y0 + len * uy AS y2 FROM dir),
+tw AS (SELECT * FROM tilt WHERE kind = 'WALL'),
+op AS (SELECT plan_id, det_id, kind, confidence, horizontal, len, thk, x0, y0, bx, by_, (x0 + bx) / 2 AS cx, (y0 + by_) / 2 AS cy FROM det WHERE kind IN ('DOOR', 'WINDOW'))"""
+
+
+def _from(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return spark.sql(TILT.replace("FROM lineitem", "FROM {lineitem}") + f" SELECT * FROM {name}", lineitem=lineitem)
+
+
+def tilted_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walls by axis (x1, y1, x2, y2), thickness, length and confidence."""
+    return _from(spark, sf_dir, "tw")
+
+
+def rect_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Openings with their box as a ring."""
+    df = _from(spark, sf_dir, "op")
+    return df.withColumn("points", F.array(*[point(F.col(x), F.col(y)) for x, y in (("x0", "y0"), ("bx", "y0"), ("bx", "by_"), ("x0", "by_"))]))
+
+
+def axis_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The axis-parallel walls of ``det`` with the library's column names, their detected polygon and label."""
+    names = {"ax1": "x1", "ay1": "y1", "ax2": "x2", "ay2": "y2", "thk": "thickness", "len": "length"}
+    return walls(spark, sf_dir).drop("x1", "y1", "x2", "y2").withColumnsRenamed(names)
+
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per detection: plan_id, det_id, label, confidence, corner and axis columns, and points."""

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planlake.functions import geom as G
 from planlake.operators.graph import components
 from planlake.operators.spatial import CELL, best_match, grid_join, renamed, self_pairs
-from planlake.plans.demo import CTE, detections, openings, walls
+from planlake.operators import openings as O
+from planlake.operators import walls as W
+from planlake.plans.demo import CTE, TILT, axis_walls, detections, openings, rect_openings, tilted_walls, walls
 from planlake.plans.registry import query, r6, s6
 from planlake.plans.scalar_queries import seg
 from planlake.session import materialize
@@ -27,6 +31,11 @@ def end_gap():
     return F.least(*[G.hypot(F.col(f"a_ax{i}") - F.col(f"b_ax{j}"), F.col(f"a_ay{i}") - F.col(f"b_ay{j}")) for i in (1, 2) for j in (1, 2)])
 
 
+def shifted(w, d: float):
+    """Tilted walls as another model sees them: moved to their left."""
+    return w.withColumns({"x1": F.col("x1") - d * F.col("uy"), "y1": F.col("y1") + d * F.col("ux"), "x2": F.col("x2") - d * F.col("uy"), "y2": F.col("y2") + d * F.col("ux")})
+
+
 def wall_pairs(spark, sf, reach):
     return self_pairs(walls(spark, sf), ("ax1", "ay1", "ax2", "ay2"), AXIS, reach)
 
@@ -37,6 +46,34 @@ IDS = ("plan_id", "a_det_id", "b_det_id")
 ZONES = (("west", ((0.0, 0.0), (1500.0, 0.0), (1500.0, 6000.0), (0.0, 6000.0))), ("tri", ((0.0, 0.0), (6000.0, 0.0), (0.0, 6000.0))))
 
 
+def turn(a: str, b: str) -> str:
+    """SQL: degrees between two axes, 0..90."""
+    d = f"abs(degrees(atan2({a}.y2 - {a}.y1, {a}.x2 - {a}.x1)) - degrees(atan2({b}.y2 - {b}.y1, {b}.x2 - {b}.x1)))"
+    return f"least({d}, 180 - {d})"
+
+
+def mid_line(a: str, b: str) -> str:
+    """SQL: distance of a's middle to b's endless line."""
+    return f"abs((({a}.x1 + {a}.x2) / 2 - {b}.x1) * ({b}.y2 - {b}.y1) - (({a}.y1 + {a}.y2) / 2 - {b}.y1) * ({b}.x2 - {b}.x1)) / sqrt(({b}.x2 - {b}.x1) ** 2 + ({b}.y2 - {b}.y1) ** 2)"
+
+
+MIDS = "sqrt(((a.x1 + a.x2 - b.x1 - b.x2) / 2) ** 2 + ((a.y1 + a.y2 - b.y1 - b.y2) / 2) ** 2)"
+TPAIR = TILT + " SELECT a.plan_id, a.det_id AS a_det_id, b.det_id AS b_det_id{cols} FROM tw a JOIN tw b ON a.plan_id = b.plan_id AND a.det_id < b.det_id WHERE {cond}"
+
+
+def cross(p: str, q: str, r: str) -> str:
+    return f"({q[0]} - {p[0]}) * ({r[1]} - {p[1]}) - ({q[1]} - {p[1]}) * ({r[0]} - {p[0]})"
+
+
+def segments(a: str, b: str) -> str:
+    """SQL: distance of two axes, 0 where they cross."""
+    ends = lambda t: ((f"{t}.x1", f"{t}.y1"), (f"{t}.x2", f"{t}.y2"))
+    (p, q), (u, v) = ends(a), ends(b)
+    off = [seg(*e, *u, *v) for e in (p, q)] + [seg(*e, *p, *q) for e in (u, v)]
+    meets = f"({cross(p, q, u)}) * ({cross(p, q, v)}) < 0 AND ({cross(u, v, p)}) * ({cross(u, v, q)}) < 0"
+    return f"CASE WHEN {meets} THEN 0e0 ELSE least({', '.join(off)}) END"
+
+
 @query("c01_zone_counts", f"{CTE}, z AS (SELECT det.*, (x0 + bx) / 2 AS cx, (y0 + by_) / 2 AS cy FROM det) SELECT 'west' AS zone, label, count(*) AS n FROM z WHERE cx > 0 AND cx < 1500 AND cy > 0 AND cy < 6000 GROUP BY label UNION ALL SELECT 'tri', label, count(*) FROM z WHERE cx > 0 AND cy > 0 AND cx + cy < 6000 GROUP BY label")
 def c01(spark, sf):
     """Box centre strictly inside; the zones are a small table, broadcast."""
@@ -89,18 +126,33 @@ def nearest_sql(cond: str, order: str, cols: str = ", r.distance") -> str:
     return f"{OW}, r AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY {order}, wall_id) AS k FROM ow WHERE {cond}) SELECT DISTINCT o.plan_id, o.det_id, r.wall_id{cols} FROM o LEFT JOIN r ON o.plan_id = r.plan_id AND o.det_id = r.det_id AND k = 1"
 
 
+#: Openings against tilted walls: place along and across the axis, distances to the axis and to the wall's rectangle.
+OT = TILT + """, m0 AS (SELECT o.*, w.det_id AS wall_id, w.thickness, w.length, w.x1, w.y1, w.x2, w.y2, (cx - w.x1) * w.ux + (cy - w.y1) * w.uy AS along, (cy - w.y1) * w.ux - (cx - w.x1) * w.uy AS across,
+    degrees(atan2(w.uy, w.ux)) AS wall_angle, w.ux, w.uy FROM op o JOIN tw w ON o.plan_id = w.plan_id),
+m1 AS (SELECT *, greatest(0, -along, along - length) AS beyond, greatest(0, abs(across) - thickness / 2) AS beside, abs(CASE WHEN horizontal THEN 0 ELSE 90 END - wall_angle) AS turned FROM m0),
+m AS (SELECT *, least(1, greatest(0, along / length)) AS s, round(sqrt(beyond ** 2 + across ** 2) + 1e-9, 6) AS axis_distance, round(sqrt(beyond ** 2 + beside ** 2) + 1e-9, 6) AS wall_distance FROM m1),
+near AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY axis_distance, wall_distance, turned, wall_id) AS k FROM m WHERE axis_distance <= 500 AND turned <= 30),
+far AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY wall_distance, wall_id) AS k FROM m),
+hit AS (SELECT DISTINCT o.plan_id, o.det_id, coalesce(n.wall_id, f.wall_id) AS wall_id, n.axis_distance, coalesce(n.wall_distance, f.wall_distance) AS wall_distance, n.turned AS degrees
+    FROM op o LEFT JOIN near n ON o.plan_id = n.plan_id AND o.det_id = n.det_id AND n.k = 1 LEFT JOIN far f ON o.plan_id = f.plan_id AND o.det_id = f.det_id AND f.k = 1),
+hm AS (SELECT DISTINCT m.* FROM m JOIN hit USING (plan_id, det_id, wall_id))"""
+
+
+def assigned(spark, sf):
+    return O.assign_openings(rect_openings(spark, sf), tilted_walls(spark, sf))
+
+
 def with_nearest(o, best, *cols):
     """All openings once, with their match's columns or nulls."""
     b = best.select("plan_id", F.col("o_det_id").alias("det_id"), *cols)
     return o.select("plan_id", F.col("o_det_id").alias("det_id")).distinct().join(b, ["plan_id", "det_id"], "left")
 
 
-@query("c03_assign_openings", nearest_sql("distance <= 500 AND oh = wh", "distance"))
+@query("c03_assign_openings", f"{OT} SELECT plan_id, det_id, wall_id, axis_distance, wall_distance, {s6('degrees')} AS degrees FROM hit")
 def c03(spark, sf):
-    """Axis within 500 mm and 30 degrees; ties by wall id; no match leaves null."""
-    o, pairs = near_walls(spark, sf, 500.0)
-    best = best_match(pairs.where("o_horizontal = w_horizontal"), ["plan_id", "o_det_id"], [F.col("distance"), F.col("w_det_id")])
-    return with_nearest(o, best, F.col("w_det_id").alias("wall_id"), "distance")
+    """Axis within 500 mm and 30 degrees, else the nearest wall at any distance."""
+    a = assigned(spark, sf)
+    return a.withColumn("degrees", r6(F.col("degrees")))
 
 
 @query("c04_place_openings", nearest_sql("distance <= 100", "distance", f", r.distance, {s6('r.s')} AS s"))
@@ -147,25 +199,11 @@ def c06(spark, sf):
     return a.join(hit, ["plan_id", "det_id"], "left_anti").select("plan_id", "det_id")
 
 
-MIDLINE = "abs(((b.ax1 + b.ax2) / 2 - a.ax1) * (a.ay2 - a.ay1) - ((b.ay1 + b.ay2) / 2 - a.ay1) * (a.ax2 - a.ax1)) / a.len"
-
-
-def midline():
-    """Distance of b's middle from a's line."""
-    mx, my = (F.col("b_ax1") + F.col("b_ax2")) / 2, (F.col("b_ay1") + F.col("b_ay2")) / 2
-    return F.abs((mx - F.col("a_ax1")) * (F.col("a_ay2") - F.col("a_ay1")) - (my - F.col("a_ay1")) * (F.col("a_ax2") - F.col("a_ax1"))) / F.col("a_len")
-
-
-@query("c07_match_walls", f"{CTE}, p AS (SELECT a.plan_id, a.det_id, b.det_id AS other, round(b.confidence * least(a.len, b.len) / greatest(a.len, b.len) * (1 - ({MIDLINE}) / 30) + 1e-9, 6) AS score FROM wall a JOIN wall b ON a.plan_id = b.plan_id AND a.det_id <> b.det_id AND a.horizontal = b.horizontal WHERE ({MIDLINE}) <= 30 AND least(a.bx, b.bx) + 500 >= greatest(a.x0, b.x0) AND least(a.by_, b.by_) + 500 >= greatest(a.y0, b.y0)), r AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY score DESC, other) AS k FROM p) SELECT plan_id, det_id, other, score FROM r WHERE k = 1")
+@query("c07_match_walls", f"{TILT}, m3 AS (SELECT plan_id, det_id, confidence, length, x1 - 12 * uy AS x1, y1 + 12 * ux AS y1, x2 - 12 * uy AS x2, y2 + 12 * ux AS y2 FROM tw), p AS (SELECT a.plan_id, a.det_id, b.det_id AS other, round(b.confidence * least(a.length, b.length) / greatest(a.length, b.length) * (1 - ({mid_line('a', 'b')}) / 30) * (1 - ({turn('a', 'b')}) / degrees(0.2e0)) + 1e-9, 6) AS score FROM tw a JOIN m3 b ON a.plan_id = b.plan_id WHERE {mid_line('a', 'b')} <= 30 AND {turn('a', 'b')} <= degrees(0.2e0)), r AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY score DESC, other) AS k FROM p) SELECT plan_id, det_id, other, score FROM r WHERE k = 1")
 def c07(spark, sf):
-    """Parallel walls near each other's line: best by confidence, length ratio and distance."""
-    cols = ["det_id", *AXIS, *BOX]
-    w = walls(spark, sf)
-    pairs = grid_join(renamed(w, "a_", cols), renamed(w, "b_", cols), tuple(f"a_{c}" for c in BOX), tuple(f"b_{c}" for c in BOX), 500.0)
-    pairs = pairs.where("a_det_id <> b_det_id AND a_horizontal = b_horizontal").withColumn("d", midline()).where("d <= 30")
-    score = F.round(F.col("b_confidence") * F.least("a_len", "b_len") / F.greatest("a_len", "b_len") * (1 - F.col("d") / 30) + 1e-9, 6)
-    best = best_match(pairs.withColumn("score", score), ["plan_id", "a_det_id"], [F.desc("score"), F.col("b_det_id")])
-    return best.select("plan_id", F.col("a_det_id").alias("det_id"), F.col("b_det_id").alias("other"), "score")
+    """Walls against those of another model, which sees them 12 px to the side."""
+    w = tilted_walls(spark, sf)
+    return W.match_walls(w, shifted(w, 12.0))
 
 
 NEAR_BOX = "least(a.bx, b.bx) + {m} >= greatest(a.x0, b.x0) AND least(a.by_, b.by_) + {m} >= greatest(a.y0, b.y0)"
@@ -188,12 +226,11 @@ def c09(spark, sf):
     return pairs.groupBy("plan_id", F.col("o_det_id").alias("det_id")).agg(F.min("w_det_id").alias("wall_id"))
 
 
-@query("c10_nearest_wall_fix", nearest_sql("distance <= 100 + w_thk / 2", "distance", f", CASE WHEN r.distance IS NOT NULL THEN {s6('greatest(r.distance - r.w_thk / 2, 0)')} END AS moved"))
+@query("c10_nearest_wall_fix", f"{OT.replace('FROM m0)', 'FROM m0 WHERE ux IN (0, 1))')}, c AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY wall_distance, axis_distance, wall_id) AS k FROM m WHERE wall_distance <= 100), b AS (SELECT *, CASE WHEN ux = 1 THEN x1 ELSE x1 - thickness / 2 END AS wx0, CASE WHEN ux = 1 THEN x2 ELSE x1 + thickness / 2 END AS wx1, CASE WHEN ux = 1 THEN y1 - thickness / 2 ELSE y1 END AS wy0, CASE WHEN ux = 1 THEN y1 + thickness / 2 ELSE y2 END AS wy1 FROM c WHERE k = 1) SELECT DISTINCT o.plan_id, o.det_id, wall_id, CASE WHEN wall_id IS NOT NULL THEN {s6('greatest(0, least(o.bx, wx1) - greatest(o.x0, wx0)) * greatest(0, least(o.by_, wy1) - greatest(o.y0, wy0))')} END AS area FROM op o LEFT JOIN b ON o.plan_id = b.plan_id AND o.det_id = b.det_id")
 def c10(spark, sf):
-    """The nearest wall within 100 mm of its face, and how far the opening moves to it."""
-    o, pairs = near_walls(spark, sf, 300.0)
-    best = best_match(pairs.where("distance <= 100 + w_thk / 2"), ["plan_id", "o_det_id"], [F.col("distance"), F.col("w_det_id")])
-    return with_nearest(o, best, F.col("w_det_id").alias("wall_id"), r6(F.greatest(F.col("distance") - F.col("w_thk") / 2, F.lit(0.0))).alias("moved"))
+    """Openings clipped to the nearest wall within 100 mm; the demo's axis-parallel walls, so that boxes tell the area."""
+    upright = tilted_walls(spark, sf).where("ux IN (0, 1)")
+    return O.clip_to_wall(rect_openings(spark, sf), upright).select("plan_id", "det_id", "wall_id", r6(F.col("area")).alias("area"))
 
 
 ENDS = CTE + ", ends AS (SELECT plan_id, det_id, thk, ax1 AS x, ay1 AS y, 1 AS e FROM wall UNION ALL SELECT plan_id, det_id, thk, ax2, ay2, 2 FROM wall)"
@@ -204,7 +241,7 @@ def ends(df):
     return one(1).unionByName(one(2))
 
 
-@query("c11_endpoint_gaps", f"{ENDS} SELECT a.plan_id, a.det_id AS a_det_id, a.e AS a_e, b.det_id AS b_det_id, b.e AS b_e, {s6('sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)')} AS gap FROM ends a JOIN ends b ON a.plan_id = b.plan_id AND a.det_id < b.det_id WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 > 1 AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= greatest(50, least(2.5e0 * (a.thk + b.thk) / 2, 300)) ** 2")
+@query("c11_endpoint_gaps", f"{ENDS}, cell AS (SELECT *, floor(x / 300) AS cx, floor(y / 300) AS cy FROM ends), wide AS (SELECT plan_id, det_id, thk, x, y, e, cx + i AS cx, cy + j AS cy FROM cell, (VALUES (-1), (0), (1)) AS s(i), (VALUES (-1), (0), (1)) AS t(j)) SELECT a.plan_id, a.det_id AS a_det_id, a.e AS a_e, b.det_id AS b_det_id, b.e AS b_e, {s6('sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)')} AS gap FROM cell a JOIN wide b ON a.plan_id = b.plan_id AND a.cx = b.cx AND a.cy = b.cy WHERE a.det_id < b.det_id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 > 1 AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= greatest(50, least(2.5e0 * (a.thk + b.thk) / 2, 300)) ** 2")
 def c11(spark, sf):
     """Ends of different axes within a limit that follows the walls' thickness."""
     pairs = self_pairs(ends(walls(spark, sf)), ("x", "y", "x", "y"), ["thk", "e"], 300.0)
@@ -243,11 +280,11 @@ def end_clusters(spark, sf, reach: float = 100.0):
     return n, components(near.select("plan_id", F.col("a_id").alias("src"), F.col("b_id").alias("dst")), keys=("plan_id",))
 
 
-@query("c14_close_gaps", f"{LABELS}, nd AS (SELECT DISTINCT * FROM node) SELECT plan_id, component, count(*) AS n, {s6('avg(x)')} AS x, {s6('avg(y)')} AS y FROM lab JOIN nd USING (plan_id, id) GROUP BY plan_id, component")
+@query("c14_close_gaps", f"{LABELS}, nd AS (SELECT DISTINCT * FROM node), mean AS (SELECT plan_id, component, avg(x) AS x, avg(y) AS y FROM lab JOIN nd USING (plan_id, id) GROUP BY plan_id, component), moved AS (SELECT DISTINCT l.plan_id, l.id, m.x, m.y FROM lab l JOIN mean m USING (plan_id, component)) SELECT w.plan_id, w.det_id, {s6('coalesce(p.x, ax1)')} AS x1, {s6('coalesce(p.y, ay1)')} AS y1, {s6('coalesce(q.x, ax2)')} AS x2, {s6('coalesce(q.y, ay2)')} AS y2 FROM wall w LEFT JOIN moved p ON w.plan_id = p.plan_id AND w.det_id || '#1' = p.id LEFT JOIN moved q ON w.plan_id = q.plan_id AND w.det_id || '#2' = q.id")
 def c14(spark, sf):
     """Ends within 100 mm form clusters; each moves to its cluster's mean."""
-    n, c = end_clusters(spark, sf)
-    return n.join(c.withColumnRenamed("node", "id"), ["plan_id", "id"]).groupBy("plan_id", "component").agg(F.count("*").alias("n"), r6(F.avg("x")).alias("x"), r6(F.avg("y")).alias("y"))
+    w = W.close_gaps(axis_walls(spark, sf).select("plan_id", "det_id", *W.AXIS, "thickness"))
+    return w.select("plan_id", "det_id", *[r6(F.col(c)).alias(c) for c in W.AXIS])
 
 
 @query("c15_t_junctions", f"{ENDS}, h AS (SELECT e.plan_id, e.det_id, e.e, w.det_id AS into_id, w.len, w.thk, CASE WHEN w.horizontal THEN e.x - w.ax1 ELSE e.y - w.ay1 END AS along, CASE WHEN w.horizontal THEN abs(e.y - w.ay1) ELSE abs(e.x - w.ax1) END AS off FROM ends e JOIN wall w ON e.plan_id = w.plan_id AND e.det_id <> w.det_id) SELECT plan_id, det_id, e, into_id FROM h WHERE off <= thk / 2 AND along >= greatest(50, 0.1e0 * len) AND along <= len - greatest(50, 0.1e0 * len)")
@@ -262,63 +299,39 @@ def c15(spark, sf):
     return pairs.where(hit).select("plan_id", "det_id", "e", F.col("w_det_id").alias("into_id"))
 
 
-OVERLAP = f"{IOU} / ((a.thk + b.thk) / 2)"
+#: SQL, axes in the demo's main directions: an end of one wall lies at the other's axis, inside its middle part.
+RUNS_INTO = "(CASE WHEN {b}.horizontal THEN {a}.{e} - {b}.ax1 ELSE {a}.{f} - {b}.ay1 END > greatest(50, 0.1e0 * {b}.len) AND {b}.len - CASE WHEN {b}.horizontal THEN {a}.{e} - {b}.ax1 ELSE {a}.{f} - {b}.ay1 END > greatest(50, 0.1e0 * {b}.len) AND CASE WHEN {b}.horizontal THEN abs({a}.{f} - {b}.ay1) ELSE abs({a}.{e} - {b}.ax1) END <= greatest(a.thk, b.thk) / 2)"
+T_JUNCTION = " OR ".join(RUNS_INTO.format(a=a, b=b, e=f"ax{i}", f=f"ay{i}") for a, b in (("a", "b"), ("b", "a")) for i in (1, 2))
+OVERLAP = f"CASE WHEN {T_JUNCTION} THEN 0 ELSE {IOU} / ((a.thk + b.thk) / 2) END"
 
 
 @query("c16_wall_overlaps", PAIR.format(cols=f", {s6(OVERLAP)} AS overlap", cond=f"{OVERLAP} > 100"))
 def c16(spark, sf):
-    """Overlap length: shared area over mean thickness."""
-    pairs = self_pairs(walls(spark, sf), BOX, ["thk"])
-    w, h = F.least("a_bx", "b_bx") - F.greatest("a_x0", "b_x0"), F.least("a_by_", "b_by_") - F.greatest("a_y0", "b_y0")
-    pairs = pairs.withColumn("overlap", F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0)) / ((F.col("a_thk") + F.col("b_thk")) / 2))
-    return pairs.where("overlap > 100").select(*IDS, r6(F.col("overlap")).alias("overlap"))
+    """Overlap length: shared area over mean thickness; walls that meet in a T are left out."""
+    return W.wall_overlaps(axis_walls(spark, sf)).withColumn("overlap", r6(F.col("overlap")))
 
 
 @query("c17_resolve_overlaps", f"{CTE.replace('WITH base', 'WITH RECURSIVE base', 1)}, ov AS (SELECT a.plan_id, a.det_id AS u, b.det_id AS v FROM wall a JOIN wall b ON a.plan_id = b.plan_id AND a.det_id <> b.det_id WHERE {OVERLAP} > 100), reach AS (SELECT plan_id, u AS id, u AS seen FROM ov UNION SELECT r.plan_id, r.id, o.v FROM reach r JOIN ov o ON r.plan_id = o.plan_id AND r.seen = o.u), lab AS (SELECT plan_id, id, min(seen) AS component FROM reach GROUP BY plan_id, id), k AS (SELECT DISTINCT w.plan_id, coalesce(component, det_id) AS component, det_id, len * thk AS area FROM wall w LEFT JOIN lab ON w.plan_id = lab.plan_id AND w.det_id = lab.id), r AS (SELECT *, row_number() OVER (PARTITION BY plan_id, component ORDER BY area DESC, det_id) AS k FROM k) SELECT plan_id, det_id FROM r WHERE k = 1")
 def c17(spark, sf):
     """Of walls that overlap, directly or through others, the largest stays."""
-    over = c16(spark, sf).select("plan_id", F.col("a_det_id").alias("src"), F.col("b_det_id").alias("dst"))
-    lab = components(over, keys=("plan_id",)).withColumnRenamed("node", "det_id")
-    w = walls(spark, sf).select("plan_id", "det_id", (F.col("len") * F.col("thk")).alias("area")).distinct().join(lab, ["plan_id", "det_id"], "left").withColumn("component", F.coalesce("component", "det_id"))
-    return best_match(w, ["plan_id", "component"], [F.desc("area"), F.col("det_id")]).select("plan_id", "det_id")
-
-
-MID2 = "(((a.ax1 + a.ax2) - (b.ax1 + b.ax2)) ** 2 + ((a.ay1 + a.ay2) - (b.ay1 + b.ay2)) ** 2) / 4"
-
-
-def mid2():
-    return (((F.col("a_ax1") + F.col("a_ax2")) - (F.col("b_ax1") + F.col("b_ax2"))) ** 2 + ((F.col("a_ay1") + F.col("a_ay2")) - (F.col("b_ay1") + F.col("b_ay2"))) ** 2) / 4
+    return W.resolve_overlaps(axis_walls(spark, sf).select("plan_id", "det_id", *W.AXIS, "thickness").distinct()).select("plan_id", "det_id")
 
 
-@query("c18_parallel_overlaps", PAIR.format(cols="", cond=f"a.horizontal = b.horizontal AND {MID2} < 40000"))
+@query("c18_parallel_overlaps", TPAIR.format(cols="", cond=f"{turn('a', 'b')} < degrees(0.1e0) AND {MIDS} < 200"))
 def c18(spark, sf):
-    return wall_pairs(spark, sf, 200.0).where((F.col("a_horizontal") == F.col("b_horizontal")) & (mid2() < 40000)).select(*IDS)
+    return W.parallel_overlaps(tilted_walls(spark, sf)).select(*IDS)
 
 
-@query("c19_dedupe_lines", f"{CTE} SELECT DISTINCT plan_id, det_id FROM wall b WHERE NOT EXISTS (SELECT 1 FROM wall a WHERE a.plan_id = b.plan_id AND a.det_id <> b.det_id AND a.horizontal = b.horizontal AND ({MIDLINE}) < 20 AND least(a.bx, b.bx) >= greatest(a.x0, b.x0) AND least(a.by_, b.by_) >= greatest(a.y0, b.y0) AND (a.confidence > b.confidence OR (a.confidence = b.confidence AND a.det_id < b.det_id)))")
+@query("c19_dedupe_lines", f"{TILT} SELECT DISTINCT plan_id, det_id FROM tw b WHERE NOT EXISTS (SELECT 1 FROM tw a WHERE a.plan_id = b.plan_id AND a.det_id <> b.det_id AND {turn('a', 'b')} <= degrees(0.1e0) AND {mid_line('a', 'b')} <= 20 AND (a.confidence > b.confidence OR (a.confidence = b.confidence AND a.det_id < b.det_id)))")
 def c19(spark, sf):
     """Of parallel lines that lie on one another, the one with more confidence stays."""
-    w, cols = walls(spark, sf), ["det_id", *AXIS, *BOX]
-    pairs = grid_join(renamed(w, "a_", cols), renamed(w, "b_", cols), tuple(f"a_{c}" for c in BOX), tuple(f"b_{c}" for c in BOX))
-    better = pairs.where("a_det_id <> b_det_id AND a_horizontal = b_horizontal AND (a_confidence > b_confidence OR (a_confidence = b_confidence AND a_det_id < b_det_id))").where(midline() < 20)
-    return w.select("plan_id", "det_id").distinct().join(better.select("plan_id", F.col("b_det_id").alias("det_id")), ["plan_id", "det_id"], "left_anti")
+    return W.dedupe_lines(tilted_walls(spark, sf)).select("plan_id", "det_id").distinct()
 
 
-AXIS_GAP = "greatest(0, greatest(a.ax1, b.ax1) - least(a.ax2, b.ax2)) ** 2 + greatest(0, greatest(a.ay1, b.ay1) - least(a.ay2, b.ay2)) ** 2"
-
-
-def axis_gap2():
-    """Squared distance of two axis-parallel axes."""
-    dx = F.greatest(F.lit(0.0), F.greatest("a_ax1", "b_ax1") - F.least("a_ax2", "b_ax2"))
-    dy = F.greatest(F.lit(0.0), F.greatest("a_ay1", "b_ay1") - F.least("a_ay2", "b_ay2"))
-    return dx * dx + dy * dy
-
-
-@query("c20_wall_connections", PAIR.format(cols=f", CASE WHEN {AXIS_GAP} = 0 THEN 'cross' WHEN {AXIS_GAP} <= 5625 THEN 'near' ELSE 'aligned' END AS how", cond=f"{AXIS_GAP} <= 22500"))
+@query("c20_wall_connections", f"{TPAIR.format(cols=f', round({segments("a", "b")}, 6) AS d, {turn("a", "b")} AS t', cond='true').replace(' SELECT a.plan_id', ', p AS (SELECT a.plan_id', 1)}) SELECT * FROM (SELECT plan_id, a_det_id, b_det_id, CASE WHEN d = 0 THEN 'cross' WHEN d <= 75 THEN 'near' WHEN d <= 150 AND (t <= 15 OR t >= 75) THEN 'aligned' END AS how FROM p) WHERE how IS NOT NULL")
 def c20(spark, sf):
     """Axes that meet, or come within 150 mm square or parallel to each other, or within 75 mm."""
-    pairs = wall_pairs(spark, sf, 150.0).withColumn("d2", axis_gap2()).where("d2 <= 22500")
-    return pairs.select(*IDS, F.when(F.col("d2") == 0, "cross").when(F.col("d2") <= 5625, "near").otherwise("aligned").alias("how"))
+    return W.wall_connections(tilted_walls(spark, sf)).select(*IDS, "how")
 
 
 BOX_GAP = "greatest(0, greatest(a.x0, b.x0) - least(a.bx, b.bx)) ** 2 + greatest(0, greatest(a.y0, b.y0) - least(a.by_, b.by_)) ** 2"
@@ -429,50 +442,37 @@ def c28(spark, sf):
     return with_nearest(o, best, F.col("w_det_id").alias("wall_id"), F.when(F.col("distance").isNotNull(), method).alias("method"), (F.col("distance") <= F.col("w_thk") / 2 + 5).alias("inside"))
 
 
-@query("c29_refine_axes", f"{CTE}, p AS (SELECT a.plan_id, a.det_id, b.det_id AS line_id, round(sqrt({MID2}) + 1e-9, 6) AS score FROM wall a JOIN wall b ON a.plan_id = b.plan_id AND a.det_id <> b.det_id AND a.horizontal = b.horizontal WHERE b.confidence > 0.7e0 AND {MID2} <= 1000000), r AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY score, line_id) AS k FROM p) SELECT plan_id, det_id, line_id, score FROM r WHERE k = 1")
+@query("c29_refine_axes", f"{TILT}, p AS (SELECT a.plan_id, a.det_id, b.det_id AS line_id, round(10 * ({turn('a', 'b')}) + {MIDS} + 1e-9, 6) AS score FROM tw a JOIN tw b ON a.plan_id = b.plan_id AND a.det_id <> b.det_id WHERE b.confidence > 0.7e0 AND {turn('a', 'b')} <= 7 AND {MIDS} <= 1000), r AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY score, line_id) AS k FROM p) SELECT plan_id, det_id, line_id, score FROM r WHERE k = 1".replace("a.det_id <> b.det_id", "a.line_no <> b.line_no"))
 def c29(spark, sf):
-    """The image line of the same direction with the least score, within a metre."""
-    w = walls(spark, sf)
-    cols = ["det_id", *AXIS]
-    mids = lambda p: w.select("plan_id", *[F.col(c).alias(f"{p}{c}") for c in cols], ((F.col("ax1") + F.col("ax2")) / 2).alias(f"{p}mx"), ((F.col("ay1") + F.col("ay2")) / 2).alias(f"{p}my"))
-    pairs = grid_join(mids("a_"), mids("b_").where("b_confidence > 0.7"), ("a_mx", "a_my", "a_mx", "a_my"), ("b_mx", "b_my", "b_mx", "b_my"), 1000.0)
-    pairs = pairs.where("a_det_id <> b_det_id AND a_horizontal = b_horizontal").withColumn("m2", mid2()).where("m2 <= 1000000")
-    best = best_match(pairs.withColumn("score", F.round(F.sqrt("m2") + 1e-9, 6)), ["plan_id", "a_det_id"], [F.col("score"), F.col("b_det_id")])
-    return best.select("plan_id", F.col("a_det_id").alias("det_id"), F.col("b_det_id").alias("line_id"), "score")
+    """Axes against the confident lines of other line numbers, within a metre."""
+    w = tilted_walls(spark, sf)
+    parts = [W.refine_axes(w.where(F.col("line_no") == i), w.where((F.col("confidence") > 0.7) & (F.col("line_no") != i))) for i in range(1, 5)]
+    return reduce(DataFrame.unionByName, parts).select("plan_id", "det_id", "line_id", "score")
 
 
-FIT = "greatest(0, o_len - abs(d)) / (o_len + abs(d))"
+@query("c30_fit_opening", f"{OT}, u AS (SELECT *, abs(wall_angle - 90) <= 45 AS upright FROM hm), v AS (SELECT *, CASE WHEN upright THEN by_ - y0 ELSE bx - x0 END AS width, CASE WHEN upright THEN bx - x0 ELSE by_ - y0 END AS side, CASE WHEN upright THEN abs(cx - x1) ELSE abs(cy - y1) END AS off FROM u), d AS (SELECT *, least(thickness, greatest(side, least(thickness, 80))) AS depth, unnest(generate_series(-150, 150, 20)) AS step FROM v), i AS (SELECT *, greatest(0, width - abs(step)) * greatest(0, least(off + side / 2, depth / 2) - greatest(off - side / 2, -depth / 2)) AS shared FROM d), j AS (SELECT *, round(shared / (width * side + width * depth - shared) + 1e-9, 6) AS iou FROM i), b AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY iou DESC, step) AS k FROM j) SELECT plan_id, det_id, CASE WHEN iou >= 0.05e0 THEN CAST(step AS BIGINT) END AS step, CASE WHEN iou >= 0.05e0 THEN iou ELSE 0 END AS iou FROM b WHERE k = 1")
+def c30(spark, sf):
+    """Two centres, sixteen offsets each; the rectangle that overlaps the detection most wins."""
+    w = tilted_walls(spark, sf)
+    return O.fit_opening(assigned(spark, sf), rect_openings(spark, sf), w).select("plan_id", "det_id", F.col("step").cast("long").alias("step"), "iou")
 
 
-@query("c30_fit_opening", f"{OW}, r AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY distance, wall_id) AS k FROM ow WHERE distance <= 500 AND oh = wh), c AS (SELECT DISTINCT plan_id, det_id, o_len, distance, unnest(generate_series(-150, 150, 20)) AS step FROM r WHERE k = 1), f AS (SELECT *, distance - step AS d FROM c), g AS (SELECT *, round({FIT} + 1e-9, 6) AS iou FROM f), b AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY iou DESC, step) AS u FROM g) SELECT plan_id, det_id, CAST(step AS BIGINT) AS step, iou FROM b WHERE u = 1")
-def c30(spark, sf):
-    """Sixteen candidate offsets; the one with the best overlap along the axis wins."""
-    o, pairs = near_walls(spark, sf, 500.0)
-    best = best_match(pairs.where("o_horizontal = w_horizontal"), ["plan_id", "o_det_id"], [F.col("distance"), F.col("w_det_id")])
-    c = best.select("plan_id", F.col("o_det_id").alias("det_id"), "o_len", "distance", F.explode(F.sequence(F.lit(-150), F.lit(150), F.lit(20))).alias("step")).distinct()
-    d = F.abs(F.col("distance") - F.col("step"))
-    c = c.withColumn("iou", F.round(F.greatest(F.lit(0.0), F.col("o_len") - d) / (F.col("o_len") + d) + 1e-9, 6))
-    return best_match(c, ["plan_id", "det_id"], [F.desc("iou"), F.col("step")]).select("plan_id", "det_id", F.col("step").cast("long").alias("step"), "iou")
+PLACED = """p AS (SELECT plan_id, det_id, wall_id, thickness, length, along, across, s, x1, y1, x2, y2, kind, (bx - x0) * ux + (by_ - y0) * uy AS span, (bx - x0) * uy + (by_ - y0) * ux AS side FROM hm), pl AS (SELECT *, greatest(span, CASE WHEN kind = 'DOOR' THEN 450 ELSE 600 END) AS width, greatest(least(thickness, greatest(side, least(thickness, 80))), least(thickness, 40)) AS depth FROM p)"""
 
 
-@query("c31_opening_placement", f"{OW}, r AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY distance, wall_id) AS k FROM ow WHERE distance <= 500) SELECT DISTINCT plan_id, det_id, wall_id, CASE WHEN oh = wh THEN o_len ELSE o_thk END AS width, w_thk AS depth FROM r WHERE k = 1")
+@query("c31_opening_placement", f"{OT}, {PLACED} SELECT plan_id, det_id, wall_id, {s6('width')} AS width, {s6('depth')} AS depth, {s6('x1 + s * (x2 - x1)')} AS cx, {s6('y1 + s * (y2 - y1)')} AS cy FROM pl")
 def c31(spark, sf):
-    """Width is the opening's span along the axis, depth the wall's thickness."""
-    _, pairs = near_walls(spark, sf, 500.0)
-    best = best_match(pairs, ["plan_id", "o_det_id"], [F.col("distance"), F.col("w_det_id")])
-    return best.select("plan_id", F.col("o_det_id").alias("det_id"), F.col("w_det_id").alias("wall_id"), F.when(F.col("o_horizontal") == F.col("w_horizontal"), F.col("o_len")).otherwise(F.col("o_thk")).alias("width"), F.col("w_thk").alias("depth")).distinct()
+    """Width is the opening's span along the axis, depth follows its span across, the centre lies on the axis."""
+    p = O.opening_placement(assigned(spark, sf), rect_openings(spark, sf), tilted_walls(spark, sf))
+    return p.select("plan_id", "det_id", "wall_id", *[r6(F.col(c)).alias(c) for c in ("width", "depth", "cx", "cy")])
 
 
-@query("c32_fit_inside", f"{CTE}, h AS (SELECT o.plan_id, o.det_id, min(w.det_id) AS wall_id FROM (SELECT *, (x0 + bx) / 2 AS cx, (y0 + by_) / 2 AS cy FROM opening) o JOIN wall w ON o.plan_id = w.plan_id AND cx BETWEEN w.x0 AND w.bx AND cy BETWEEN w.y0 AND w.by_ GROUP BY o.plan_id, o.det_id), s AS (SELECT h.*, unnest([0.98e0, 0.9e0, 0.8e0, 0.7e0, 0.6e0, 0.5e0]) AS scale FROM h) SELECT s.plan_id, s.det_id, max(scale) AS scale FROM s JOIN opening o ON s.plan_id = o.plan_id AND s.det_id = o.det_id JOIN wall w ON s.plan_id = w.plan_id AND s.wall_id = w.det_id WHERE scale * o.len / 2 <= least((o.x0 + o.bx) / 2 - w.x0, w.bx - (o.x0 + o.bx) / 2) + 5 OR NOT (o.horizontal AND w.horizontal) AND scale * o.thk / 2 <= 5000 AND scale < 0.6e0 GROUP BY s.plan_id, s.det_id")
+@query("c32_fit_inside", f"{OT}, {PLACED}, sc AS (SELECT *, unnest([1e0, 0.98e0, 0.95e0, 0.9e0, 0.85e0, 0.8e0, 0.7e0, 0.6e0, 0.5e0]) AS scale FROM pl), fit AS (SELECT plan_id, det_id, max(scale) AS scale FROM sc WHERE scale * width / 2 <= round(length / 2 - abs(s * length - length / 2) - 5, 6) AND scale * depth / 2 <= thickness / 2 - 5 AND (scale = 1 OR scale * width >= 100 AND scale * depth >= 40) GROUP BY plan_id, det_id) SELECT DISTINCT pl.plan_id, pl.det_id, scale FROM pl LEFT JOIN fit USING (plan_id, det_id)")
 def c32(spark, sf):
-    """The largest scale at which the opening lies inside its host."""
-    o, w = opening_sides(spark, sf)
-    host = grid_join(o, w, ("o_cx", "o_cy", "o_cx", "o_cy"), tuple(f"w_{c}" for c in BOX))
-    host = host.withColumn("first", F.min("w_det_id").over(Window.partitionBy("plan_id", "o_det_id"))).where("w_det_id = first")
-    s = host.withColumn("scale", F.explode(F.array(*map(F.lit, (0.98, 0.9, 0.8, 0.7, 0.6, 0.5)))))
-    room = F.least(F.col("o_cx") - F.col("w_x0"), F.col("w_bx") - F.col("o_cx")) + 5
-    fits = (F.col("scale") * F.col("o_len") / 2 <= room) | (~(F.col("o_horizontal") & F.col("w_horizontal")) & (F.col("scale") * F.col("o_thk") / 2 <= 5000) & (F.col("scale") < 0.6))
-    return s.where(fits).groupBy("plan_id", F.col("o_det_id").alias("det_id")).agg(F.max("scale").alias("scale"))
+    """The largest size at which the placed opening lies inside its wall by 5 mm, along and across."""
+    w = tilted_walls(spark, sf)
+    placed = O.opening_placement(assigned(spark, sf), rect_openings(spark, sf), w)
+    return O.fit_inside(placed, w).select("plan_id", "det_id", "scale").distinct()
 
 
 @query("c33_axes_by_wall", f"{CTE} SELECT w.plan_id, w.det_id, count(*) AS n_axes, {s6('sum(a.len)')} AS length FROM wall w JOIN wall a ON w.plan_id = a.plan_id AND w.det_id = a.det_id GROUP BY w.plan_id, w.det_id")
@@ -481,13 +481,13 @@ def c33(spark, sf):
     return w.select("plan_id", "det_id").join(w.select("plan_id", "det_id", "len"), ["plan_id", "det_id"]).groupBy("plan_id", "det_id").agg(F.count("*").alias("n_axes"), r6(F.sum("len")).alias("length"))
 
 
-@query("c34_coregistration", f"{CTE}, m AS (SELECT plan_id, max(bx) FILTER (WHERE line_no % 3 = 0) AS w1, max(bx) FILTER (WHERE line_no % 3 = 1) AS w2, max(bx) FILTER (WHERE line_no % 3 = 2) AS w3 FROM det GROUP BY plan_id) SELECT plan_id, CASE WHEN greatest(abs(w1 - w2), abs(w1 - w3)) <= 1 THEN 'aligned' WHEN greatest(abs(w1 - w2), abs(w1 - w3)) > 500 THEN 'reject' ELSE 'scale' END AS verdict FROM m WHERE w1 IS NOT NULL AND w2 IS NOT NULL AND w3 IS NOT NULL")
+@query("c34_coregistration", f"{CTE}, m AS (SELECT plan_id, max(bx) FILTER (WHERE line_no % 3 = 0) AS w1, max(bx) FILTER (WHERE line_no % 3 = 1) AS w2, max(bx) FILTER (WHERE line_no % 3 = 2) AS w3 FROM det GROUP BY plan_id) SELECT plan_id, CASE WHEN greatest(abs(w1 - w2), abs(w1 - w3)) <= 1 THEN 'aligned' WHEN greatest(abs(w1 - w2), abs(w1 - w3)) > 5 THEN 'reject' ELSE 'scale' END AS verdict FROM m WHERE w1 IS NOT NULL AND w2 IS NOT NULL AND w3 IS NOT NULL")
 def c34(spark, sf):
     """Three models of a plan: equal sizes, rescalable sizes, or rejected."""
     d = detections(spark, sf)
     m = [d.where(F.pmod("line_no", F.lit(3)) == i).groupBy("plan_id").agg(F.max("bx").alias(f"w{i}")) for i in range(3)]
     j = m[0].join(m[1], "plan_id").join(m[2], "plan_id").withColumn("d", F.greatest(F.abs(F.col("w0") - F.col("w1")), F.abs(F.col("w0") - F.col("w2"))))
-    return j.select("plan_id", F.when(F.col("d") <= 1, "aligned").when(F.col("d") > 500, "reject").otherwise("scale").alias("verdict"))
+    return j.select("plan_id", F.when(F.col("d") <= 1, "aligned").when(F.col("d") > 5, "reject").otherwise("scale").alias("verdict"))
 
 
 @query("c35_perimeter_external", f"{CTE}, env AS (SELECT plan_id, min(x0) AS ex0, min(y0) AS ey0, max(bx) AS ex1, max(by_) AS ey1 FROM wall GROUP BY plan_id) SELECT w.plan_id, w.det_id, thk >= 200 OR least(abs(ax1 - ex0), abs(ax2 - ex1), abs(ay1 - ey0), abs(ay2 - ey1)) <= greatest(300, least(1.5e0 * thk, 600)) AS external FROM wall w JOIN env USING (plan_id)")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from planlake.functions import geom as G
 from planlake.functions import labels as L
+from planlake.plans.config import with_fidelity
 from planlake.plans.demo import CTE, detections
 from planlake.plans.registry import query, r6, s6
 
@@ -247,13 +248,12 @@ def b28(spark, sf):
     return detections(spark, sf).withColumn("p", p).select(*K, r6(F.col("p")[2]["x"]).alias("x"), r6(F.col("p")[2]["y"]).alias("y"))
 
 
-@query("b29_fidelity_config", det("CASE plan_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 50 END AS grid_walls"))
+@query("b29_fidelity_config", f"{CTE}, p(k, level, simplify_walls, grid_walls, angle_tolerance, snap_to_grid, max_gap_close) AS (VALUES (0, 'LOSSLESS', 0.1e0, 0e0, 0e0, false, NULL), (1, 'HIGH', 2e0, 2e0, 5e0, true, NULL), (2, 'MEDIUM', 5e0, 5e0, 10e0, true, 50e0), (3, 'LOW', 10e0, 10e0, 15e0, true, 20e0)) SELECT plan_id, det_id, simplify_walls, grid_walls, angle_tolerance, snap_to_grid, max_gap_close FROM det LEFT JOIN p ON k = plan_id % 5")
 def b29(spark, sf):
-    """Presets are a small config table joined on the plan's level."""
-    from planlake.plans.config import preset_table
-
-    d = detections(spark, sf).withColumn("level", F.element_at(F.array(F.lit("LOSSLESS"), F.lit("HIGH"), F.lit("MEDIUM")), (F.pmod("plan_id", F.lit(3)) + 1).cast("int")))
-    return d.join(F.broadcast(preset_table(spark)), "level").select(*K, "grid_walls")
+    """Presets are a small config table joined on the plan's level; every fifth plan's level is unknown."""
+    names = F.array(*map(F.lit, ("LOSSLESS", "HIGH", "MEDIUM", "LOW", "OTHER")))
+    d = with_fidelity(detections(spark, sf).withColumn("level", F.element_at(names, (F.pmod("plan_id", F.lit(5)) + 1).cast("int"))))
+    return d.select(*K, "simplify_walls", "grid_walls", "angle_tolerance", "snap_to_grid", "max_gap_close")
 
 
 @query("b30_fix_window_height", det("CASE WHEN len >= 2100 THEN 2000e0 ELSE len END AS height, len >= 2100 AS warned", "opening"))
@@ -262,13 +262,13 @@ def b30(spark, sf):
     return detections(spark, sf).where("kind IN ('DOOR', 'WINDOW')").select(*K, F.when(over, F.greatest(F.lit(2100.0 - 100), F.lit(100.0))).otherwise(F.col("len")).alias("height"), over.alias("warned"))
 
 
-@query("b31_clean_name", "SELECT c_custkey, substr(CASE WHEN k = '' THEN 'Unnamed' ELSE k END, 1, 100) AS name FROM (SELECT c_custkey, trim(regexp_replace(regexp_replace(c_name || '#* ' || c_mktsegment, '[^A-Za-z0-9 _.-]', '', 'g'), ' +', ' ', 'g')) AS k FROM customer)")
+@query("b31_clean_name", "SELECT c_custkey, substr(CASE WHEN k = '' THEN 'Unnamed' ELSE k END, 1, 100) AS name FROM (SELECT c_custkey, trim(regexp_replace(regexp_replace(c_name || '#* ' || c_mktsegment, '[^a-zA-Z0-9\\s_-]', '', 'g'), '\\s+', ' ', 'g')) AS k FROM customer)")
 def b31(spark, sf):
     c = spark.read.parquet(f"{sf}/customer.parquet")
     return c.select("c_custkey", L.clean_name(F.concat("c_name", F.lit("#* "), "c_mktsegment")).alias("name"))
 
 
-@query("b32_room_category", "SELECT doc_id, CASE WHEN t LIKE '%office%' OR t LIKE '%buero%' OR t LIKE '%büro%' THEN 'OFFICE' WHEN t LIKE '%bedroom%' OR t LIKE '%schlaf%' THEN 'BEDROOM' WHEN t LIKE '%kitchen%' OR t LIKE '%küche%' OR t LIKE '%kueche%' THEN 'KITCHEN' WHEN t LIKE '%bath%' OR t LIKE '%bad%' OR t LIKE '%wc%' THEN 'BATHROOM' WHEN t LIKE '%living%' OR t LIKE '%wohn%' THEN 'LIVING_ROOM' ELSE 'UNKNOWN' END AS category FROM (SELECT doc_id, lower(text) AS t FROM documents)")
+@query("b32_room_category", "SELECT doc_id, CASE WHEN t LIKE '%office%' OR t LIKE '%büro%' THEN 'OFFICE' WHEN t LIKE '%bedroom%' OR t LIKE '%schlafzimmer%' THEN 'BEDROOM' WHEN t LIKE '%kitchen%' OR t LIKE '%küche%' THEN 'KITCHEN' WHEN t LIKE '%bathroom%' OR t LIKE '%badezimmer%' OR t LIKE '%wc%' THEN 'BATHROOM' WHEN t LIKE '%living%' OR t LIKE '%wohnzimmer%' THEN 'LIVING_ROOM' ELSE 'UNKNOWN' END AS category FROM (SELECT doc_id, lower(text) AS t FROM documents)")
 def b32(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", L.room_category(F.col("text")).alias("category"))
 
@@ -301,18 +301,20 @@ def b37(spark, sf):
     return detections(spark, sf).where(F.lit(1000.0).between(F.col("y0"), F.col("y0") + F.col("thk"))).select(*K, "y0")
 
 
-@query("b38_axis_is_valid", det("len") + " WHERE len >= 60 AND thk BETWEEN 40 AND 1000 AND abs(jit) <= least(0.005e0 * len, 50)")
+@query("b38_axis_is_valid", det("len") + " WHERE len >= 60 AND thk BETWEEN 40 AND 1000 AND abs(jit) <= least(0.1e0 * len, 50)")
 def b38(spark, sf):
-    ok = (F.col("len") >= 60) & F.col("thk").between(40, 1000) & (F.abs("jit") <= F.least(F.col("len") * 0.005, F.lit(50.0)))
+    ok = (F.col("len") >= 60) & F.col("thk").between(40, 1000) & (F.abs("jit") <= F.least(F.col("len") * 0.1, F.lit(50.0)))
     return detections(spark, sf).where(ok).select(*K, "len")
 
 
-@query("b39_space_filters", f"{CTE}, env AS (SELECT plan_id, max(x3) AS mx FROM det GROUP BY plan_id) SELECT d.plan_id, det_id FROM det d JOIN env USING (plan_id) WHERE {AREA} >= 100000 AND least(len, thk) >= 200 AND x3 >= mx - 2000")
+@query("b39_space_filters", f"{CTE}, env AS (SELECT plan_id, min(x0) AS ex0, min(y0) AS ey0, max(greatest(bx, x3)) AS ex1, max(greatest(by_, y3)) AS ey1 FROM det WHERE kind = 'WALL' GROUP BY plan_id) SELECT d.plan_id, det_id FROM det d JOIN env USING (plan_id) WHERE {AREA} >= 1500 AND least(greatest(x2, x3) - x0, greatest(y3, y4) - y0) >= 200 AND x0 <= ex1 + 150 AND greatest(x2, x3) >= ex0 - 150 AND y0 <= ey1 + 150 AND greatest(y3, y4) >= ey0 - 150")
 def b39(spark, sf):
-    """Area, least side and nearness to the plan's envelope."""
+    """Area, least side and nearness to the plan's envelope of walls, on all four sides."""
     d = detections(spark, sf)
-    env = d.groupBy("plan_id").agg(F.max("x3").alias("mx"))
-    return d.join(env, "plan_id").where((G.polygon_area(F.col("points")) >= 100000) & (F.least("len", "thk") >= 200) & (F.col("x3") >= F.col("mx") - 2000)).select(*K)
+    b = G.bounds(F.col("points"))
+    env = d.where("kind = 'WALL'").groupBy("plan_id").agg(F.min(b["x0"]).alias("ex0"), F.min(b["y0"]).alias("ey0"), F.max(b["x1"]).alias("ex1"), F.max(b["y1"]).alias("ey1"))
+    ok = G.space_filter(F.col("points"), *[F.col(c) for c in ("ex0", "ey0", "ex1", "ey1")])
+    return d.join(env, "plan_id").where(ok).select(*K)
 
 
 @query("b40_unit_m", det(f"{s6('x3 * 0.001e0')} AS x"))
@@ -334,11 +336,15 @@ def b42(spark, sf):
     return detections(spark, sf).withColumn("m", m).select(*K, "m.length", "m.dx", "m.dy")
 
 
-@query("c23_convex_clip", det(f"{s6('len * thk')} AS own, {s6('len * thk / 2')} AS half", "(SELECT * FROM det WHERE jit = 0)"))
+MOVED = "greatest(0, len - abs(jit) * 40) * greatest(0, thk - line_no * 20)"
+
+
+@query("c23_convex_clip", det(f"{s6(MOVED)} AS shared, {s6(f'{MOVED} / (2 * len * thk - {MOVED})')} AS iou"))
 def c23(spark, sf):
-    """The clip of a rectangle with itself is whole; with itself moved by half its length it is half."""
-    d = detections(spark, sf).where("jit = 0")
-    h = F.col("horizontal")
-    moved = F.transform("points", lambda p: G.point(p["x"] + F.when(h, F.col("len") / 2).otherwise(0.0), p["y"] + F.when(h, 0.0).otherwise(F.col("len") / 2)))
-    p = F.col("points")
-    return d.withColumn("moved", moved).select(*K, r6(G.polygon_area(G.convex_clip(p, p))).alias("own"), r6(G.polygon_area(G.convex_clip(F.col("moved"), p))).alias("half"))
+    """Rectangles against themselves moved along and across, both turned, so that boxes tell the areas and polygons are clipped."""
+    d = detections(spark, sf)
+    h, along, across = F.col("horizontal"), F.abs("jit") * 40, F.col("line_no") * 20
+    ring = lambda dx, dy: F.array(*[G.point(F.col(x) + dx, F.col(y) + dy) for x, y in (("x0", "y0"), ("bx", "y0"), ("bx", "by_"), ("x0", "by_"))])
+    turned = lambda p: G.apply_similarity(p, F.lit(1.0), F.lit(0.6), F.lit(0.8), F.lit(0.0), F.lit(0.0))
+    d = d.withColumns({"p": turned(ring(F.lit(0.0), F.lit(0.0))), "q": turned(ring(F.when(h, along).otherwise(across), F.when(h, across).otherwise(along)))})
+    return d.select(*K, r6(G.shared_area(F.col("p"), F.col("q"))).alias("shared"), r6(G.iou(F.col("p"), F.col("q"))).alias("iou"))
