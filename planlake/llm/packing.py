@@ -2,7 +2,8 @@
 
 A document of n ids is cut into pieces of 2048 ids and then of the powers of two in the rest, longest
 first. Each piece is a sequence of its own in the bucket of its length, so batches taken from one
-bucket have equal lengths, nothing is padded and no sequence crosses documents.
+bucket have equal lengths, nothing is padded and no sequence crosses documents. A task gives its pieces bucket by bucket
+within each slice of texts; ``write_buckets`` lays the whole result out by bucket.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planlake.llm.segments import coder, slices
+from planlake.llm.segments import byte_coder, give_back, slices
 
 MAX_LENGTH = 2048
 END_ID = 1
@@ -45,26 +46,36 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("longest must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder("byte", path)
+        c = byte_coder(path)
         for batch, texts in slices(batches, 1):
-            at, codes, _ = c.slice_codes(texts)
-            ids = c.ids(codes)
+            at, codes = c.slice_codes(texts)
+            ids = c.rows(codes)
             ends = np.concatenate([[0], np.cumsum(c.size[codes])])[at[1:]]
             ids = np.insert(ids, ends, END_ID).astype("<u4")
             ends = ends + np.arange(1, len(ends) + 1)
             n = np.diff(ends, prepend=0)
             doc, start, length = pieces_of(n, longest)
             to = np.cumsum(length)
-            raw = memoryview(ids.tobytes())
-            crc = [zlib.crc32(raw[4 * (b - k) : 4 * b]) for b, k in zip(to.tolist(), length.tolist(), strict=True)]
-            cols = [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(n[doc]), pa.array(crc, pa.int64())]
+            raw = memoryview(ids).cast("B")
+            crc = np.fromiter((zlib.crc32(raw[4 * (b - k) : 4 * b]) for b, k in zip(to.tolist(), length.tolist(), strict=True)), dtype=np.int64, count=len(to))
+            by = np.argsort(-length, kind="stable")
+            doc, start, length, first, crc = doc[by], start[by], length[by], (to - length)[by], crc[by]
+            cols = [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(n[doc]), pa.array(crc)]
             if with_ids:
-                cols.append(pa.ListArray.from_arrays(np.concatenate([[0], to]).astype(np.int32), ids.astype(np.int32)))
+                stop = np.cumsum(length)
+                moved = ids[np.repeat(first - (stop - length), length) + np.arange(len(ids))]
+                cols.append(pa.ListArray.from_arrays(np.concatenate([[0], stop]).astype(np.int32), moved.view(np.int32)))
             yield pa.record_batch(cols, names=names)
         if not keep_cache:
             c.forget()
+            give_back()
 
     names = [id_col, "start", "length", "doc_tokens", "ids_crc32", *["ids"] * with_ids]
     schema = f"{id_col} long, start long, length long, doc_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col)).mapInArrow(run, schema)
     return rows.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+
+
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """Write pieces with one folder per length, in the order of sequence_id: what a reader of one bucket takes in has equal lengths."""
+    packed.sortWithinPartitions("length", "sequence_id").write.partitionBy("length").parquet(path)

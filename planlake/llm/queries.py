@@ -63,8 +63,8 @@ TOKEN_LIMIT = 4096
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = token_counts.prefix_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
-    c = c.select("doc_id", "n_bytes", token_counts.n_tokens().alias("n_tokens"), token_counts.fitting(TOKEN_LIMIT).alias("fitting_chars"))
+    c = token_counts.prefix_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), budgets=(TOKEN_LIMIT,))
+    c = c.select("doc_id", "n_bytes", token_counts.n_tokens().alias("n_tokens"), F.col(f"fitting_{TOKEN_LIMIT}").alias("fitting_chars"))
     return c.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 

@@ -1,4 +1,4 @@
-"""Tokenizing through segments: a text's tokens are the tokens of its segments, each distinct one encoded once.
+"""Tokenizing through segments: a text is cut where no token can lie across, and each distinct segment is encoded once.
 
 Both tokenizer kinds used here never join a non-space character and a following space in one token, so
 a text may be cut before every space that follows a non-space character, and the encodings of the pieces
@@ -8,27 +8,40 @@ The ids come from the tokenizer library; only the cutting and the lookups are do
 
 from __future__ import annotations
 
+import ctypes
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 MAX_CACHED = 400_000
 JOINED = 256
 
 
+def join_words(words: pa.Array) -> list[str]:
+    """Words without spaces as Python strings; one decoding of all is much cheaper than one of each."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words.cast(pa.string())), " ")[0].as_py().split(" ")
+
+
 class ByteBpe:
-    """Segments of a byte-level BPE file of the tokenizers library."""
+    """Rows of token ids by a byte-level BPE file of the tokenizers library."""
 
     #: a space after any kind of white space is not a cut
     odd = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}] "
     cut = re.compile(r"(?<=\S)(?= )")
+    blank_end = r"^$|[\s\x{1c}-\x{1f}\x{85}\p{Z}]$"
+    apart = True  # a word is encoded differently after a space
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -42,165 +55,140 @@ class ByteBpe:
     def prepare(self, texts: pa.Array) -> pa.Array:
         return texts
 
-    def keys(self, segments: list[str]) -> list[str]:
-        return segments
-
-    def first(self, word: str) -> str:
-        return word
-
-    def later(self, word: str) -> str:
-        return " " + word
-
-    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and their number for each segment. Segments that start with a space are joined before encoding."""
-        joined, ends, lens = [], [], np.zeros(len(segments), dtype=np.int64)
-        size = np.array([len(s.encode()) for s in segments], dtype=np.int64)
-        i = 0
-        while i < len(segments):
-            j = i + 1
-            # a join is a safe cut only where the left side ends in a non-space and the right starts with a space
-            while j < len(segments) and j - i < JOINED and segments[j][:1] == " " and segments[j - 1] and not segments[j - 1][-1].isspace():
-                j += 1
-            joined.append("".join(segments[i:j]))
-            ends.append((i, j))
-            i = j
-        flat = []
-        for (i, j), enc in zip(ends, self.lib.encode_batch(joined, add_special_tokens=False), strict=True):
-            ids = np.array(enc.ids, dtype=np.uint32)
-            at = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(size[i:j]), side="right")
-            lens[i:j] = np.diff(at, prepend=0)
-            flat.append(ids)
-        return np.concatenate(flat) if flat else np.zeros(0, np.uint32), lens
-
-
-class PieceBpe:
-    """Segments of a sentencepiece BPE model, which marks spaces with U+2581 and puts one before the text."""
-
-    odd = r"  |^ | $"
-    cut = re.compile(r"(?<=[^ ])(?= )")
-
-    def __init__(self, path: str):
-        import sentencepiece
-
-        self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = (self.lib.id_to_piece(i) for i in range(self.lib.get_piece_size()))
-        if any(re.search("[^▁]▁", p) for p in pieces) or b"identity" not in self.lib.serialized_model_proto()[-4000:]:
-            raise ValueError("this model joins words or rewrites characters; its texts can't be cut at spaces")
-        self.space = np.array([self.lib.piece_to_id("▁")], dtype=np.uint32)
-
-    def prepare(self, texts: pa.Array) -> pa.Array:
-        return pc.replace_substring(texts, "▁", " ")
-
-    def keys(self, segments: list[str]) -> list[str]:
-        first, *rest = segments
-        # The library puts one mark before what it encodes; it stands for one space of a later segment.
-        return [first, *("▁" if s == " " else s[1:] for s in rest)]
-
-    def first(self, word: str) -> str:
-        return word
-
-    def later(self, word: str) -> str:
-        return word
-
-    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = self.lib.encode([s if s != "▁" else "" for s in segments], num_threads=1, add_bos=False, add_eos=False)
-        got = [self.space if s == "▁" else g for s, g in zip(segments, got, strict=True)]
-        lens = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        return np.fromiter((i for g in got for i in g), dtype=np.uint32, count=int(lens.sum())), lens
+    def encode(self, words: list[str], later: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has; ``later`` words have a space before them, and many are encoded together."""
+        if not later:
+            rows = [np.array(e.ids, dtype=np.uint32) for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
+            return np.concatenate(rows), np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+        column = pa.array(words, pa.large_string())
+        size = np.asarray(pc.binary_length(column), dtype=np.int64) + 1
+        # Two words may be joined where the left one ends in a character that is not white space.
+        stops = np.flatnonzero(np.asarray(pc.match_substring_regex(column, self.blank_end))) + 1
+        at = np.union1d(np.arange(0, len(words), JOINED), stops[stops < len(words)]).tolist()
+        joined = [" " + " ".join(words[i:j]) for i, j in zip(at, [*at[1:], len(words)], strict=True)]
+        ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.lib.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(size), side="right")
+        return ids, np.diff(ends, prepend=0)
 
 
 class Coder:
-    """Encodes slices of texts; distinct segments are kept up to MAX_CACHED, then forgotten together."""
+    """Rows of numbers (token ids, or what else ``kind`` makes) of the segments of texts.
+
+    Distinct segments are kept; beyond MAX_CACHED of them, those that only one slice has met are forgotten.
+    """
 
-    def __init__(self, kind: type, path: str):
-        self.kind = kind(path)
+    def __init__(self, kind: object):
+        self.kind = kind
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool, self.used = np.zeros(1 << 20, dtype=np.uint32), 0
-        self.start, self.size = np.zeros(1 << 18, dtype=np.int64), np.zeros(1 << 18, dtype=np.int64)
-
-    def look_up(self, segments: list[str]) -> np.ndarray:
-        """Numbers of the segments in start and size."""
-        if len(self.known) > MAX_CACHED:
-            self.forget()
-        known = self.known
-        new = list(dict.fromkeys(s for s in segments if s not in known))
-        if new:
-            ids, lens = self.kind.encode(new)
-            n, m = len(known), len(new)
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while n + m > len(self.start):
-                self.start, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.size))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.start[n : n + m] = self.used + np.cumsum(lens) - lens
-            self.size[n : n + m] = lens
-            self.used += len(ids)
-            known.update(zip(new, range(n, n + m), strict=True))
-        return np.fromiter((known[s] for s in segments), dtype=np.int64, count=len(segments))
-
-    def slice_codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(where each text's segments start, with the end; the number of each segment; its code points)."""
+        self.first: dict[str, int] = {}
+        self.later: dict[str, int] = {} if self.kind.apart else self.first
+        self.pool, self.used, self.n = np.zeros(1 << 20, dtype=np.uint32), 0, 0
+        self.start, self.size, self.met = (np.zeros(1 << 17, dtype=t) for t in (np.int64, np.int64, np.int32))
+
+    def make_room(self) -> None:
+        """Keep the segments that several slices have met, if they are few enough."""
+        keep = np.flatnonzero(self.met[: self.n] > 1)
+        if len(keep) > MAX_CACHED // 2:
+            return self.forget()
+        place = np.full(self.n, -1, dtype=np.int64)
+        place[keep] = np.arange(len(keep))
+        pool, size = self.rows(keep), self.size[keep]
+        kept = [{w: k for w, i in d.items() if (k := int(place[i])) >= 0} for d in (self.first, self.later)]
+        self.forget()
+        self.first, self.later = kept if self.kind.apart else (kept[0], kept[0])
+        self.add(pool, size)
+
+    def add(self, rows: np.ndarray, lens: np.ndarray) -> None:
+        n, m = self.n, len(lens)
+        while self.used + len(rows) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while n + m > len(self.start):
+            self.start, self.size, self.met = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.size, self.met))
+        self.pool[self.used : self.used + len(rows)] = rows
+        self.start[n : n + m] = self.used + np.cumsum(lens) - lens
+        self.size[n : n + m] = lens
+        self.used, self.n = self.used + len(rows), n + m
+
+    def numbers(self, words: list[str], later: bool) -> np.ndarray:
+        """The numbers of the words in start and size."""
+        known = self.later if later else self.first
+        got = np.fromiter(map(known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        lacking = np.flatnonzero(got < 0).tolist()
+        if lacking:
+            new = list(dict.fromkeys(words[i] for i in lacking))
+            known.update(zip(new, range(self.n, self.n + len(new)), strict=True))
+            self.add(*self.kind.encode(new, later))
+            got[lacking] = [known[words[i]] for i in lacking]
+        return got
+
+    def slice_codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(where each text's segments start, with the end; the number of each segment)."""
+        if self.n > MAX_CACHED:
+            self.make_room()
         texts = self.kind.prepare(texts)
         odd = np.asarray(pc.match_substring_regex(texts, self.kind.odd))
         words = pc.split_pattern(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts, " ")
         ends = words.offsets.to_numpy().astype(np.int64)
         ends = ends - ends[0]
         coded = words.flatten().dictionary_encode()
-        at = coded.indices.to_numpy().astype(np.int64)
-        first = np.zeros(len(at), dtype=bool)
-        first[ends[:-1][np.diff(ends) > 0]] = True
-        chars = np.asarray(pc.utf8_length(words.flatten()), dtype=np.int64) + ~first
-        names = coded.dictionary.to_pylist()
-        if self.kind.later("") != "":
-            n = len(names)
-            lead = np.unique(at[first])
-            both = self.look_up([self.kind.later(w) for w in names] + [self.kind.first(names[i]) for i in lead])
-            of_first = np.zeros(n, dtype=np.int64)
-            of_first[lead] = both[n:]
-            codes = np.where(first, of_first[at], both[at])
-        else:
-            codes = self.look_up(names)[at]
+        at = coded.indices.to_numpy()
+        names = join_words(coded.dictionary)
+        lead = ends[:-1][np.diff(ends) > 0]
+        rest = np.ones(len(at), dtype=bool)
+        rest[lead] = False
+        codes = np.zeros(len(at), dtype=np.int64)
+        for later, own in ((False, at[lead]), (True, at[rest])):
+            used = np.unique(own)
+            table = np.zeros(len(names), dtype=np.int64)
+            table[used] = self.numbers([names[i] for i in used.tolist()] if len(used) < len(names) else names, later)
+            codes[rest if later else lead] = table[own]
         if odd.any():
-            rows, spans = np.split(codes, ends[1:-1]), np.split(chars, ends[1:-1])
-            where = np.flatnonzero(odd)
-            own = [self.kind.cut.split(t) for t in texts.take(pa.array(where)).to_pylist()]
-            found = self.look_up([s for segs in own for s in self.kind.keys(segs)])
-            if len(self.known) < found.max(initial=-1) + 1 or any(len(r) and r.max() >= len(self.known) for r in rows):
-                return self.slice_codes(texts)  # the cache was emptied between the two lookups
-            for i, r in zip(where, np.split(found, np.cumsum([len(s) for s in own])[:-1]), strict=True):
-                rows[i] = r
-            for i, segs in zip(where, own, strict=True):
-                spans[i] = np.array([len(s) for s in segs], dtype=np.int64)
+            rows = np.split(codes, ends[1:-1])
+            for i in np.flatnonzero(odd).tolist():
+                head, *others = self.kind.cut.split(texts[i].as_py())
+                rows[i] = np.concatenate([self.numbers([head], False), self.numbers([s[1:] for s in others], True)])
             ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-            codes, chars = np.concatenate(rows), np.concatenate(spans)
-        return ends, codes, chars
+            codes = np.concatenate(rows)
+        self.met[np.unique(codes)] += 1
+        return ends, codes
 
-    def ids(self, codes: np.ndarray) -> np.ndarray:
-        """The token ids of segments one after the other."""
+    def rows(self, codes: np.ndarray) -> np.ndarray:
+        """The rows of segments one after the other."""
         lens = self.size[codes]
-        total = int(lens.sum())
         shift = self.start[codes] - (np.cumsum(lens) - lens)
-        return self.pool[np.repeat(shift, lens) + np.arange(total)]
+        return self.pool[np.repeat(shift, lens) + np.arange(int(lens.sum()))]
 
 
-@lru_cache(maxsize=2)
-def coder(kind: str, path: str) -> Coder:
+@lru_cache(maxsize=1)
+def byte_coder(path: str) -> Coder:
     """The coder of this worker process, loaded once."""
-    return Coder({"byte": ByteBpe, "piece": PieceBpe}[kind], path)
+    return Coder(ByteBpe(path))
+
+
+@lru_cache(maxsize=1)
+def _c_library() -> ctypes.CDLL | None:
+    lib = ctypes.CDLL(None)
+    return lib if hasattr(lib, "malloc_trim") else None
+
+
+def give_back() -> None:
+    """At a task's end: the worker serves other operators next, so memory that is kept for reuse goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if lib := _c_library():
+        lib.malloc_trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Batches cut to about ``most`` bytes of text (a single text may be longer), with the text column, null as empty."""
     for batch in batches:
-        texts = pc.fill_null(batch.column(text), "").cast(pa.large_string())
-        size = np.cumsum(np.asarray(pc.binary_length(texts), dtype=np.int64))
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64))
         i = 0
         while i < batch.num_rows:
             j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + most, side="right")))
-            yield batch.slice(i, j - i), texts.slice(i, j - i)
+            part = batch.slice(i, j - i)
+            yield part, pc.fill_null(part.column(text), "").cast(pa.large_string())
             i = j
-    # The worker serves other operators next: what Arrow keeps for reuse goes back now.
-    pa.default_memory_pool().release_unused()
+        batch = part = None
+    give_back()

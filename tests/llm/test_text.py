@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,14 +20,28 @@ def test_token_counts(make_docs, paths):
     import sentencepiece
 
     lib = sentencepiece.SentencePieceProcessor(model_file=paths["piece"])
-    rows = token_counts.prefix_counts(make_docs(*ODD), paths["piece"]).select("doc_id", "n_bytes", "counts", "ends", token_counts.n_tokens().alias("n"), token_counts.fitting(3).alias("fit")).collect()
-    for r in rows:
-        t = ODD[r["doc_id"]] or ""
-        assert r["n"] == len(lib.encode(t)) and r["n_bytes"] == len(t.encode())
-        for k in range(0, min(len(t), 12) + 1):
-            assert token_counts.count_at(t, k, r["counts"], r["ends"], paths["piece"]) == len(lib.encode(t[:k])), (t[:20], k)
-        if r["fit"]:
-            assert len(lib.encode(t[: r["fit"]])) <= 3
+    r = random.Random(5)
+    texts = ODD + ["".join(r.choice("aeéstn 12日🙂▁-") for _ in range(r.randint(1, 70))) for _ in range(60)]
+    counted = token_counts.prefix_counts(make_docs(*texts), paths["piece"], budgets=(3, 40))
+    rows = counted.select("*", token_counts.n_tokens().alias("n"), token_counts.count_at(2).alias("two"), token_counts.count_at(0).alias("none")).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        t = texts[row["doc_id"]] or ""
+        assert row["n"] == len(lib.encode(t)) and row["n_bytes"] == len(t.encode()) and len(row["counts"]) == len(t)
+        upto = len(t) if len(t) < 200 else 60
+        want = [len(lib.encode(t[:k])) for k in range(1, upto + 1)]
+        assert row["counts"][:upto] == want, t[:40]
+        assert row["none"] == 0 and row["two"] == (want[1] if len(t) > 1 else None)
+        for budget in (3, 40):
+            assert row[f"fitting_{budget}"] == max([0, *(k for k, c in enumerate(row["counts"], 1) if c <= budget)])
+
+
+def test_long_words_by_dynamic_programming(paths):
+    kind = token_counts.PieceHeads(paths["piece"])
+    r = random.Random(6)
+    for _ in range(40):
+        word = "".join(r.choice(["the", "ing", "a", "e", "st", "Q", "7", "é", "日", "🙂", "-"]) for _ in range(r.randint(1, 40)))
+        assert kind.long_row(word) == [len(kind.lib.encode(word[:k])) for k in range(1, len(word) + 1)], word
 
 
 def test_packing(make_docs, paths):
@@ -50,6 +65,19 @@ def test_packing(make_docs, paths):
     assert packing.pack(docs.where("false"), paths["byte"]).count() == 0
 
 
+def test_cache_keeps_what_several_slices_met(paths, monkeypatch):
+    from planlake.llm import segments
+
+    monkeypatch.setattr(segments, "MAX_CACHED", 30)
+    c = segments.Coder(segments.ByteBpe(paths["byte"]))
+    r = random.Random(8)
+    for _ in range(60):
+        texts = [" ".join(f"w{r.randint(0, 9) if r.random() < 0.6 else r.randint(10, 500)}" for _ in range(r.randint(0, 12))) for _ in range(4)]
+        at, codes = c.slice_codes(pa.array(texts, pa.large_string()))
+        got = [c.rows(codes[i:j]).tolist() for i, j in zip(at[:-1], at[1:], strict=True)]
+        assert got == [c.kind.lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_chat(spark, paths):
     turn = [(1, "user", "hi <|im_end|>\\ x"), (2, "assistant", None), (3, "user", "q"), (4, "assistant", "A\n<|endoftext|> é")]
     rows = [(c, t, r, x, 5) for c in (1, 2, 3) for t, r, x in turn[: c + 1]] + [(4, 1, "user", "other", 5), (None, 1, None, "z", 5), (5, 1, "ro\nle\\n<|", "", 5), (5, 1, "ro\nle\\n<|", "", 5)] + [(6, t, "user", str(t), 5) for t in range(40)]
