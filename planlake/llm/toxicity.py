@@ -4,21 +4,24 @@ Categories are predicted one after the other by logistic models over words and w
 model also sees the earlier categories' log-odds. While training, those are out-of-fold predictions, so later models
 learn from figures of the quality they will meet. The models are fitted on a bounded sample of labelled rows
 (MAX_LABELLED); features are those whose counts differ between the classes beyond chance (LEAST_G), counted
-by Spark over the sample. Scoring reads every word of every text.
+by Spark over the sample, and of those the MAX_FEATURES with the largest statistic: the bound of the model, not of what
+is read. Scoring reads every word of every text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planlake.llm.segments import slices
+from planlake.llm.segments import give_back, slices
 from planlake.session import materialize
 
 MAX_LABELLED = 20_000
@@ -28,14 +31,20 @@ FOLDS = 5
 SAMPLE_SLICE = 1 << 19
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
+LONG_WORD = 64
 WORD = re.compile(r"[^\s.,!?;:\"'()|%#$&*<>\[\]]+")
 #: The chain: earlier categories first; each is a column of labels with the value that counts as positive.
 CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 
 
+def words_of(text: str) -> set[str]:
+    """The distinct words in lower case; a word beyond LONG_WORD characters stands as its digest and its beginnings."""
+    return {w if len(w) <= LONG_WORD else f"{w[: PREFIXES[-1] + 1]}~{hashlib.sha256(w.encode('utf-8', 'surrogatepass')).hexdigest()}" for w in WORD.findall(text.lower())}
+
+
 def features(text: str) -> set[str]:
-    """The distinct words of a text in lower case and, marked by *, the beginnings of longer ones."""
-    words = {w[:64] for w in WORD.findall(text.lower())}
+    """The distinct words of a text and, marked by *, the beginnings of longer ones."""
+    words = words_of(text)
     return words | {f"{w[:n]}*" for n in PREFIXES for w in words if len(w) > n}
 
 
@@ -71,9 +80,8 @@ def g_score(pos: Column, n: Column, all_pos: Column, all_n: Column) -> Column:
     return 2 * (term(pos, a) + term(n - pos, b) + term(all_pos - pos, all_pos - a) + term((all_n - all_pos) - (n - pos), (all_n - all_pos) - b))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: tuple = CHAIN) -> list[Link]:
-    """Fit the chain. labels: id and one column per category; rows with a null id or label are left out, a
-    repeated id counts once with its largest labels, and repeated texts count once."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, chain: tuple) -> DataFrame:
+    """(id, features, one 0/1 column per category) of at most MAX_LABELLED labelled rows with distinct texts, written once."""
     flags = [F.max((F.col(c) == v).cast("int")).alias(name) for name, c, v in chain]
     known = labels.dropna(subset=[id_col, *[c for _, c, _ in chain]]).groupBy(F.col(id_col).cast("long").alias("id")).agg(*flags)
     known = known.orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED)
@@ -87,40 +95,72 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string())), *batch.columns[2:]], names=["id", "features", *names])
 
     sample = sample.groupBy("text_key").agg(F.min("id").alias("id"), F.first("text").alias("text"), *[F.max(n).alias(n) for n in names])
-    sample = materialize(sample.select("id", "text", *names).mapInArrow(split, "id long, features array<string>" + "".join(f", {n} int" for n in names)), "toxic-sample")
+    return materialize(sample.select("id", "text", *names).mapInArrow(split, "id long, features array<string>" + "".join(f", {n} int" for n in names)), "toxic-sample")
+
+
+def chosen_features(sample: DataFrame, names: list[str], most: int = MAX_FEATURES) -> list[str]:
+    """The at most ``most`` features with the largest statistic over all categories, LEAST_G at least; ties by name."""
     totals = sample.select(F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(n) for n in names]).first()
-    n = totals["n"]
     counts = sample.select(F.explode("features").alias("feature"), *names).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(x) for x in names])
-    scores = [g_score(F.col(x).cast("double"), F.col("n").cast("double"), F.lit(float(totals[x] or 0)), F.lit(float(n))) for x in names]
-    best = counts.select("feature", F.greatest(*scores, F.lit(0.0)).alias("g")).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "feature").limit(MAX_FEATURES)
-    chosen = [x["feature"] for x in best.collect()]  # at most MAX_FEATURES
-    spark = docs.sparkSession
-    numbers = spark.createDataFrame(list(zip(chosen, range(len(chosen)), strict=True)), "feature string, number int")
-    # What reaches the driver: ids and labels of at most MAX_LABELLED rows, and where they have chosen features.
-    data = sample.select("id", *names).toArrow()
-    ids = np.sort(np.asarray(data.column("id"), dtype=np.int64))
-    data = data.sort_by("id")
-    ones = sample.select("id", F.explode("features").alias("feature")).join(F.broadcast(numbers), "feature").select("id", "number").toArrow().sort_by([("id", "ascending"), ("number", "ascending")])
-    rows = np.searchsorted(ids, np.asarray(ones.column("id"), dtype=np.int64))
-    cols = np.asarray(ones.column("number"), dtype=np.int64)
-    fold = np.array([i % FOLDS for i in range(n)])
-    dense, links = np.zeros((n, 0)), []
-    for name in names:
-        y = np.asarray(data.column(name), dtype=float)
-        w = fit(rows, cols, n, len(chosen), dense, y)
-        k = 1 + dense.shape[1]
-        links.append(Link(w[0], {f: v for f, v in zip(chosen, w[k:], strict=True) if v}, w[1:k]))
-        if name == names[-1]:
+    scores = [g_score(F.col(x).cast("double"), F.col("n").cast("double"), F.lit(float(totals[x] or 0)), F.lit(float(totals["n"]))) for x in names]
+    best = counts.select("feature", F.greatest(*scores, F.lit(0.0)).alias("g")).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "feature").limit(most)
+    return [x["feature"] for x in best.collect()]
+
+
+def fit_chain(rows: np.ndarray, cols: np.ndarray, m: int, labels: list[np.ndarray]) -> list[np.ndarray]:
+    """The weights of each category's model, (bias, earlier categories' log-odds, features), in the order of the chain.
+
+    Row i is in fold i % FOLDS; the log-odds that a later model is fitted on come from models fitted without that fold.
+    """
+    n = len(labels[0])
+    fold = np.arange(n) % FOLDS
+    dense, out = np.zeros((n, 0)), []
+    for y in labels:
+        w = fit(rows, cols, n, m, dense, y)
+        out.append(w)
+        if len(out) == len(labels):
             break
+        k = 1 + dense.shape[1]
         held_out = np.zeros(n)
         for f in range(FOLDS):
             use, at = fold != f, fold[rows] != f
             place = np.cumsum(use) - 1
-            v = fit(place[rows[at]], cols[at], int(use.sum()), len(chosen), dense[use], y[use])
+            v = fit(place[rows[at]], cols[at], int(use.sum()), m, dense[use], y[use])
             z = v[0] + dense @ v[1:k] + np.bincount(rows, v[k + cols], n)
             held_out[~use] = z[~use]
         dense = np.column_stack([dense, held_out])
-    return links
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: tuple = CHAIN) -> list[Link]:
+    """Fit the chain. labels: id and one column per category; rows with a null id or label are left out, a
+    repeated id counts once with its largest labels, and repeated texts count once."""
+    names = [name for name, _, _ in chain]
+    sample = labelled_sample(docs, labels, id_col, text_col, chain)
+    chosen = chosen_features(sample, names)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(chosen, pa.string())
+        for batch in batches:
+            lists = batch.column(1)
+            got = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1))
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(lists)))[got >= 0]
+            got = got[got >= 0]
+            order = np.lexsort((got, row))
+            at = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at.astype(np.int32), got[order].astype(np.int32)), *batch.columns[2:]], names=["id", "numbers", *names])
+        give_back()
+
+    # What reaches the driver: ids, labels and the numbers of chosen features of at most MAX_LABELLED rows.
+    data = sample.mapInArrow(number, "id long, numbers array<int>" + "".join(f", {n} int" for n in names)).toArrow()
+    data = data.take(pc.sort_indices(data.column("id"))).combine_chunks()
+    lists = data.column("numbers")
+    rows = np.repeat(np.arange(data.num_rows), np.asarray(pc.list_value_length(lists)))
+    cols = np.asarray(pc.list_flatten(lists)).astype(np.int64)
+    weights = fit_chain(rows, cols, len(chosen), [np.asarray(data.column(x), dtype=float) for x in names])
+    del data, lists, rows, cols
+    give_back()
+    return [Link(w[0], {f: v for f, v in zip(chosen, w[1 + k :], strict=True) if v}, w[1 : 1 + k]) for k, w in enumerate(weights)]
 
 
 def scorer(links: list[Link]):
@@ -131,7 +171,7 @@ def scorer(links: list[Link]):
     def run(texts: list[str]) -> np.ndarray:
         logits = np.zeros((len(texts), len(links)))
         for i, text in enumerate(texts):
-            words = {w[:64] for w in WORD.findall(text.lower())}
+            words = words_of(text)
             found = words & known
             found |= {f"{p}*" for n in PREFIXES for w in words if len(w) > n and (p := w[:n]) in longer}
             for k, link in enumerate(links):
@@ -162,11 +202,13 @@ def score(docs: DataFrame, links: list[Link], id_col: str = "doc_id", text_col:
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose text the chain does not reject, all columns unchanged; rows with null ids are judged like others."""
     links = train(docs, labels, id_col, text_col)
-    rows = docs.select(text_col, *[c for c in docs.columns if c != text_col])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def rejected(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         odds = scorer(links)
-        for batch, part in slices(batches, 0):
-            yield batch.filter(pa.array(1 / (1 + np.exp(-odds(part.to_pylist())[:, -1])) < threshold))
+        for column in texts:
+            found = [odds(part.to_pylist())[:, -1] for _, part in slices(iter([pa.record_batch([column], names=["text"])]), 0)]
+            yield pa.array(1 / (1 + np.exp(-np.concatenate([np.zeros(0), *found]))) >= threshold)
 
-    return rows.mapInArrow(run, rows.schema).select(*docs.columns)
+    # Only the text goes to Python; the rows stay in the JVM.
+    return docs.where(~rejected(F.col(text_col)))
