@@ -11,8 +11,6 @@ from planlake.session import materialize
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go."""
-    # Workers run all stages in turn and hold whole rows here: small batches keep their memory low.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
