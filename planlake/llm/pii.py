@@ -1,7 +1,7 @@
 """Personal data: fixed rules, and a linear-chain CRF over word shapes that adds spans the rules miss.
 
-Tokens are runs of characters other than space and \\t-\\r. A token's features are its shape (digits kept by
-number, letters folded, other ASCII characters kept), and the shapes of its neighbours. Only a token that has a
+Tokens are runs of characters other than white space and the marks , ; | = { } " : / <>. A token's features are its shape (digits
+kept by number, letters folded, other ASCII characters kept), and the shapes of its neighbours. Only a token that has a
 digit or an at sign can be part of a span; this structural rule holds in training and decoding. It makes every other
 token O, so the best path of a whole text is found exactly by decoding the runs of such tokens one by one: they
 are decoded by Viterbi in padded numpy batches, whatever the length of the text.
@@ -30,7 +30,10 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 MARK = re.compile(r"[0-9@]")
-GAP = re.compile(r"[ \t-\r]")
+GAP = re.compile(r"[ \t-\r,;|={}\":/<>]")
+SPACES = re.compile(r"[ \t-\r]*")
+# No kind has more digits than this, and a token of a span has a digit at least.
+MOST_TOKENS = 19
 Span = tuple[str, int, int]
 
 
@@ -64,16 +67,15 @@ def base_spans(text: str) -> list[Span]:
 
 
 def shape(token: str) -> str:
-    """The word shape: W without digit and at sign; else digit runs as their length (20 at most), letter runs as a, the rest as is; long ones folded."""
+    """The word shape of the whole token: W without digit and at sign; else digit runs as their length (20 at most), letter runs as a, the rest as is."""
     if not MARK.search(token):
         return "W"
-    s = re.sub(r"[^\W\d_]+", "a", token[:64])
+    s = re.sub(r"[^\W\d_]+", "a", token)
     s = re.sub(r"[0-9]+", lambda m: str(min(20, len(m[0]))), s)
-    s = re.sub(r"[^\x21-\x7e]", "u", s).rstrip(".,;:!?\"'*#%&$")
-    return s if len(s) <= 16 else s[:16] + "+"
+    return re.sub(r"[^\x21-\x7e]", "u", s).rstrip(".!?'*#%&$")
 
 
-def labelled_rows(n: int = 400, seed: int = 7) -> list[list[tuple[str, str]]]:
+def labelled_rows(n: int = 600, seed: int = 7) -> list[list[tuple[str, str]]]:
     """The small labelled table: rows of (token, label) made from patterns of personal data and of look-alikes."""
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
@@ -82,7 +84,7 @@ def labelled_rows(n: int = 400, seed: int = 7) -> list[list[tuple[str, str]]]:
     makers = [
         ("email", lambda: f"{a(4)}.{d(2)}@{a(4)}{d(1)}.{a(7)}.com"),
         ("email", lambda: f"{a(5)}@{a(6)}.org"),
-        ("email", lambda: f"<{a(5)}@{a(6)}.org>"),
+        ("email", lambda: f"{a(5)}_{a(3)}@{a(6)}.org"),
         ("email", lambda: f"{a(5)}@[{d(2)}.{d(1)}.{d(3)}.{d(2)}]"),
         ("ip", lambda: f"{d(2)}.{d(3)}.{d(2)}.{d(3)}"),
         ("ip", lambda: f"{d(3)}.{d(2)}.{d(1)}.{d(2)}"),
@@ -94,16 +96,26 @@ def labelled_rows(n: int = 400, seed: int = 7) -> list[list[tuple[str, str]]]:
         ("phone", lambda: f"({d(3)}) {d(3)}-{d(4)}"),
         ("phone", lambda: f"{d(3)}-{d(3)}-{d(4)}"),
         ("phone", lambda: f"+{d(2)} {d(3)} {d(4)} {d(3)}"),
-        ("O", lambda: f'"{h(40)}"'),
-        ("O", lambda: f"password={h(18)}"),
+        ("phone", lambda: f"({d(3)}){d(3)}-{d(4)}"),
+        ("phone", lambda: f"{d(1)}-{d(3)}-{d(3)}-{d(4)}"),
+        ("phone", lambda: f"{d(3)}.{d(3)}.{d(4)}"),
+        ("phone", lambda: f"{d(4)}-{d(7)}"),
+        ("phone", lambda: f"{d(3)} {d(3)}-{d(4)}"),
+        ("phone", lambda: f"{d(3)} {d(3)} {d(4)}"),
+        ("card", lambda: f"{d(4)} {d(6)} {d(5)}"),
+        ("card", lambda: f"{d(4)}-{d(6)}-{d(5)}"),
+        ("O", lambda: h(40)),
+        ("O", lambda: h(18)),
         ("O", lambda: "AKIA" + h(16).upper()),
         ("O", lambda: f"{d(1)}.{d(1)}."),
         ("O", lambda: f"{d(1)}."),
         ("O", lambda: d(4)),
         ("O", lambda: f"{d(2)}%"),
         ("O", lambda: f"{d(4)}-{d(2)}-{d(2)}"),
-        ("O", lambda: f"{d(2)}:{d(2)}"),
-        ("O", lambda: f"{d(3)},{d(3)}"),
+        ("O", lambda: d(2)),
+        ("O", lambda: d(3)),
+        ("O", lambda: f"{d(4)} {d(4)}"),
+        ("O", lambda: f"{d(2)} {d(2)} {d(4)}"),
         ("O", lambda: f"${d(2)}.{d(2)}"),
         ("O", lambda: f"v{d(1)}.{d(1)}.{d(1)}"),
         ("O", lambda: f"@{a(6)}"),
@@ -201,8 +213,8 @@ def train(rows: list[list[tuple[str, str]]], steps: int = 250, rate: float = 0.5
     return model
 
 
-def crf_spans(texts: list[str], model: Crf) -> list[list[Span]]:
-    """The model's spans of each text."""
+def crf_spans(texts: list[str], model: Crf) -> list[list[tuple[str, list[tuple[int, int]]]]]:
+    """What the model marks in each text: a kind and the neighbouring tokens (start, end) that have it."""
     runs: list[tuple[int, list[tuple[int, int]], list[int]]] = []
     known: dict[str, int] = {}
     for doc, text in enumerate(texts):
@@ -216,21 +228,22 @@ def crf_spans(texts: list[str], model: Crf) -> list[list[Span]]:
             end = stop.start() if stop else len(text)
             tokens.append((start, end))
             m = MARK.search(text, end)
-        for i, (start, end) in enumerate(tokens):
-            token = text[start:end] if end - start <= 64 else text[start : start + 64]
-            if token not in known:
-                if len(known) > 100_000:
-                    known.clear()
-                known[token] = model.number(shape(token))
-            gap = text[last:start] if run else ""
-            if run and not gap.strip(" \t\n\x0b\f\r"):
+        for start, end in tokens:
+            token = text[start:end]
+            if (number := known.get(token)) is None:
+                number = model.number(shape(token))
+                if end - start <= 64:  # longer ones hardly repeat
+                    if len(known) > 100_000:
+                        known.clear()
+                    known[token] = number
+            if run and SPACES.match(text, last).end() == start:
                 run.append((start, end))
-                runs[-1][2].append(known[token])
+                runs[-1][2].append(number)
             else:
                 run = [(start, end)]
-                runs.append((doc, run, [known[token]]))
+                runs.append((doc, run, [number]))
             last = end
-    out: list[list[Span]] = [[] for _ in texts]
+    out: list[list[tuple[str, list[tuple[int, int]]]]] = [[] for _ in texts]
     by_length: dict[int, list[int]] = {}
     for i, (_, run, _) in enumerate(runs):
         by_length.setdefault(len(run).bit_length(), []).append(i)
@@ -258,7 +271,7 @@ def crf_spans(texts: list[str], model: Crf) -> list[list[Span]]:
                     while u + 1 < len(run) and s and states[u + 1] == s:
                         u += 1
                     if s:
-                        out[doc].append((Crf.states[s], run[t][0], run[u][1]))
+                        out[doc].append((Crf.states[s], run[t : u + 1]))
                     t = u + 1
     return out
 
@@ -277,8 +290,24 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1])))
 
 
+def cut(kind: str, tokens: list[tuple[int, int]], text: str) -> list[Span]:
+    """Plausible spans among neighbouring tokens of one kind, the leftmost first and as long as they can be; "+" begins a new one, and so does "(" but after a token with "+"."""
+    out, i = [], 0
+    while i < len(tokens):
+        most = next((j for j in range(i + 1, min(len(tokens), i + MOST_TOKENS)) if text[tokens[j][0]] == "+" or (text[tokens[j][0]] == "(" and text[tokens[j - 1][0]] != "+")), min(len(tokens), i + MOST_TOKENS))
+        for j in range(most, i, -1):
+            start, end = tokens[i][0], tokens[j - 1][1]
+            if plausible(kind, text[start:end]):
+                out.append((kind, start, end))
+                i = j
+                break
+        else:
+            i += 1
+    return out
+
+
 def all_spans(texts: list[str], model: Crf) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, base and added spans) of each text; a span of the model is added where it touches no base span and is plausible."""
+    """(base spans, base and added spans) of each text; added spans are plausible and made of tokens that touch no base span."""
     out = []
     for text, more in zip(texts, crf_spans(texts, model), strict=True):
         base = base_spans(text)
@@ -289,8 +318,16 @@ def all_spans(texts: list[str], model: Crf) -> list[tuple[list[Span], list[Span]
             else:
                 starts.append(s)
                 ends.append(e)
-        free = [x for x in more if plausible(x[0], text[x[1] : x[2]]) and ((i := bisect_right(ends, x[1])) == len(starts) or starts[i] >= x[2])]
-        out.append((base, base + free))
+        added: list[Span] = []
+        for kind, tokens in more:
+            free: list[tuple[int, int]] = []
+            for s, e in [*tokens, (-1, -1)]:
+                if s >= 0 and ((i := bisect_right(ends, s)) == len(starts) or starts[i] >= e):
+                    free.append((s, e))
+                elif free:
+                    added += cut(kind, free, text)
+                    free = []
+        out.append((base, base + added))
     return out
 
 

@@ -110,6 +110,31 @@ def test_vectors(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_vectors_of_other_lengths_and_shared_ids(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
+    rng = np.random.default_rng(3)
+    rows = []
+    for dim, n in ((2, 90), (3, 160), (1, 4)):
+        centre = rng.normal(size=(9, dim))
+        rows += [[float(np.float32(x)) for x in centre[rng.integers(9)] * rng.uniform(0.5, 2) + rng.normal(scale=0.1, size=dim)] for _ in range(n)]
+    ids = [int(x) if x >= 0 else None for x in rng.integers(-3, 60, size=len(rows))]
+    df = spark.createDataFrame([(i, v, "x") for i, v in zip(ids, rows, strict=True)], "vec_id long, embedding array<float>, node string")
+    u = [np.array(v) / np.linalg.norm(v) for v in rows]
+    links = [(i, j) for i in range(len(u)) for j in range(i) if len(u[i]) == len(u[j]) and u[i] @ u[j] >= 0.9]
+    root = components(len(u), links)
+    n = defaultdict(int)
+    for i, j in links:
+        n[i] += 1
+        n[j] += 1
+    least = defaultdict(list)
+    for i, r in enumerate(root):
+        least[r].append(ids[i])
+    least = {r: min((x for x in v if x is not None), default=None) for r, v in least.items()}
+    want = sorted(((ids[i], n[i], least[root[i]]) for i in range(len(u))), key=repr)
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect()), key=repr)
+    assert got == want
+
+
 def test_lines(make_docs):
     same = "job 17 took 35 ms on host a9"
     texts = [f"{'xyz'[i]} own words here\njob {i} took {i * 7} ms on host a{i}\n\nlast {w}" for i, w in enumerate(("one", "two", "three"))] + [None, "", same, "a b c d\ne"]
@@ -161,3 +186,29 @@ def test_mix(make_docs, seed):
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixing.repeat_rows(docs).count() == sum(r["copies"] for r in got)
     assert mixing.mix(docs.where("false")).count() == 0
+    # The planned rates are those of the tilt: one tilt a source, under which the source's words come to its target.
+    rate = defaultdict(dict)
+    for r in got:
+        if r["size"]:
+            rate[r["source"]][r["size"]] = r["rate"]
+    for s, rates in rate.items():
+        mean = size[s] / sum(1 for r in got if r["source"] == s and r["size"])
+        tilts = [np.log(x) * mean / k for k, x in rates.items() if x < 3 - 1e-9]
+        assert max(tilts, default=0) - min(tilts, default=0) < 1e-5
+        assert sum(r["size"] * r["rate"] for r in got if r["source"] == s) == pytest.approx(target[s], rel=1e-5)
+        assert all(abs(r["copies"] - r["rate"]) <= 2 for r in got if r["source"] == s)
+
+
+def test_repeat_rows_gives_what_is_planned(make_docs):
+    rng = np.random.default_rng(5)
+    texts = ["w " * int(rng.integers(1, 6)) for _ in range(60)] + ["same text here"] * 30 + [None, ""]
+    ids = [int(x) if x else None for x in rng.integers(0, 12, size=len(texts))]
+    sources = [None if x > 0.8 else f"s{int(x * 5)}" for x in rng.random(len(texts))]
+    docs = make_docs(*texts, ids=ids, sources=sources)
+    key = lambda r: (r["doc_id"], r["source"], len((r["text"] or "").split()))
+    plan, rows = defaultdict(int), defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        plan[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    for r in mixing.repeat_rows(docs).collect():
+        rows[key(r)] += 1
+    assert {k: v for k, v in plan.items() if v} == dict(rows) and sum(rows.values()) > 40

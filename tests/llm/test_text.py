@@ -140,7 +140,7 @@ def test_pii(make_docs):
 def test_crf_finds_held_out_patterns_and_viterbi_is_exact():
     model = pii.train(pii.labelled_rows())
     for row in pii.labelled_rows(120, seed=99):
-        kinds = {k for k, _, _ in pii.crf_spans([" ".join(t for t, _ in row)], model)[0]}
+        kinds = {k for k, _ in pii.crf_spans([" ".join(t for t, _ in row)], model)[0]}
         assert kinds == {label for _, label in row} - {"O"}
     rng = np.random.default_rng(0)
     e = rng.normal(size=(1, 5, 5)) * 3
@@ -150,6 +150,99 @@ def test_crf_finds_held_out_patterns_and_viterbi_is_exact():
     assert (model.viterbi(e, np.array([5]))[0] == paths[score.argmax()]).all()
 
 
+#: Written by hand, apart from the patterns the model is trained on: sentences with what must be added to the fixed rules' spans.
+BY_HAND = (
+    ("Call me at 555-123-4567 after six.", ["phone:555-123-4567"]),
+    ("My numbers are 555-123-4567 555-987-6543, use either", ["phone:555-123-4567", "phone:555-987-6543"]),
+    ("Office (212) 555-0199, ask for Ann", ["phone:(212) 555-0199"]),
+    ("fax:(212)555-0143", ["phone:(212)555-0143"]),
+    ("tel=415.555.0122;", ["phone:415.555.0122"]),
+    ("You can ring 1-800-555-0175 for free", ["phone:1-800-555-0175"]),
+    ("mobil 0171-5550123 oder so", ["phone:0171-5550123"]),
+    ("reach us on 020 555 0187 any day", ["phone:020 555 0187"]),
+    ("dial 312 555-0164 now", ["phone:312 555-0164"]),
+    ("Amex 3782 822463 10005 expires soon", ["card:3782 822463 10005"]),
+    ("the card 378282246310005 was charged", ["card:378282246310005"]),
+    ("paid with 3714-496353-98431 today", ["card:3714-496353-98431"]),
+    ("write to root at 192.168.10.12 please", []),
+    ("+1 (646) 555-0161 555-123-4567", ["phone:+1 (646) 555-0161", "phone:555-123-4567"]),
+    ("her cell is 646-555-0110.", ["phone:646-555-0110"]),
+    ("646-555-0111", ["phone:646-555-0111"]),
+    ("Contacts: Bob, 718-555-0102; Eve, 718-555-0103", ["phone:718-555-0102", "phone:718-555-0103"]),
+    ("(646) 555-0151 (646) 555-0152", ["phone:(646) 555-0151", "phone:(646) 555-0152"]),
+    ("x" * 90 + ",555-123-4567", ["phone:555-123-4567"]),
+    ("In 1998 there were 12 of 345 left", []),
+    ("on 2024-05-17 at 10:45 it cost $12.50 or 3,400 yen", []),
+    ("version 3.1.4 build 20240517", []),
+    ("pages 100-120 and 7.5%", []),
+    ("follow @someone and sha 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", []),
+    ("order 83645 in 2 parts", []),
+)
+
+
+def test_added_spans_on_sentences_written_by_hand():
+    model = pii.train(pii.labelled_rows())
+    hits = wanted = wrong = 0
+    for (text, want), (base, found) in zip(BY_HAND, pii.all_spans([t for t, _ in BY_HAND], model), strict=True):
+        added = {f"{k}:{text[s:e].rstrip('.')}" for k, s, e in found if (k, s, e) not in base}
+        hits, wanted, wrong = hits + len(added & set(want)), wanted + len(want), wrong + len(added - set(want))
+    assert hits / wanted >= 0.9 and wrong <= 1, (hits, wanted, wrong)
+
+
+def naive_fit(x, y, steps=150, rate=0.3, l2=0.5):
+    """The model of toxicity.fit on a dense matrix whose first column is the bias."""
+    w, moved = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8)
+    w[0] = np.log(y.mean() / (1 - y.mean()))
+    for _ in range(steps):
+        g = x.T @ (1 / (1 + np.exp(-x @ w)) - y) + l2 * w * (np.arange(len(w)) > 0)
+        moved += g * g
+        w -= rate * g / np.sqrt(moved)
+    return w
+
+
+def test_toxicity_chain_against_dense_matrices(make_docs, spark):
+    docs, labels, flags = toxic_corpus(make_docs, spark, 300)
+    names = [n for n, _, _ in toxicity.CHAIN]
+    sample = toxicity.labelled_sample(docs, labels, "doc_id", "text", toxicity.CHAIN)
+    rows = sorted(sample.collect(), key=lambda r: r["id"])
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(set(r["features"]) == toxicity.features(texts[r["id"]]) for r in rows)
+    y = {n: np.array([r[n] for r in rows], dtype=float) for n in names}
+
+    def g(feature, n):
+        has = np.array([feature in r["features"] for r in rows])
+        table = [(has == a) & (y[n] == b) for a in (0, 1) for b in (0, 1)]
+        seen = np.array([t.sum() for t in table], dtype=float)
+        want = np.array([(has == a).sum() * (y[n] == b).sum() / len(rows) for a in (0, 1) for b in (0, 1)])
+        return 2 * sum(s * np.log(s / w) for s, w in zip(seen, want, strict=True) if s)
+
+    scores = {f: max(g(f, n) for n in names) for f in set().union(*(r["features"] for r in rows))}
+    chosen = sorted((f for f in scores if scores[f] >= toxicity.LEAST_G), key=lambda f: (-round(scores[f], 9), f))
+    got = toxicity.chosen_features(sample, names)
+    assert set(got) == set(chosen) and got
+    assert toxicity.chosen_features(sample, names, 2) == got[:2]
+    x = np.array([[1.0] + [float(f in r["features"]) for f in got] for r in rows])
+    where, cols = np.nonzero(x[:, 1:])
+    low = y["toxic"]  # two categories that both occur
+    other = (np.arange(len(rows)) % 3 == 0).astype(float)
+    first, second = toxicity.fit_chain(where, cols, len(got), [low, other])
+    assert np.allclose(first, naive_fit(x, low))
+    fold = np.arange(len(rows)) % toxicity.FOLDS
+    held_out = np.zeros(len(rows))
+    for k in range(toxicity.FOLDS):  # the later model sees log-odds of models that didn't see the row
+        held_out[fold == k] = x[fold == k] @ naive_fit(x[fold != k], low[fold != k])
+    assert np.allclose(second, naive_fit(np.column_stack([x[:, 0], held_out, x[:, 1:]]), other))
+    links = toxicity.train(docs, labels)
+    odds = toxicity.scorer(links)(["", "w" * 70, texts[0]])
+    for i, t in enumerate(["", "w" * 70, texts[0]]):
+        z = []
+        for link in links:
+            z.append(link.bias + link.earlier @ np.array(z) + sum(link.weights.get(f, 0.0) for f in sorted(toxicity.features(t))))
+        assert np.allclose(odds[i], z)
+    a, b = "b" * 64 + "x", "b" * 64 + "y"
+    assert toxicity.words_of(a) != toxicity.words_of(b) and "bbbbbb*" in toxicity.features(a)
+
+
 def toxic_corpus(make_docs, spark, n=1200):
     r = random.Random(8)
     vocab, insults = [f"word{i}" for i in range(300)], ["zidiot", "zmoron", "zscum", "lowquen", "lowquar"]
