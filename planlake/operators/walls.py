@@ -206,7 +206,7 @@ def wall_scores(built: DataFrame, detected: DataFrame, key: str = "plan_id", id_
     return w.select(key, id_col, "iou", "thickness_delta", "length_delta", "centroid_delta", "degrees", "score", status.alias("status"))
 
 
-def geometry_choice(walls: DataFrame, points: str = "points") -> Column:
+def geometry_choice(points: str = "points") -> Column:
     """Keep the detected polygon where the axis rectangle differs from it (IoU below 0.75); the rectangle where
     the polygon fills more than 85 % of its own; else the axis. An expression over x1..y2, thickness and the polygon."""
     ratio = G.iou(G.rect_from_axis(*cols(""), F.col("thickness")), F.col(points))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from planlake.functions import geom as G
 from planlake.functions import labels as L
+from planlake.operators import quality as Q
+from planlake.operators import walls as W
 from planlake.operators.spatial import best_match
-from planlake.plans.demo import CTE, detections, openings, walls
-from planlake.plans.join_queries import REL_SQL, elements, relations
+from planlake.plans.demo import CTE, TILT, axis_walls, detections, openings, rect_openings, tilted_walls, walls
+from planlake.plans.join_queries import OT, REL_SQL, elements, relations
 from planlake.plans.registry import query, r6, s6
 from planlake.plans.scalar_queries import AREA, EXT, near_sql
 
@@ -44,13 +46,17 @@ def d03(spark, sf):
     return detections(spark, sf).groupBy("plan_id").agg(F.bool_or(r.isNull()).alias("is_valid"), (F.count_if(r.isNotNull()) > F.count_if(r.isNull())).alias("warned"))
 
 
-@query("d04_quality_score", f"{CTE}, q AS (SELECT plan_id, avg(CASE WHEN {REASON} IS NULL THEN 1e0 ELSE 0 END) AS valid, avg(CASE WHEN jit = 0 THEN 1e0 ELSE 0 END) AS par, avg(confidence) AS mean, count(*) FILTER (WHERE line_no = 7) AS errors FROM det GROUP BY plan_id) SELECT plan_id, {s6('greatest(0, least(1, valid * par * mean * (1 - least(0.1e0 * errors, 0.5e0))))')} AS score FROM q")
+@query("d04_quality_score", f"{TILT}, q AS (SELECT plan_id, avg(CASE WHEN {REASON} IS NULL THEN 1e0 ELSE 0 END) AS valid, avg(CASE WHEN kind = 'STAIR' THEN CASE WHEN thk >= 200 THEN 1e0 ELSE 0 END END) AS closed, avg(CASE WHEN kind = 'WALL' THEN CASE WHEN jit IN (-3, 2, 3) THEN 0e0 ELSE 1 END END) AS par, avg(confidence) AS mean, count(*) FILTER (WHERE line_no = 7) AS errors FROM det GROUP BY plan_id) SELECT plan_id, {s6('greatest(0, least(1, valid * coalesce(closed, 1) * coalesce(par, 1) * mean * (1 - least(0.1e0 * errors, 0.5e0))))')} AS score FROM q")
 def d04(spark, sf):
-    """Valid rate, parallel rate and mean confidence, lowered by errors, held in 0..1."""
-    rate = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    d = detections(spark, sf).groupBy("plan_id").agg(rate(reason().isNull()).alias("v"), rate(F.col("jit") == 0).alias("p"), F.avg("confidence").alias("m"), F.count_if(F.col("line_no") == 7).alias("e"))
-    score = F.col("v") * F.col("p") * F.col("m") * (1 - F.least(0.1 * F.col("e"), F.lit(0.5)))
-    return d.select("plan_id", r6(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).alias("score"))
+    """Valid, closed and parallel rates and mean confidence, lowered by errors; axes are held against the sources' directions."""
+    d = detections(spark, sf)
+    w = tilted_walls(spark, sf).join(d.select("plan_id", "det_id", "horizontal"), list(K))
+    off = G.angle_delta(G.line_angle(*W.cols("")), F.when(F.col("horizontal"), 0.0).otherwise(90.0))
+    axes = w.groupBy("plan_id").agg(F.count("*").alias("axes"), F.count_if(off <= 10).alias("parallel"))
+    room = F.col("kind") == "STAIR"
+    c = d.groupBy("plan_id").agg(F.count("*").alias("n"), F.count_if(reason().isNull()).alias("valid"), F.count_if(room).alias("spaces"), F.count_if(room & (F.col("thk") >= 200)).alias("closed"), F.avg("confidence").alias("mean"), F.count_if(F.col("line_no") == 7).alias("errors"))
+    c = c.join(axes, "plan_id", "left").na.fill(0, ["axes", "parallel"])
+    return c.select("plan_id", r6(Q.quality_score(*[F.col(x) for x in ("n", "valid", "spaces", "closed", "axes", "parallel", "mean", "errors")])).alias("score"))
 
 
 @query("d05_plan_qa", agg("count(*) FILTER (WHERE kind = 'WALL' AND len < 500) AS short_walls, count(*) FILTER (WHERE kind IN ('DOOR', 'WINDOW') AND confidence < 0.5e0) AS weak_openings, count(*) FILTER (WHERE kind = 'STAIR' AND thk < 200) AS thin_rooms, count(*) FILTER (WHERE (kind = 'WALL' AND len < 500) OR (kind IN ('DOOR', 'WINDOW') AND confidence < 0.5e0) OR (kind = 'STAIR' AND thk < 200)) AS total"))
@@ -63,18 +69,25 @@ def d05(spark, sf):
     return p.select("plan_id", *names, (F.col(names[0]) + F.col(names[1]) + F.col(names[2])).alias("total"))
 
 
-SCORE = "100 * (0.4e0 * iou + 0.2e0 * greatest(0, 1 - least(abs(dt), 50) / 50) + 0.2e0 * greatest(0, 1 - least(abs(dl), 250) / 250) + 0.1e0 * greatest(0, 1 - least(abs(dc), 75) / 75) + 0.1e0)"
-WALL_SCORES = f"{CTE}, m AS (SELECT plan_id, det_id, 1 - abs(jit) / 10 AS iou, jit * 20 AS dt, jit * 30 AS dl, jit * 5 AS dc FROM wall), s AS (SELECT plan_id, det_id, iou, dt, round({SCORE} + 1e-9, 6) AS score FROM m), ws AS (SELECT plan_id, det_id, score, iou, CASE WHEN iou < 0.3e0 AND abs(dt) > 80 THEN 'FAIL' WHEN score >= 75 AND iou >= 0.55e0 AND abs(dt) <= 60 THEN 'PASS' ELSE 'WARN' END AS status FROM s)"
+#: The built walls are the tilted ones; the detected ones are longer, thicker and moved along and across by the row's numbers.
+MEASURED = f"""{TILT}, g AS (SELECT *, length + jit * 30 AS dlen, thickness + jit * 10 + 1 AS dthk, jit * 4 AS a0, line_no * 6 AS c0 FROM tw),
+    o AS (SELECT *, greatest(0, least(length, a0 + dlen) - greatest(0, a0)) * greatest(0, least(thickness / 2, c0 + dthk / 2) - greatest(-thickness / 2, c0 - dthk / 2)) AS common FROM g),
+    ms AS (SELECT plan_id, det_id, round(common / (length * thickness + dlen * dthk - common), 9) AS iou, thickness - least(dlen, dthk) AS dt, length - greatest(dlen, dthk) AS dl, CASE WHEN dlen < dthk THEN 0 ELSE 1 END AS straight, sqrt((length / 2 - a0 - dlen / 2) ** 2 + c0 ** 2) AS dc FROM o)"""
+SCORE = "100 * (0.4e0 * iou + 0.2e0 * greatest(0, 1 - least(abs(dt), 50) / 50) + 0.2e0 * greatest(0, 1 - least(abs(dl), 250) / 250) + 0.1e0 * greatest(0, 1 - least(abs(dc), 75) / 75) + 0.1e0 * straight)"
+WALL_SCORES = f"{MEASURED}, s AS (SELECT plan_id, det_id, iou, dt, dc, round({SCORE} + 1e-9, 6) AS score FROM ms), ws AS (SELECT plan_id, det_id, score, iou, dc, CASE WHEN iou < 0.3e0 AND abs(dt) > 80 THEN 'FAIL' WHEN score >= 75 AND iou >= 0.55e0 AND abs(dt) <= 60 THEN 'PASS' ELSE 'WARN' END AS status FROM s)"
+
+
+def detected_walls(spark, sf):
+    """Polygons of the tilted walls as a detector sees them."""
+    w = tilted_walls(spark, sf)
+    dlen, dthk, a0, c0 = F.col("length") + F.col("jit") * 30, F.col("thickness") + F.col("jit") * 10 + 1, F.col("jit") * 4, F.col("line_no") * 6
+    at = lambda a, c: G.point(F.col("x1") + a * F.col("ux") - c * F.col("uy"), F.col("y1") + a * F.col("uy") + c * F.col("ux"))
+    return w.select(*K, F.array(at(a0, c0 - dthk / 2), at(a0 + dlen, c0 - dthk / 2), at(a0 + dlen, c0 + dthk / 2), at(a0, c0 + dthk / 2)).alias("points"))
 
 
 def wall_scores(spark, sf):
-    """Weighted components of IoU, thickness, length, centroid and angle, and the verdict."""
-    j = F.col("jit")
-    w = walls(spark, sf).select(*K, (1 - F.abs(j) / 10).alias("iou"), (j * 20).alias("dt"), (j * 30).alias("dl"), (j * 5).alias("dc"))
-    s = 100 * (0.4 * F.col("iou") + 0.2 * G.score_component(F.col("dt"), 50.0) + 0.2 * G.score_component(F.col("dl"), 250.0) + 0.1 * G.score_component(F.col("dc"), 75.0) + 0.1)
-    w = w.withColumn("score", F.round(s + 1e-9, 6))
-    status = F.when((F.col("iou") < 0.3) & (F.abs("dt") > 80), "FAIL").when((F.col("score") >= 75) & (F.col("iou") >= 0.55) & (F.abs("dt") <= 60), "PASS").otherwise("WARN")
-    return w.withColumn("status", status)
+    """Weighted components of IoU, thickness, length, centroid and angle, and the verdict; identical rows count once."""
+    return W.wall_scores(tilted_walls(spark, sf), detected_walls(spark, sf))
 
 
 @query("d06_wall_scores", WALL_SCORES + f" SELECT plan_id, det_id, {s6('score')} AS score, status FROM ws")
@@ -82,29 +95,35 @@ def d06(spark, sf):
     return wall_scores(spark, sf).select(*K, r6(F.col("score")).alias("score"), "status")
 
 
-@query("d07_report_summary", WALL_SCORES + f" SELECT plan_id, count(*) AS n, round(avg(score), 4) AS mean, min(score) AS least, max(score) AS most, {s6("avg(CASE WHEN status = 'PASS' THEN 1e0 ELSE 0 END)")} AS pass_rate, round(0.4e0 * avg(iou) + 0.6e0 * avg(score) / 100, 5) AS overall FROM ws GROUP BY plan_id")
+@query("d07_report_summary", WALL_SCORES + f", a AS (SELECT plan_id, count(*) AS n, count(*) FILTER (WHERE status = 'PASS') AS passed, count(*) FILTER (WHERE status = 'WARN') AS warned, avg(score) AS mean, min(score) AS least, max(score) AS most, 0.7e0 * avg(iou) + 0.3e0 * greatest(0, 1 - avg(dc) / 500) AS accuracy FROM ws GROUP BY plan_id), b AS (SELECT *, (passed + 0.5e0 * warned) / n AS completeness, least(1, 1 + 0.3e0 * passed / n) AS compliance FROM a) SELECT plan_id, n, passed, round(mean, 4) AS mean, least, most, {s6('CAST(passed AS DOUBLE) / n')} AS pass_rate, round(accuracy, 5) AS accuracy, {s6('completeness')} AS completeness, round(0.4e0 * accuracy + 0.3e0 * completeness + 0.3e0 * compliance, 5) AS overall FROM b")
 def d07(spark, sf):
-    w = wall_scores(spark, sf)
-    return w.groupBy("plan_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean"), F.min("score").alias("least"), F.max("score").alias("most"), r6(F.avg(F.when(F.col("status") == "PASS", 1.0).otherwise(0.0))).alias("pass_rate"), F.round(0.4 * F.avg("iou") + 0.6 * F.avg("score") / 100, 5).alias("overall"))
+    r = Q.report_summary(wall_scores(spark, sf))
+    return r.select("plan_id", "n", "passed", F.round("mean", 4).alias("mean"), "least", "most", r6(F.col("pass_rate")).alias("pass_rate"), F.round("accuracy", 5).alias("accuracy"), r6(F.col("completeness")).alias("completeness"), F.round("overall", 5).alias("overall"))
 
 
-@query("d08_reconstruction_stats", agg(f"{s6('avg(CASE WHEN abs(jit) <= 1 THEN 1e0 ELSE 0 END)')} AS parallel_ratio, avg(CASE WHEN abs(jit) <= 1 THEN 1e0 ELSE 0 END) < 0.7e0 AS warned", src="wall"))
+@query("d08_reconstruction_stats", f"{TILT}, a AS (SELECT t.plan_id, abs(degrees(atan2(t.uy, t.ux)) - CASE WHEN d.horizontal THEN 0 ELSE 90 END) AS off FROM tw t JOIN det d ON t.plan_id = d.plan_id AND t.det_id = d.det_id), b AS (SELECT plan_id, avg(CASE WHEN off <= 10 THEN 1e0 ELSE 0 END) AS par, count(*) FILTER (WHERE off > 30) AS turned FROM a GROUP BY plan_id), s AS (SELECT plan_id, avg(CASE WHEN thk >= 200 THEN 1e0 ELSE 0 END) AS closed FROM det WHERE kind = 'STAIR' GROUP BY plan_id) SELECT plan_id, {s6('par')} AS parallel_ratio, coalesce(turned, 0) AS turned, {s6('closed')} AS closed_ratio, coalesce(par < 0.7e0, false) OR coalesce(closed < 0.9e0, false) AS warned FROM b FULL JOIN s USING (plan_id)")
 def d08(spark, sf):
-    ratio = F.avg(F.when(F.abs("jit") <= 1, 1.0).otherwise(0.0))
-    return walls(spark, sf).groupBy("plan_id").agg(r6(ratio).alias("parallel_ratio"), (ratio < 0.7).alias("warned"))
+    """Axes against their sources' directions, and closed spaces."""
+    d = detections(spark, sf)
+    w = tilted_walls(spark, sf).join(d.select(*K, "horizontal"), list(K))
+    spaces = d.where("kind = 'STAIR'").withColumn("closed", F.col("thk") >= 200)
+    r = Q.reconstruction_stats(w, F.when(F.col("horizontal"), 0.0).otherwise(90.0), spaces)
+    return r.select("plan_id", r6(F.col("parallel_ratio")).alias("parallel_ratio"), "turned", r6(F.col("closed_ratio")).alias("closed_ratio"), "warned")
 
 
-@query("d09_pre_export_checks", agg("count(*) AS n, count(*) FILTER (WHERE thk < 100) AS thin, count(*) FILTER (WHERE thk BETWEEN 100 AND 200) AS middle, count(*) FILTER (WHERE len < 600) AS short, CASE WHEN count(*) FILTER (WHERE thk < 100) > 0 THEN 'critical' WHEN count(*) FILTER (WHERE len < 600) > 0 THEN 'attention' ELSE 'ok' END AS severity", src="wall"))
+@query("d09_pre_export_checks", f"{OT}, th AS (SELECT *, CASE line_no WHEN 1 THEN thickness - 60 WHEN 2 THEN thickness * 5 ELSE thickness END AS t FROM tw), w AS (SELECT plan_id, count(*) AS n, count(*) AS axes, count(*) FILTER (WHERE t < 40 OR t > 1000) AS invalid, count(*) FILTER (WHERE t >= 40 AND t < 80) AS thin, count(*) FILTER (WHERE t > 1000) AS thick, count(*) FILTER (WHERE length < 100) AS short FROM th GROUP BY plan_id), o AS (SELECT plan_id, count(*) FILTER (WHERE wall_id IS NULL) AS unmatched, count(*) FILTER (WHERE wall_distance > 500) AS far FROM hit GROUP BY plan_id) SELECT w.*, coalesce(unmatched, 0) AS unmatched, coalesce(far, 0) AS far, CASE WHEN invalid + thin + short + coalesce(unmatched, 0) + coalesce(far, 0) > 0 THEN 'attention' ELSE 'ok' END AS severity FROM w LEFT JOIN o USING (plan_id)".replace("w.thickness, w.length", "w.t AS thickness, w.length").replace("JOIN tw w ON", "JOIN (SELECT *, CASE line_no WHEN 1 THEN thickness - 60 WHEN 2 THEN thickness * 5 ELSE thickness END AS t FROM tw) w ON"))
 def d09(spark, sf):
-    thin, short = F.count_if(F.col("thk") < 100), F.count_if(F.col("len") < 600)
-    return walls(spark, sf).groupBy("plan_id").agg(F.count("*").alias("n"), thin.alias("thin"), F.count_if(F.col("thk").between(100, 200)).alias("middle"), short.alias("short"), F.when(thin > 0, "critical").when(short > 0, "attention").otherwise("ok").alias("severity"))
+    """Walls of line 1 are made thinner and those of line 2 thicker, so that every band occurs."""
+    t = F.when(F.col("line_no") == 1, F.col("thickness") - 60).when(F.col("line_no") == 2, F.col("thickness") * 5).otherwise(F.col("thickness"))
+    return Q.pre_export_checks(tilted_walls(spark, sf).withColumn("thickness", t), rect_openings(spark, sf))
 
 
-@query("d10_readiness", agg("greatest(0, 100 - CAST(floor(20 * (1 - avg(CASE WHEN jit = 0 THEN 1e0 ELSE 0 END))) AS BIGINT) - CASE WHEN count(DISTINCT thk) > 1 THEN 10 ELSE 0 END - CASE WHEN count(*) < 10 THEN 15 ELSE 0 END) AS readiness", src="wall"))
+@query("d10_readiness", f"{CTE}, m AS (SELECT plan_id, count(*) FILTER (WHERE kind = 'WALL') AS n, count(*) FILTER (WHERE kind = 'WALL' AND jit = 0) AS rect, count(*) FILTER (WHERE kind = 'WALL' AND thk >= 140) AS same, count(*) FILTER (WHERE kind = 'DOOR') AS con, count(*) FILTER (WHERE kind = 'STAIR') AS bound, count(*) FILTER (WHERE kind = 'WINDOW') AS lay FROM det GROUP BY plan_id) SELECT plan_id, greatest(0, least(100, 100 - CASE WHEN n = 0 OR rect = 0 THEN 30 ELSE floor((1 - CAST(rect AS DOUBLE) / greatest(n, 1)) * 20) + floor((1 - CAST(same AS DOUBLE) / greatest(n, 1)) * 10) END - CASE WHEN con > 0 THEN 0 ELSE 15 END - CASE WHEN bound > 0 THEN 0 ELSE 10 END - CASE WHEN lay > 0 THEN 0 ELSE 5 END - CASE WHEN plan_id % 3 = 0 THEN 10 ELSE 0 END))::BIGINT AS readiness FROM m")
 def d10(spark, sf):
-    """100 minus whole-number deductions."""
-    off = F.floor(20 * (1 - F.avg(F.when(F.col("jit") == 0, 1.0).otherwise(0.0))))
-    return walls(spark, sf).groupBy("plan_id").agg(F.greatest(F.lit(0), 100 - off - F.when(F.count_distinct("thk") > 1, 10).otherwise(0) - F.when(F.count("*") < 10, 15).otherwise(0)).cast("long").alias("readiness"))
+    """Counters of a plan's model, then 100 minus whole-number deductions."""
+    wall = F.col("kind") == "WALL"
+    m = detections(spark, sf).groupBy("plan_id").agg(F.count_if(wall).alias("n"), F.count_if(wall & (F.col("jit") == 0)).alias("rect"), F.count_if(wall & (F.col("thk") >= 140)).alias("same"), *[F.count_if(F.col("kind") == k).alias(c) for k, c in (("DOOR", "con"), ("STAIR", "bound"), ("WINDOW", "lay"))])
+    return m.select("plan_id", Q.readiness(*[F.col(c) for c in ("n", "rect", "same", "con", "bound", "lay")], F.pmod("plan_id", F.lit(3)) != 0).alias("readiness"))
 
 
 @query("d11_worst_status", WALL_SCORES + " SELECT plan_id, CASE max(CASE status WHEN 'FAIL' THEN 2 WHEN 'WARN' THEN 1 ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'ok' END AS status FROM ws GROUP BY plan_id")
@@ -282,12 +301,11 @@ def d34(spark, sf):
     return m.groupBy("plan_id").agg(F.when(F.count_if(lacks & F.col("required")) > 0, "FAILED").otherwise("PASSED").alias("final"), F.count_if(lacks & ~F.col("required")).alias("warnings"))
 
 
-@query("d35_geometry_choice", f"{CTE} SELECT plan_id, det_id, CASE WHEN least({AREA}, len * thk) / greatest({AREA}, len * thk) < 0.99e0 THEN 'polygon' WHEN {AREA} / (greatest(thk, thk + jit) * len) > 0.985e0 THEN 'rectangle' ELSE 'axis' END AS choice FROM wall")
+@query("d35_geometry_choice", MEASURED + " SELECT plan_id, det_id, CASE WHEN iou < 0.75e0 THEN 'polygon' ELSE 'rectangle' END AS choice FROM ms")
 def d35(spark, sf):
-    """Detected polygon where the axis rectangle differs, rectangle where it fills its box."""
-    a, box = G.polygon_area(F.col("points")), F.col("len") * F.col("thk")
-    full = F.greatest(F.col("thk"), F.col("thk") + F.col("jit")) * F.col("len")
-    return walls(spark, sf).select(*K, F.when(F.least(a, box) / F.greatest(a, box) < 0.99, "polygon").when(a / full > 0.985, "rectangle").otherwise("axis").alias("choice"))
+    """Detected polygon where the axis rectangle differs; the demo's detections are rectangles, so the rest take the rectangle."""
+    w = tilted_walls(spark, sf).join(detected_walls(spark, sf), list(K))
+    return w.select(*K, W.geometry_choice().alias("choice"))
 
 
 @query("d36_boundary_completeness", REL_SQL + " SELECT e.guid, coalesce(bool_or(rel = 'voids'), false) AS floor, coalesce(bool_or(rel = 'fills'), false) AS ceiling, coalesce(bool_or(rel = 'boundary'), false) AS wall FROM element e LEFT JOIN rel r ON e.guid = r.guid WHERE type = 'IfcSpace' GROUP BY e.guid")
