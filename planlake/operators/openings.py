@@ -29,9 +29,10 @@ def with_vertical(openings: DataFrame, depth: Column) -> DataFrame:
 
 def centred(openings: DataFrame, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
     """key, o_id, o_cx, o_cy, o_angle (degrees), o_points, o_kind."""
-    box = G.oriented_rect(F.col("points"))
-    o = openings.select(key, F.col(id_col).alias("o_id"), F.col("points").alias("o_points"), F.col("kind").alias("o_kind"), G.centroid(F.col("points")).alias("__c"), box.alias("__b"))
-    return o.select(key, "o_id", "o_points", "o_kind", F.col("__c.x").alias("o_cx"), F.col("__c.y").alias("o_cy"), G.line_angle(F.lit(0.0), F.lit(0.0), F.col("__b.dx"), F.col("__b.dy")).alias("o_angle"))
+    angle = G.let(G.oriented_rect(F.col("points")), lambda b: G.line_angle(F.lit(0.0), F.lit(0.0), b["dx"], b["dy"]))
+    c = G.let(F.col("points"), G.centroid)
+    o = openings.select(key, F.col(id_col).alias("o_id"), F.col("points").alias("o_points"), F.col("kind").alias("o_kind"), F.struct(c.alias("c"), angle.alias("angle")).alias("__m"))
+    return o.select(key, "o_id", "o_points", "o_kind", F.col("__m.c.x").alias("o_cx"), F.col("__m.c.y").alias("o_cy"), F.col("__m.angle").alias("o_angle"))
 
 
 def sided(walls: DataFrame, key: str = "plan_id", id_col: str = "det_id", thick: bool = False) -> DataFrame:
@@ -79,6 +80,36 @@ def assign_openings(openings: DataFrame, walls: DataFrame, max_distance: float =
     return openings.select(key, id_col).distinct().join(found, [key, id_col], "left")
 
 
+def place_openings(openings: DataFrame, walls: DataFrame, max_distance: float = 100.0, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
+    """C4: each opening's nearest wall axis within ``max_distance``: key, id, wall_id, axis_distance, s; nulls without one, ties by wall id."""
+    best = best_match(near_axes(openings, walls, max_distance, key, id_col), [key, "o_id"], [F.col("axis_distance"), F.col("w_id")])
+    best = best.select(key, F.col("o_id").alias(id_col), F.col("w_id").alias("wall_id"), "axis_distance", "s")
+    return openings.select(key, id_col).distinct().join(best, [key, id_col], "left")
+
+
+def substitute_openings(placed: DataFrame, others: DataFrame, walls: DataFrame, far: float = 20.0, least_confidence: float = 0.85, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
+    """For placed openings farther than ``far`` from their wall, another model's confident opening within ``far`` of that wall.
+
+    key, id, other. ``others`` are openings with a confidence. Each takes the candidate nearest to it along the wall; one that several
+    want goes to the nearest of them, so the result doesn't depend on the order of rows; the others then stay as they are.
+    """
+    n = G.hypot(F.col("w_x2") - F.col("w_x1"), F.col("w_y2") - F.col("w_y1"))
+    near = near_axes(others.where(F.col("confidence") > least_confidence), walls, far, key, id_col).where(F.col("axis_distance") < far)
+    near = near.select(key, F.col("w_id").alias("wall_id"), F.col("o_id").alias("other"), F.col("s").alias("__t"), n.alias("__n")).distinct()
+    want = placed.where(F.col("axis_distance") > far).select(key, id_col, "wall_id", "s")
+    pairs = want.join(near, [key, "wall_id"]).withColumn("__d", F.round(F.abs(F.col("s") - F.col("__t")) * F.col("__n"), 6))
+    one = best_match(pairs, [key, id_col], [F.col("__d"), F.col("other")])
+    return best_match(one, [key, "other"], [F.col("__d"), F.col(id_col)]).select(key, id_col, "other")
+
+
+def uncovered(openings: DataFrame, others: DataFrame, least: float = 0.5, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
+    """The openings (all columns) that no other opening overlaps by an IoU above ``least``; rings may have any angle, others must be convex."""
+    boxed = lambda df, p: df.select(key, F.col(id_col).alias(f"{p}id"), F.col("points").alias(f"{p}points"), *[v.alias(f"{p}{n}") for n, v in zip(("lx", "ly", "hx", "hy"), (G.bounds(F.col("points"))[c] for c in ("x0", "y0", "x1", "y1")), strict=True)])
+    pairs = grid_join(boxed(openings, "a_"), boxed(others, "b_"), ("a_lx", "a_ly", "a_hx", "a_hy"), ("b_lx", "b_ly", "b_hx", "b_hy"), key=key)
+    hit = pairs.where(G.iou(F.col("b_points"), F.col("a_points")) > least).select(key, F.col("a_id").alias(id_col))
+    return openings.join(hit, [key, id_col], "left_anti")
+
+
 def on_wall(assigned: DataFrame, openings: DataFrame, walls: DataFrame, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
     """Assigned openings with their wall's columns and the opening's spans along and across its axis (C31): span_from, span_to, width, cross."""
     o = centred(openings, key, id_col).join(assigned.select(key, F.col(id_col).alias("o_id"), F.col("wall_id").alias("w_id")), [key, "o_id"])

@@ -59,16 +59,6 @@ def d04(spark, sf):
     return c.select("plan_id", r6(Q.quality_score(*[F.col(x) for x in ("n", "valid", "spaces", "closed", "axes", "parallel", "mean", "errors")])).alias("score"))
 
 
-@query("d05_plan_qa", agg("count(*) FILTER (WHERE kind = 'WALL' AND len < 500) AS short_walls, count(*) FILTER (WHERE kind IN ('DOOR', 'WINDOW') AND confidence < 0.5e0) AS weak_openings, count(*) FILTER (WHERE kind = 'STAIR' AND thk < 200) AS thin_rooms, count(*) FILTER (WHERE (kind = 'WALL' AND len < 500) OR (kind IN ('DOOR', 'WINDOW') AND confidence < 0.5e0) OR (kind = 'STAIR' AND thk < 200)) AS total"))
-def d05(spark, sf):
-    """Issue lists as rows, then a pivot by category."""
-    d = detections(spark, sf)
-    issue = F.when((F.col("kind") == "WALL") & (F.col("len") < 500), "short_walls").when(F.col("kind").isin("DOOR", "WINDOW") & (F.col("confidence") < 0.5), "weak_openings").when((F.col("kind") == "STAIR") & (F.col("thk") < 200), "thin_rooms")
-    names = ["short_walls", "weak_openings", "thin_rooms"]
-    p = d.withColumn("issue", issue).groupBy("plan_id").pivot("issue", names).count().na.fill(0, names)
-    return p.select("plan_id", *names, (F.col(names[0]) + F.col(names[1]) + F.col(names[2])).alias("total"))
-
-
 #: The built walls are the tilted ones; the detected ones are longer, thicker and moved along and across by the row's numbers.
 MEASURED = f"""{TILT}, g AS (SELECT *, length + jit * 30 AS dlen, thickness + jit * 10 + 1 AS dthk, jit * 4 AS a0, line_no * 6 AS c0 FROM tw),
     o AS (SELECT *, greatest(0, least(length, a0 + dlen) - greatest(0, a0)) * greatest(0, least(thickness / 2, c0 + dthk / 2) - greatest(-thickness / 2, c0 - dthk / 2)) AS common FROM g),
@@ -428,13 +418,6 @@ def g02(spark, sf):
     return t.intersect(c).select(F.lit("match").alias("side"), "*").unionByName(t.subtract(c).select(F.lit("missing").alias("side"), "*"))
 
 
-@query("g03_opening_union", f"{CTE} SELECT plan_id, det_id, 'placed' AS origin FROM opening WHERE confidence >= 0.5e0 UNION ALL SELECT plan_id, det_id, 'fallback' FROM opening WHERE confidence < 0.5e0")
-def g03(spark, sf):
-    o = openings(spark, sf)
-    part = lambda c, n: o.where(c).select(*K, F.lit(n).alias("origin"))
-    return part("confidence >= 0.5", "placed").unionByName(part("confidence < 0.5", "fallback"))
-
-
 @query("g04_layer_union", f"{CTE} SELECT plan_id, det_id, 'wall' AS layer, thk, NULL::DOUBLE AS length FROM wall UNION ALL SELECT plan_id, det_id, 'axis', NULL, len FROM wall")
 def g04(spark, sf):
     w = walls(spark, sf)

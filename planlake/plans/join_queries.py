@@ -126,11 +126,15 @@ def nearest_sql(cond: str, order: str, cols: str = ", r.distance") -> str:
     return f"{OW}, r AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY {order}, wall_id) AS k FROM ow WHERE {cond}) SELECT DISTINCT o.plan_id, o.det_id, r.wall_id{cols} FROM o LEFT JOIN r ON o.plan_id = r.plan_id AND o.det_id = r.det_id AND k = 1"
 
 
-#: Openings against tilted walls: place along and across the axis, distances to the axis and to the wall's rectangle.
-OT = TILT + """, m0 AS (SELECT o.*, w.det_id AS wall_id, w.thickness, w.length, w.x1, w.y1, w.x2, w.y2, (cx - w.x1) * w.ux + (cy - w.y1) * w.uy AS along, (cy - w.y1) * w.ux - (cx - w.x1) * w.uy AS across,
-    degrees(atan2(w.uy, w.ux)) AS wall_angle, w.ux, w.uy FROM op o JOIN tw w ON o.plan_id = w.plan_id),
-m1 AS (SELECT *, greatest(0, -along, along - length) AS beyond, greatest(0, abs(across) - thickness / 2) AS beside, abs(CASE WHEN horizontal THEN 0 ELSE 90 END - wall_angle) AS turned FROM m0),
-m AS (SELECT *, least(1, greatest(0, along / length)) AS s, round(sqrt(beyond ** 2 + across ** 2) + 1e-9, 6) AS axis_distance, round(sqrt(beyond ** 2 + beside ** 2) + 1e-9, 6) AS wall_distance FROM m1),
+def measured(name: str, source: str) -> str:
+    """SQL: CTE ``name`` of openings against tilted walls: place along and across the axis, distances to the axis and to the wall's rectangle."""
+    return f"""{name}0 AS (SELECT o.*, w.det_id AS wall_id, w.thickness, w.length, w.x1, w.y1, w.x2, w.y2, (cx - w.x1) * w.ux + (cy - w.y1) * w.uy AS along, (cy - w.y1) * w.ux - (cx - w.x1) * w.uy AS across,
+    degrees(atan2(w.uy, w.ux)) AS wall_angle, w.ux, w.uy FROM {source} o JOIN tw w ON o.plan_id = w.plan_id),
+{name}1 AS (SELECT *, greatest(0, -along, along - length) AS beyond, greatest(0, abs(across) - thickness / 2) AS beside, least(abs(CASE WHEN horizontal THEN 0 ELSE 90 END - wall_angle), 180 - abs(CASE WHEN horizontal THEN 0 ELSE 90 END - wall_angle)) AS turned FROM {name}0),
+{name} AS (SELECT *, least(1, greatest(0, along / length)) AS s, round(sqrt(beyond ** 2 + across ** 2) + 1e-9, 6) AS axis_distance, round(sqrt(beyond ** 2 + beside ** 2) + 1e-9, 6) AS wall_distance FROM {name}1)"""
+
+
+OT = f"{TILT}, {measured('m', 'op')}," + """
 near AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY axis_distance, wall_distance, turned, wall_id) AS k FROM m WHERE axis_distance <= 500 AND turned <= 30),
 far AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY wall_distance, wall_id) AS k FROM m),
 hit AS (SELECT DISTINCT o.plan_id, o.det_id, coalesce(n.wall_id, f.wall_id) AS wall_id, n.axis_distance, coalesce(n.wall_distance, f.wall_distance) AS wall_distance, n.turned AS degrees
@@ -155,17 +159,19 @@ def c03(spark, sf):
     return a.withColumn("degrees", r6(F.col("degrees")))
 
 
-@query("c04_place_openings", nearest_sql("distance <= 100", "distance", f", r.distance, {s6('r.s')} AS s"))
+PLACE = f"{TILT}, {measured('m', 'op')}, pk AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY axis_distance, wall_id) AS k FROM m WHERE axis_distance <= 100), placed AS (SELECT DISTINCT o.plan_id, o.det_id, wall_id, axis_distance, p.s FROM op o LEFT JOIN pk p ON o.plan_id = p.plan_id AND o.det_id = p.det_id AND k = 1)"
+
+
+@query("c04_place_openings", f"{PLACE} SELECT plan_id, det_id, wall_id, axis_distance, {s6('s')} AS s FROM placed")
 def c04(spark, sf):
-    o, pairs = near_walls(spark, sf, 100.0)
-    best = best_match(pairs, ["plan_id", "o_det_id"], [F.col("distance"), F.col("w_det_id")])
-    return with_nearest(o, best, F.col("w_det_id").alias("wall_id"), "distance", r6(F.col("p.s")).alias("s"))
+    p = O.place_openings(rect_openings(spark, sf), tilted_walls(spark, sf))
+    return p.withColumn("s", r6(F.col("s")))
 
 
-def second_model(df):
-    """The same openings moved by up to 60 px, as another model sees them."""
-    shift = F.pmod("x0", F.lit(60.0))
-    return df.withColumns({c: F.col(c) + shift for c in ("x0", "bx")})
+def moved_openings(spark, sf, step: int = 60):
+    """The same openings moved by up to ``step`` px, as another model sees them."""
+    shift = F.pmod("x0", F.lit(float(step)))
+    return rect_openings(spark, sf).withColumn("points", F.transform("points", lambda p: G.point(p["x"] + F.pmod(F.col("x0"), F.lit(float(step))), p["y"]))).withColumns({c: F.col(c) + shift for c in ("bx", "cx")})
 
 
 SHIFT = "(x0 % 60)"
@@ -173,30 +179,19 @@ IOU = "greatest(0, least(a.bx, b.bx) - greatest(a.x0, b.x0)) * greatest(0, least
 UNION = f"((a.bx - a.x0) * (a.by_ - a.y0) + (b.bx - b.x0) * (b.by_ - b.y0) - {IOU})"
 
 
-def box(prefix: str):
-    return [F.col(f"{prefix}{c}") for c in BOX]
+THIRD = f"op3 AS (SELECT * REPLACE (x0 + {SHIFT} AS x0, bx + {SHIFT} AS bx, cx + {SHIFT} AS cx) FROM op), {measured('t', 'op3')}, cand AS (SELECT DISTINCT plan_id, wall_id, det_id AS other, s, length FROM t WHERE confidence > 0.85e0 AND axis_distance < 20), want AS (SELECT p.*, c.other, round(abs(p.s - c.s) * c.length, 6) AS d FROM placed p JOIN cand c USING (plan_id, wall_id) WHERE axis_distance > 20), w1 AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY d, other) AS k FROM want), w2 AS (SELECT *, row_number() OVER (PARTITION BY plan_id, other ORDER BY d, det_id) AS u FROM w1 WHERE k = 1), instead AS (SELECT plan_id, det_id, other FROM w2 WHERE u = 1)"
 
 
-@query("c05_substitute_openings", f"{CTE}, m3 AS (SELECT plan_id, det_id, x0 + {SHIFT} AS x0, y0, bx + {SHIFT} AS bx, by_, confidence FROM opening), p AS (SELECT a.plan_id, a.det_id, b.det_id AS other, abs((a.x0 + a.bx) / 2 - (b.x0 + b.bx) / 2) + abs((a.y0 + a.by_) / 2 - (b.y0 + b.by_) / 2) AS d FROM opening a JOIN m3 b ON a.plan_id = b.plan_id WHERE b.confidence > 0.85e0), near AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY d, other) AS k FROM p WHERE d < 20), one AS (SELECT *, row_number() OVER (PARTITION BY plan_id, other ORDER BY d, det_id) AS u FROM near WHERE k = 1) SELECT plan_id, det_id, other, {s6('d')} AS d FROM one WHERE u = 1")
+@query("c05_substitute_openings", f"{PLACE}, {THIRD} SELECT * FROM instead")
 def c05(spark, sf):
-    """The nearest confident opening of the other model within 20; a candidate used by several goes to the nearest."""
-    a = renamed(openings(spark, sf), "a_", ["det_id", *BOX])
-    b = renamed(second_model(openings(spark, sf)).where("confidence > 0.85"), "b_", ["det_id", *BOX])
-    mid = lambda p, i, j: (F.col(f"{p}{i}") + F.col(f"{p}{j}")) / 2
-    d = F.abs(mid("a_", "x0", "bx") - mid("b_", "x0", "bx")) + F.abs(mid("a_", "y0", "by_") - mid("b_", "y0", "by_"))
-    pairs = grid_join(a, b, tuple(f"a_{c}" for c in BOX), tuple(f"b_{c}" for c in BOX), 20.0).withColumn("d", d).where("d < 20")
-    near = best_match(pairs, ["plan_id", "a_det_id"], [F.col("d"), F.col("b_det_id")])
-    one = best_match(near, ["plan_id", "b_det_id"], [F.col("d"), F.col("a_det_id")])
-    return one.select("plan_id", F.col("a_det_id").alias("det_id"), F.col("b_det_id").alias("other"), r6(F.col("d")).alias("d"))
+    """Placed openings more than 20 off their wall, replaced by the other model's confident opening on it."""
+    w = tilted_walls(spark, sf)
+    return O.substitute_openings(O.place_openings(rect_openings(spark, sf), w), moved_openings(spark, sf), w)
 
 
 @query("c06_uncovered", f"{CTE}, m3 AS (SELECT plan_id, det_id, x0 + {SHIFT} AS x0, y0, bx + {SHIFT} AS bx, by_ FROM opening WHERE confidence >= 0.5e0) SELECT plan_id, det_id FROM opening a WHERE NOT EXISTS (SELECT 1 FROM m3 b WHERE a.plan_id = b.plan_id AND {IOU} > 0.5e0 * {UNION})")
 def c06(spark, sf):
-    a = openings(spark, sf)
-    b = renamed(second_model(a).where("confidence >= 0.5"), "b_", ["det_id", *BOX])
-    pairs = grid_join(renamed(a, "a_", ["det_id", *BOX]), b, tuple(f"a_{c}" for c in BOX), tuple(f"b_{c}" for c in BOX))
-    hit = pairs.where(G.box_iou(box("a_"), box("b_")) > 0.5).select("plan_id", F.col("a_det_id").alias("det_id"))
-    return a.join(hit, ["plan_id", "det_id"], "left_anti").select("plan_id", "det_id")
+    return O.uncovered(rect_openings(spark, sf), moved_openings(spark, sf).where("confidence >= 0.5")).select("plan_id", "det_id")
 
 
 @query("c07_match_walls", f"{TILT}, m3 AS (SELECT plan_id, det_id, confidence, length, x1 - 12 * uy AS x1, y1 + 12 * ux AS y1, x2 - 12 * uy AS x2, y2 + 12 * ux AS y2 FROM tw), p AS (SELECT a.plan_id, a.det_id, b.det_id AS other, round(b.confidence * least(a.length, b.length) / greatest(a.length, b.length) * (1 - ({mid_line('a', 'b')}) / 30) * (1 - ({turn('a', 'b')}) / degrees(0.2e0)) + 1e-9, 6) AS score FROM tw a JOIN m3 b ON a.plan_id = b.plan_id WHERE {mid_line('a', 'b')} <= 30 AND {turn('a', 'b')} <= degrees(0.2e0)), r AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY score DESC, other) AS k FROM p) SELECT plan_id, det_id, other, score FROM r WHERE k = 1")
@@ -457,7 +452,7 @@ def c30(spark, sf):
     return O.fit_opening(assigned(spark, sf), rect_openings(spark, sf), w).select("plan_id", "det_id", F.col("step").cast("long").alias("step"), "iou")
 
 
-PLACED = """p AS (SELECT plan_id, det_id, wall_id, thickness, length, along, across, s, x1, y1, x2, y2, kind, (bx - x0) * ux + (by_ - y0) * uy AS span, (bx - x0) * uy + (by_ - y0) * ux AS side FROM hm), pl AS (SELECT *, greatest(span, CASE WHEN kind = 'DOOR' THEN 450 ELSE 600 END) AS width, greatest(least(thickness, greatest(side, least(thickness, 80))), least(thickness, 40)) AS depth FROM p)"""
+PLACED = """p AS (SELECT plan_id, det_id, wall_id, thickness, length, along, across, s, x1, y1, x2, y2, kind, (bx - x0) * abs(ux) + (by_ - y0) * abs(uy) AS span, (bx - x0) * abs(uy) + (by_ - y0) * abs(ux) AS side FROM hm), pl AS (SELECT *, greatest(span, CASE WHEN kind = 'DOOR' THEN 450 ELSE 600 END) AS width, greatest(least(thickness, greatest(side, least(thickness, 80))), least(thickness, 40)) AS depth FROM p)"""
 
 
 @query("c31_opening_placement", f"{OT}, {PLACED} SELECT plan_id, det_id, wall_id, {s6('width')} AS width, {s6('depth')} AS depth, {s6('x1 + s * (x2 - x1)')} AS cx, {s6('y1 + s * (y2 - y1)')} AS cy FROM pl")

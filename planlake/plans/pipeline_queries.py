@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from planlake.functions import geom as G
@@ -9,8 +11,14 @@ from planlake.functions import labels as L
 from planlake.functions.steps import STANDARD_STEPS, apply_steps, numpy_step, register_sql
 from planlake.plans import agg_queries as A
 from planlake.plans import join_queries as J
-from planlake.plans.demo import CTE, detections, walls
-from planlake.plans.registry import query, r6, s6
+from planlake.operators import merge as M
+from planlake.operators import openings as O
+from planlake.operators import quality as Q
+from planlake.operators import repair as R
+from planlake.operators import walls as W
+from planlake.plans import graph_queries as GQ
+from planlake.plans.demo import CTE, TILT, axis_walls, detections, rect_openings, tilted_walls, walls
+from planlake.plans.registry import SQL, query, r6, s6
 from planlake.plans.scalar_queries import AREA, EXT, near_sql
 from planlake.sources import readers, writers
 
@@ -63,13 +71,19 @@ def j03(spark, sf):
     return detections(spark, sf).select(*K, F.expr("round(polygon_area(points), 6) + 0D").alias("area"))
 
 
-@query("p01_clean_detections", f"{CTE}, ok AS (SELECT * FROM det WHERE confidence >= 0.5e0 AND {AREA} >= 30000) SELECT plan_id, det_id, kind, round_even(x1 / CASE WHEN kind = 'WALL' THEN 50e0 ELSE 10e0 END, 0) * CASE WHEN kind = 'WALL' THEN 50e0 ELSE 10e0 END AS x FROM ok")
+OP = TILT[TILT.index("op AS (") :]
+#: The demo's openings after cleaning: corners on the grid, sides square.
+CLEAN_OP = f"op AS (SELECT *, (x0 + bx) / 2 AS cx, (y0 + by_) / 2 AS cy FROM (SELECT plan_id, det_id, kind, confidence, horizontal, len, thk, {', '.join(f'round_even({c} / 5e0, 0) * 5e0 AS {n}' for c, n in (('x0', 'x0'), ('y0', 'y0'), ('x2', 'bx'), ('y3', 'by_')))} FROM det WHERE kind IN ('DOOR', 'WINDOW') AND {A.REASON} IS NULL))"
+
+
+@query("p01_clean_detections", f"SELECT d.plan_id, d.det_id, d.kind, d.x, c.wall_id, c.area AS clipped_area FROM ({CTE} SELECT plan_id, det_id, kind, round_even(x1 / 5e0, 0) * 5e0 AS x FROM det WHERE {A.REASON} IS NULL) d LEFT JOIN ({SQL['c10_nearest_wall_fix'].replace(OP, CLEAN_OP)}) c ON d.plan_id = c.plan_id AND d.det_id = c.det_id AND d.kind IN ('DOOR', 'WINDOW')")
 def p01(spark, sf):
-    """Validate, close, simplify, snap, straighten: one projection over the valid rows."""
-    grid = F.when(F.col("kind") == "WALL", 50.0).otherwise(10.0)
-    d = detections(spark, sf).where((F.col("confidence") >= 0.5) & (G.polygon_area(F.col("points")) >= 30000))
-    d = apply_steps(d, {"collinear": lambda p: G.drop_collinear(p, F.when(F.col("kind") == "WALL", 2.0).otherwise(0.5)), "grid": lambda p: G.snap_to_grid(p, grid), "right_angles": G.right_angle})
-    return d.select(*K, "kind", F.col("points")[0]["x"].alias("x"))
+    """Valid rows simplified, snapped, straightened; openings clipped to the nearest axis-parallel wall."""
+    d = detections(spark, sf).drop("x1", "y1", "x2", "y2")
+    upright = tilted_walls(spark, sf).where("ux IN (0, 1)")
+    c = R.clean_detections(d, A.reason(), upright)
+    area = F.when(F.size("clipped") > 0, G.polygon_area(F.col("clipped"))).otherwise(F.when(F.col("wall_id").isNotNull(), 0.0))
+    return c.select(*K, "kind", F.col("points")[0]["x"].alias("x"), "wall_id", r6(area).alias("clipped_area"))
 
 
 @query("p02_normalize", f"{CTE} SELECT plan_id, det_id, kind AS type, {EXT} AS is_external, {s6('x3 / 2')} AS x FROM det WHERE confidence >= 0.5e0 AND kind <> 'other'")
@@ -91,26 +105,79 @@ def p03(spark, sf):
     return w.select(*K, r6(G.hypot(F.col("s.x2") - F.col("s.x1"), F.col("s.y2") - F.col("s.y1"))).alias("length"), F.col("thk").alias("width"), r6(angle).alias("angle"))
 
 
-@query("p04_merge_models", f"{J.nearest_sql('distance <= 100', 'distance', ', r.distance, CASE WHEN r.wall_id IS NULL THEN 1 ELSE 0 END AS unplaced').replace('SELECT DISTINCT o.plan_id', ', res AS (SELECT DISTINCT o.plan_id')}) SELECT plan_id, count(wall_id) AS placed, sum(unplaced)::BIGINT AS unplaced FROM res GROUP BY plan_id")
+GRAPH_SQL = SQL["k01_wall_graph"]
+#: Counters and issues of each plan from the parts' SQL: connections (K1), overlaps (C18, within 20), hosts.
+QA_SQL = f"""SELECT w.plan_id, walls, connected, 0 AS connectivity_issues, coalesce(overlap_issues, 0) AS overlap_issues, coalesce(openings, 0) AS openings, coalesce(in_walls, 0) AS in_walls, coalesce(rooms, 0) AS rooms, coalesce(bounded, 0) AS bounded, coalesce(room_issues, 0) AS room_issues, coalesce(lost, 0) + coalesce(beyond, 0) AS opening_issues, coalesce(overlap_issues, 0) + coalesce(lost, 0) + coalesce(beyond, 0) + coalesce(room_issues, 0) AS total
+FROM (SELECT t.plan_id, count(*) AS walls, count(*) FILTER (WHERE neighbours > 0) AS connected FROM ({TILT} SELECT * FROM tw) t LEFT JOIN ({GRAPH_SQL}) k ON t.plan_id = k.plan_id AND t.det_id = k.det_id GROUP BY t.plan_id) w
+LEFT JOIN (SELECT plan_id, count(*) AS overlap_issues FROM ({SQL['c18_parallel_overlaps'].replace('< 200', '< 20')}) GROUP BY plan_id) o ON w.plan_id = o.plan_id
+LEFT JOIN ({{hosts}}) h ON w.plan_id = h.plan_id
+LEFT JOIN ({CTE} SELECT plan_id, count(*) AS rooms, count(*) FILTER (WHERE confidence >= 0.5e0) AS bounded, count(*) FILTER (WHERE thk < 200) AS room_issues FROM det WHERE kind = 'STAIR' GROUP BY plan_id) r ON w.plan_id = r.plan_id"""
+BEYOND = "round(along - span / 2, 6) < -10 OR round(along + span / 2 - length, 6) > 10"
+HOSTS_C3 = f"{J.OT}, {J.PLACED}, b AS (SELECT plan_id, count(*) AS in_walls, count(*) FILTER (WHERE {BEYOND}) AS beyond FROM pl GROUP BY plan_id), e AS (SELECT plan_id, count(*) AS openings, count(*) FILTER (WHERE wall_id IS NULL) AS lost FROM hit GROUP BY plan_id) SELECT e.plan_id, openings, lost, in_walls, beyond FROM e LEFT JOIN b ON e.plan_id = b.plan_id"
+
+
+def rooms(spark, sf):
+    """The demo's rooms: closed if at least 200 wide, bounded by walls if confident."""
+    d = detections(spark, sf).where("kind = 'STAIR'")
+    return d.select(*K, (F.col("len") * F.col("thk")).alias("area"), (F.col("thk") >= 200).alias("closed"), F.when(F.col("confidence") >= 0.5, 2).otherwise(0).alias("n_walls"))
+
+
+@query("d05_plan_qa", QA_SQL.format(hosts=HOSTS_C3))
+def d05(spark, sf):
+    """Counters and the four lists of issues by plan, counted."""
+    w = tilted_walls(spark, sf)
+    return Q.plan_qa(w, GQ.k01(spark, sf), rect_openings(spark, sf), J.assigned(spark, sf).select(*K, "wall_id"), rooms(spark, sf))
+
+
+MERGE_SQL = f"{J.PLACE}, {J.THIRD}, op2 AS (SELECT * REPLACE (x0 + x0 % 200 AS x0, bx + x0 % 200 AS bx, cx + x0 % 200 AS cx) FROM op WHERE confidence >= 0.4e0), bare AS (SELECT * FROM op2 a WHERE NOT EXISTS (SELECT 1 FROM op b WHERE a.plan_id = b.plan_id AND {J.IOU} > 0.5e0 * {J.UNION})), {J.measured('y', 'bare')}, yk AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY axis_distance, wall_id) AS k FROM y WHERE axis_distance <= 50), merged AS (SELECT p.plan_id, p.det_id, p.wall_id, i.other, CASE WHEN i.other IS NULL THEN 'first' ELSE 'third' END AS source FROM placed p LEFT JOIN instead i ON p.plan_id = i.plan_id AND p.det_id = i.det_id WHERE p.wall_id IS NOT NULL UNION ALL SELECT DISTINCT plan_id, det_id, wall_id, NULL, 'second' FROM yk WHERE k = 1)"
+
+
+def models(spark, sf):
+    """Openings of three models: the demo's, those moved a little, those moved farther."""
+    return rect_openings(spark, sf), J.moved_openings(spark, sf), J.moved_openings(spark, sf, 200).where("confidence >= 0.4")
+
+
+@query("g03_opening_union", f"{MERGE_SQL} SELECT * FROM merged")
+def g03(spark, sf):
+    """First model's openings, those replaced by the third's, and what only the second saw."""
+    return M.merge_openings(tilted_walls(spark, sf), *models(spark, sf))
+
+
+HOSTS_P4 = f"{MERGE_SQL}, hm AS (SELECT DISTINCT m.*  FROM m JOIN merged g ON m.plan_id = g.plan_id AND m.det_id = g.det_id AND m.wall_id = g.wall_id AND g.source <> 'second'), {J.PLACED}, b AS (SELECT plan_id, count(*) AS in_walls, count(*) FILTER (WHERE {BEYOND}) AS beyond FROM pl GROUP BY plan_id), e AS (SELECT plan_id, count(*) AS openings, count(*) FILTER (WHERE wall_id IS NULL) AS lost FROM placed GROUP BY plan_id) SELECT e.plan_id, openings, lost, in_walls, beyond FROM e LEFT JOIN b ON e.plan_id = b.plan_id"
+
+
+@query("p04_merge_models", f"SELECT q.plan_id, v.verdict, coalesce(matched, 0) AS matched, coalesce(own, 0) AS own, coalesce(instead, 0) AS instead, coalesce(added, 0) AS added, q.connected, q.in_walls, q.total FROM ({QA_SQL.format(hosts=HOSTS_P4)}) q LEFT JOIN ({SQL['c34_coregistration']}) v ON q.plan_id = v.plan_id LEFT JOIN (SELECT plan_id, count(*) AS matched FROM ({SQL['c07_match_walls']}) GROUP BY plan_id) c ON q.plan_id = c.plan_id LEFT JOIN (SELECT plan_id, count(*) FILTER (WHERE source = 'first') AS own, count(*) FILTER (WHERE source = 'third') AS instead, count(*) FILTER (WHERE source = 'second') AS added FROM ({MERGE_SQL} SELECT * FROM merged) GROUP BY plan_id) g ON q.plan_id = g.plan_id")
 def p04(spark, sf):
-    """Openings of the first model placed on walls, the rest left to the other models, counted by plan."""
-    placed = J.c04(spark, sf)
-    return placed.groupBy("plan_id").agg(F.count("wall_id").alias("placed"), F.count_if(F.col("wall_id").isNull()).alias("unplaced"))
+    """Models of a plan: alignment, matched walls, openings by source, and the QA of the result."""
+    w = tilted_walls(spark, sf)
+    m = M.merge_models(w, J.shifted(w, 12.0), GQ.k01(spark, sf), *models(spark, sf), rooms(spark, sf))
+    matched = m.walls.groupBy("plan_id").agg(F.count("*").alias("matched"))
+    count = lambda source, name: F.count_if(F.col("source") == source).alias(name)
+    sources = m.openings.groupBy("plan_id").agg(count("first", "own"), count("third", "instead"), count("second", "added"))
+    out = m.qa.select("plan_id", "connected", "in_walls", "total").join(J.c34(spark, sf), "plan_id", "left").join(matched, "plan_id", "left").join(sources, "plan_id", "left")
+    return out.na.fill(0, ["matched", "own", "instead", "added"])
+
+
+#: The moved ends without rounding, so that what follows starts from the same figures in both engines.
+MOVED = re.sub(r"\(round\(CAST\((coalesce\([pq]\.[xy], a[xy][12]\)) AS DOUBLE\) \+ 1e-09, 6\) \+ 0\.0\)", r"\1", SQL["c14_close_gaps"])
+REPAIRED = f"{J.OT}, {J.PLACED}, sc AS (SELECT *, unnest([1e0, 0.98e0, 0.95e0, 0.9e0, 0.85e0, 0.8e0, 0.7e0, 0.6e0, 0.5e0]) AS scale FROM pl), fit AS (SELECT plan_id, det_id, max(scale) AS scale FROM sc WHERE scale * width / 2 <= round(length / 2 - abs(along - length / 2) - 5, 6) AND scale * depth / 2 <= round(thickness / 2 - abs(across) - 5, 6) AND (scale = 1 OR scale * width >= 100 AND scale * depth >= 40) GROUP BY plan_id, det_id) SELECT DISTINCT pl.plan_id, pl.det_id, wall_id, {s6('width')} AS width, {s6('depth')} AS depth FROM pl LEFT JOIN fit USING (plan_id, det_id)"
 
 
-@query("p05_repair_axes", f"{CTE} SELECT plan_id, det_id, {near_sql('thk')} AS thickness, CASE WHEN horizontal THEN ay1 ELSE ax1 END AS line FROM wall WHERE len * thk >= 50000")
+@query("p05_repair_axes", REPAIRED.replace("tw AS (SELECT * FROM tilt WHERE kind = 'WALL')", f"tw AS (SELECT v.plan_id, v.det_id, sqrt((v.x2 - v.x1) ** 2 + (v.y2 - v.y1) ** 2) AS length, (v.x2 - v.x1) / sqrt((v.x2 - v.x1) ** 2 + (v.y2 - v.y1) ** 2) AS ux, (v.y2 - v.y1) / sqrt((v.x2 - v.x1) ** 2 + (v.y2 - v.y1) ** 2) AS uy, v.x1, v.y1, v.x2, v.y2, {near_sql('thk')} AS thickness FROM ({MOVED}) v JOIN det ON v.plan_id = det.plan_id AND v.det_id = det.det_id WHERE (v.x2 - v.x1) ** 2 + (v.y2 - v.y1) ** 2 > 0)"))
 def p05(spark, sf):
-    """Thickness to the standards, axes to the bases, small pieces out."""
-    w = walls(spark, sf).where(F.col("len") * F.col("thk") >= 50000)
-    w = w.withColumn("s", G.snap_axis(*[F.col(c) for c in ("ax1", "ay1", "ax2", "ay2")]))
-    return w.select(*K, G.snap_thickness(F.col("thk"), L.is_external(F.col("label"))).alias("thickness"), r6(F.when(F.col("horizontal"), F.col("s.y1")).otherwise(F.col("s.x1"))).alias("line"))
+    """Thickness to the standards, axes to the bases, gaps closed, openings assigned and placed anew."""
+    w = axis_walls(spark, sf).select(*K, "label", *W.AXIS, "thickness")
+    _, o = R.repair_axes(w, rect_openings(spark, sf), L.is_external(F.col("label")))
+    return o.select(*K, "wall_id", r6(F.col("width")).alias("width"), r6(F.col("depth")).alias("depth")).distinct()
 
 
-@query("p06_validation_report", A.WALL_SCORES + f", g AS (SELECT a.plan_id, count(*) AS gaps FROM wall a JOIN wall b ON a.plan_id = b.plan_id AND a.det_id < b.det_id WHERE {J.gap('a', 'b')} > 1 AND {J.gap('a', 'b')} <= 400 GROUP BY a.plan_id) SELECT ws.plan_id, round(avg(score), 4) AS mean, count(*) FILTER (WHERE status = 'FAIL') AS failed, coalesce(max(gaps), 0) AS gaps FROM ws LEFT JOIN g ON ws.plan_id = g.plan_id GROUP BY ws.plan_id")
+@query("p06_validation_report", f"SELECT s.plan_id, s.mean, s.passed, s.overall, c.severity, coalesce(g.gaps, 0) AS gaps FROM ({SQL['d07_report_summary']}) s LEFT JOIN ({SQL['d09_pre_export_checks']}) c ON s.plan_id = c.plan_id LEFT JOIN (SELECT plan_id, count(*) AS gaps FROM ({SQL['c12_gap_proposals']}) GROUP BY plan_id) g ON s.plan_id = g.plan_id")
 def p06(spark, sf):
-    w = A.wall_scores(spark, sf).groupBy("plan_id").agg(F.round(F.avg("score"), 4).alias("mean"), F.count_if(F.col("status") == "FAIL").alias("failed"))
+    """Checks before export, gap proposals, scores of every wall and their summary."""
     g = J.c12(spark, sf).groupBy("plan_id").agg(F.count("*").alias("gaps"))
-    return w.join(g, "plan_id", "left").select("plan_id", "mean", "failed", F.coalesce("gaps", F.lit(0)).alias("gaps"))
+    c = A.d09(spark, sf).select("plan_id", "severity")
+    r = A.d07(spark, sf).select("plan_id", "mean", "passed", "overall").join(c, "plan_id", "left").join(g, "plan_id", "left")
+    return r.na.fill(0, ["gaps"])
 
 
 @query("p07_model_compliance", J.REL_SQL + " SELECT type, count(*) AS n, count(*) FILTER (WHERE m.guid IS NULL) AS no_material, count(*) FILTER (WHERE s.guid IS NULL) AS no_storey FROM element e LEFT JOIN (SELECT DISTINCT guid FROM rel WHERE rel = 'material') m ON e.guid = m.guid LEFT JOIN (SELECT DISTINCT guid FROM rel WHERE rel = 'storey') s ON e.guid = s.guid GROUP BY type")
@@ -122,13 +189,19 @@ def p07(spark, sf):
     return e.groupBy("type").agg(F.count("*").alias("n"), lacks("m").alias("no_material"), lacks("s").alias("no_storey"))
 
 
-@query("p08_reconnect_proposals", f"{CTE}, ct AS (SELECT a.plan_id, CASE WHEN {J.BOX_GAP} = 0 THEN 'touch' ELSE 'gap' END AS contact FROM wall a JOIN wall b ON a.plan_id = b.plan_id AND a.det_id < b.det_id WHERE {J.BOX_GAP} <= 400) SELECT plan_id, count(*) FILTER (WHERE contact = 'touch') AS touching, count(*) FILTER (WHERE contact = 'gap') AS gaps, count(*) FILTER (WHERE contact = 'gap') = 0 AS closed FROM ct GROUP BY plan_id")
+@query("p08_reconnect_proposals", f"SELECT c.plan_id, touching, gaps, coalesce(shared, 0) AS shared, gaps = 0 AND coalesce(n_spaces, 0) > 0 AS closed FROM (SELECT plan_id, count(*) FILTER (WHERE contact = 'touch') AS touching, count(*) FILTER (WHERE contact = 'gap') AS gaps FROM ({SQL['c21_contact_proposals']}) GROUP BY plan_id) c LEFT JOIN (SELECT plan_id, sum(n_spaces)::BIGINT AS shared FROM ({SQL['c25_shared_spaces']}) GROUP BY plan_id) s ON c.plan_id = s.plan_id LEFT JOIN ({J.SPACES} SELECT plan_id, count(*) AS n_spaces FROM space GROUP BY plan_id) n ON c.plan_id = n.plan_id")
 def p08(spark, sf):
-    gaps = F.count_if(F.col("contact") == "gap")
-    return J.c21(spark, sf).groupBy("plan_id").agg(F.count_if(F.col("contact") == "touch").alias("touching"), gaps.alias("gaps"), (gaps == 0).alias("closed"))
+    """Contacts and gaps, spaces that both walls of a contact touch; rooms are closed if there are spaces and no gaps."""
+    c = J.c21(spark, sf).groupBy("plan_id").agg(F.count_if(F.col("contact") == "touch").alias("touching"), F.count_if(F.col("contact") == "gap").alias("gaps"))
+    s = J.c25(spark, sf).groupBy("plan_id").agg(F.sum("n_spaces").alias("shared"))
+    n = J.spaces(spark, sf).groupBy("plan_id").agg(F.count("*").alias("n_spaces"))
+    j = c.join(s, "plan_id", "left").join(n, "plan_id", "left").na.fill(0, ["shared", "n_spaces"])
+    return j.select("plan_id", "touching", "gaps", "shared", ((F.col("gaps") == 0) & (F.col("n_spaces") > 0)).alias("closed"))
 
 
-@query("p09_analyze", f"{CTE} SELECT label, count(*) AS n, count(*) FILTER (WHERE (x0 + bx) / 2 > 0 AND (x0 + bx) / 2 < 1500 AND (y0 + by_) / 2 > 0 AND (y0 + by_) / 2 < 6000) AS in_west FROM det GROUP BY label")
+@query("p09_analyze", f"SELECT d.label, d.n, d.valid, coalesce(z.n, 0) AS in_west, l.positive, l.negative FROM ({SQL['d01_class_counts']}) d LEFT JOIN ({SQL['c01_zone_counts']}) z ON d.label = z.label AND z.zone = 'west' LEFT JOIN ({SQL['c02_line_counts']}) l ON d.label = l.label")
 def p09(spark, sf):
-    zone = J.c01(spark, sf).where("zone = 'west'").select("label", F.col("n").alias("z"))
-    return A.d01(spark, sf).select("label", "n").join(zone, "label", "left").select("label", "n", F.coalesce("z", F.lit(0)).alias("in_west"))
+    """Counts by class, zone and side of a line."""
+    zone = J.c01(spark, sf).where("zone = 'west'").select("label", F.col("n").alias("in_west"))
+    line = J.c02(spark, sf).select("label", "positive", "negative")
+    return A.d01(spark, sf).select("label", "n", "valid").join(zone, "label", "left").join(line, "label", "left").na.fill(0, ["in_west"])
