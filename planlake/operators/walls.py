@@ -25,7 +25,8 @@ def cols(prefix: str, names: tuple[str, ...] = AXIS) -> tuple[Column, ...]:
 
 
 def with_box(walls: DataFrame, grow: Column | float = 0.0) -> DataFrame:
-    """+ the box of the axis, grown."""
+    """The walls whose ends are known, + the box of the axis, grown."""
+    walls = walls.where(" AND ".join(f"{c} IS NOT NULL" for c in AXIS))
     g = grow if isinstance(grow, Column) else F.lit(float(grow))
     return walls.withColumns({BOX[0]: F.least("x1", "x2") - g, BOX[1]: F.least("y1", "y2") - g, BOX[2]: F.greatest("x1", "x2") + g, BOX[3]: F.greatest("y1", "y2") + g})
 

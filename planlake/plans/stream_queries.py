@@ -12,7 +12,7 @@ US = "epoch_us(ts)"
 
 def events(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.withColumn("us", F.unix_micros("ts")).withColumn("key", F.pmod("user_id", F.lit(7)))
+    return e.withColumn("us", F.unix_micros("ts")).withColumn("key", F.col("user_id").cast("long"))
 
 
 @query("i01_rate_limit")
@@ -21,7 +21,7 @@ def i01(spark, sf):
     return streams.rate_limit_batch(events(spark, sf), 2, 20)
 
 
-@query("i02_request_rate", f"SELECT event_id, count(*) OVER (PARTITION BY user_id % 7 ORDER BY {US} RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS minute, count(*) OVER (PARTITION BY user_id % 7 ORDER BY {US} RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS hour FROM events")
+@query("i02_request_rate", f"SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY {US} RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS minute, count(*) OVER (PARTITION BY user_id ORDER BY {US} RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS hour FROM events")
 def i02(spark, sf):
     return streams.request_rate(events(spark, sf)).select("event_id", "minute", "hour")
 

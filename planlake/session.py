@@ -29,9 +29,11 @@ def build_session(app: str = "planlake", cpus: int | str = "*", shuffle_partitio
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where set, else (tests) an own one."""
+    """The folder all executors share: spark.checkpoint.dir where set; on a single machine (tests) an own one. A cluster must set it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "planlake-checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)

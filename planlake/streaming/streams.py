@@ -34,7 +34,7 @@ def admit(times: list[int], kept: list[int], per_minute: int, per_hour: int) ->
 
 def rate_limit_batch(events: DataFrame, per_minute: int = 60, per_hour: int = 1000) -> DataFrame:
     """I1 on a table (event_id, key, us): + admitted. Rows of a key are read in time order as a stream of batches,
-    so a key with very many rows is never held whole."""
+    so a key with very many rows is never held whole. Rows without a key or a time can't be charged to anyone and are admitted."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, kept = object(), []
@@ -47,8 +47,10 @@ def rate_limit_batch(events: DataFrame, per_minute: int = 60, per_hour: int = 10
                 flags += got
             yield frame.assign(admitted=flags)
 
-    rows = events.select("event_id", "key", "us").repartition("key").sortWithinPartitions("key", "us", "event_id")
-    return rows.mapInPandas(run, "event_id long, key long, us long, admitted boolean")
+    rows = events.select("event_id", F.col("key").cast("long").alias("key"), F.col("us").cast("long").alias("us"))
+    free = rows.where("key IS NULL OR us IS NULL").withColumn("admitted", F.lit(True))
+    rows = rows.where("key IS NOT NULL AND us IS NOT NULL").repartition("key").sortWithinPartitions("key", "us", "event_id")
+    return rows.mapInPandas(run, "event_id long, key long, us long, admitted boolean").unionByName(free)
 
 
 def rate_limit_stream(events: DataFrame, per_minute: int = 60, per_hour: int = 1000) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from planlake.functions import geom as G
 from planlake.functions import labels as L
 from planlake.functions.steps import apply_steps, numpy_step
+from planlake.operators import openings as O
+from planlake.operators import walls as W
 from planlake.operators.graph import components
 from planlake.operators.rooms import rooms_from_walls
 from planlake.sources import readers, writers
@@ -76,6 +78,11 @@ def test_rate_limit_fixture(spark):
     assert got == [True, True, True, False, True, False, True]
 
 
+def test_rate_limit_without_keys(spark):
+    e = spark.createDataFrame([(1, None, 5), (2, 7, 0), (3, 7, 1), (4, None, 5), (5, 7, None)], "event_id long, key long, us long")
+    assert {r["event_id"]: r["admitted"] for r in streams.rate_limit_batch(e, 1, 10).collect()} == {1: True, 2: True, 3: False, 4: True, 5: True}
+
+
 def test_rate_limit_against_a_direct_simulation(spark):
     rng = np.random.default_rng(3)
     data = [(i, int(rng.integers(3)), int(rng.integers(7200)) * 1_000_000) for i in range(600)]
@@ -182,3 +189,44 @@ def test_clean_stream_equals_batch(spark, tmp_path):
     q = live.writeStream.format("memory").queryName("cleaned").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(str, spark.table("cleaned").collect())) == sorted(map(str, streams.clean_stream(d, *steps).collect()))
+
+
+WALL = "plan_id long, det_id string, x1 double, y1 double, x2 double, y2 double, thickness double, confidence double"
+
+
+def test_walls_at_an_angle(spark):
+    # Fixed directions: (3, 4, 5) triangles.
+    rows = [(1, "a", 0.0, 0.0, 600.0, 800.0, 100.0, 0.9), (1, "b", 8.0, -6.0, 608.0, 794.0, 100.0, 0.5), (1, "c", 600.0, 800.0, 0.0, 1250.0, 100.0, 0.9), (1, "d", None, 0.0, 1.0, 1.0, 100.0, 0.9), (2, "a", 5.0, 5.0, 5.0, 5.0, 100.0, 0.9)]
+    w = spark.createDataFrame(rows, WALL)
+    assert [(r["a_det_id"], r["b_det_id"], r["how"]) for r in W.wall_connections(w).orderBy("a_det_id", "b_det_id").collect()] == [("a", "b", "near"), ("a", "c", "cross"), ("b", "c", "near")]
+    assert [(r["det_id"], r["other"]) for r in W.match_walls(w.where("det_id = 'a'"), w.where("det_id = 'b'")).collect()] == [("a", "b")]
+    assert {r["det_id"] for r in W.dedupe_lines(w.where("plan_id = 1")).collect()} == {"a", "c", "d"}
+    over = W.wall_overlaps(w).collect()
+    assert [(r["a_det_id"], r["b_det_id"]) for r in over] == [("a", "b")] and over[0]["overlap"] == pytest.approx(900, abs=1e-6)
+    assert {r["det_id"] for r in W.resolve_overlaps(w.where("x1 IS NOT NULL")).collect()} == {"a", "c"}
+    closed = {r["det_id"]: (r["x1"], r["y1"], r["x2"], r["y2"]) for r in W.close_gaps(w.where("det_id <> 'd'")).where("plan_id = 1").collect()}
+    assert closed["a"][2:] == closed["b"][2:] == closed["c"][:2] and closed["a"][:2] == (4.0, -3.0)
+
+
+def test_openings_far_from_every_axis(spark):
+    walls = spark.createDataFrame([(1, "near", 0.0, 0.0, 3000.0, 0.0, 200.0, 1.0), (1, "far", 0.0, 9000.0, 3000.0, 9000.0, 200.0, 1.0)], WALL)
+    ring = lambda x, y: [dict(x=x + a, y=y + b) for a, b in ((-450.0, -50.0), (450.0, -50.0), (450.0, 50.0), (-450.0, 50.0))]
+    o = spark.createDataFrame([(1, "on", "DOOR", ring(1000.0, 30.0)), (1, "off", "DOOR", ring(1000.0, 6000.0)), (3, "alone", "DOOR", ring(0.0, 0.0))], f"plan_id long, det_id string, kind string, points {RING}")
+    a = O.assign_openings(o, walls)
+    assert {r["det_id"]: (r["wall_id"], r["axis_distance"], r["wall_distance"]) for r in a.collect()} == {"on": ("near", 30.0, 0.0), "off": ("far", None, 2900.0), "alone": (None, None, None)}
+    placed = O.opening_placement(a, o, walls)
+    got = {r["det_id"]: (r["width"], r["depth"], r["cx"], r["cy"]) for r in placed.collect()}
+    assert got["on"] == pytest.approx((900.0, 100.0, 1000.0, 0.0))
+    assert {r["det_id"]: r["scale"] for r in O.fit_inside(placed, walls).collect()} == {"on": 1.0, "off": 1.0}
+    fit = {r["det_id"]: (r["step"], r["cy"]) for r in O.fit_opening(a, o, walls).collect()}
+    assert fit["on"] == (-10, 0.0) and fit["off"][0] is None
+    clipped = {r["det_id"]: r["area"] for r in O.clip_to_wall(o, walls).collect()}
+    assert clipped == {"on": pytest.approx(90_000.0), "off": None, "alone": None}
+
+
+def test_clip_against_concave_polygons(spark):
+    l_shape = [(0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4)]
+    square = [(1, 1), (1, 3), (3, 3), (3, 1)]  # turns the other way
+    df = rings(spark, l_shape, square).agg(F.max_by("points", -F.col("id")).alias("p"), F.max_by("points", "id").alias("q"))
+    got = df.select(G.shared_area(F.col("p"), F.col("q")).alias("a"), G.iou(F.col("q"), F.col("p")).alias("i")).first()
+    assert got["a"] == pytest.approx(3.0) and got["i"] == pytest.approx(3 / 13)
