@@ -13,37 +13,40 @@ MODEL = f"image struct<width: int, height: int>, inference_id string, time doubl
 WALL_CLASSES = ("internal-walls", "external-walls")
 
 
-def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """One row per prediction of each model file: file, image size, sequence and the prediction's fields."""
-    j = spark.read.schema(MODEL).option("multiLine", True).json(path)
-    rows = j.select(F.input_file_name().alias("file"), F.col("image.width").alias("image_width"), F.col("image.height").alias("image_height"), F.posexplode("predictions").alias("seq", "p"))
-    return rows.select("file", "image_width", "image_height", "seq", "p.*")
+def predictions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per prediction of each model document: file, inference_id, image size, sequence and the prediction's fields.
+
+    A file is one document, or has one per line where ``lines`` says so; then large files are split between tasks.
+    """
+    j = spark.read.schema(MODEL).option("multiLine", not lines).json(path)
+    rows = j.select(F.input_file_name().alias("file"), "inference_id", F.col("image.width").alias("image_width"), F.col("image.height").alias("image_height"), F.posexplode("predictions").alias("seq", "p"))
+    return rows.select("file", "inference_id", "image_width", "image_height", "seq", "p.*")
 
 
-def read_topology_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_topology_model(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """A1: (walls with two points or more, openings as the box of their points)."""
-    p = predictions(spark, path)
+    p = predictions(spark, path, lines)
     wall = F.col("class").isin(*WALL_CLASSES)
     b = G.bounds(F.col("points"))
-    return p.where(wall & (F.size("points") >= 2)), p.where(~wall & (F.size("points") > 0)).select("file", "seq", "class", "confidence", b.alias("box"))
+    return p.where(wall & (F.size("points") >= 2)), p.where(~wall & (F.size("points") > 0)).select("file", "inference_id", "seq", "class", "confidence", b.alias("box"))
 
 
-def read_room_model(spark: SparkSession, path: str) -> DataFrame:
+def read_room_model(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A2: rooms with three points or more."""
-    return predictions(spark, path).where((F.col("class") == "room") & (F.size("points") >= 3)).withColumn("area", G.polygon_area(F.col("points")))
+    return predictions(spark, path, lines).where((F.col("class") == "room") & (F.size("points") >= 3)).withColumn("area", G.polygon_area(F.col("points")))
 
 
-def read_box_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_box_model(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """A3: (walls as centrelines of their boxes, opening boxes); boxes without width or height are dropped.
 
     x and y are the box's centre; the centreline runs along the longer side.
     """
-    p = predictions(spark, path).where((F.col("width") > 0) & (F.col("height") > 0))
+    p = predictions(spark, path, lines).where((F.col("width") > 0) & (F.col("height") > 0))
     flat = F.col("width") >= F.col("height")
     x, y, w, h = (F.col(c) for c in ("x", "y", "width", "height"))
     line = F.struct(F.when(flat, x - w / 2).otherwise(x).alias("x1"), F.when(flat, y).otherwise(y - h / 2).alias("y1"), F.when(flat, x + w / 2).otherwise(x).alias("x2"), F.when(flat, y).otherwise(y + h / 2).alias("y2"))
-    walls = p.where(F.col("class") == "wall").select("file", "seq", "confidence", line.alias("line"), F.least(w, h).alias("thickness"))
-    return walls, p.where(F.col("class") != "wall").select("file", "seq", "class", "confidence", x.alias("cx"), y.alias("cy"), "width", "height")
+    walls = p.where(F.col("class") == "wall").select("file", "inference_id", "seq", "confidence", line.alias("line"), F.least(w, h).alias("thickness"))
+    return walls, p.where(F.col("class") != "wall").select("file", "inference_id", "seq", "class", "confidence", x.alias("cx"), y.alias("cy"), "width", "height")
 
 
 def coerce_points(points: Column) -> Column:
@@ -72,10 +75,10 @@ def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     return j.groupBy("id").agg(F.max_by(F.struct("status", "progress", "input_files", "meta"), F.struct("at", "file")).alias("j")).select("id", "j.*")
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """One row per feature: type (WALL by default), geometry type, ring or line; of several parts the largest or longest."""
+def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per feature (a file is one collection, or has one per line): type (WALL by default), geometry type, ring or line; of several parts the largest or longest."""
     schema = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
-    f = spark.read.schema(schema).option("multiLine", True).json(path).select(F.input_file_name().alias("file"), F.posexplode("features").alias("seq", "f"))
+    f = spark.read.schema(schema).option("multiLine", not lines).json(path).select(F.input_file_name().alias("file"), F.posexplode("features").alias("seq", "f"))
     c, kind = F.col("f.geometry.coordinates"), F.col("f.geometry.type")
     pts = lambda a: F.transform(a, lambda p: G.point(p[0], p[1]))
     ring = pts(F.from_json(c, "array<array<array<double>>>")[0])
@@ -86,7 +89,7 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     length = lambda p: G.fsum(F.transform(F.slice(G.edges(p), 1, F.size(p) - 1), lambda e: G.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"])))
     longest = F.array_max(F.transform(lines, lambda p: F.struct(length(p).alias("size"), p.alias("p"))))["p"]
     points = F.when(kind == "Polygon", ring).when(kind == "LineString", line).when(kind == "MultiPolygon", largest).when(kind == "MultiLineString", longest)
-    return f.select("file", "seq", F.coalesce(F.element_at("f.properties", "type"), F.lit("WALL")).alias("type"), kind.alias("geometry"), points.alias("points"))
+    return f.select("file", "seq", F.col("f.properties").alias("properties"), F.coalesce(F.element_at("f.properties", "type"), F.lit("WALL")).alias("type"), kind.alias("geometry"), points.alias("points"))
 
 
 def read_spf_entities(spark: SparkSession, path: str) -> DataFrame:
