@@ -6,7 +6,8 @@ the pivot's covering radius. Pairs of blocks whose balls lie farther than r apar
 cover tree: nested levels of centres whose radii halve (1, 1/2, 1/4), every node a contiguous range with its true
 covering radius. Two trees are walked together level by level: a pair of nodes at distance D with covering radii
 a, b is dropped if D > r + a + b, taken whole if D + a + b <= r, and otherwise replaced by the pairs of its
-children. At the leaves the cosine decides, in double precision, so the links are exact.
+children. At the leaves the cosine decides, in double precision, so the links are exact. The top levels are compared in
+single precision after a contraction to fewer coordinates, which only brings points nearer: what it drops is dropped for sure.
 
 A task returns link counts and a spanning forest of the links it found, never the pairs.
 """
@@ -35,6 +36,8 @@ BROADCAST_PAIRS = 500_000
 RADII = (1.0, 0.5, 0.25)
 SLACK = 1e-9
 PAIRS_AT_ONCE = 50_000
+ROWS_AT_ONCE = 256
+SINGLE_SLACK = 1e-5
 CENTRES_AT_ONCE = 256
 
 
@@ -52,6 +55,10 @@ class Tree:
 
     def __post_init__(self) -> None:
         self.unit = units(self.vec)
+        self.short: np.ndarray | None = None
+        # A coarse level that hardly gathers anything only loosens the bounds: walks begin below it.
+        counts = [len(lo) for lo, _, _ in self.levels]
+        self.top = next((i for i in range(len(counts) - 2) if 2 * counts[i] <= counts[i + 1]), len(counts) - 2)
 
     def dumps(self) -> bytes:
         return pickle.dumps((self.ids, self.weight, self.vec, self.levels), protocol=5)
@@ -63,6 +70,43 @@ def units(vec: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def contracted(unit: np.ndarray, cosine: float) -> np.ndarray:
+    """Some coordinates after a fixed rotation, and the length of the rest as one more: inner products of unit vectors only grow."""
+    dim = unit.shape[1]
+    k = int((1 - cosine) * dim + 5 * np.sqrt((1 - cosine) * dim + 16))
+    if k + 1 >= dim:
+        return unit.astype(np.float32)
+    turn, _ = np.linalg.qr(np.random.default_rng(0).normal(size=(dim, k)))
+    part = unit @ turn
+    rest = np.sqrt(np.maximum(0, 1 - (part * part).sum(1)))
+    return np.column_stack([part, rest]).astype(np.float32)
+
+
+def top_pairs(a: Tree, b: Tree, top: int, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of level ``top`` that may hold a link; of one tree each pair once, with itself too."""
+    for t in (a, b):
+        if t.short is None:
+            t.short = contracted(t.unit, cosine)
+    (la, _, ra), (lb, _, rb) = a.levels[top], b.levels[top]
+    reach = np.sqrt(2 - 2 * cosine) + SLACK
+    out = [(np.zeros(0, int), np.zeros(0, int))]
+    # Nodes of one point have one bound a row; only the others need one for every pair.
+    for cols in (np.flatnonzero(rb == 0), np.flatnonzero(rb > 0)):
+        radius, z = rb[cols], b.short[lb[cols]]
+        for i in range(0, len(la) if len(cols) else 0, ROWS_AT_ONCE):
+            j = int(np.searchsorted(cols, i)) if same else 0
+            if j == len(cols):
+                break
+            far = reach + ra[i : i + ROWS_AT_ONCE, None] + (radius[None, j:] if radius[0] else 0.0)
+            far = np.minimum(far, 2)
+            least = (1 - far * far / 2 - SINGLE_SLACK).astype(np.float32)
+            x, y = np.nonzero(a.short[la[i : i + ROWS_AT_ONCE]] @ z[j:].T >= least)
+            x, y = x + i, cols[y + j]
+            out.append((x[x <= y], y[x <= y]) if same else (x, y))
+    x, y = (np.concatenate(v) for v in zip(*out, strict=True))
+    return x, y
+
+
 def balls(unit: np.ndarray, points: np.ndarray, least: float) -> list[np.ndarray]:
     """The points in groups: the first point not yet taken is a centre and takes every free one at cosine >= ``least``."""
     out = []
@@ -108,16 +152,9 @@ def cover_tree(ids: np.ndarray, weight: np.ndarray, vec: np.ndarray) -> Tree:
 def walk(a: Tree, b: Tree, same: bool, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of point ranges (a from, a to, b from, b to) all of whose pairs link; for one tree each pair of points once, not with itself."""
     r = np.sqrt(2 - 2 * cosine)
-    (la, _, ra), (lb, _, rb) = a.levels[0], b.levels[0]
-    todo = []
-    for i in range(0, len(la), 128):
-        s = a.unit[la[i : i + 128]] @ b.unit[lb].T
-        far = np.minimum(r + SLACK + ra[i : i + 128, None] + rb[None, :], 2)
-        x, y = np.nonzero(s >= 1 - far * far / 2)
-        x += i
-        todo.append((x[x <= y], y[x <= y]) if same else (x, y))
-    x, y = (np.concatenate(v) for v in zip(*todo, strict=True)) if todo else (np.zeros(0, int), np.zeros(0, int))
-    for level in range(len(a.levels)):
+    top = max(a.top, b.top)
+    x, y = top_pairs(a, b, top, same, cosine)
+    for level in range(top, len(a.levels)):
         (la, ha, ra), (lb, hb, rb) = a.levels[level], b.levels[level]
         leaf = level == len(a.levels) - 1
         nx, ny = [], []
