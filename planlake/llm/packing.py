@@ -63,7 +63,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             cols = [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(n[doc]), pa.array(crc)]
             if with_ids:
                 stop = np.cumsum(length)
-                moved = ids[np.repeat(first - (stop - length), length) + np.arange(len(ids))]
+                kind = np.int32 if len(ids) < 1 << 31 else np.int64
+                moved = ids[np.repeat((first - (stop - length)).astype(kind), length) + np.arange(len(ids), dtype=kind)]
                 cols.append(pa.ListArray.from_arrays(np.concatenate([[0], stop]).astype(np.int32), moved.view(np.int32)))
             yield pa.record_batch(cols, names=names)
         if not keep_cache:

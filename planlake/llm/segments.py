@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
-MAX_CACHED = 400_000
+SLICE_BYTES = 3 << 20
+MAX_CACHED = 300_000
 JOINED = 256
+AT_ONCE = 16
 
 
 def join_words(words: pa.Array) -> list[str]:
@@ -66,7 +67,8 @@ class ByteBpe:
         stops = np.flatnonzero(np.asarray(pc.match_substring_regex(column, self.blank_end))) + 1
         at = np.union1d(np.arange(0, len(words), JOINED), stops[stops < len(words)]).tolist()
         joined = [" " + " ".join(words[i:j]) for i, j in zip(at, [*at[1:], len(words)], strict=True)]
-        ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.lib.encode_batch_fast(joined, add_special_tokens=False)])
+        # The library's results are much larger than their ids: a few at a time.
+        ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for i in range(0, len(joined), AT_ONCE) for e in self.lib.encode_batch_fast(joined[i : i + AT_ONCE], add_special_tokens=False)])
         ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(size), side="right")
         return ids, np.diff(ends, prepend=0)
 
@@ -157,8 +159,11 @@ class Coder:
     def rows(self, codes: np.ndarray) -> np.ndarray:
         """The rows of segments one after the other."""
         lens = self.size[codes]
+        total = int(lens.sum())
         shift = self.start[codes] - (np.cumsum(lens) - lens)
-        return self.pool[np.repeat(shift, lens) + np.arange(int(lens.sum()))]
+        if total + self.used < 1 << 31:  # half the memory
+            return self.pool[np.repeat(shift.astype(np.int32), lens) + np.arange(total, dtype=np.int32)]
+        return self.pool[np.repeat(shift, lens) + np.arange(total)]
 
 
 @lru_cache(maxsize=1)
