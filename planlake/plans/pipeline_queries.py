@@ -18,7 +18,7 @@ from planlake.operators import repair as R
 from planlake.operators import walls as W
 from planlake.plans import graph_queries as GQ
 from planlake.plans.demo import CTE, TILT, axis_walls, detections, rect_openings, tilted_walls, walls
-from planlake.plans.registry import SQL, query, r6, s6
+from planlake.plans.registry import QUERIES, SQL, query, r6, s6
 from planlake.plans.scalar_queries import AREA, EXT, near_sql
 from planlake.sources import readers, writers
 
@@ -95,14 +95,12 @@ def p02(spark, sf):
     return d.select(*K, "type", L.is_external(F.col("label")).alias("is_external"), r6(F.col("p")[2]["x"]).alias("x"))
 
 
-@query("p03_wall_axes", f"{CTE} SELECT plan_id, det_id, len AS length, thk AS width, CASE WHEN horizontal THEN 0e0 ELSE 90e0 END AS angle FROM wall WHERE len >= 60 AND thk BETWEEN 40 AND 1000")
+@query("p03_wall_axes", f"{J.LABELS}, tied AS (SELECT plan_id, split_part(id, '#', 1) AS det_id, count(DISTINCT id) AS n FROM lab GROUP BY 1, 2), kept AS (SELECT w.* FROM wall w LEFT JOIN tied t ON w.plan_id = t.plan_id AND w.det_id = t.det_id WHERE NOT (len < 1500 AND coalesce(t.n, 0) >= 2)), pw AS (SELECT plan_id, sum(thk * len) / sum(len) AS plan_width FROM kept GROUP BY plan_id) SELECT k.plan_id, det_id, 'rectangle' AS method, {s6('len')} AS length, {s6('thk')} AS width, CASE WHEN horizontal THEN 0e0 ELSE 90e0 END AS angle, {s6('plan_width')} AS plan_width FROM kept k JOIN pw USING (plan_id)")
 def p03(spark, sf):
-    """Rectangle axis, validity, snapped to the bases."""
-    w = walls(spark, sf).where((F.col("len") >= 60) & F.col("thk").between(40, 1000))
-    s = G.snap_axis(*[F.col(c) for c in ("ax1", "ay1", "ax2", "ay2")])
-    w = w.withColumn("s", s)
-    angle = G.line_angle(*[F.col(f"s.{c}") for c in ("x1", "y1", "x2", "y2")])
-    return w.select(*K, r6(G.hypot(F.col("s.x2") - F.col("s.x1"), F.col("s.y2") - F.col("s.y1"))).alias("length"), F.col("thk").alias("width"), r6(angle).alias("angle"))
+    """Axes of the walls' boxes; axes below 1500 mm between shared ends go."""
+    w = walls(spark, sf).withColumn("points", F.array(*[G.point(F.col(x), F.col(y)) for x, y in (("x0", "y0"), ("bx", "y0"), ("bx", "by_"), ("x0", "by_"))]))
+    a = R.wall_axes(w, 1500.0)
+    return a.select(*K, "method", r6(W.length()).alias("length"), r6(F.col("thickness")).alias("width"), r6(G.line_angle(*W.cols(""))).alias("angle"), r6(F.col("plan_width")).alias("plan_width"))
 
 
 GRAPH_SQL = SQL["k01_wall_graph"]
@@ -180,13 +178,29 @@ def p06(spark, sf):
     return r.na.fill(0, ["gaps"])
 
 
-@query("p07_model_compliance", J.REL_SQL + " SELECT type, count(*) AS n, count(*) FILTER (WHERE m.guid IS NULL) AS no_material, count(*) FILTER (WHERE s.guid IS NULL) AS no_storey FROM element e LEFT JOIN (SELECT DISTINCT guid FROM rel WHERE rel = 'material') m ON e.guid = m.guid LEFT JOIN (SELECT DISTINCT guid FROM rel WHERE rel = 'storey') s ON e.guid = s.guid GROUP BY type")
+#: Check, the part that answers it, and how its rows become a number: (what the SQL counts, what Spark counts).
+COMPLIANCE = (
+    ("not_ready", "d10_readiness", "count(*) FILTER (WHERE readiness < 60)"),
+    ("failed_plans", "d11_worst_status", "count(*) FILTER (WHERE status = 'fail')"),
+    ("highlighted", "d12_highlights", "sum(n)"),
+    ("walls", "d13_element_counts", "sum(wall)"),
+    ("without_u_value", "d23_thermal_gaps", "sum(n)"),
+    ("duplicate_guids", "d25_duplicate_guids", "count(*)"),
+    ("low_material_coverage", "d26_material_coverage", "count(*) FILTER (WHERE warned)"),
+    ("unclassified", "d27_classification_stats", "sum(unclassified)"),
+    ("incomplete_plans", "d34_element_completeness", "count(*) FILTER (WHERE final = 'FAILED')"),
+    ("split_levels", "e02_split_levels", "count(*) FILTER (WHERE split)"),
+)
+
+
+@query("p07_model_compliance", " UNION ALL ".join([f"SELECT issue, CAST(n AS BIGINT) AS n FROM ({SQL['c26_referential_checks']})", *[f"SELECT '{name}', CAST(coalesce({number}, 0) AS BIGINT) FROM ({SQL[part]})" for name, part, number in COMPLIANCE]]))
 def p07(spark, sf):
-    """All relations of an element in one aggregate, joined once."""
-    r = J.relations(spark, sf).groupBy("guid").agg(F.bool_or(F.col("rel") == "material").alias("m"), F.bool_or(F.col("rel") == "storey").alias("s"))
-    e = J.elements(spark, sf).join(r, "guid", "left")
-    lacks = lambda c: F.count_if(~F.coalesce(c, F.lit(False)))
-    return e.groupBy("type").agg(F.count("*").alias("n"), lacks("m").alias("no_material"), lacks("s").alias("no_storey"))
+    """Every check of a model in one table of numbers, out of the parts' results."""
+    out = J.c26(spark, sf).select("issue", F.col("n").cast("long").alias("n"))
+    for name, part, number in COMPLIANCE:
+        one = QUERIES[part](spark, sf).agg(F.expr(f"CAST(coalesce({number}, 0) AS BIGINT)").alias("n"))
+        out = out.unionByName(one.select(F.lit(name).alias("issue"), "n"))
+    return out
 
 
 @query("p08_reconnect_proposals", f"SELECT c.plan_id, touching, gaps, coalesce(shared, 0) AS shared, gaps = 0 AND coalesce(n_spaces, 0) > 0 AS closed FROM (SELECT plan_id, count(*) FILTER (WHERE contact = 'touch') AS touching, count(*) FILTER (WHERE contact = 'gap') AS gaps FROM ({SQL['c21_contact_proposals']}) GROUP BY plan_id) c LEFT JOIN (SELECT plan_id, sum(n_spaces)::BIGINT AS shared FROM ({SQL['c25_shared_spaces']}) GROUP BY plan_id) s ON c.plan_id = s.plan_id LEFT JOIN ({J.SPACES} SELECT plan_id, count(*) AS n_spaces FROM space GROUP BY plan_id) n ON c.plan_id = n.plan_id")
