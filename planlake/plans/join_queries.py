@@ -420,13 +420,11 @@ def c26(spark, sf):
     return issues.join(missing.groupBy("issue").agg(F.count("*").alias("n")), "issue", "left").join(first, "issue", "left").select("issue", F.coalesce("n", F.lit(0)).alias("n"), "first_five")
 
 
-@query("c27_repair_relations", nearest_sql("distance <= 2000", "distance", ", coalesce(r.wall_id, f.first_wall) AS host").replace("r.wall_id, coalesce", "coalesce").replace(" AND k = 1", " AND k = 1 LEFT JOIN (SELECT plan_id, min(det_id) AS first_wall FROM wall GROUP BY plan_id) f ON o.plan_id = f.plan_id"))
+@query("c27_repair_relations", nearest_sql("true", "distance", "").replace("r.wall_id FROM", "r.wall_id AS host FROM"))
 def c27(spark, sf):
-    """The nearest wall, else the plan's first."""
-    o, pairs = near_walls(spark, sf, 2000.0)
-    best = best_match(pairs, ["plan_id", "o_det_id"], [F.col("distance"), F.col("w_det_id")])
-    first = walls(spark, sf).groupBy("plan_id").agg(F.min("det_id").alias("first_wall"))
-    return with_nearest(o, best, "w_det_id").join(first, "plan_id", "left").select("plan_id", "det_id", F.coalesce("w_det_id", "first_wall").alias("host"))
+    """The nearest wall at any distance; null only in a plan without walls."""
+    o, best = nearest_walls(spark, sf, 2000.0)
+    return with_nearest(o, best, F.col("w_det_id").alias("host"))
 
 
 @query("c28_fallback_wall", nearest_sql("true", "distance", ", CASE WHEN r.distance <= 500 THEN 'primary' WHEN r.distance < 5000 THEN 'fallback_nearest' WHEN r.wall_id IS NOT NULL THEN 'fallback_first' END AS method, r.distance <= r.w_thk / 2 + 5 AS inside"))

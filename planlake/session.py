@@ -40,14 +40,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of the tables that this process has written; results that aren't written yet may still read them.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The table stays until ``drop_materialized``, since results read it when they are computed.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_materialized(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` has written so far and say how many; call it once the results are written."""
+    n = len(_written)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint if ``df`` has at most ``max_rows`` rows (counted, not guessed), else ``df`` for a shuffle join."""
     if df.limit(max_rows + 1).count() <= max_rows:

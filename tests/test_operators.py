@@ -230,3 +230,14 @@ def test_clip_against_concave_polygons(spark):
     df = rings(spark, l_shape, square).agg(F.max_by("points", -F.col("id")).alias("p"), F.max_by("points", "id").alias("q"))
     got = df.select(G.shared_area(F.col("p"), F.col("q")).alias("a"), G.iou(F.col("q"), F.col("p")).alias("i")).first()
     assert got["a"] == pytest.approx(3.0) and got["i"] == pytest.approx(3 / 13)
+
+
+def test_written_tables_are_dropped_on_demand(spark):
+    from planlake.session import drop_materialized, materialize, shared_dir
+
+    drop_materialized(spark)
+    t = materialize(spark.range(3), "some")
+    assert t.count() == 3 and drop_materialized(spark) == 1 and drop_materialized(spark) == 0
+    import glob
+
+    assert not glob.glob(f"{shared_dir(spark)}/some-*")
