@@ -7,7 +7,8 @@ the path before it) and the interval of places that may attend to it, which is i
 node's earlier tokens and every node whose interval holds its place, its ancestors.
 
 Layout and positions are sums over subtrees and root paths. They are computed by pointer doubling, a logarithmic
-number of joins in the depth of the tree, so neither a common first turn nor a very long conversation meets one task.
+number of joins in the depth of the tree, so a common first turn doesn't meet one task. The naming, and reading a conversation
+back, go through its turns in order: one conversation (all rows without an id are one) is a sorted stream in one task, never held whole.
 
 Template: <|im_start|>role\\ntext<|im_end|>\\n. In roles and texts a backslash becomes two and "<|" becomes "<\\|";
 in roles a newline becomes "\\n". So control strings only occur as marks, and unescaping is exact.
