@@ -10,7 +10,7 @@ from planlake.functions import labels as L
 from planlake.operators import quality as Q
 from planlake.operators import walls as W
 from planlake.operators.spatial import best_match
-from planlake.plans.demo import CTE, TILT, axis_walls, detections, openings, rect_openings, tilted_walls, walls
+from planlake.plans.demo import CTE, TILT, detections, openings, rect_openings, tilted_walls, walls
 from planlake.plans.join_queries import OT, REL_SQL, elements, relations
 from planlake.plans.registry import query, r6, s6
 from planlake.plans.scalar_queries import AREA, EXT, near_sql

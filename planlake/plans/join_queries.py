@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from planlake.functions import geom as G
 from planlake.operators.graph import components
-from planlake.operators.spatial import CELL, best_match, grid_join, renamed, self_pairs
+from planlake.operators.spatial import CELL, grid_join, renamed, self_pairs
 from planlake.operators import openings as O
 from planlake.operators import walls as W
 from planlake.plans.demo import CTE, TILT, axis_walls, detections, openings, rect_openings, tilted_walls, walls
