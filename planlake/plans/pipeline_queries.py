@@ -12,7 +12,6 @@ from planlake.functions.steps import STANDARD_STEPS, apply_steps, numpy_step, re
 from planlake.plans import agg_queries as A
 from planlake.plans import join_queries as J
 from planlake.operators import merge as M
-from planlake.operators import openings as O
 from planlake.operators import quality as Q
 from planlake.operators import repair as R
 from planlake.operators import walls as W
