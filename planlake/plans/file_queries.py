@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,17 +9,13 @@ from planlake.functions import geom as G
 from planlake.plans.demo import CTE, detections, walls
 from planlake.plans.registry import query, r6, s6
 from planlake.plans.scalar_queries import AREA
-from planlake.session import shared_dir
+from planlake.session import new_folder
 from planlake.sources import readers, writers
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(docs: DataFrame, name: str) -> str:
     """The folder of documents, one per line."""
-    path = folder(docs.sparkSession, name)
+    path = new_folder(docs.sparkSession, name)
     docs.write.text(path)
     return path
 
@@ -82,7 +76,7 @@ def a07(spark, sf):
 @query("a09_write_report", f"{CTE} SELECT plan_id, det_id, confidence FROM wall")
 def a09(spark, sf):
     """Report lines written by plan and read back."""
-    path = folder(spark, "report")
+    path = new_folder(spark, "report")
     writers.write_report(walls(spark, sf).select(F.pmod("plan_id", F.lit(8)).alias("plan_id"), F.col("plan_id").alias("plan"), "det_id", "confidence"), path)
     return spark.read.schema("plan long, det_id string, confidence double").json(path).select(F.col("plan").alias("plan_id"), "det_id", "confidence")
 
@@ -100,7 +94,7 @@ def a10(spark, sf):
 @query("a11_mirror", "SELECT user_id AS job_id, event_id FROM events")
 def a11(spark, sf):
     """Artifacts copied to another folder, here by a seventh of the jobs each."""
-    path = folder(spark, "mirror")
+    path = new_folder(spark, "mirror")
     e = spark.read.parquet(f"{sf}/events.parquet").select(F.pmod("user_id", F.lit(7)).alias("job_id"), F.col("user_id").alias("job"), "event_id")
     writers.mirror(e, path)
     return spark.read.parquet(f"{path}/artifacts").select(F.col("job").alias("job_id"), "event_id")

@@ -241,3 +241,28 @@ def test_written_tables_are_dropped_on_demand(spark):
     import glob
 
     assert not glob.glob(f"{shared_dir(spark)}/some-*")
+
+
+def test_scratch_scopes_drop_their_own_tables(spark):
+    from pathlib import Path
+
+    from planlake.session import materialize, scratch, shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    kept = materialize(spark.range(2), "outer")
+    with scratch(spark):
+        own = materialize(spark.range(3), "inner")
+        with scratch(spark):
+            materialize(spark.range(4), "innermost")
+        assert not list(folder.glob("innermost-*")) and own.count() == 3
+    assert not list(folder.glob("inner-*")) and kept.count() == 2
+
+
+def test_session_without_a_folder_of_its_own(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    code = "from planlake.session import *; s = build_session(cpus=1); t = materialize(s.range(3), 'x'); print(t.count(), drop_materialized(s))"
+    done = subprocess.run([sys.executable, "-c", code], env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)}, capture_output=True, text=True, timeout=180, cwd=os.path.dirname(os.path.dirname(__file__)))
+    assert done.stdout.split()[-2:] == ["3", "1"], done.stderr[-2000:]
