@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlake.llm import chat_format, embedding_dedup, exact_dedup, line_dedup, mixing, ngram_join, packing, pii, token_counts, toxicity
+from planlake.llm import chat_format, embedding_dedup, embedding_whitening, exact_dedup, line_dedup, mixing, ngram_join, packing, pii, sketch_search, token_counts, token_files, toxicity
+from planlake.session import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +65,8 @@ TOKEN_LIMIT = 4096
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = token_counts.prefix_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), budgets=(TOKEN_LIMIT,))
-    c = c.select("doc_id", "n_bytes", token_counts.n_tokens().alias("n_tokens"), F.col(f"fitting_{TOKEN_LIMIT}").alias("fitting_chars"))
-    return c.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+    n = token_counts.n_tokens()
+    return c.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > TOKEN_LIMIT).alias("over_limit"), F.col(f"fitting_{TOKEN_LIMIT}").alias("fitting_chars"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +80,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"))
+    return token_files.read(spark, folder)
+
+
+def op13_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -90,10 +105,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_ngram_join": op9_ngram_join,
     "op10_pii": op10_pii,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_token_files": op12_token_files,
+    "op13_sketch_search": op13_sketch_search,
 }
 
 AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 SQL: dict[str, str] = {
     "op2_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {AZ} AS t FROM documents)
@@ -118,4 +138,14 @@ SQL: dict[str, str] = {
         f AS (SELECT m.*, g.tokens IS NOT NULL AS is_gone FROM m LEFT JOIN gone g ON m.tokens = g.tokens),
         d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE is_gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT is_gone), '') AS t FROM f GROUP BY doc_id)
         SELECT doc_id, n_lines, n_dropped, length(t) AS kept_chars, sha256(t) AS text_sha256 FROM d""",
+    "op13_sketch_search": rf"""
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all({AZ}, '{TERM}')) AS term FROM documents),
+        q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all({AZ}, '{TERM}')) AS term FROM benchmark) GROUP BY item_id, term),
+        d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+        total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d),
+        f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+        w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), total),
+        s AS (SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score FROM q JOIN f USING (term) JOIN w USING (term) JOIN d USING (doc_id), total GROUP BY item_id, doc_id),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10""",
 }
