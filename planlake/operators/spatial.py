@@ -34,7 +34,12 @@ def grid_join(left: DataFrame, right: DataFrame, left_box: tuple, right_box: tup
     meets = (F.col("__a0") <= F.col("__b2")) & (F.col("__b0") <= F.col("__a2")) & (F.col("__a1") <= F.col("__b3")) & (F.col("__b1") <= F.col("__a3"))
     home = (F.floor(F.greatest("__a0", "__b0") / cell) == F.col("__cx")) & (F.floor(F.greatest("__a1", "__b1") / cell) == F.col("__cy"))
     drop = [f"__{p}{i}" for p in "ab" for i in range(4)]
-    return pairs.where(meets & home).drop("__cx", "__cy", *drop)
+    return barrier(pairs.where(meets & home)).drop("__cx", "__cy", *drop)
+
+
+def barrier(df: DataFrame) -> DataFrame:
+    """``df``, with later filters kept above its own: else the optimizer puts a costly predicate into the join, ahead of the box tests."""
+    return df.where(F.monotonically_increasing_id() >= 0)
 
 
 def renamed(df: DataFrame, prefix: str, columns: list[str], key: str = "plan_id") -> DataFrame:
@@ -42,12 +47,12 @@ def renamed(df: DataFrame, prefix: str, columns: list[str], key: str = "plan_id"
     return df.select(key, *[F.col(c).alias(f"{prefix}{c}") for c in columns])
 
 
-def self_pairs(df: DataFrame, box: tuple, columns: list[str], reach: float = 0.0, id_col: str = "det_id", cell: float = CELL) -> DataFrame:
+def self_pairs(df: DataFrame, box: tuple, columns: list[str], reach: float = 0.0, id_col: str = "det_id", cell: float = CELL, key: str = "plan_id") -> DataFrame:
     """Pairs (a_*, b_*) of different rows of a plan, each once (a id < b id), whose boxes come within ``reach``."""
     cols = list(dict.fromkeys([id_col, *columns, *box]))
-    a, b = renamed(df, "a_", cols), renamed(df, "b_", cols)
-    pairs = grid_join(a, b, tuple(f"a_{c}" for c in box), tuple(f"b_{c}" for c in box), reach, cell)
-    return pairs.where(F.col(f"a_{id_col}") < F.col(f"b_{id_col}"))
+    a, b = renamed(df, "a_", cols, key), renamed(df, "b_", cols, key)
+    pairs = grid_join(a, b, tuple(f"a_{c}" for c in box), tuple(f"b_{c}" for c in box), reach, cell, key)
+    return barrier(pairs.where(F.col(f"a_{id_col}") < F.col(f"b_{id_col}")))
 
 
 def best_match(pairs: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

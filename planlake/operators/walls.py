@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from planlake.functions import geom as G
 from planlake.operators.graph import components
-from planlake.operators.spatial import best_match, grid_join, self_pairs
+from planlake.operators.planar import regions
+from planlake.operators.spatial import barrier, best_match, grid_join, self_pairs
+from planlake.session import materialize
 
 AXIS = ("x1", "y1", "x2", "y2")
 BOX = ("__lx", "__ly", "__hx", "__hy")
@@ -94,36 +96,47 @@ def dedupe_lines(lines: DataFrame, max_degrees: float = math.degrees(0.1), max_d
 def parallel_overlaps(walls: DataFrame, tolerance: float = 100.0, max_degrees: float = math.degrees(0.1), key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
     """Pairs of walls of nearly one direction whose middles lie within twice the tolerance."""
     mid = dict(zip(("mx", "my"), middle(""), strict=True))
-    pairs = self_pairs(walls.withColumns(mid), ("mx", "my", "mx", "my"), list(AXIS), 2 * tolerance, id_col)
+    pairs = self_pairs(walls.withColumns(mid), ("mx", "my", "mx", "my"), list(AXIS), 2 * tolerance, id_col, key=key)
     return pairs.where((angle_between() < max_degrees) & (middle_distance() < 2 * tolerance)).select(key, f"a_{id_col}", f"b_{id_col}")
 
 
 def wall_connections(walls: DataFrame, reach: float = 150.0, close: float = 75.0, max_degrees: float = 15.0, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
     """C20: pairs of axes that cross, or come within ``reach`` nearly square or parallel, or within ``close``: + how."""
-    pairs = self_pairs(with_box(walls), BOX, list(AXIS), reach, id_col)
-
-    def kind(v: Column) -> Column:
-        aligned = (v["t"] <= max_degrees) | (v["t"] >= 90 - max_degrees)
-        return F.when(v["d"] == 0, "cross").when(v["d"] <= close, "near").when((v["d"] <= reach) & aligned, "aligned")
-
-    how = G.let(F.struct(F.round(G.segments_distance(cols("a_"), cols("b_")), 6).alias("d"), angle_between().alias("t")), kind)
+    pairs = self_pairs(with_box(walls), BOX, list(AXIS), reach, id_col, key=key)
+    # Named columns behind a barrier: each is worked out once a pair, in compiled code.
+    pairs = barrier(pairs.withColumns({"d": F.round(G.segments_distance(cols("a_"), cols("b_")), 6), "t": angle_between()}))
+    aligned = (F.col("t") <= max_degrees) | (F.col("t") >= 90 - max_degrees)
+    how = F.when(F.col("d") == 0, "cross").when(F.col("d") <= close, "near").when((F.col("d") <= reach) & aligned, "aligned")
     return pairs.withColumn("how", how).where("how IS NOT NULL").select(key, f"a_{id_col}", f"b_{id_col}", "how")
 
 
 def refine_axes(axes: DataFrame, lines: DataFrame, max_degrees: float = 7.0, reach: float = 1000.0, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
-    """Each axis turned to the direction of the line with the least 10 * degrees + distance of the middles.
+    """Each axis turned to the direction of the line with the least 10 * degrees + distance of the middles, at any distance.
 
-    key, id, line_id, score and the new x1..y2; centre and length stay. Lines within ``reach`` of the middle are looked at;
-    axes without one are left out.
+    key, id, line_id, score and the new x1..y2; centre and length stay. Lines within ``reach`` are found by the grid; a score of ``reach`` or
+    less can't be beaten from farther away. The axes left over meet the lines of their plan by direction, and each task keeps one
+    line an axis. Axes without a line within ``max_degrees`` are left out; ties go to the smaller line id.
     """
-    mids = lambda df, p: df.select(key, *[F.col(c).alias(f"{p}{c}") for c in (id_col, *AXIS)], *[m.alias(f"{p}{n}") for m, n in zip(middle(""), ("mx", "my"), strict=True)])
-    pairs = grid_join(mids(axes, "a_"), mids(lines, "b_"), ("a_mx", "a_my", "a_mx", "a_my"), ("b_mx", "b_my", "b_mx", "b_my"), reach, key=key)
-    pairs = pairs.withColumns({"t": angle_between(), "d": middle_distance()}).where((F.col("t") <= max_degrees) & (F.col("d") <= reach))
-    best = best_match(pairs.withColumn("score", F.round(10 * F.col("t") + F.col("d") + 1e-9, 6)), [key, f"a_{id_col}"], [F.col("score"), F.col(f"b_{id_col}")])
+    names = lambda p: [F.col(c).alias(f"{p}{c}") for c in (id_col, *AXIS)] + [m.alias(f"{p}{n}") for m, n in zip(middle(""), ("mx", "my"), strict=True)]
+    left, right = axes.where(length() > 0).select(key, *names("a_")), lines.where(length() > 0).select(key, *names("b_"))
+    pairs = grid_join(left, right, ("a_mx", "a_my", "a_mx", "a_my"), ("b_mx", "b_my", "b_mx", "b_my"), reach, key=key)
+    pick = F.min(F.struct("score", f"b_{id_col}", *[f"b_{c}" for c in AXIS])).alias("m")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        pairs = barrier(pairs.withColumns({"t": angle_between(), "d": middle_distance()})).where(F.col("t") <= max_degrees)
+        return pairs.withColumn("score", F.round(10 * F.col("t") + F.col("d") + 1e-9, 6)).groupBy(key, f"a_{id_col}", *[f"a_{c}" for c in (*AXIS, "mx", "my")]).agg(pick)
+
+    near = materialize(best(pairs).where(F.col("m.score") <= reach), "refined-near")
+    rest = left.join(near, [key, f"a_{id_col}"], "left_anti")
+    bands = int(180 // max_degrees)
+    band = lambda p: F.floor(G.line_angle(*cols(p)) * bands / 180).cast("int") % bands
+    spread = F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda s: F.pmod(band("a_") + s, F.lit(bands)))))
+    far = best(rest.withColumn("__band", spread).join(right.withColumn("__band", band("b_")), [key, "__band"]))
+    found = near.unionByName(far).select(key, *[f"a_{c}" for c in (id_col, *AXIS, "mx", "my")], F.col("m.score").alias("score"), *[F.col(f"m.b_{c}").alias(f"b_{c}") for c in (id_col, *AXIS)])
     dx, dy = (F.col("b_x2") - F.col("b_x1")) / length("b_"), (F.col("b_y2") - F.col("b_y1")) / length("b_")
     sign = F.when(dx * (F.col("a_x2") - F.col("a_x1")) + dy * (F.col("a_y2") - F.col("a_y1")) < 0, -0.5).otherwise(0.5) * length("a_")
     ends = [(F.col("a_mx") - dx * sign).alias("x1"), (F.col("a_my") - dy * sign).alias("y1"), (F.col("a_mx") + dx * sign).alias("x2"), (F.col("a_my") + dy * sign).alias("y2")]
-    return best.select(key, F.col(f"a_{id_col}").alias(id_col), F.col(f"b_{id_col}").alias("line_id"), "score", *ends)
+    return found.select(key, F.col(f"a_{id_col}").alias(id_col), F.col(f"b_{id_col}").alias("line_id"), "score", *ends)
 
 
 def axis_ends(walls: DataFrame, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
@@ -132,13 +145,33 @@ def axis_ends(walls: DataFrame, key: str = "plan_id", id_col: str = "det_id") ->
     return walls.select(key, id_col, "thickness", both.alias("end")).select(key, id_col, "thickness", "end.e", "end.x", "end.y")
 
 
+def gap_classes(walls: DataFrame, near: float = 50.0, far: float = 100.0, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
+    """Of all pairs of a plan's walls, how many have their nearest ends ``near`` to ``far`` apart (medium) or farther (large); + small.
+
+    Only pairs of ends within ``far`` are made; all other pairs are large, and counted as what is left of n (n - 1) / 2. Rows with the same id are
+    no pair. Plans with a single id have no row.
+    """
+    ends = F.explode(F.array(*[F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (1, 2)])).alias("p")
+    rows = walls.withColumn("__row", F.monotonically_increasing_id())
+    rows = materialize(rows.select(key, id_col, "__row", ends).select(key, id_col, "__row", "p.x", "p.y"), "gap-ends")
+    pairs = self_pairs(rows, ("x", "y", "x", "y"), ["__row"], far, id_col, key=key)
+    gap = G.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y"))
+    least = pairs.withColumn("g", gap).where(F.col("g") <= far).groupBy(key, "a___row", "b___row").agg(F.min("g").alias("g"))
+    close = least.groupBy(key).agg(F.count_if(F.col("g") <= near).alias("small"), F.count_if(F.col("g") > near).alias("medium"))
+    each = rows.groupBy(key, id_col).agg(F.count_distinct("__row").alias("k"))
+    # Pairs of rows with different ids: half of (all rows squared less the ids' own squares).
+    total = each.groupBy(key).agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).cast("long").alias("pairs")).where("pairs > 0")
+    out = total.join(close, key, "left").na.fill(0, ["small", "medium"])
+    return out.select(key, "small", "medium", (F.col("pairs") - F.col("small") - F.col("medium")).alias("large"))
+
+
 def close_gaps(walls: DataFrame, reach: float = 100.0, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
     """C14: the walls with ends that lie within ``reach`` of each other, directly or through others, moved to their mean.
 
     All columns stay; x1..y2 change. One pass over clusters, so the result doesn't depend on the order of rows.
     """
     n = axis_ends(walls, key, id_col).withColumn("id", F.concat_ws("#", id_col, "e")).select(key, "id", "x", "y").distinct()
-    near = self_pairs(n, ("x", "y", "x", "y"), [], reach, "id")
+    near = self_pairs(n, ("x", "y", "x", "y"), [], reach, "id", key=key)
     near = near.where((F.col("a_x") - F.col("b_x")) ** 2 + (F.col("a_y") - F.col("b_y")) ** 2 <= reach * reach)
     label = components(near.select(key, F.col("a_id").alias("src"), F.col("b_id").alias("dst")), keys=(key,)).withColumnRenamed("node", "id")
     placed = n.join(label, [key, "id"])
@@ -154,7 +187,7 @@ def close_gaps(walls: DataFrame, reach: float = 100.0, key: str = "plan_id", id_
 def wall_overlaps(walls: DataFrame, least: float = 100.0, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
     """Pairs whose rectangles share more than ``least`` of length (area over mean thickness) and that are no T-junction: + overlap."""
     rect = walls.withColumn("rect", G.rect_from_axis(*cols(""), F.col("thickness"))).where("rect IS NOT NULL")
-    pairs = self_pairs(with_box(rect, F.col("thickness") / 2), BOX, [*AXIS, "thickness", "rect"], 0.0, id_col)
+    pairs = self_pairs(with_box(rect, F.col("thickness") / 2), BOX, [*AXIS, "thickness", "rect"], 0.0, id_col, key=key)
     area = G.shared_area(F.col("a_rect"), F.col("b_rect"))
     pairs = pairs.withColumn("overlap", area / ((F.col("a_thickness") + F.col("b_thickness")) / 2)).where(F.col("overlap") > least)
     half = F.greatest("a_thickness", "b_thickness") / 2
@@ -180,6 +213,57 @@ def resolve_overlaps(walls: DataFrame, key: str = "plan_id", id_col: str = "det_
     return best_match(w, [key, "component"], [F.desc("__area"), F.col(id_col)]).drop("__area", "component")
 
 
+def merge_collinear(axes: DataFrame, max_degrees: float = 1.0, offset: float = 5.0, gap: float = 5.0, least: float = 60.0, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
+    """Axes on one line that overlap, or follow each other within ``gap``, merged: key, id (the smallest of them), x1..y2, thickness
+    (the mean by length, D19), n_merged; merged axes shorter than ``least`` go.
+
+    Two axes are neighbours if their directions differ by ``max_degrees`` at most and, on the line of the longer one, the
+    shorter one's middle lies within ``offset`` and its span within ``gap`` of the longer one's. Components of neighbours are merged
+    on the direction of their longest axis (ties: smallest id), at the mean offset by length. No bins: lines a little apart always meet.
+    Rows that repeat are one axis; axes without length are left out.
+    """
+    a = axes.select(key, id_col, *AXIS, "thickness").distinct().withColumn("n", F.round(length(), 6)).where("n > 0")
+    a = materialize(a, "collinear-axes")
+    reach = max(offset, gap)
+    pairs = self_pairs(with_box(a), BOX, [*AXIS, "n"], reach, id_col, key=key)
+    long = lambda c, mine="b_", other="a_": F.when(F.col("b_n") > F.col("a_n"), F.col(f"{mine}{c}")).otherwise(F.col(f"{other}{c}"))
+    pairs = pairs.withColumns({**{f"l_{c}": long(c) for c in (*AXIS, "n")}, **{f"s_{c}": long(c, "a_", "b_") for c in AXIS}})
+    pairs = pairs.withColumns({"ux": (F.col("l_x2") - F.col("l_x1")) / F.col("l_n"), "uy": (F.col("l_y2") - F.col("l_y1")) / F.col("l_n"), "turned": angle_between("l_", "s_")})
+    on = lambda i: (F.col(f"s_x{i}") - F.col("l_x1")) * F.col("ux") + (F.col(f"s_y{i}") - F.col("l_y1")) * F.col("uy")
+    off = lambda i: (F.col(f"s_y{i}") - F.col("l_y1")) * F.col("ux") - (F.col(f"s_x{i}") - F.col("l_x1")) * F.col("uy")
+    pairs = barrier(pairs.withColumns({"from": F.least(on(1), on(2)), "to": F.greatest(on(1), on(2)), "off": F.round(F.abs(off(1) + off(2)) / 2, 6)}))
+    apart = F.round(F.greatest(F.col("from") - F.col("l_n"), -F.col("to")), 6)
+    near = pairs.where((F.col("turned") <= max_degrees) & (F.col("off") <= offset) & (apart <= gap))
+    label = components(near.select(key, F.col(f"a_{id_col}").alias("src"), F.col(f"b_{id_col}").alias("dst")), keys=(key,)).withColumnRenamed("node", id_col)
+    a = materialize(a.join(label, [key, id_col], "left").withColumn("component", F.coalesce("component", id_col)), "collinear-groups")
+    lead = a.groupBy(key, "component").agg(F.min_by(F.struct(*AXIS, "n"), F.struct(-F.col("n"), id_col)).alias("l"))
+    m = a.join(lead, [key, "component"]).withColumns({"ux": (F.col("l.x2") - F.col("l.x1")) / F.col("l.n"), "uy": (F.col("l.y2") - F.col("l.y1")) / F.col("l.n")})
+    along = lambda i: (F.col(f"x{i}") - F.col("l.x1")) * F.col("ux") + (F.col(f"y{i}") - F.col("l.y1")) * F.col("uy")
+    across = lambda i: (F.col(f"y{i}") - F.col("l.y1")) * F.col("ux") - (F.col(f"x{i}") - F.col("l.x1")) * F.col("uy")
+    m = m.withColumns({"from": F.least(along(1), along(2)), "to": F.greatest(along(1), along(2)), "off": (across(1) + across(2)) / 2})
+    by_length = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
+    m = m.groupBy(key, "component").agg(F.first("l").alias("l"), F.first("ux").alias("ux"), F.first("uy").alias("uy"), F.min("from").alias("from"), F.max("to").alias("to"), by_length("off").alias("off"), by_length("thickness").alias("thickness"), F.count(F.lit(1)).alias("n_merged"))
+    at = lambda t: ((F.col("l.x1") + F.col(t) * F.col("ux") - F.col("off") * F.col("uy")), (F.col("l.y1") + F.col(t) * F.col("uy") + F.col("off") * F.col("ux")))
+    ends = dict(zip(AXIS, (*at("from"), *at("to")), strict=True))
+    return m.where(F.col("to") - F.col("from") >= least).select(key, F.col("component").alias(id_col), *[v.alias(c) for c, v in ends.items()], "thickness", "n_merged")
+
+
+def merge_overlaps(walls: DataFrame, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
+    """C17: walls that truly overlap (C16), directly or through others, merged: key, component (their smallest id), n_walls, area,
+    n_holes, points (the outline of the union; of several parts, one row each). Walls that overlap nothing keep their rectangle."""
+    over = wall_overlaps(walls, key=key, id_col=id_col).select(key, F.col(f"a_{id_col}").alias("src"), F.col(f"b_{id_col}").alias("dst"))
+    label = components(over, keys=(key,)).withColumnRenamed("node", id_col)
+    rect = walls.select(key, id_col, G.rect_from_axis(*cols(""), F.col("thickness")).alias("points")).where("points IS NOT NULL").distinct()
+    rect = materialize(rect.join(label, [key, id_col], "left").withColumn("component", F.coalesce("component", id_col)), "overlapping-walls")
+    n = rect.groupBy(key, "component").agg(F.count(F.lit(1)).alias("n_walls"))
+    alone = rect.join(n.where("n_walls = 1"), [key, "component"]).select(key, "component", "n_walls", G.polygon_area(F.col("points")).alias("area"), F.lit(0).cast("long").alias("n_holes"), "points")
+    # Each group is a drawing of its own.
+    groups = materialize(n.where("n_walls > 1").withColumn("__group", F.monotonically_increasing_id()), "overlapping-groups")
+    drawn = rect.join(groups, [key, "component"]).select("__group", "points")
+    merged = regions(drawn, "__group").where("covered").join(groups, "__group").select(key, "component", "n_walls", "area", "n_holes", "points")
+    return alone.unionByName(merged)
+
+
 def wall_scores(built: DataFrame, detected: DataFrame, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
     """Built axes measured against the detected polygons of the same id (C33): key, id, iou, thickness_delta, length_delta,
     centroid_delta, degrees, score (0..100), status.

@@ -340,21 +340,6 @@ def e06(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").groupBy(F.col("user_id").alias("job_id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), (F.max("event_id") >= 0).alias("seen"))
 
 
-SEG = "seg AS (SELECT plan_id, horizontal, floor((CASE WHEN horizontal THEN ay1 ELSE ax1 END) / 100) AS line, CASE WHEN horizontal THEN ax1 ELSE ay1 END AS s, CASE WHEN horizontal THEN ax2 ELSE ay2 END AS e, det_id FROM wall)"
-
-
-@query("e07_merge_collinear", f"{CTE}, {SEG}, m AS (SELECT *, max(e) OVER (PARTITION BY plan_id, horizontal, line ORDER BY s, e, det_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM seg), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY plan_id, horizontal, line ORDER BY s, e, det_id ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT plan_id, horizontal, line, min(s) AS s, max(e) AS e, count(*) AS n FROM g GROUP BY plan_id, horizontal, line, island HAVING max(e) - min(s) >= 60")
-def e07(spark, sf):
-    """Union of overlapping stretches of one line: running end, then islands."""
-    h = F.col("horizontal")
-    seg = walls(spark, sf).select("plan_id", "horizontal", F.floor(F.when(h, F.col("ay1")).otherwise(F.col("ax1")) / 100).alias("line"), F.when(h, F.col("ax1")).otherwise(F.col("ay1")).alias("s"), F.when(h, F.col("ax2")).otherwise(F.col("ay2")).alias("e"), "det_id")
-    w = Window.partitionBy("plan_id", "horizontal", "line").orderBy("s", "e", "det_id")
-    seg = seg.withColumn("reach", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    seg = seg.withColumn("island", F.sum(F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = seg.groupBy("plan_id", "horizontal", "line", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("n")).where("e - s >= 60")
-    return out.select("plan_id", "horizontal", F.col("line").cast("double").alias("line"), "s", "e", "n")
-
-
 @query("e08_drop_short_links", f"{CTE}, c AS (SELECT *, count(*) OVER (PARTITION BY plan_id, floor(ax1 / 500), floor(ay1 / 500)) AS a, count(*) OVER (PARTITION BY plan_id, floor(ax2 / 500), floor(ay2 / 500)) AS b FROM wall) SELECT plan_id, det_id FROM c WHERE NOT (len < 1500 AND a > 1 AND b > 1)")
 def e08(spark, sf):
     """Short axes whose ends both lie in shared clusters go."""

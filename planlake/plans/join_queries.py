@@ -13,7 +13,7 @@ from planlake.operators.spatial import CELL, grid_join, renamed, self_pairs
 from planlake.operators import openings as O
 from planlake.operators import walls as W
 from planlake.plans.demo import CTE, TILT, axis_walls, detections, openings, rect_openings, tilted_walls, walls
-from planlake.plans.registry import query, r6, s6
+from planlake.plans.registry import SQL, query, r6, s6
 from planlake.plans.scalar_queries import seg
 from planlake.session import materialize
 
@@ -253,11 +253,9 @@ def c12(spark, sf):
 
 @query("c13_gap_classes", f"{CTE} SELECT a.plan_id, count(*) FILTER (WHERE {gap('a', 'b')} > 50 AND {gap('a', 'b')} <= 100) AS medium, count(*) FILTER (WHERE {gap('a', 'b')} > 100) AS large FROM wall a JOIN wall b ON a.plan_id = b.plan_id AND a.det_id < b.det_id GROUP BY a.plan_id")
 def c13(spark, sf):
-    """The named mode that counts all pairs of a plan: few columns, joined on the plan, counted where they meet."""
-    w = walls(spark, sf).select("plan_id", "det_id", "ax1", "ay1", "ax2", "ay2")
-    cols = ["det_id", "ax1", "ay1", "ax2", "ay2"]
-    pairs = renamed(w, "a_", cols).join(renamed(w, "b_", cols), "plan_id").where("a_det_id < b_det_id").withColumn("g", end_gap())
-    return pairs.groupBy("plan_id").agg(F.count_if((F.col("g") > 50) & (F.col("g") <= 100)).alias("medium"), F.count_if(F.col("g") > 100).alias("large"))
+    """The mode that counts all pairs of a plan: only pairs within 100 mm meet, the others are what is left of n (n - 1) / 2."""
+    g = W.gap_classes(axis_walls(spark, sf).select("plan_id", "det_id", *W.AXIS))
+    return g.select("plan_id", "medium", "large")
 
 
 CLOSE = "(a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 10000"
@@ -312,6 +310,43 @@ def c17(spark, sf):
     return W.resolve_overlaps(axis_walls(spark, sf).select("plan_id", "det_id", *W.AXIS, "thickness").distinct()).select("plan_id", "det_id")
 
 
+def merged_sql(source: str, least: float = 60, tag: str = "") -> str:
+    """SQL CTEs: ``merged`` has the axes of ``source`` (plan_id, det_id, x1..y2, thickness) with those on one line merged."""
+    both = lambda c: f"CASE WHEN b.n > a.n THEN b.{c} ELSE a.{c} END AS l{c}, CASE WHEN b.n > a.n THEN a.{c} ELSE b.{c} END AS s{c}"
+    on = lambda i: f"((sx{i} - lx1) * (lx2 - lx1) / ln + (sy{i} - ly1) * (ly2 - ly1) / ln)"
+    off = lambda i: f"((sy{i} - ly1) * (lx2 - lx1) / ln - (sx{i} - lx1) * (ly2 - ly1) / ln)"
+    angle = "abs(degrees(atan2(ly2 - ly1, lx2 - lx1)) - degrees(atan2(sy2 - sy1, sx2 - sx1)))"
+    return f"""g AS (SELECT DISTINCT plan_id, det_id, x1, y1, x2, y2, thickness, round(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 6) AS n FROM {source} WHERE x1 <> x2 OR y1 <> y2),
+pr AS (SELECT a.plan_id, a.det_id AS u, b.det_id AS v, {', '.join(map(both, ('x1', 'y1', 'x2', 'y2', 'n')))} FROM g a JOIN g b ON a.plan_id = b.plan_id AND a.det_id < b.det_id),
+ne AS (SELECT plan_id, u, v FROM pr WHERE least({angle} % 180, 180 - {angle} % 180) <= 1 AND round(abs({off(1)} + {off(2)}) / 2, 6) <= 5 AND round(greatest(least({on(1)}, {on(2)}) - ln, -greatest({on(1)}, {on(2)})), 6) <= 5),
+nb AS (SELECT plan_id, u, v FROM ne UNION ALL SELECT plan_id, v, u FROM ne),
+lr AS (SELECT plan_id, u AS id, u AS seen FROM nb UNION SELECT r.plan_id, r.id, e.v FROM lr r JOIN nb e ON r.plan_id = e.plan_id AND r.seen = e.u),
+ll AS (SELECT plan_id, id, min(seen) AS component FROM lr GROUP BY plan_id, id),
+gm AS (SELECT g.*, coalesce(component, det_id) AS component FROM g LEFT JOIN ll ON g.plan_id = ll.plan_id AND g.det_id = ll.id),
+lead_ AS (SELECT plan_id, component, x1 AS lx1, y1 AS ly1, (x2 - x1) / n AS ux, (y2 - y1) / n AS uy FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, component ORDER BY n DESC, det_id) AS k FROM gm) WHERE k = 1),
+pl_ AS (SELECT gm.*, lx1, ly1, ux, uy, (x1 - lx1) * ux + (y1 - ly1) * uy AS s1, (x2 - lx1) * ux + (y2 - ly1) * uy AS s2, ((y1 - ly1) * ux - (x1 - lx1) * uy + (y2 - ly1) * ux - (x2 - lx1) * uy) / 2 AS off FROM gm JOIN lead_ USING (plan_id, component)),
+mg AS (SELECT plan_id, component AS det_id, any_value(lx1) AS lx1, any_value(ly1) AS ly1, any_value(ux) AS ux, any_value(uy) AS uy, min(least(s1, s2)) AS s, max(greatest(s1, s2)) AS e, sum(off * n) / sum(n) AS off, sum(thickness * n) / sum(n) AS thickness, count(*) AS n_merged FROM pl_ GROUP BY plan_id, component),
+merged AS (SELECT plan_id, det_id, lx1 + s * ux - off * uy AS x1, ly1 + s * uy + off * ux AS y1, lx1 + e * ux - off * uy AS x2, ly1 + e * uy + off * ux AS y2, e - s AS length, thickness, n_merged FROM mg WHERE e - s >= {least})"""
+
+
+@query("e07_merge_collinear", f"{TILT.replace('WITH base', 'WITH RECURSIVE base', 1)}, {merged_sql('tw')} SELECT plan_id, det_id, n_merged, {s6('length')} AS length, {s6('thickness')} AS thickness, {s6('x1')} AS x1, {s6('y1')} AS y1 FROM merged")
+def e07(spark, sf):
+    """Axes on one line merged, at any angle and without bins."""
+    m = W.merge_collinear(tilted_walls(spark, sf))
+    return m.select("plan_id", "det_id", "n_merged", *[r6(c).alias(n) for n, c in (("length", W.length()), ("thickness", F.col("thickness")), ("x1", F.col("x1")), ("y1", F.col("y1")))])
+
+
+@query("c17_merged_outlines", SQL["c17_resolve_overlaps"].split(", k AS (")[0] + """, mw AS (SELECT DISTINCT w.plan_id, coalesce(component, det_id) AS component, det_id, x0, y0, bx, by_ FROM wall w LEFT JOIN lab ON w.plan_id = lab.plan_id AND w.det_id = lab.id),
+    xs AS (SELECT plan_id, component, v AS a, lead(v) OVER (PARTITION BY plan_id, component ORDER BY v) AS b FROM (SELECT plan_id, component, x0 AS v FROM mw UNION SELECT plan_id, component, bx FROM mw)),
+    ys AS (SELECT plan_id, component, v AS c, lead(v) OVER (PARTITION BY plan_id, component ORDER BY v) AS d FROM (SELECT plan_id, component, y0 AS v FROM mw UNION SELECT plan_id, component, by_ FROM mw)),
+    full_ AS (SELECT DISTINCT mw.plan_id, mw.component, a, b, c, d FROM mw JOIN xs ON mw.plan_id = xs.plan_id AND mw.component = xs.component AND a >= x0 AND b <= bx JOIN ys ON mw.plan_id = ys.plan_id AND mw.component = ys.component AND c >= y0 AND d <= by_)
+    SELECT f.plan_id, f.component, n_walls, round(sum((b - a) * (d - c)), 3) AS area FROM full_ f JOIN (SELECT plan_id, component, count(*) AS n_walls FROM mw GROUP BY plan_id, component) n ON f.plan_id = n.plan_id AND f.component = n.component GROUP BY f.plan_id, f.component, n_walls""")
+def c17m(spark, sf):
+    """Walls that overlap merged to one outline; areas of the unions."""
+    m = W.merge_overlaps(axis_walls(spark, sf).select("plan_id", "det_id", *W.AXIS, "thickness"))
+    return m.groupBy("plan_id", "component", "n_walls").agg(F.round(F.sum("area"), 3).alias("area"))
+
+
 @query("c18_parallel_overlaps", TPAIR.format(cols="", cond=f"{turn('a', 'b')} < degrees(0.1e0) AND {MIDS} < 200"))
 def c18(spark, sf):
     return W.parallel_overlaps(tilted_walls(spark, sf)).select(*IDS)
@@ -435,12 +470,12 @@ def c28(spark, sf):
     return with_nearest(o, best, F.col("w_det_id").alias("wall_id"), F.when(F.col("distance").isNotNull(), method).alias("method"), (F.col("distance") <= F.col("w_thk") / 2 + 5).alias("inside"))
 
 
-@query("c29_refine_axes", f"{TILT}, p AS (SELECT a.plan_id, a.det_id, b.det_id AS line_id, round(10 * ({turn('a', 'b')}) + {MIDS} + 1e-9, 6) AS score FROM tw a JOIN tw b ON a.plan_id = b.plan_id AND a.det_id <> b.det_id WHERE b.confidence > 0.7e0 AND {turn('a', 'b')} <= 7 AND {MIDS} <= 1000), r AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY score, line_id) AS k FROM p) SELECT plan_id, det_id, line_id, score FROM r WHERE k = 1".replace("a.det_id <> b.det_id", "a.line_no <> b.line_no"))
+@query("c29_refine_axes", f"{TILT}, p AS (SELECT a.plan_id, a.det_id, b.det_id AS line_id, round(10 * ({turn('a', 'b')}) + {MIDS} + 1e-9, 6) AS score FROM tw a JOIN tw b ON a.plan_id = b.plan_id AND a.det_id <> b.det_id WHERE b.confidence > 0.7e0 AND {turn('a', 'b')} <= 7), r AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY score, line_id) AS k FROM p) SELECT DISTINCT plan_id, det_id, line_id, score FROM r WHERE k = 1".replace("a.det_id <> b.det_id", "a.line_no <> b.line_no"))
 def c29(spark, sf):
-    """Axes against the confident lines of other line numbers, within a metre."""
+    """Axes against the confident lines of other line numbers, at any distance."""
     w = tilted_walls(spark, sf)
     parts = [W.refine_axes(w.where(F.col("line_no") == i), w.where((F.col("confidence") > 0.7) & (F.col("line_no") != i))) for i in range(1, 5)]
-    return reduce(DataFrame.unionByName, parts).select("plan_id", "det_id", "line_id", "score")
+    return reduce(DataFrame.unionByName, parts).select("plan_id", "det_id", "line_id", "score").distinct()
 
 
 @query("c30_fit_opening", f"{OT}, u AS (SELECT *, abs(wall_angle - 90) <= 45 AS upright FROM hm), v AS (SELECT *, CASE WHEN upright THEN by_ - y0 ELSE bx - x0 END AS width, CASE WHEN upright THEN bx - x0 ELSE by_ - y0 END AS side, CASE WHEN upright THEN abs(cx - x1) ELSE abs(cy - y1) END AS off FROM u), d AS (SELECT *, least(thickness, greatest(side, least(thickness, 80))) AS depth, unnest(generate_series(-150, 150, 20)) AS step FROM v), i AS (SELECT *, greatest(0, width - abs(step)) * greatest(0, least(off + side / 2, depth / 2) - greatest(off - side / 2, -depth / 2)) AS shared FROM d), j AS (SELECT *, round(shared / (width * side + width * depth - shared) + 1e-9, 6) AS iou FROM i), b AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY iou DESC, step) AS k FROM j) SELECT plan_id, det_id, CASE WHEN iou >= 0.05e0 THEN CAST(step AS BIGINT) END AS step, CASE WHEN iou >= 0.05e0 THEN iou ELSE 0 END AS iou FROM b WHERE k = 1")
