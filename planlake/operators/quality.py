@@ -12,6 +12,22 @@ from planlake.operators.openings import assign_openings, on_wall
 from planlake.operators.walls import cols, length, parallel_overlaps
 
 
+def validation_reason(least_confidence: float = 0.5, least_area: float = 30000.0, wall_length: tuple[float, float] = (500.0, 3000.0), confidence: str = "confidence", points: str = "points", kind: str = "kind") -> Column:
+    """Why a detection is rejected, by the first rule that it fails, or null: confidence, points (four for walls, three else),
+    geometry (area), wall too short, wall too long (the longer side of its box)."""
+    wall, p = F.col(kind) == "WALL", F.col(points)
+    b = G.bounds(p)
+    size = F.greatest(b["x1"] - b["x0"], b["y1"] - b["y0"])
+    few = F.size(p) < F.when(wall, 4).otherwise(3)
+    rules = F.when(F.col(confidence) < least_confidence, "confidence").when(few, "points").when(G.polygon_area(p) < least_area, "geometry")
+    return rules.when(wall & (size < wall_length[0]), "wall too short").when(wall & (size > wall_length[1]), "wall too long")
+
+
+def reject_bucket(reason: Column) -> Column:
+    """The kind of rule behind a reason: confidence, points, geometry, dimensions."""
+    return F.when(reason.startswith("wall"), "dimensions").otherwise(reason)
+
+
 def rate(part: Column, whole: Column) -> Column:
     """part / whole, 1 where there is nothing to judge."""
     return F.when(whole > 0, part / whole).otherwise(1.0)

@@ -19,6 +19,8 @@ from planlake.operators.spatial import barrier, best_match, grid_join, self_pair
 from planlake.session import materialize
 
 AXIS = ("x1", "y1", "x2", "y2")
+#: Cells for endless lines: their least size, and how many a plan's extent has along an axis at most.
+LINE_CELL, CELLS = 500.0, 256
 BOX = ("__lx", "__ly", "__hx", "__hy")
 
 
@@ -60,17 +62,38 @@ def middle_distance(a: str = "a_", b: str = "b_") -> Column:
 
 
 def near_lines(first: DataFrame, second: DataFrame, max_degrees: float, max_distance: float, columns: tuple[str, ...] = (), key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
-    """Pairs (a_*, b_*) of a plan with directions within ``max_degrees`` and a's middle within ``max_distance`` of b's endless line.
+    """Pairs (a_*, b_*) of a plan with directions within ``max_degrees`` and a's middle within ``max_distance`` of b's endless line: + degrees, distance.
 
-    + degrees, distance. Lines have no end, so a plan's axes meet by direction: each of the second table is in one band of
-    angles, each of the first looks into three.
+    A middle lies in one cell of its plan's extent; an endless line is written to the cells of that extent which it comes near, at most one
+    range of cells for each of up to CELLS columns or rows. Pairs meet by cell and by band of directions, so only near ones of a direction do.
     """
     bands = int(180 // max_degrees)
     names = [id_col, *AXIS, *columns]
     band = F.floor(G.line_angle(*cols("")) * bands / 180).cast("int") % bands
-    a = first.where(length() > 0).select(key, *[F.col(c).alias(f"a_{c}") for c in names], F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda s: F.pmod(band + s, F.lit(bands))))).alias("__band"))
-    b = second.where(length() > 0).select(key, *[F.col(c).alias(f"b_{c}") for c in names], band.alias("__band"))
-    pairs = a.join(b, [key, "__band"]).drop("__band").withColumns({"degrees": angle_between(), "distance": middle_to_line("a_", "b_")})
+    (mx, my), n = middle(""), length()
+    a = first.where(n > 0).select(key, *[F.col(c).alias(f"a_{c}") for c in names], mx.alias("__mx"), my.alias("__my"), F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda s: F.pmod(band + s, F.lit(bands))))).alias("__band"))
+    extent = first.where(n > 0).groupBy(key).agg(F.min(mx).alias("__x0"), F.min(my).alias("__y0"), F.max(mx).alias("__x1"), F.max(my).alias("__y1"))
+    size = F.greatest(F.lit(LINE_CELL), (F.col("__x1") - F.col("__x0")) / CELLS, (F.col("__y1") - F.col("__y0")) / CELLS)
+    extent = extent.withColumn("__size", size)
+    to = lambda v, low: F.floor((v - F.col(low)) / F.col("__size")).cast("int")
+    a = a.join(extent, key).withColumns({"__cx": to(F.col("__mx"), "__x0"), "__cy": to(F.col("__my"), "__y0")}).drop("__mx", "__my", "__x0", "__y0", "__x1", "__y1", "__size")
+    b = second.where(n > 0).select(key, *[F.col(c).alias(f"b_{c}") for c in names], band.alias("__band")).join(extent, key)
+    dx, dy = F.col("b_x2") - F.col("b_x1"), F.col("b_y2") - F.col("b_y1")
+    flat = F.abs(dx) >= F.abs(dy)
+    # u runs along the axis that the line is nearer to, v across it; v = at + slope * u, counted from the extent's corner.
+    b = b.withColumns({
+        "__slope": F.when(flat, dy / F.nullif(dx, F.lit(0.0))).otherwise(dx / F.nullif(dy, F.lit(0.0))),
+        "__nu": F.when(flat, to(F.col("__x1"), "__x0")).otherwise(to(F.col("__y1"), "__y0")),
+        "__nv": F.when(flat, to(F.col("__y1"), "__y0")).otherwise(to(F.col("__x1"), "__x0")),
+    })
+    px, py = F.col("b_x1") - F.col("__x0"), F.col("b_y1") - F.col("__y0")
+    b = b.withColumn("__at", F.when(flat, py - F.col("__slope") * px).otherwise(px - F.col("__slope") * py)).withColumn("__u", F.explode(F.sequence(F.lit(0), F.col("__nu"))))
+    v = [F.col("__at") + F.col("__slope") * F.col("__size") * (F.col("__u") + i) for i in (0, 1)]
+    pad = 1.5 * max_distance + 1e-3  # across a slope of 1 at most
+    b = b.withColumns({"__from": F.greatest(F.lit(0), F.floor((F.least(*v) - pad) / F.col("__size")).cast("int")), "__to": F.least(F.col("__nv"), F.floor((F.greatest(*v) + pad) / F.col("__size")).cast("int"))})
+    b = b.where(F.col("__from") <= F.col("__to")).withColumn("__v", F.explode(F.sequence("__from", "__to")))
+    b = b.select(key, *[f"b_{c}" for c in names], "__band", F.when(flat, F.col("__u")).otherwise(F.col("__v")).alias("__cx"), F.when(flat, F.col("__v")).otherwise(F.col("__u")).alias("__cy"))
+    pairs = a.join(b, [key, "__band", "__cx", "__cy"]).drop("__band", "__cx", "__cy").withColumns({"degrees": angle_between(), "distance": middle_to_line("a_", "b_")})
     return pairs.where((F.col("degrees") <= max_degrees) & (F.col("distance") <= max_distance))
 
 

@@ -16,12 +16,8 @@ from planlake.plans.registry import query, r6, s6
 from planlake.plans.scalar_queries import AREA, EXT, near_sql
 
 K = ("plan_id", "det_id")
-REASON = f"CASE WHEN confidence < 0.5e0 THEN 'confidence' WHEN {AREA} < 30000 THEN 'geometry' WHEN kind = 'WALL' AND greatest(len, thk) < 500 THEN 'short' END"
-
-
-def reason():
-    p = F.col("points")
-    return F.when(F.col("confidence") < 0.5, "confidence").when(G.polygon_area(p) < 30000, "geometry").when((F.col("kind") == "WALL") & (F.greatest("len", "thk") < 500), "short")
+#: B10's rule in SQL.
+REASON = f"CASE WHEN confidence < 0.5e0 THEN 'confidence' WHEN {AREA} < 30000 THEN 'geometry' WHEN kind = 'WALL' AND greatest(len, thk) < 500 THEN 'wall too short' WHEN kind = 'WALL' AND greatest(len, thk) > 3000 THEN 'wall too long' END"
 
 
 def agg(cols: str, by: str = "plan_id", src: str = "det", having: str = "") -> str:
@@ -30,19 +26,19 @@ def agg(cols: str, by: str = "plan_id", src: str = "det", having: str = "") -> s
 
 @query("d01_class_counts", agg(f"count(*) AS n, count(*) FILTER (WHERE {REASON} IS NULL) AS valid, count(*) FILTER (WHERE {REASON} IS NOT NULL) AS invalid", "label"))
 def d01(spark, sf):
-    r = reason()
+    r = Q.validation_reason()
     return detections(spark, sf).groupBy("label").agg(F.count("*").alias("n"), F.count_if(r.isNull()).alias("valid"), F.count_if(r.isNotNull()).alias("invalid"))
 
 
-@query("d02_reject_counts", f"{CTE} SELECT {REASON} AS bucket, count(*) AS n FROM det WHERE {REASON} IS NOT NULL GROUP BY 1")
+@query("d02_reject_counts", f"{CTE} SELECT CASE WHEN {REASON} LIKE 'wall%' THEN 'dimensions' ELSE {REASON} END AS bucket, count(*) AS n FROM det WHERE {REASON} IS NOT NULL GROUP BY 1")
 def d02(spark, sf):
     """Buckets by rule, not by text."""
-    return detections(spark, sf).select(reason().alias("bucket")).where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("n"))
+    return detections(spark, sf).select(Q.reject_bucket(Q.validation_reason()).alias("bucket")).where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 @query("d03_validation_summary", agg(f"bool_or({REASON} IS NULL) AS is_valid, count(*) FILTER (WHERE {REASON} IS NOT NULL) > count(*) FILTER (WHERE {REASON} IS NULL) AS warned"))
 def d03(spark, sf):
-    r = reason()
+    r = Q.validation_reason()
     return detections(spark, sf).groupBy("plan_id").agg(F.bool_or(r.isNull()).alias("is_valid"), (F.count_if(r.isNotNull()) > F.count_if(r.isNull())).alias("warned"))
 
 
@@ -54,7 +50,7 @@ def d04(spark, sf):
     off = G.angle_delta(G.line_angle(*W.cols("")), F.when(F.col("horizontal"), 0.0).otherwise(90.0))
     axes = w.groupBy("plan_id").agg(F.count("*").alias("axes"), F.count_if(off <= 10).alias("parallel"))
     room = F.col("kind") == "STAIR"
-    c = d.groupBy("plan_id").agg(F.count("*").alias("n"), F.count_if(reason().isNull()).alias("valid"), F.count_if(room).alias("spaces"), F.count_if(room & (F.col("thk") >= 200)).alias("closed"), F.avg("confidence").alias("mean"), F.count_if(F.col("line_no") == 7).alias("errors"))
+    c = d.groupBy("plan_id").agg(F.count("*").alias("n"), F.count_if(Q.validation_reason().isNull()).alias("valid"), F.count_if(room).alias("spaces"), F.count_if(room & (F.col("thk") >= 200)).alias("closed"), F.avg("confidence").alias("mean"), F.count_if(F.col("line_no") == 7).alias("errors"))
     c = c.join(axes, "plan_id", "left").na.fill(0, ["axes", "parallel"])
     return c.select("plan_id", r6(Q.quality_score(*[F.col(x) for x in ("n", "valid", "spaces", "closed", "axes", "parallel", "mean", "errors")])).alias("score"))
 
@@ -356,7 +352,7 @@ def f01(spark, sf):
 @query("f02_first_issues", f"{CTE}, r AS (SELECT plan_id, det_id, row_number() OVER (PARTITION BY plan_id ORDER BY det_id, x0, y0) AS k FROM det WHERE {REASON} IS NOT NULL) SELECT plan_id, det_id, k FROM r WHERE k <= 5")
 def f02(spark, sf):
     """The first five issues of each plan: a report's feature, not a cap on the work."""
-    d = detections(spark, sf).where(reason().isNotNull()).withColumn("k", F.row_number().over(Window.partitionBy("plan_id").orderBy("det_id", "x0", "y0")).cast("long"))
+    d = detections(spark, sf).where(Q.validation_reason().isNotNull()).withColumn("k", F.row_number().over(Window.partitionBy("plan_id").orderBy("det_id", "x0", "y0")).cast("long"))
     return d.where("k <= 5").select(*K, "k")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from planlake.functions import geom as G
 from planlake.operators.graph import components
+from planlake.operators.hull import perimeter_external
 from planlake.operators.spatial import CELL, grid_join, renamed, self_pairs
 from planlake.operators import openings as O
 from planlake.operators import walls as W
@@ -518,14 +519,19 @@ def c34(spark, sf):
     return j.select("plan_id", F.when(F.col("d") <= 1, "aligned").when(F.col("d") > 5, "reject").otherwise("scale").alias("verdict"))
 
 
-@query("c35_perimeter_external", f"{CTE}, env AS (SELECT plan_id, min(x0) AS ex0, min(y0) AS ey0, max(bx) AS ex1, max(by_) AS ey1 FROM wall GROUP BY plan_id) SELECT w.plan_id, w.det_id, thk >= 200 OR least(abs(ax1 - ex0), abs(ax2 - ex1), abs(ay1 - ey0), abs(ay2 - ey1)) <= greatest(300, least(1.5e0 * thk, 600)) AS external FROM wall w JOIN env USING (plan_id)")
+def hull_sql(points: str) -> str:
+    """SQL CTEs: ``hull`` has the sides (ax, ay to bx, by_) of each plan's convex hull, turning left, of ``points`` (plan_id, x, y)."""
+    turn = "((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x))"
+    beyond = "((c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) < 0 OR (c.x - b.x) * (b.x - a.x) + (c.y - b.y) * (b.y - a.y) > 0)"
+    return f"""hp0 AS ({points}), hx AS (SELECT plan_id, x, min(y) AS lo, max(y) AS hi FROM hp0 GROUP BY plan_id, x), hp AS (SELECT plan_id, x, lo AS y FROM hx UNION SELECT plan_id, x, hi FROM hx),
+hpp AS (SELECT a.plan_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, bool_or({turn} < 0 OR ({turn} = 0 AND {beyond})) AS cut FROM hp a JOIN hp b ON a.plan_id = b.plan_id AND (a.x <> b.x OR a.y <> b.y) JOIN hp c ON a.plan_id = c.plan_id GROUP BY a.plan_id, a.x, a.y, b.x, b.y),
+hull AS (SELECT plan_id, ax, ay, bx, by_ FROM hpp WHERE NOT cut)"""
+
+
+@query("c35_perimeter_external", f"{CTE}, {hull_sql('SELECT plan_id, ax1 AS x, ay1 AS y FROM wall UNION SELECT plan_id, ax2, ay2 FROM wall')}, hd AS (SELECT w.plan_id, w.det_id, w.thk, round(min(least({seg('w.ax1', 'w.ay1', 'h.ax', 'h.ay', 'h.bx', 'h.by_')}, {seg('w.ax2', 'w.ay2', 'h.ax', 'h.ay', 'h.bx', 'h.by_')})), 6) AS distance FROM wall w JOIN hull h ON w.plan_id = h.plan_id GROUP BY w.plan_id, w.det_id, w.thk) SELECT plan_id, det_id, thk >= 200 OR distance <= greatest(300, least(1.5e0 * thk, 600)) AS external FROM hd")
 def c35(spark, sf):
-    """Thick walls and walls on the plan's outline are external."""
-    w = walls(spark, sf)
-    env = w.groupBy("plan_id").agg(F.min("x0").alias("ex0"), F.min("y0").alias("ey0"), F.max("bx").alias("ex1"), F.max("by_").alias("ey1"))
-    off = F.least(*[F.abs(F.col(a) - F.col(b)) for a, b in (("ax1", "ex0"), ("ax2", "ex1"), ("ay1", "ey0"), ("ay2", "ey1"))])
-    limit = F.greatest(F.lit(300.0), F.least(1.5 * F.col("thk"), F.lit(600.0)))
-    return w.join(env, "plan_id").select("plan_id", "det_id", ((F.col("thk") >= 200) | (off <= limit)).alias("external"))
+    """Thick walls and walls near the plan's hull are external."""
+    return perimeter_external(axis_walls(spark, sf)).select("plan_id", "det_id", "external").distinct()
 
 
 @query("c36_opening_inside_ratio", f"{CTE}, p AS (SELECT a.plan_id, a.det_id, {IOU} AS inside, a.len * a.thk AS area FROM opening a JOIN wall b ON a.plan_id = b.plan_id) SELECT plan_id, det_id, {s6('max(inside)')} AS inside, {s6('max(area) - max(inside)')} AS outside FROM p WHERE inside > 0 GROUP BY plan_id, det_id")

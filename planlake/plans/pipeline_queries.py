@@ -80,7 +80,7 @@ def p01(spark, sf):
     """Valid rows simplified, snapped, straightened; openings clipped to the nearest axis-parallel wall."""
     d = detections(spark, sf).drop("x1", "y1", "x2", "y2")
     upright = tilted_walls(spark, sf).where("ux IN (0, 1)")
-    c = R.clean_detections(d, A.reason(), upright)
+    c = R.clean_detections(d, Q.validation_reason(), upright)
     area = F.when(F.size("clipped") > 0, G.polygon_area(F.col("clipped"))).otherwise(F.when(F.col("wall_id").isNotNull(), 0.0))
     return c.select(*K, "kind", F.col("points")[0]["x"].alias("x"), "wall_id", r6(area).alias("clipped_area"))
 
@@ -94,9 +94,9 @@ def p02(spark, sf):
     return d.select(*K, "type", L.is_external(F.col("label")).alias("is_external"), r6(F.col("p")[2]["x"]).alias("x"))
 
 
-@query("p03_wall_axes", f"{J.LABELS}, tied AS (SELECT plan_id, split_part(id, '#', 1) AS det_id, count(DISTINCT id) AS n FROM lab GROUP BY 1, 2), kept AS (SELECT w.* FROM wall w LEFT JOIN tied t ON w.plan_id = t.plan_id AND w.det_id = t.det_id WHERE NOT (len < 1500 AND coalesce(t.n, 0) >= 2)), pw AS (SELECT plan_id, sum(thk * len) / sum(len) AS plan_width FROM kept GROUP BY plan_id) SELECT k.plan_id, det_id, 'rectangle' AS method, {s6('len')} AS length, {s6('thk')} AS width, CASE WHEN horizontal THEN 0e0 ELSE 90e0 END AS angle, {s6('plan_width')} AS plan_width FROM kept k JOIN pw USING (plan_id)")
+@query("p03_wall_axes", f"{J.LABELS}, tied AS (SELECT plan_id, split_part(id, '#', 1) AS det_id, count(DISTINCT id) AS n FROM lab GROUP BY 1, 2), kept AS (SELECT w.* FROM wall w LEFT JOIN tied t ON w.plan_id = t.plan_id AND w.det_id = t.det_id WHERE NOT (len < 1500 AND coalesce(t.n, 0) >= 2)), ka AS (SELECT plan_id, det_id, ax1 AS x1, ay1 AS y1, ax2 AS x2, ay2 AS y2, thk AS thickness FROM kept), {J.merged_sql('ka')}, pw AS (SELECT plan_id, sum(thickness * length) / sum(length) AS plan_width FROM merged GROUP BY plan_id) SELECT k.plan_id, det_id, CASE WHEN n_merged > 1 THEN 'merged' ELSE 'rectangle' END AS method, {s6('length')} AS length, {s6('thickness')} AS width, CASE WHEN abs(y2 - y1) <= abs(x2 - x1) THEN 0e0 ELSE 90e0 END AS angle, {s6('plan_width')} AS plan_width FROM merged k JOIN pw USING (plan_id)")
 def p03(spark, sf):
-    """Axes of the walls' boxes; axes below 1500 mm between shared ends go."""
+    """Axes of the walls' boxes; axes below 1500 mm between shared ends go; those on one line are merged."""
     w = walls(spark, sf).withColumn("points", F.array(*[G.point(F.col(x), F.col(y)) for x, y in (("x0", "y0"), ("bx", "y0"), ("bx", "by_"), ("x0", "by_"))]))
     a = R.wall_axes(w, 1500.0)
     return a.select(*K, "method", r6(W.length()).alias("length"), r6(F.col("thickness")).alias("width"), r6(G.line_angle(*W.cols(""))).alias("angle"), r6(F.col("plan_width")).alias("plan_width"))
@@ -160,9 +160,9 @@ MOVED = re.sub(r"\(round\(CAST\((coalesce\([pq]\.[xy], a[xy][12]\)) AS DOUBLE\)
 REPAIRED = f"{J.OT}, {J.PLACED}, sc AS (SELECT *, unnest([1e0, 0.98e0, 0.95e0, 0.9e0, 0.85e0, 0.8e0, 0.7e0, 0.6e0, 0.5e0]) AS scale FROM pl), fit AS (SELECT plan_id, det_id, max(scale) AS scale FROM sc WHERE scale * width / 2 <= round(length / 2 - abs(along - length / 2) - 5, 6) AND scale * depth / 2 <= round(thickness / 2 - abs(across) - 5, 6) AND (scale = 1 OR scale * width >= 100 AND scale * depth >= 40) GROUP BY plan_id, det_id) SELECT DISTINCT pl.plan_id, pl.det_id, wall_id, {s6('width')} AS width, {s6('depth')} AS depth FROM pl LEFT JOIN fit USING (plan_id, det_id)"
 
 
-@query("p05_repair_axes", REPAIRED.replace("tw AS (SELECT * FROM tilt WHERE kind = 'WALL')", f"tw AS (SELECT v.plan_id, v.det_id, sqrt((v.x2 - v.x1) ** 2 + (v.y2 - v.y1) ** 2) AS length, (v.x2 - v.x1) / sqrt((v.x2 - v.x1) ** 2 + (v.y2 - v.y1) ** 2) AS ux, (v.y2 - v.y1) / sqrt((v.x2 - v.x1) ** 2 + (v.y2 - v.y1) ** 2) AS uy, v.x1, v.y1, v.x2, v.y2, {near_sql('thk')} AS thickness FROM ({MOVED}) v JOIN det ON v.plan_id = det.plan_id AND v.det_id = det.det_id WHERE (v.x2 - v.x1) ** 2 + (v.y2 - v.y1) ** 2 > 0)"))
+@query("p05_repair_axes", REPAIRED.replace("tw AS (SELECT * FROM tilt WHERE kind = 'WALL')", f"va AS (SELECT v.plan_id, v.det_id, v.x1, v.y1, v.x2, v.y2, {near_sql('thk')} AS thickness FROM ({MOVED}) v JOIN det ON v.plan_id = det.plan_id AND v.det_id = det.det_id WHERE (v.x2 - v.x1) ** 2 + (v.y2 - v.y1) ** 2 > 0), {J.merged_sql('va')}, tw AS (SELECT v.plan_id, v.det_id, sqrt((v.x2 - v.x1) ** 2 + (v.y2 - v.y1) ** 2) AS length, (v.x2 - v.x1) / sqrt((v.x2 - v.x1) ** 2 + (v.y2 - v.y1) ** 2) AS ux, (v.y2 - v.y1) / sqrt((v.x2 - v.x1) ** 2 + (v.y2 - v.y1) ** 2) AS uy, v.x1, v.y1, v.x2, v.y2, v.thickness FROM merged v)").replace("WITH base", "WITH RECURSIVE base", 1))
 def p05(spark, sf):
-    """Thickness to the standards, axes to the bases, gaps closed, openings assigned and placed anew."""
+    """Thickness to the standards, axes to the bases, gaps closed, axes on one line merged, openings assigned and placed anew."""
     w = axis_walls(spark, sf).select(*K, "label", *W.AXIS, "thickness")
     _, o = R.repair_axes(w, rect_openings(spark, sf), L.is_external(F.col("label")))
     return o.select(*K, "wall_id", r6(F.col("width")).alias("width"), r6(F.col("depth")).alias("depth")).distinct()

@@ -8,6 +8,7 @@ from planlake.functions import geom as G
 from planlake.functions import labels as L
 from planlake.plans.config import with_fidelity
 from planlake.plans.demo import CTE, detections
+from planlake.operators.quality import validation_reason
 from planlake.plans.registry import query, r6, s6
 
 K = ("plan_id", "det_id")
@@ -99,11 +100,7 @@ def b09(spark, sf):
 
 @query("b10_validation_reason", det(f"CASE WHEN confidence < 0.5e0 THEN 'confidence' WHEN {AREA} < 30000 THEN 'geometry' WHEN kind = 'WALL' AND greatest(len, thk) < 500 THEN 'wall too short' WHEN kind = 'WALL' AND greatest(len, thk) > 3000 THEN 'wall too long' END AS reason"))
 def b10(spark, sf):
-    wall, size = F.col("kind") == "WALL", F.greatest("len", "thk")
-    need = F.when(wall, 4).otherwise(3)
-    p = F.col("points")
-    reason = F.when(F.col("confidence") < 0.5, "confidence").when(F.size(p) < need, "points").when(G.polygon_area(p) < 30000, "geometry").when(wall & (size < 500), "wall too short").when(wall & (size > 3000), "wall too long")
-    return detections(spark, sf).select(*K, reason.alias("reason"))
+    return detections(spark, sf).select(*K, validation_reason().alias("reason"))
 
 
 @query("b11_ring", det("5 AS n, x1 AS last_x, y1 AS last_y"))

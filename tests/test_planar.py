@@ -97,3 +97,45 @@ def test_merged_outline_area_at_an_angle(spark):
     assert row["n_walls"] == 3 and row["area"] == pytest.approx(2 * 3000 * 200 - 200 * 180 + 3500 * 120 - 200 * 110, abs=10)
     area = spark.createDataFrame([row]).select(G.polygon_area(F.col("points")).alias("a")).first()["a"]
     assert area == pytest.approx(row["area"], abs=20)
+
+
+def test_collinear_axes_merge_across_any_bin_edge(spark):
+    from planlake.operators.walls import merge_collinear
+
+    turn = lambda x, y: (0.8 * x - 0.6 * y, 0.6 * x + 0.8 * y)
+    lines = [(0, 99.5, 1000, 99.5, 100), (900, 100.5, 3000, 100.5, 200), (3004, 100, 4000, 100, 100), (4200, 100, 5000, 100, 100), (0, 120, 1000, 120, 100), (0, 0, 40, 0, 100)]
+    w = axes(spark, *[(*turn(a, b), *turn(c, d), t) for a, b, c, d, t in lines])
+    got = {r["det_id"]: r for r in merge_collinear(w.union(w)).collect()}
+    assert {k: r["n_merged"] for k, r in got.items()} == {"w00": 3, "w03": 1, "w04": 1}
+    r = got["w00"]
+    assert (r["x2"] - r["x1"]) ** 2 + (r["y2"] - r["y1"]) ** 2 == pytest.approx(4000.0**2)
+    assert r["thickness"] == pytest.approx((1000 * 100 + 2100 * 200 + 996 * 100) / 4096)
+
+
+def test_hull_and_perimeter(spark):
+    from planlake.operators.hull import hulls, perimeter_external
+
+    r = random.Random(6)
+    clouds = {k: [(float(r.randint(0, 30)), float(r.randint(0, 30))) for _ in range(r.randint(1, 40))] for k in range(20)} | {20: [(1.0, 1.0), (2.0, 2.0), (3.0, 3.0)], 21: [(4.0, 5.0)], 22: [(0.0, 0.0), (0.0, 9.0)]}
+    p = spark.createDataFrame([(k, *q) for k, c in clouds.items() for q in c], "plan_id long, x double, y double")
+    for row in hulls(p).collect():
+        c, ring = set(clouds[row["plan_id"]]), [(q["x"], q["y"]) for q in row["points"]]
+        turn = lambda a, b, q: (b[0] - a[0]) * (q[1] - a[1]) - (b[1] - a[1]) * (q[0] - a[0])
+        assert set(ring) <= c and len(set(ring)) == len(ring) == row["corners"]
+        for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
+            assert all(turn(a, b, q) >= 0 for q in c)
+        if len(ring) > 2:
+            assert all(turn(a, b, q) > 0 for a, b, q in zip(ring, ring[1:] + ring[:1], ring[2:] + ring[:2], strict=True))
+    w = axes(spark, (0, 0, 5000, 0, 100), (5000, 0, 2500, 4000, 100), (2500, 4000, 0, 0, 100), (2400, 1500, 2600, 1500, 100), (2400, 1400, 2600, 1400, 240))
+    assert {r["det_id"]: r["external"] for r in perimeter_external(w).collect()} == {"w00": True, "w01": True, "w02": True, "w03": False, "w04": True}
+
+
+def test_axes_turn_to_lines_at_any_distance(spark):
+    from planlake.operators.walls import gap_classes, refine_axes
+
+    a, lines = axes(spark, (0, 0, 1000, 20, 100), (0, 9000, 10, 9900, 100)), axes(spark, (60000, 0, 61000, 0, 100), (0, 700, 1000, 700, 100))
+    got = {r["det_id"]: r for r in refine_axes(a, lines).collect()}
+    assert set(got) == {"w00"} and got["w00"]["line_id"] == "w01" and got["w00"]["y1"] == got["w00"]["y2"] == pytest.approx(10.0)
+    got = refine_axes(a, lines.where("x1 > 1")).collect()
+    assert [r["line_id"] for r in got] == ["w00"] and got[0]["score"] > 60000
+    assert [tuple(r) for r in gap_classes(axes(spark, (0, 0, 100, 0, 1), (130, 0, 500, 0, 1), (580, 0, 900, 0, 1), (5000, 0, 6000, 0, 1))).collect()] == [(1, 1, 1, 4)]
