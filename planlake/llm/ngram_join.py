@@ -1,12 +1,14 @@
-"""N-gram Jaccard join by XOR-hashed blocks.
+"""N-gram Jaccard join by parity sketches.
 
-A document is its set of distinct word shingles, hashed to 64 bits. Hash space is cut into K blocks; a block's
-key is the XOR of the mixed hashes of the set's shingles in it, mixed with the block's number. No bit sketch is
-kept and no Hamming distance is formed: a shingle that only one of two sets has changes one block's key at most. At similarity
-t a pair of sizes a <= b <= a/t differs in at most d = (1-t)/(1+t) * (a+b) shingles. So with more than d
-non-empty blocks some non-empty block is equal in both (pigeonhole), and its key is equal.
+A document is its set of distinct word shingles, hashed to 64 bits. Its parity sketch has 2^32 bits: each shingle flips the bit
+that its hash's upper half names, so a bit tells whether an odd number of shingles fell on it; it is kept as the sorted places of
+the bits that are set. A shingle that only one of two sets has flips one bit of one sketch, so the Hamming distance of the
+sketches is never above the size of the symmetric difference. At similarity t a pair of sizes a <= b <= a/t differs in at most
+d = (1-t)/(1+t) * (a+b) shingles. The sketch is cut into K segments; with more than d non-empty ones some non-empty segment is
+equal in both (pigeonhole), and so is its key, a hash of the set bits in it. Candidates are held by their whole sketches, folded to
+dense bits, before any set is read: whose Hamming distance is above d can't be a link.
 
-K follows the size of the smaller set: every size is a band. Blocks of neighbouring bands are nested
+K follows the size of the smaller set: every size is a band. Segments (blocks below) of neighbouring bands are nested
 (growing K by one splits one block), so a document writes the blocks of its own band and the few
 merged ones of the bands down to t times its size, and each pair meets in the smaller one's band. A
 document left with too few non-empty blocks also writes its single shingles, which covers pairs of two such.
@@ -44,6 +46,8 @@ PRUNINGS = 2
 BROADCAST_ROWS = 500_000
 SHARD_BYTES = 24 << 20
 NEED = 1 << 40
+#: Bits of a folded sketch for each shingle, and the power of two that no folded sketch exceeds.
+FOLDS, MAX_FOLD = 4, 16
 
 
 def most_apart(a: int, b: int, percent: int) -> int:
@@ -57,6 +61,31 @@ def band(a: int, percent: int) -> int:
     return 1 if d == 0 else d + 1 + -(-(d + 1) // 4) + 4
 
 
+def sketch_bits(u: np.ndarray) -> np.ndarray:
+    """The set bits of the parity sketch of the sorted set u: their places, sorted, in the upper halves of 64 bits."""
+    place = u >> np.uint64(32)
+    at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])[: len(u)])
+    odd = np.diff(np.append(at, len(u))) % 2 == 1
+    return place[at[odd]] << np.uint64(32)
+
+
+def folded(u: np.ndarray) -> bytes:
+    """The sketch of the set u in FOLDS bits for each shingle or more, a power of two: bits of one place modulo that length are XORed."""
+    length = 1 << min(MAX_FOLD, max(8, (FOLDS * len(u) - 1).bit_length()))
+    seen = np.bincount((u >> np.uint64(32)).astype(np.int64) & (length - 1), minlength=length)
+    return np.packbits(seen & 1, bitorder="little").tobytes()
+
+
+def hamming(x: np.ndarray, y: np.ndarray) -> int:
+    """Distance of two folded sketches; the longer one is folded to the length of the other, which only brings them nearer."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        half = len(x) // 2
+        x = x[:half] ^ x[half:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def block_ids(u: np.ndarray, k: int) -> np.ndarray:
     """The block of each sorted hash when hash space is cut into k nested blocks: (level << 40) + number, sorted within a level."""
     level = k.bit_length() - 1
@@ -67,11 +96,11 @@ def block_ids(u: np.ndarray, k: int) -> np.ndarray:
 
 
 def block_keys(u: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(block ids, join keys) of the non-empty blocks of the sorted set u, without the blocks in ``skip``."""
+    """(block ids, join keys) of the non-empty blocks of a sketch's bits u, without the blocks in ``skip``."""
     ids = block_ids(u, k)
-    at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])[: len(ids)])
     own = ids[at]
-    keys = mix(np.bitwise_xor.reduceat(mix(u + np.uint64(1)), at) ^ mix(own))
+    keys = mix(np.bitwise_xor.reduceat(mix(u + np.uint64(1)), at) ^ mix(own)) if len(at) else own
     if skip is not None:
         new = ~np.isin(own, skip, assume_unique=True)
         own, keys = own[new], keys[new]
@@ -84,17 +113,17 @@ def document_keys(u: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     A partner differs in at most d blocks, so of m non-empty blocks m - d are shared. This is taken over every
     band the document takes part in; between two bands checked, m is that of the lower and d that of the upper.
     """
-    b = len(u)
+    b, bits = len(u), sketch_bits(u)
     top = band(b, percent)
-    own, keys = block_keys(u, top)
+    own, keys = block_keys(bits, top)
     out = [keys]
     need = len(own) - most_apart(b, 100 * b // percent, percent)
     steps = sorted({-(-percent * b // 100), -(-(percent + 100) * b // 200), b})
     for low, upto in zip(steps, [*steps[1:], b], strict=True):
-        ids = block_ids(u, band(low, percent))
-        need = min(need, 1 + int((ids[1:] != ids[:-1]).sum()) - most_apart(upto, b, percent))
+        ids = block_ids(bits, band(low, percent))
+        need = min(need, min(1, len(ids)) + int((ids[1:] != ids[:-1]).sum()) - most_apart(upto, b, percent))
     if (k := band(steps[0], percent)) != top:
-        out.append(block_keys(u, k, own)[1])
+        out.append(block_keys(bits, k, own)[1])
     if need < 1:
         out.append(mix(u ^ np.uint64(0x5851F42D4C957F2D)))
     return np.concatenate(out), max(1, need)
@@ -187,17 +216,32 @@ def _docs_and_members(docs: DataFrame, id_col: str, text_col: str, words: int, p
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
-    """(node, set): the sorted shingle hashes of the classes in ``wanted`` (node, fp, fp2, rep), read from rows with the id rep, each known by its text's fingerprints."""
+    """(node, set, sketch): the sorted shingle hashes of the classes in ``wanted`` (node, fp, fp2, rep), read from rows with the id rep, each known by its text's fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in slices(batches, 1):
             u, at = shingle_sets(texts, words)
             fps = [pa.array(x.view(np.int64)) for x in fingerprints(u, at)]
-            yield pa.record_batch([*fps, pa.array([u[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["fp", "fp2", "set"])
+            sets = [u[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pa.record_batch([*fps, pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([folded(x) for x in sets], pa.binary())], names=["fp", "fp2", "set", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col)).join(bounded_broadcast(wanted.select("rep").distinct(), BROADCAST_ROWS), "rep", "left_semi")
-    sets = rows.mapInArrow(run, "fp long, fp2 long, set binary")
-    return sets.join(bounded_broadcast(wanted.select("fp", "fp2", "node"), BROADCAST_ROWS), ["fp", "fp2"]).dropDuplicates(["fp", "fp2"]).select("node", "set")
+    sets = rows.mapInArrow(run, "fp long, fp2 long, set binary, sketch binary")
+    return sets.join(bounded_broadcast(wanted.select("fp", "fp2", "node"), BROADCAST_ROWS), ["fp", "fp2"]).dropDuplicates(["fp", "fp2"]).select("node", "set", "sketch")
+
+
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, n, y, m) of classes with n and m shingles whose sketches aren't too far apart for a link: x, y."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = (np.asarray(b.column(c)) for c in ("n", "m"))
+            far = np.array([hamming(*(np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in p)) for p in zip(b.column("bx"), b.column("by"), strict=True)], dtype=np.int64)
+            keep = far <= (100 - percent) * (n + m) // (100 + percent)
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], names=["x", "y"]).filter(pa.array(keep))
+
+    bx, by = (sets.select(F.col("node").alias(c), F.col("sketch").alias(f"b{c}")) for c in "xy")
+    return pairs.join(bx, "x").join(by, "y").select("x", "y", "n", "m", "bx", "by").mapInArrow(run, "x long, y long")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -290,8 +334,9 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     stars = materialize(members.join(centre, "key").select("c", "node", "n").distinct(), "ngram-stars")
     size_c = nodes.select(F.col("node").alias("c"), F.col("n").alias("m"))
     pairs = stars.where("c <> node").join(size_c, "c").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    pairs = pairs.select(F.least("c", "node").alias("x"), F.greatest("c", "node").alias("y")).distinct()
-    links = materialize(_similar(pairs, sets, percent), "ngram-links")
+    pairs = pairs.select(F.least("c", "node").alias("x"), F.greatest("c", "node").alias("y"), "n", "m").dropDuplicates(["x", "y"])
+    near = materialize(_near(pairs, sets, percent), "ngram-near")
+    links = materialize(_similar(near, sets, percent), "ngram-links")
     label = components(links, "x", "y")
     placed = stars.join(label, "node", "left").select("c", "node", "n", F.coalesce("component", "node").alias("component"))
     more = materialize(_in_blocks(placed, sets, percent), "ngram-links")

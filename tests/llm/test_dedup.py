@@ -78,6 +78,23 @@ def test_near(make_docs):
     assert {(r["doc_id"], r["component_id"]) for r in nulls} == {(None, None), (4, 4)}
 
 
+def test_sketch_distance_never_exceeds_the_difference():
+    rng = np.random.default_rng(9)
+    for _ in range(400):
+        n = int(rng.integers(1, 3000))
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2))
+        if rng.random() < 0.5:  # shingles that fall on one bit
+            pool = np.unique(pool & np.uint64(0xFF000000000000FF))
+        a, b = (np.sort(rng.choice(pool, int(rng.integers(0, min(n, len(pool)) + 1)), replace=False)) for _ in range(2))
+        if rng.random() < 0.5:
+            b = np.unique(np.concatenate([a[int(rng.integers(0, 9)) :], rng.choice(pool, 3)]))
+        apart = len(np.setxor1d(a, b))
+        assert len(np.setxor1d(ngram_join.sketch_bits(a), ngram_join.sketch_bits(b))) <= apart
+        assert ngram_join.hamming(*(np.frombuffer(ngram_join.folded(x), dtype=np.uint8) for x in (a, b))) <= apart
+        if apart:
+            assert len(ngram_join.sketch_bits(a)) <= len(a)
+
+
 def test_sketch_keys_cover_every_link():
     """Any two sets at the threshold or above share at least as many keys as both need."""
     rng = np.random.default_rng(5)
