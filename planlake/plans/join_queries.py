@@ -237,7 +237,7 @@ def ends(df):
     return one(1).unionByName(one(2))
 
 
-@query("c11_endpoint_gaps", f"{ENDS}, cell AS (SELECT *, floor(x / 300) AS cx, floor(y / 300) AS cy FROM ends), wide AS (SELECT plan_id, det_id, thk, x, y, e, cx + i AS cx, cy + j AS cy FROM cell, (VALUES (-1), (0), (1)) AS s(i), (VALUES (-1), (0), (1)) AS t(j)) SELECT a.plan_id, a.det_id AS a_det_id, a.e AS a_e, b.det_id AS b_det_id, b.e AS b_e, {s6('sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)')} AS gap FROM cell a JOIN wide b ON a.plan_id = b.plan_id AND a.cx = b.cx AND a.cy = b.cy WHERE a.det_id < b.det_id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 > 1 AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= greatest(50, least(2.5e0 * (a.thk + b.thk) / 2, 300)) ** 2")
+@query("c11_endpoint_gaps", f"{ENDS}, p AS (SELECT a.plan_id, a.det_id AS a_det_id, a.e AS a_e, b.det_id AS b_det_id, b.e AS b_e, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, greatest(50, least(2.5e0 * (a.thk + b.thk) / 2, 300)) AS most FROM ends a JOIN ends b ON a.plan_id = b.plan_id AND a.det_id < b.det_id) SELECT plan_id, a_det_id, a_e, b_det_id, b_e, {s6('sqrt(d2)')} AS gap FROM p WHERE d2 > 1 AND d2 <= most * most")
 def c11(spark, sf):
     """Ends of different axes within a limit that follows the walls' thickness."""
     pairs = self_pairs(ends(walls(spark, sf)), ("x", "y", "x", "y"), ["thk", "e"], 300.0)
