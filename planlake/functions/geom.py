@@ -288,12 +288,52 @@ def convex_clip(poly: Column, convex: Column) -> Column:
     return F.aggregate(let(turned, edges), poly, cut)
 
 
+def _below(a: Column, b: Column, length: Column, width: Column) -> Column:
+    """Signed area between the side a-b and the base of a box (0, 0, length, width), inside the box; corners are structs (u, v)."""
+    hold = lambda v, top: F.least(F.greatest(v, F.lit(0.0)), top)
+    slope = F.coalesce((b["v"] - a["v"]) / F.nullif(b["u"] - a["u"], F.lit(0.0)), F.lit(0.0))
+
+    def ends(s: Column) -> Column:
+        on = lambda u: a["v"] + (u - a["u"]) * s["slope"]
+        return F.struct((s["to"] - s["from"]).alias("run"), F.least(on(s["from"]), on(s["to"])).alias("lo"), F.greatest(on(s["from"]), on(s["to"])).alias("hi"))
+
+    def mean(s: Column) -> Column:
+        low, high = F.greatest(s["lo"], F.lit(0.0)), F.least(s["hi"], width)
+        over = F.greatest(F.lit(0.0), s["hi"] - F.greatest(s["lo"], width))
+        height = (width * over + F.greatest(F.lit(0.0), high - low) * (low + high) / 2) / F.nullif(s["hi"] - s["lo"], F.lit(0.0))
+        return F.when(s["run"] == 0, 0.0).otherwise(s["run"] * F.coalesce(height, hold(s["lo"], width)))
+
+    return let(let(F.struct(hold(a["u"], length).alias("from"), hold(b["u"], length).alias("to"), slope.alias("slope")), ends), mean)
+
+
+def rect_share(poly: Column, rect: Column) -> Column:
+    """Area of a polygon without holes inside a rectangle of four corners: the areas below its sides, held to the rectangle's frame, add up."""
+
+    def framed(f: Column) -> Column:
+        local = F.transform(poly, lambda p: F.struct(((p["x"] - f["x"]) * f["ux"] + (p["y"] - f["y"]) * f["uy"]).alias("u"), ((p["x"] - f["x"]) * f["vx"] + (p["y"] - f["y"]) * f["vy"]).alias("v")))
+        return F.abs(let(local, lambda q: fsum(F.zip_with(q, nxt(q), lambda a, b: _below(a, b, f["length"], f["width"])))))
+
+    o, p, r = rect[0], rect[1], rect[3]
+    n, m = hypot(p["x"] - o["x"], p["y"] - o["y"]), hypot(r["x"] - o["x"], r["y"] - o["y"])
+    frame = F.struct(o["x"].alias("x"), o["y"].alias("y"), ((p["x"] - o["x"]) / n).alias("ux"), ((p["y"] - o["y"]) / n).alias("uy"), ((r["x"] - o["x"]) / m).alias("vx"), ((r["y"] - o["y"]) / m).alias("vy"), n.alias("length"), m.alias("width"))
+    return let(frame, framed)
+
+
+def is_rectangle(points: Column) -> Column:
+    """Four corners, opposite sides equal, a right angle, no side without length."""
+    o, p, q, r = (points[i] for i in range(4))
+    ax, ay, bx, by = p["x"] - o["x"], p["y"] - o["y"], r["x"] - o["x"], r["y"] - o["y"]
+    n = ax * ax + ay * ay + bx * bx + by * by
+    shut = (F.abs(o["x"] + ax + bx - q["x"]) + F.abs(o["y"] + ay + by - q["y"])) ** 2 <= 1e-18 * n
+    return (F.size(points) == 4) & shut & (F.abs(ax * bx + ay * by) <= 1e-9 * n) & (F.abs(ax * by - ay * bx) > 1e-9 * n)
+
+
 def shared_area(poly: Column, convex: Column) -> Column:
-    """Area of a polygon inside a convex one; boxes that lie apart are not clipped."""
+    """Area of a polygon inside a convex one; boxes that lie apart are not clipped, and rectangles have a closed form."""
     def clipped(v: Column) -> Column:
         a, b = v["a"], v["b"]
         apart = (b["x0"] > a["x1"]) | (a["x0"] > b["x1"]) | (b["y0"] > a["y1"]) | (a["y0"] > b["y1"])
-        return F.when(apart, 0.0).otherwise(polygon_area(convex_clip(poly, convex)))
+        return F.when(apart, 0.0).when(is_rectangle(convex), rect_share(poly, convex)).otherwise(polygon_area(convex_clip(poly, convex)))
 
     return let(F.struct(bounds(poly).alias("a"), bounds(convex).alias("b")), clipped)
 

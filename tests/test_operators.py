@@ -232,6 +232,25 @@ def test_clip_against_concave_polygons(spark):
     assert got["a"] == pytest.approx(3.0) and got["i"] == pytest.approx(3 / 13)
 
 
+def test_area_inside_a_rectangle_against_clipping(spark):
+    r = np.random.default_rng(8)
+    data = []
+    for i in range(120):
+        c, (w, h), t = r.uniform(0, 10, 2), r.uniform(1, 8, 2), r.uniform(0, 7)
+        u = np.array([np.cos(t), np.sin(t)])
+        v = np.array([-u[1], u[0]]) * (1 if i % 2 else -1)
+        rect = [c, c + w * u, c + w * u + h * v, c + h * v]
+        turn = np.sort(r.uniform(0, 2 * np.pi, int(r.integers(3, 8))))
+        poly = r.uniform(2, 8, 2) + np.column_stack([np.cos(turn), np.sin(turn)]) * r.uniform(1, 6, len(turn))[:, None]
+        data.append((i, *[[dict(x=float(x), y=float(y)) for x, y in q] for q in (poly, rect)]))
+    df = spark.createDataFrame(data, f"id int, p {RING}, q {RING}")
+    got = df.select(G.is_rectangle(F.col("q")).alias("is"), G.rect_share(F.col("p"), F.col("q")).alias("a"), G.polygon_area(G.convex_clip(F.col("p"), F.col("q"))).alias("b")).collect()
+    assert all(x["is"] for x in got) and sum(x["a"] > 0 for x in got) > 40
+    for x in got:
+        assert x["a"] == pytest.approx(x["b"] or 0.0, abs=1e-9)
+    assert not df.select(G.is_rectangle(F.transform("q", lambda p, i: G.point(p["x"] + i, p["y"]))).alias("is")).where("is").count()
+
+
 def test_written_tables_are_dropped_on_demand(spark):
     from planlake.session import drop_materialized, materialize, shared_dir
 
