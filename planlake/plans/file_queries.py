@@ -63,6 +63,17 @@ def a03(spark, sf):
     return lines.groupBy(plan()).agg(F.count("*").alias("walls"), r6(F.sum("thickness")).alias("thickness"), r6(F.sum("line.x1")).alias("starts"))
 
 
+@query("a06_latest_jobs", "SELECT CAST(user_id AS VARCHAR) AS id, arg_max(event_type, (ts, event_id)) AS status, CAST(count(*) AS INTEGER) AS progress FROM events GROUP BY user_id")
+def a06(spark, sf):
+    """Job files of the first states, then those of the last states; the files changed last count."""
+    path = new_folder(spark, "jobs")
+    e, at = spark.read.parquet(f"{sf}/events.parquet"), F.struct("ts", "event_id")
+    jobs = e.groupBy(F.col("user_id").cast("string").alias("id"))
+    jobs.agg(F.min_by("event_type", at).alias("status"), F.lit(0).alias("progress")).write.json(path)
+    jobs.agg(F.max_by("event_type", at).alias("status"), F.count("*").cast("int").alias("progress")).write.mode("append").json(path)
+    return readers.read_jobs(spark, path).select("id", "status", "progress")
+
+
 @query("a07_read_geojson", f"{CTE} SELECT plan_id, det_id, label AS type, {s6(AREA)} AS area FROM det WHERE kind <> 'other'")
 def a07(spark, sf):
     """Collections written per plan and read back, one row per feature."""
@@ -83,10 +94,10 @@ def a09(spark, sf):
 
 @query("a10_spf_entities", "SELECT o_orderkey AS id, CASE o_orderkey % 2 WHEN 0 THEN 'IFCWALL' ELSE 'IFCDOOR' END AS type, o_custkey AS ref FROM orders")
 def a10(spark, sf):
-    """Statements over several lines, and the references between them."""
+    """Statements over several lines, with semicolons, references and doubled quotes in strings; and the references between them."""
     o = spark.read.parquet(f"{sf}/orders.parquet")
     kind = F.when(F.col("o_orderkey") % 2 == 0, "IfcWall").otherwise("IfcDoor")
-    text = F.concat(F.lit("#"), F.col("o_orderkey").cast("string"), F.lit("= "), kind, F.lit("('x',\n#"), F.col("o_custkey").cast("string"), F.lit(",$);"))
+    text = F.concat(F.lit("#"), F.col("o_orderkey").cast("string"), F.lit("= "), kind, F.lit("('x;''#7;',\n#"), F.col("o_custkey").cast("string"), F.lit(",$);"))
     e = readers.read_spf_entities(spark, written(o.select(text), "spf"))
     return e.join(readers.spf_references(e).select("id", "ref"), "id").select("id", "type", "ref")
 

@@ -39,12 +39,6 @@ def a05(spark, sf):
     return readers.to_detections(raw).select(*K, "label", "confidence", "x0", "y0")
 
 
-@query("a06_latest_jobs", "SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id")
-def a06(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet")
-    return e.groupBy(F.col("user_id").alias("id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"))
-
-
 @query("a08_geojson", f"{CTE} SELECT plan_id, count(*) AS n_features FROM wall GROUP BY plan_id")
 def a08(spark, sf):
     """Documents are written per plan; here their features are counted back from the text."""

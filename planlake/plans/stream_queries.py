@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from planlake.plans.registry import query
-from planlake.streaming import streams
+from planlake.session import new_folder
+from planlake.streaming import job_state, streams
 
 US = "epoch_us(ts)"
 
@@ -26,10 +27,14 @@ def i02(spark, sf):
     return streams.request_rate(events(spark, sf)).select("event_id", "minute", "hour")
 
 
-@query("i03_job_state", "SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS status, max(event_id) >= 0 AS known FROM events GROUP BY user_id")
+@query("i03_job_state", "SELECT CAST(user_id AS VARCHAR) AS job_id, arg_max(event_type, (ts, event_id)) AS status, max(event_id) >= 0 AS known FROM events GROUP BY user_id")
 def i03(spark, sf):
+    """All events as a batch of the state table, and once more as a replay under another number; then parts are merged and read."""
+    path = new_folder(spark, "job-state")
     e = events(spark, sf).select(F.col("user_id").alias("job_id"), "ts", "event_id", F.col("event_type").alias("status"))
-    return streams.latest_state(e.unionByName(e)).select("job_id", "status", (F.col("event_id") >= 0).alias("known"))
+    for number in range(2):
+        job_state.upsert(e, path, number, buckets=8, parts=2)
+    return job_state.read(spark, path).select("job_id", "status", (F.col("event_id") >= 0).alias("known"))
 
 
 @query("i04_tumbling_counts", "SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2")

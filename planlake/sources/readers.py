@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planlake.functions import geom as G
+from planlake.session import materialize
 
 POINT = "struct<x: double, y: double>"
 PREDICTION = f"struct<class: string, label: string, class_id: int, detection_id: string, confidence: double, points: array<{POINT}>, x: double, y: double, width: double, height: double>"
@@ -92,13 +93,62 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     return f.select("file", "seq", F.col("f.properties").alias("properties"), F.coalesce(F.element_at("f.properties", "type"), F.lit("WALL")).alias("type"), kind.alias("geometry"), points.alias("points"))
 
 
+#: A string of a model file; a doubled quote in it reads as two strings side by side.
+SPF_STRING = "'[^']*+'"
+#: One argument: text without commas, strings, and lists to two levels.
+SPF_ARGUMENT = f"(?:[^,()']++|{SPF_STRING}|\\((?:[^()']++|{SPF_STRING}|\\((?:[^()']++|{SPF_STRING})*+\\))*+\\))++"
+
+
+def spf_statements(spark: SparkSession, path: str) -> DataFrame:
+    """(file, s) of every statement of model files, cut at the semicolons outside strings.
+
+    Files are read in splits as pieces between semicolons. A piece lies outside strings where the quotes before it are even in number:
+    they are summed within its split and over the file's earlier splits. Pieces with even quotes on both sides are statements as they
+    are; only those that a string runs through are put together, by the number of statements ended before them. The pieces are
+    written first, so that their order is the same in both sums. A comment may hold neither quotes nor semicolons.
+    """
+    t = spark.read.option("lineSep", ";").text(path)
+    meta = F.col("_metadata")
+    t = t.select(meta["file_path"].alias("file"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("n"), "value")
+    t = materialize(t.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit("'"), F.lit("")))), "spf-pieces")
+
+    def base(rows: DataFrame, value: Column, name: str) -> DataFrame:
+        """Per split, the sum of ``value`` over the file's earlier splits."""
+        w = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+        per = rows.groupBy("file", "split").agg(F.sum(value).alias("__v"))
+        return per.select("file", "split", F.coalesce(F.sum("__v").over(w), F.lit(0)).alias(name))
+
+    w = Window.partitionBy("file", "split").orderBy("n")
+    t = t.join(base(t, F.col("quotes"), "before"), ["file", "split"])
+    t = t.withColumn("after", F.col("before") + F.sum("quotes").over(w)).withColumn("inside", (F.col("after") - F.col("quotes")) % 2 == 1)
+    t = t.select("file", "split", "n", "value", "inside", (F.col("after") % 2 == 0).alias("ends"))
+    whole = t.where("ends AND NOT inside").select("file", F.col("value").alias("s"))
+    cut = materialize(t.where("inside OR NOT ends"), "spf-cut")
+    ended = F.col("ends").cast("long")
+    cut = cut.join(base(cut, ended, "earlier"), ["file", "split"]).withColumn("k", F.col("earlier") + F.sum(ended).over(w) - ended)
+    joined = cut.groupBy("file", "k").agg(F.array_sort(F.collect_list(F.struct("split", "n", "value"))).alias("v"))
+    return whole.unionByName(joined.select("file", F.array_join(F.transform("v", lambda p: p["value"]), ";").alias("s")))
+
+
 def read_spf_entities(spark: SparkSession, path: str) -> DataFrame:
-    """A10: (file, id, type, args) of every #id=TYPE(args); statement; statements are cut at semicolons by the reader."""
-    t = spark.read.option("lineSep", ";").text(path).select(F.input_file_name().alias("file"), F.trim(F.regexp_replace("value", "[\\r\\n]+", " ")).alias("s"))
+    """A10: (file, id, type, args) of every #id=TYPE(args); statement, comments taken out, line ends as blanks."""
+    s = F.regexp_replace(F.regexp_replace("s", f"({SPF_STRING})|/\\*(?s:.*?)\\*/", "$1"), "[\\r\\n]+", " ")
+    t = spf_statements(spark, path).select("file", F.trim(s).alias("s"))
     rx = "^#([0-9]+)\\s*=\\s*([A-Za-z0-9_]+)\\s*\\((.*)\\)$"
     return t.where(F.col("s").rlike(rx)).select("file", F.regexp_extract("s", rx, 1).cast("long").alias("id"), F.upper(F.regexp_extract("s", rx, 2)).alias("type"), F.regexp_extract("s", rx, 3).alias("args"))
 
 
+def references(args: Column) -> Column:
+    """The ids referred to in arguments, outside strings, in their order."""
+    found = F.regexp_extract_all(F.regexp_replace(args, SPF_STRING, ""), F.lit("#([0-9]+)"), 1)
+    return F.transform(found, lambda r: r.cast("long"))
+
+
 def spf_references(entities: DataFrame) -> DataFrame:
     """A10: (file, id, ref) edges between statements."""
-    return entities.select("file", "id", F.explode(F.regexp_extract_all("args", F.lit("#([0-9]+)"), 1)).alias("ref")).withColumn("ref", F.col("ref").cast("long"))
+    return entities.select("file", "id", F.explode(references(F.col("args"))).alias("ref"))
+
+
+def spf_arguments(args: Column) -> Column:
+    """A10: the arguments of a statement one by one, lists as their text."""
+    return F.transform(F.regexp_extract_all(args, F.lit(SPF_ARGUMENT), 0), F.trim)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from planlake.streaming import job_state
+
 MINUTE, HOUR = 60_000_000, 3_600_000_000
 
 
@@ -18,38 +20,54 @@ def admit(times: list[int], kept: list[int], per_minute: int, per_hour: int) ->
     A request is rejected when the trailing window already holds the limit; rejected requests don't count. At
     most ``per_hour`` times are kept, so the state is bounded whatever the traffic.
     """
-    out, minute_from = [], 0
+    out, hour_from, minute_from = [], 0, 0
     for t in times:
-        while kept and t - kept[0] >= HOUR:
-            kept.pop(0)
-            minute_from = max(0, minute_from - 1)
+        while hour_from < len(kept) and t - kept[hour_from] >= HOUR:
+            hour_from += 1
+        minute_from = max(minute_from, hour_from)
         while minute_from < len(kept) and t - kept[minute_from] >= MINUTE:
             minute_from += 1
-        ok = len(kept) < per_hour and len(kept) - minute_from < per_minute
+        ok = len(kept) - hour_from < per_hour and len(kept) - minute_from < per_minute
         out.append(ok)
         if ok:
             kept.append(t)
-    return out, kept
+    return out, kept[hour_from:]
+
+
+def busy_parts(rows: DataFrame) -> DataFrame:
+    """(key, us, ...) rows + part: a new part of a key begins after an idle hour, when none of its earlier requests counts any more.
+
+    A gap of an hour never lies inside one clock hour, so it is looked for between a key's clock hours, of which only the first and
+    last time are windowed; a hot key's rows are met by clock hour.
+    """
+    rows = rows.withColumn("__hour", F.floor(F.col("us") / HOUR))
+    hours = rows.groupBy("key", "__hour").agg(F.min("us").alias("__first"), F.max("us").alias("__last"))
+    w = Window.partitionBy("key").orderBy("__hour")
+    new = F.coalesce(F.col("__first") - F.lag("__last").over(w) >= HOUR, F.lit(False))
+    parts = hours.withColumn("__new", new).withColumn("part", F.sum(F.col("__new").cast("long")).over(w))
+    return rows.join(parts.select("key", "__hour", "part"), ["key", "__hour"]).drop("__hour")
 
 
 def rate_limit_batch(events: DataFrame, per_minute: int = 60, per_hour: int = 1000) -> DataFrame:
-    """I1 on a table (event_id, key, us): + admitted. Rows of a key are read in time order as a stream of batches,
-    so a key with very many rows is never held whole. Rows without a key or a time can't be charged to anyone and are admitted."""
+    """I1 on a table (event_id, key, us): + admitted. A key's requests are parted at idle hours, and parts are spread over tasks, so a
+    hot key meets in one task only as far as it is never idle. The rows of a part are read in time order as a stream of batches,
+    so none is ever held whole. Rows without a key or a time can't be charged to anyone and are admitted."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, kept = object(), []
+        last, kept = object(), []
         for frame in frames:
             flags: list[bool] = []
-            for k, part in frame.groupby("key", sort=False):
-                if k != key:
-                    key, kept = k, []
-                got, kept = admit(part["us"].tolist(), kept, per_minute, per_hour)
+            for part, rows in frame.groupby(["key", "part"], sort=False):
+                if part != last:
+                    last, kept = part, []
+                got, kept = admit(rows["us"].tolist(), kept, per_minute, per_hour)
                 flags += got
-            yield frame.assign(admitted=flags)
+            yield frame[["event_id", "key", "us"]].assign(admitted=flags)
 
     rows = events.select("event_id", F.col("key").cast("long").alias("key"), F.col("us").cast("long").alias("us"))
     free = rows.where("key IS NULL OR us IS NULL").withColumn("admitted", F.lit(True))
-    rows = rows.where("key IS NOT NULL AND us IS NOT NULL").repartition("key").sortWithinPartitions("key", "us", "event_id")
+    rows = busy_parts(rows.where("key IS NOT NULL AND us IS NOT NULL")).select("event_id", "key", "us", "part")
+    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "us", "event_id")
     return rows.mapInPandas(run, "event_id long, key long, us long, admitted boolean").unionByName(free)
 
 
@@ -71,30 +89,24 @@ def rate_limit_stream(events: DataFrame, per_minute: int = 60, per_hour: int = 1
 
 
 def request_rate(events: DataFrame) -> DataFrame:
-    """Requests of the key in the trailing minute and hour, the row included."""
-    w = Window.partitionBy("key").orderBy("us")
-    return events.withColumn("minute", F.count("*").over(w.rangeBetween(-MINUTE + 1, 0))).withColumn("hour", F.count("*").over(w.rangeBetween(-HOUR + 1, 0)))
-
-
-def latest_state(rows: DataFrame) -> DataFrame:
-    """I3, one batch: the latest status of each job (job_id, ts, event_id, status)."""
-    return rows.groupBy("job_id").agg(F.max(F.struct("ts", "event_id", "status")).alias("last")).select("job_id", "last.*")
-
-
-def job_state_stream(events: DataFrame, path: str, checkpoint: str, late: str = "10 minutes"):
-    """Keeps the latest state of each job in the table at ``path``; replays change nothing.
+    """Requests of the key in the trailing minute and hour, the row included.
 
-    Every batch is merged into a table named by its number, from the one before; a repeated batch writes the same table again.
+    Windows run over clock hours of a key: each row is also written to the next hour, as context that isn't returned, since no
+    trailing hour reaches further back. So a hot key is spread over its hours. Rows without a time are counted among themselves.
     """
+    hour = F.floor(F.col("us") / HOUR)
+    place = lambda h, own: F.struct(h.alias("hour"), F.lit(own).alias("own"))
+    copies = F.when(F.col("us").isNull(), F.array(place(hour, True))).otherwise(F.array(place(hour, True), place(hour + 1, False)))
+    rows = events.withColumn("__at", F.explode(copies))
+    w = Window.partitionBy("key", "__at.hour").orderBy("us")
+    rows = rows.withColumn("minute", F.count("*").over(w.rangeBetween(-MINUTE + 1, 0))).withColumn("hour", F.count("*").over(w.rangeBetween(-HOUR + 1, 0)))
+    return rows.where("__at.own").drop("__at")
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = latest_state(batch)
-        if number > 0:
-            new = latest_state(new.unionByName(spark.read.parquet(f"{path}/v={number - 1}")))
-        new.write.mode("overwrite").parquet(f"{path}/v={number}")
 
+def job_state_stream(events: DataFrame, path: str, checkpoint: str, late: str = "10 minutes", buckets: int = 64, parts: int = 16):
+    """Keeps the latest state of each job in the table at ``path``, read by ``job_state.read``; replays change nothing."""
     deduped = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    merge = lambda batch, number: job_state.upsert(batch, path, number, buckets, parts)
     return deduped.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
