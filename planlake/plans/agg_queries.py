@@ -9,6 +9,7 @@ from planlake.functions import geom as G
 from planlake.functions import labels as L
 from planlake.operators import quality as Q
 from planlake.operators import walls as W
+from planlake.operators.fits import fit_similarity, line_fit
 from planlake.operators.spatial import best_match
 from planlake.plans.demo import CTE, TILT, detections, openings, rect_openings, tilted_walls, walls
 from planlake.plans.join_queries import OT, REL_SQL, elements, relations
@@ -170,22 +171,18 @@ def d19(spark, sf):
     return walls(spark, sf).groupBy("plan_id").agg(r6(F.coalesce(F.try_divide(F.sum(F.col("thk") * F.col("len")), F.sum("len")), F.avg("thk"), F.lit(40.0))).alias("width"))
 
 
-@query("d20_line_fit", agg(f"{s6('covar_pop(x0, y0) / 1e6')} AS cxy, {s6('var_pop(x0) / 1e6')} AS cxx, {s6('var_pop(y0) / 1e6')} AS cyy, {s6('0.5e0 * atan2(2 * round(covar_pop(x0, y0), 4), round(var_pop(x0) - var_pop(y0), 4))')} AS angle", src="wall", having="HAVING count(*) > 2"))
+@query("d20_line_fit", f"{CTE}, m AS (SELECT plan_id, count(*) AS n, avg(x0) AS cx, avg(y0) AS cy, covar_pop(x0, y0) AS cxy, var_pop(x0) AS cxx, var_pop(y0) AS cyy FROM wall GROUP BY plan_id), a AS (SELECT *, CASE WHEN abs(cxy) < 1e-6 THEN CASE WHEN cxx > cyy THEN 0e0 ELSE pi() / 2 END ELSE 0.5e0 * atan2(2 * cxy, cxx - cyy) END AS angle FROM m WHERE n > 2), p AS (SELECT a.*, cos(angle) * (x0 - cx) + sin(angle) * (y0 - cy) AS s FROM wall JOIN a USING (plan_id)) SELECT plan_id, count(*) AS n, {s6('max(angle)')} AS angle, {s6('(max(cx) + max(cos(angle)) * min(s)) / 1e3')} AS x1, {s6('(max(cy) + max(sin(angle)) * min(s)) / 1e3')} AS y1, {s6('(max(cx) + max(cos(angle)) * max(s)) / 1e3')} AS x2, {s6('(max(cy) + max(sin(angle)) * max(s)) / 1e3')} AS y2 FROM p GROUP BY plan_id")
 def d20(spark, sf):
-    """Principal direction from the covariances."""
-    c, x, y = F.covar_pop("x0", "y0"), F.var_pop("x0"), F.var_pop("y0")
-    d = walls(spark, sf).groupBy("plan_id").agg(F.count("*").alias("n"), r6(c / 1e6).alias("cxy"), r6(x / 1e6).alias("cxx"), r6(y / 1e6).alias("cyy"), r6(0.5 * F.atan2(2 * F.round(c, 4), F.round(x - y, 4))).alias("angle"))
-    return d.where("n > 2").drop("n")
+    """The line along the principal direction of each plan's wall corners, over their extent, in metres."""
+    d = line_fit(walls(spark, sf), "x0", "y0").where("n > 2")
+    return d.select("plan_id", "n", r6(F.col("angle")).alias("angle"), *[r6(F.col(c) / 1e3).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-@query("d21_fit_similarity", f"{CTE}, m AS (SELECT plan_id, avg(x0) AS ax, avg(y0) AS ay, avg(bx) AS cx, avg(by_) AS cy FROM wall GROUP BY plan_id) SELECT w.plan_id, {s6('avg(sqrt((bx - cx) ** 2 + (by_ - cy) ** 2)) / avg(sqrt((x0 - ax) ** 2 + (y0 - ay) ** 2))')} AS scale, {s6('max(cx) - max(ax)')} AS tx FROM wall w JOIN m USING (plan_id) GROUP BY w.plan_id HAVING avg(sqrt((x0 - ax) ** 2 + (y0 - ay) ** 2)) > 0")
+@query("d21_fit_similarity", f"{CTE}, m AS (SELECT plan_id, avg(x0) AS ax, avg(y0) AS ay, avg(bx) AS cx, avg(by_) AS cy, covar_pop(x0, bx) + covar_pop(y0, by_) AS d, covar_pop(x0, by_) - covar_pop(y0, bx) AS c FROM wall GROUP BY plan_id HAVING count(*) >= 3), s AS (SELECT w.plan_id, avg(sqrt((bx - cx) ** 2 + (by_ - cy) ** 2)) / avg(sqrt((x0 - ax) ** 2 + (y0 - ay) ** 2)) AS scale, max(d / sqrt(d * d + c * c)) AS co, max(c / sqrt(d * d + c * c)) AS si, max(ax) AS ax, max(ay) AS ay, max(cx) AS cx, max(cy) AS cy FROM wall w JOIN m USING (plan_id) GROUP BY w.plan_id) SELECT plan_id, {s6('scale')} AS scale, {s6('atan2(si, co)')} AS rotation, {s6('(cx - scale * (co * ax - si * ay)) / 1e3')} AS tx, {s6('(cy - scale * (si * ax + co * ay)) / 1e3')} AS ty FROM s")
 def d21(spark, sf):
-    """Ratio of mean radii about the centroids, and the shift between them."""
-    w = walls(spark, sf)
-    m = w.groupBy("plan_id").agg(F.avg("x0").alias("ax"), F.avg("y0").alias("ay"), F.avg("bx").alias("cx"), F.avg("by_").alias("cy"))
-    j = w.join(m, "plan_id")
-    rb, ra = F.avg(G.hypot(F.col("bx") - F.col("cx"), F.col("by_") - F.col("cy"))), F.avg(G.hypot(F.col("x0") - F.col("ax"), F.col("y0") - F.col("ay")))
-    return j.groupBy("plan_id").agg(ra.alias("ra"), rb.alias("rb"), (F.max("cx") - F.max("ax")).alias("t")).where("ra > 0").select("plan_id", r6(F.col("rb") / F.col("ra")).alias("scale"), r6(F.col("t")).alias("tx"))
+    """The similarity between the walls' near and far corners, shifts in metres."""
+    d = fit_similarity(walls(spark, sf), "plan_id", "x0", "y0", "bx", "by_")
+    return d.select("plan_id", r6(F.col("scale")).alias("scale"), r6(F.col("rotation")).alias("rotation"), *[r6(F.col(c) / 1e3).alias(c) for c in ("tx", "ty")])
 
 
 @query("d22_takeoff", f"{CTE} SELECT plan_id, coalesce(kind, 'all') AS element, count(*) AS n, {s6('sum(len) / 1000')} AS length_m, {s6('sum(len * thk) / 1e6')} AS area_m2, {s6('sum(len * thk) / 1e6 * 2.5e0')} AS volume_m3 FROM det GROUP BY plan_id, ROLLUP (kind)")

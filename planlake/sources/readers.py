@@ -151,4 +151,4 @@ def spf_references(entities: DataFrame) -> DataFrame:
 
 def spf_arguments(args: Column) -> Column:
     """A10: the arguments of a statement one by one, lists as their text."""
-    return F.transform(F.regexp_extract_all(args, F.lit(SPF_ARGUMENT), 0), F.trim)
+    return F.transform(F.regexp_extract_all(args, F.lit(SPF_ARGUMENT), 0), lambda a: F.trim(a))
