@@ -259,6 +259,18 @@ def contains(points: Column, px: Column, py: Column) -> Column:
     return F.pmod(F.size(crossings), F.lit(2)) == 1
 
 
+def convex_meets(a: Column, b: Column, slack: float = 1e-6) -> Column:
+    """Whether two convex rings (or points, as rings of one) share a point, within ``slack``: no side of either parts them."""
+
+    def apart(e: Column) -> Column:
+        dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        off = lambda ring: F.transform(ring, lambda p: dx * (p["y"] - e["a"]["y"]) - dy * (p["x"] - e["a"]["x"]))
+        gap = F.greatest(F.array_min(off(b)) - F.array_max(off(a)), F.array_min(off(a)) - F.array_max(off(b)))
+        return gap > slack * hypot(dx, dy)
+
+    return ~F.exists(F.concat(edges(a), edges(b)), apart)
+
+
 def box_iou(a: list[Column], b: list[Column]) -> Column:
     """C23 for axis-parallel boxes (x0, y0, x1, y1)."""
     w, h = F.least(a[2], b[2]) - F.greatest(a[0], b[0]), F.least(a[3], b[3]) - F.greatest(a[1], b[1])

@@ -62,6 +62,23 @@ def near_axes(openings: DataFrame, walls: DataFrame, reach: float, key: str = "p
     return measured(pairs).where(F.col("wall_distance" if thick else "axis_distance") <= reach)
 
 
+def host_wall(openings: DataFrame, walls: DataFrame, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
+    """Key, id, wall_id, holds_centre: the wall whose rectangle holds the opening's centre or, if none does, meets the opening.
+
+    Of several the smallest id; openings that meet no wall have no row. Rings are convex; touching counts, to a micrometre. Walls
+    without length and rows with null coordinates take no part.
+    """
+    o = openings.select(key, F.col(id_col).alias("o_id"), F.col("points").alias("o_points")).where("size(o_points) > 0")
+    b = G.bounds(F.col("o_points"))
+    o = o.withColumn("__b", b).select("*", *[F.col(f"__b.{c}").alias(f"__o{c}") for c in ("x0", "y0", "x1", "y1")]).drop("__b")
+    pairs = grid_join(o, sided(walls, key, id_col, thick=True), tuple(f"__o{c}" for c in ("x0", "y0", "x1", "y1")), BOX, 1e-6, CELL, key)
+    pairs = pairs.withColumn("__wall", G.rect_from_axis(*cols("w_"), F.col("w_thickness")))
+    pairs = pairs.where(G.convex_meets(F.col("o_points"), F.col("__wall")))
+    held = G.convex_meets(F.array(G.let(F.col("o_points"), G.centroid)), F.col("__wall"))
+    best = pairs.groupBy(key, "o_id").agg(F.min(F.struct((~held).alias("out"), F.col("w_id").alias("w_id"))).alias("b"))
+    return best.select(key, F.col("o_id").alias(id_col), F.col("b.w_id").alias("wall_id"), (~F.col("b.out")).alias("holds_centre"))
+
+
 def assign_openings(openings: DataFrame, walls: DataFrame, max_distance: float = 500.0, max_degrees: float = 30.0, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
     """Each opening's wall: key, id, wall_id, axis_distance, wall_distance, degrees.
 

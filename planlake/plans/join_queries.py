@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from planlake.functions import geom as G
 from planlake.operators.graph import components
 from planlake.operators.hull import perimeter_external
+from planlake.operators.rooms import room_walls
 from planlake.operators.spatial import CELL, grid_join, renamed, self_pairs
 from planlake.operators import openings as O
 from planlake.operators import walls as W
@@ -205,21 +206,30 @@ def c07(spark, sf):
 NEAR_BOX = "least(a.bx, b.bx) + {m} >= greatest(a.x0, b.x0) AND least(a.by_, b.by_) + {m} >= greatest(a.y0, b.y0)"
 
 
-@query("c08_room_walls", f"{CTE} SELECT a.plan_id, a.det_id, count(*) AS n_walls, string_agg(b.det_id, ',' ORDER BY b.det_id) AS wall_ids FROM (SELECT * FROM det WHERE kind = 'STAIR') a JOIN wall b ON a.plan_id = b.plan_id WHERE {NEAR_BOX.format(m=500)} AND (b.ax1 + b.ax2) / 2 BETWEEN a.x0 - 100 AND a.bx + 100 AND (b.ay1 + b.ay2) / 2 BETWEEN a.y0 - 100 AND a.by_ + 100 GROUP BY a.plan_id, a.det_id")
+ROOM_SIDES = (("x1", "y1", "x2", "y2"), ("x2", "y2", "x3", "y3"), ("x3", "y3", "x4", "y4"), ("x4", "y4", "x1", "y1"))
+#: SQL: the middle (mx, my) of a wall in the quadrilateral ``a``, or its distance to a side.
+ROOM_IN = " AND ".join(f"(a.{p} - a.{u}) * (my - a.{v}) - (a.{q} - a.{v}) * (mx - a.{u}) > 0" for u, v, p, q in ROOM_SIDES)
+ROOM_OFF = f"least({', '.join(seg('mx', 'my', *(f'a.{c}' for c in side)) for side in ROOM_SIDES)})"
+
+
+@query("c08_room_walls", f"{TILT}, m AS (SELECT plan_id, det_id, (x1 + x2) / 2 AS mx, (y1 + y2) / 2 AS my FROM tw) SELECT a.plan_id, a.det_id, count(*) AS n_walls, string_agg(m.det_id, ',' ORDER BY m.det_id) AS wall_ids FROM (SELECT * FROM det WHERE kind = 'STAIR') a JOIN m ON a.plan_id = m.plan_id WHERE ({ROOM_IN}) OR round({ROOM_OFF} + 1e-9, 6) < 300 GROUP BY a.plan_id, a.det_id")
 def c08(spark, sf):
-    """Walls near a room whose middle lies in the room grown by 0.1 m."""
-    r = renamed(detections(spark, sf).where("kind = 'STAIR'"), "a_", ["det_id", *BOX])
-    pairs = grid_join(r, renamed(walls(spark, sf), "b_", ["det_id", *AXIS, *BOX]), tuple(f"a_{c}" for c in BOX), tuple(f"b_{c}" for c in BOX), 500.0)
-    mx, my = (F.col("b_ax1") + F.col("b_ax2")) / 2, (F.col("b_ay1") + F.col("b_ay2")) / 2
-    pairs = pairs.where(mx.between(F.col("a_x0") - 100, F.col("a_bx") + 100) & my.between(F.col("a_y0") - 100, F.col("a_by_") + 100))
-    return pairs.groupBy("plan_id", F.col("a_det_id").alias("det_id")).agg(F.count("*").alias("n_walls"), F.array_join(F.array_sort(F.collect_list("b_det_id")), ",").alias("wall_ids"))
+    """Walls at any angle whose middle lies in a room, a quadrilateral, or within 0.3 m of its boundary."""
+    w = room_walls(detections(spark, sf).where("kind = 'STAIR'"), tilted_walls(spark, sf))
+    return w.groupBy("plan_id", "det_id").agg(F.count("*").alias("n_walls"), F.array_join(F.array_sort(F.collect_list("wall_id")), ",").alias("wall_ids"))
+
 
+#: SQL: an opening's box ``o`` against the rectangle of wall ``w``: apart along x, y, the wall or across it.
+HOST = """w AS (SELECT *, thickness / 2 AS h FROM tw WHERE length > 0), hw AS (SELECT o.plan_id, o.det_id, w.det_id AS wall_id, w.length, w.h, (cx - x1) * ux + (cy - y1) * uy AS along, abs((cy - y1) * ux - (cx - x1) * uy) AS across,
+ (bx - x0) / 2 * abs(ux) + (by_ - y0) / 2 * abs(uy) AS ea, (bx - x0) / 2 * abs(uy) + (by_ - y0) / 2 * abs(ux) AS ec
+ FROM op o JOIN w ON o.plan_id = w.plan_id WHERE least(x1, x2) - h * abs(uy) <= bx + 1e-6 AND greatest(x1, x2) + h * abs(uy) >= x0 - 1e-6 AND least(y1, y2) - h * abs(ux) <= by_ + 1e-6 AND greatest(y1, y2) + h * abs(ux) >= y0 - 1e-6),
+ hc AS (SELECT *, NOT (along BETWEEN -1e-6 AND length + 1e-6 AND across <= h + 1e-6) AS out FROM hw WHERE along + ea >= -1e-6 AND along - ea <= length + 1e-6 AND across <= h + ec + 1e-6)"""
 
-@query("c09_host_wall", f"{CTE}, o AS (SELECT *, (x0 + bx) / 2 AS cx, (y0 + by_) / 2 AS cy FROM opening) SELECT o.plan_id, o.det_id, min(w.det_id) AS wall_id FROM o JOIN wall w ON o.plan_id = w.plan_id AND cx BETWEEN w.x0 AND w.bx AND cy BETWEEN w.y0 AND w.by_ GROUP BY o.plan_id, o.det_id")
+
+@query("c09_host_wall", f"{TILT}, {HOST} SELECT plan_id, det_id, arg_min(wall_id, (out, wall_id)) AS wall_id, NOT min(out) AS holds_centre FROM hc GROUP BY plan_id, det_id")
 def c09(spark, sf):
-    o, w = opening_sides(spark, sf)
-    pairs = grid_join(o, w, ("o_cx", "o_cy", "o_cx", "o_cy"), tuple(f"w_{c}" for c in BOX))
-    return pairs.groupBy("plan_id", F.col("o_det_id").alias("det_id")).agg(F.min("w_det_id").alias("wall_id"))
+    """The wall at any angle that holds an opening's centre, else one that meets the opening."""
+    return O.host_wall(rect_openings(spark, sf), tilted_walls(spark, sf))
 
 
 @query("c10_nearest_wall_fix", f"{OT.replace('FROM m0)', 'FROM m0 WHERE ux IN (0, 1))')}, c AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY wall_distance, axis_distance, wall_id) AS k FROM m WHERE wall_distance <= 100), b AS (SELECT *, CASE WHEN ux = 1 THEN x1 ELSE x1 - thickness / 2 END AS wx0, CASE WHEN ux = 1 THEN x2 ELSE x1 + thickness / 2 END AS wx1, CASE WHEN ux = 1 THEN y1 - thickness / 2 ELSE y1 END AS wy0, CASE WHEN ux = 1 THEN y1 + thickness / 2 ELSE y2 END AS wy1 FROM c WHERE k = 1) SELECT DISTINCT o.plan_id, o.det_id, wall_id, CASE WHEN wall_id IS NOT NULL THEN {s6('greatest(0, least(o.bx, wx1) - greatest(o.x0, wx0)) * greatest(0, least(o.by_, wy1) - greatest(o.y0, wy0))')} END AS area FROM op o LEFT JOIN b ON o.plan_id = b.plan_id AND o.det_id = b.det_id")
