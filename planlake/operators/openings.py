@@ -68,14 +68,26 @@ def host_wall(openings: DataFrame, walls: DataFrame, key: str = "plan_id", id_co
     Of several the smallest id; openings that meet no wall have no row. Rings are convex; touching counts, to a micrometre. Walls
     without length and rows with null coordinates take no part.
     """
-    o = openings.select(key, F.col(id_col).alias("o_id"), F.col("points").alias("o_points")).where("size(o_points) > 0")
-    b = G.bounds(F.col("o_points"))
-    o = o.withColumn("__b", b).select("*", *[F.col(f"__b.{c}").alias(f"__o{c}") for c in ("x0", "y0", "x1", "y1")]).drop("__b")
-    pairs = grid_join(o, sided(walls, key, id_col, thick=True), tuple(f"__o{c}" for c in ("x0", "y0", "x1", "y1")), BOX, 1e-6, CELL, key)
-    pairs = pairs.withColumn("__wall", G.rect_from_axis(*cols("w_"), F.col("w_thickness")))
-    pairs = pairs.where(G.convex_meets(F.col("o_points"), F.col("__wall")))
-    held = G.convex_meets(F.array(G.let(F.col("o_points"), G.centroid)), F.col("__wall"))
-    best = pairs.groupBy(key, "o_id").agg(F.min(F.struct((~held).alias("out"), F.col("w_id").alias("w_id"))).alias("b"))
+    corners, slack = ("x0", "y0", "x1", "y1"), 1e-6
+    o = openings.where("size(points) > 0").select(key, F.col(id_col).alias("o_id"), F.col("points").alias("o_points"), F.struct(G.bounds(F.col("points")).alias("b"), G.let(F.col("points"), G.centroid).alias("c")).alias("m"))
+    o = o.select(key, "o_id", "o_points", *[F.col(f"m.b.{c}").alias(f"__o{c}") for c in corners], F.col("m.c.x").alias("__mx"), F.col("m.c.y").alias("__my"))
+    pairs = grid_join(o, sided(walls, key, id_col, thick=True), tuple(f"__o{c}" for c in corners), BOX, slack, CELL, key)
+    n, half = length("w_"), F.col("w_thickness") / 2
+    pairs = pairs.withColumns({"__n": n, "__dx": (F.col("w_x2") - F.col("w_x1")) / n, "__dy": (F.col("w_y2") - F.col("w_y1")) / n})
+
+    def within(x: Column, y: Column, w: Column, h: Column) -> Column:
+        """Whether a box of half sides w, h about (x, y) meets the wall along it and across; exact for a point."""
+        u, v = x - F.col("w_x1"), y - F.col("w_y1")
+        along, across = u * F.col("__dx") + v * F.col("__dy"), F.abs(v * F.col("__dx") - u * F.col("__dy"))
+        ea, ec = w * F.abs("__dx") + h * F.abs("__dy"), w * F.abs("__dy") + h * F.abs("__dx")
+        return (along + ea >= -slack) & (along - ea <= F.col("__n") + slack) & (across - ec <= half + slack)
+
+    x, y, w, h = ((F.col(f"__o{p}1") + sign * F.col(f"__o{p}0")) / 2 for sign in (1, -1) for p in "xy")
+    pairs = pairs.withColumns({"__held": within(F.col("__mx"), F.col("__my"), F.lit(0.0), F.lit(0.0)), "__box": within(x, y, w, h)})
+    wall = G.rect_from_axis(*cols("w_"), F.col("w_thickness"))
+    # Only a ring whose box meets the wall and whose centre is outside needs the test by its sides.
+    meets = F.when(F.col("__held"), True).when(F.col("__box"), G.let(wall, lambda r: G.convex_meets(F.col("o_points"), r, slack))).otherwise(False)
+    best = pairs.where(meets).groupBy(key, "o_id").agg(F.min(F.struct((~F.col("__held")).alias("out"), F.col("w_id").alias("w_id"))).alias("b"))
     return best.select(key, F.col("o_id").alias(id_col), F.col("b.w_id").alias("wall_id"), (~F.col("b.out")).alias("holds_centre"))
 
 
