@@ -367,3 +367,50 @@ def segments_distance(a: tuple[Column, Column, Column, Column], b: tuple[Column,
     turn = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
     crosses = (turn(*pa, pb[0]) * turn(*pa, pb[1]) < 0) & (turn(*pb, pa[0]) * turn(*pb, pa[1]) < 0)
     return F.when(crosses, 0.0).otherwise(F.least(*[segment_distance(p, *pb) for p in pa], *[segment_distance(p, *pa) for p in pb]))
+
+
+def rings_distance(a: Column, b: Column) -> Column:
+    """Distance of two rings' areas (no holes, any shape): 0 where one holds a corner of the other or their sides meet."""
+    ends = lambda e: (e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])
+    off = F.array_min(F.flatten(F.transform(edges(a), lambda e: F.transform(edges(b), lambda f: segments_distance(ends(e), ends(f))))))
+    holds = contains(a, b[0]["x"], b[0]["y"]) | contains(b, a[0]["x"], a[0]["y"])
+    return F.when(holds, 0.0).otherwise(off)
+
+
+def overlap_area(a: Column, b: Column) -> Column:
+    """Area shared by two rings without holes, of any shape and turning either way.
+
+    A ring is the signed sum of the strips below its sides, so the shared area is the signed sum, over pairs of sides, of the
+    area below both: over the stretch that they share, the mean of their heights less half the mean of their difference.
+    """
+
+    def strips(points: Column, box: Column) -> Column:
+        sloped = F.filter(edges(points), lambda e: e["a"]["x"] != e["b"]["x"])
+
+        def strip(e: Column) -> Column:
+            dx = e["b"]["x"] - e["a"]["x"]
+            slope = (e["b"]["y"] - e["a"]["y"]) / dx
+            at = e["a"]["x"] - box["x0"]
+            return F.struct(F.least(at, at + dx).alias("s"), F.greatest(at, at + dx).alias("e"), slope.alias("m"), (e["a"]["y"] - box["y0"] - slope * at).alias("c"), F.signum(dx).alias("sign"))
+
+        return F.transform(sloped, strip)
+
+    def below(p: Column, q: Column) -> Column:
+        start, end = F.greatest(p["s"], q["s"]), F.least(p["e"], q["e"])
+        height = lambda r, x: r["m"] * x + r["c"]
+        u, v = height(p, start) - height(q, start), height(p, end) - height(q, end)
+        part = F.abs(u) + F.abs(v)
+        apart = F.when(u * v >= 0, part / 2).otherwise((u * u + v * v) / (2 * part))
+        mean = (height(p, start) + height(q, start) + height(p, end) + height(q, end)) / 4
+        return F.when(end > start, p["sign"] * q["sign"] * (end - start) * (mean - apart / 2)).otherwise(0.0)
+
+    def shared(v: Column) -> Column:
+        return F.abs(fsum(F.transform(v["p"], lambda p: fsum(F.transform(v["q"], lambda q: below(p, q))))))
+
+    def boxed(v: Column) -> Column:
+        p, q = v["p"], v["q"]
+        box = F.struct(F.least(p["x0"], q["x0"]).alias("x0"), F.least(p["y0"], q["y0"]).alias("y0"))
+        apart = (q["x0"] > p["x1"]) | (p["x0"] > q["x1"]) | (q["y0"] > p["y1"]) | (p["y0"] > q["y1"])
+        return F.when(apart, 0.0).otherwise(let(F.struct(strips(a, box).alias("p"), strips(b, box).alias("q")), shared))
+
+    return let(F.struct(bounds(a).alias("p"), bounds(b).alias("q")), boxed)
