@@ -369,12 +369,43 @@ def segments_distance(a: tuple[Column, Column, Column, Column], b: tuple[Column,
     return F.when(crosses, 0.0).otherwise(F.least(*[segment_distance(p, *pb) for p in pa], *[segment_distance(p, *pa) for p in pb]))
 
 
+def ring_sides(points: Column) -> Column:
+    """array<struct(x, y, dx, dy, l2)>: the sides of a closed ring by start, direction and squared length."""
+    side = lambda e: F.struct(e["a"]["x"].alias("x"), e["a"]["y"].alias("y"), (e["b"]["x"] - e["a"]["x"]).alias("dx"), (e["b"]["y"] - e["a"]["y"]).alias("dy"))
+    return F.transform(F.transform(edges(points), side), lambda s: s.withField("l2", s["dx"] * s["dx"] + s["dy"] * s["dy"]))
+
+
+def side_distance2(x: Column, y: Column, side: Column) -> Column:
+    """Squared distance of a point to one of ``ring_sides``."""
+
+    def off(r: Column) -> Column:
+        u, v, t = r["u"], r["v"], r["t"]
+        cross = u * side["dy"] - v * side["dx"]
+        end_u, end_v = u - side["dx"], v - side["dy"]
+        return F.when(t <= 0, u * u + v * v).when(t >= side["l2"], end_u * end_u + end_v * end_v).otherwise(cross * cross / side["l2"])
+
+    u, v = x - side["x"], y - side["y"]
+    return let(F.struct(u.alias("u"), v.alias("v"), (u * side["dx"] + v * side["dy"]).alias("t")), off)
+
+
+def sides_cross(s: Column, t: Column) -> Column:
+    """Whether two of ``ring_sides`` cross in their inner parts."""
+    turn = lambda p, x, y: p["dx"] * (y - p["y"]) - p["dy"] * (x - p["x"])
+    parted = lambda p, q: turn(p, q["x"], q["y"]) * turn(p, q["x"] + q["dx"], q["y"] + q["dy"]) < 0
+    return parted(s, t) & parted(t, s)
+
+
 def rings_distance(a: Column, b: Column) -> Column:
     """Distance of two rings' areas (no holes, any shape): 0 where one holds a corner of the other or their sides meet."""
-    ends = lambda e: (e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])
-    off = F.array_min(F.flatten(F.transform(edges(a), lambda e: F.transform(edges(b), lambda f: segments_distance(ends(e), ends(f))))))
+
+    def apart(v: Column) -> Column:
+        p, q = v["p"], v["q"]
+        crosses = F.exists(p, lambda s: F.exists(q, lambda t: sides_cross(s, t)))
+        corners = lambda m, n: F.array_min(F.transform(m, lambda s: F.array_min(F.transform(n, lambda t: side_distance2(s["x"], s["y"], t)))))
+        return F.when(crosses, 0.0).otherwise(F.sqrt(F.least(corners(p, q), corners(q, p))))
+
     holds = contains(a, b[0]["x"], b[0]["y"]) | contains(b, a[0]["x"], a[0]["y"])
-    return F.when(holds, 0.0).otherwise(off)
+    return F.when(holds, 0.0).otherwise(let(F.struct(ring_sides(a).alias("p"), ring_sides(b).alias("q")), apart))
 
 
 def overlap_area(a: Column, b: Column) -> Column:

@@ -42,6 +42,12 @@ def barrier(df: DataFrame) -> DataFrame:
     return df.where(F.monotonically_increasing_id() >= 0)
 
 
+def computed(df: DataFrame, **values: Column) -> DataFrame:
+    """``df`` + columns that are worked out once a row: a filter on a plain column would copy its expression below the projection."""
+    one = F.struct(*[v.alias(k) for k, v in values.items()])
+    return df.withColumn("__one", F.explode(F.array(one))).select(*df.columns, *[F.col(f"__one.{k}").alias(k) for k in values])
+
+
 def renamed(df: DataFrame, prefix: str, columns: list[str], key: str = "plan_id") -> DataFrame:
     """The key and the columns, prefixed."""
     return df.select(key, *[F.col(c).alias(f"{prefix}{c}") for c in columns])

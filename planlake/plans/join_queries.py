@@ -13,6 +13,7 @@ from planlake.operators.hull import perimeter_external
 from planlake.operators.rooms import room_walls
 from planlake.operators.spatial import CELL, grid_join, renamed, self_pairs
 from planlake.operators import openings as O
+from planlake.operators import spaces as SP
 from planlake.operators import walls as W
 from planlake.plans.demo import CTE, TILT, axis_walls, detections, openings, rect_openings, tilted_walls, walls
 from planlake.plans.registry import SQL, query, r6, s6
@@ -375,15 +376,52 @@ def c20(spark, sf):
     return W.wall_connections(tilted_walls(spark, sf)).select(*IDS, "how")
 
 
-BOX_GAP = "greatest(0, greatest(a.x0, b.x0) - least(a.bx, b.bx)) ** 2 + greatest(0, greatest(a.y0, b.y0) - least(a.by_, b.by_)) ** 2"
+def sides_sql(name: str, source: str, corners: list[tuple[str, str]]) -> str:
+    """SQL: CTE ``name`` (plan_id, det_id, x1, y1, x2, y2) of the sides between the corners of each row of ``source``."""
+    turned = zip(corners, corners[1:] + corners[:1], strict=True)
+    return f"{name} AS (" + " UNION ALL ".join(f"SELECT plan_id, det_id, {a} AS x1, {b} AS y1, {c} AS x2, {d} AS y2 FROM {source}" for (a, b), (c, d) in turned) + ")"
 
 
-@query("c21_contact_proposals", PAIR.format(cols=f", CASE WHEN {BOX_GAP} = 0 THEN 'touch' ELSE 'gap' END AS contact", cond=f"{BOX_GAP} <= 400"))
+def strips_sql(name: str, source: str) -> str:
+    """SQL: the strips below the sides of ``source``: from s to e, height m * x + c, signed."""
+    return f"{name} AS (SELECT plan_id, det_id, least(x1, x2) AS s, greatest(x1, x2) AS e, (y2 - y1) / (x2 - x1) AS m, y1 - (y2 - y1) / (x2 - x1) * x1 AS c, sign(x2 - x1) AS sg FROM {source} WHERE x1 <> x2)"
+
+
+def shared_sql(p: str, q: str) -> str:
+    """SQL: signed area below a strip of ``p`` and one of ``q``; the absolute sum over all pairs is what two rings share."""
+    lo, hi = f"greatest({p}.s, {q}.s)", f"least({p}.e, {q}.e)"
+    u, v = (f"({p}.m * {x} + {p}.c - {q}.m * {x} - {q}.c)" for x in (lo, hi))
+    apart = f"CASE WHEN {u} * {v} >= 0 THEN (abs({u}) + abs({v})) / 2 ELSE ({u} * {u} + {v} * {v}) / (2 * (abs({u}) + abs({v}))) END"
+    mean = f"({p}.m * {lo} + {p}.c + {q}.m * {lo} + {q}.c + {p}.m * {hi} + {p}.c + {q}.m * {hi} + {q}.c) / 4"
+    return f"CASE WHEN {hi} > {lo} THEN {p}.sg * {q}.sg * ({hi} - {lo}) * ({mean} - ({apart}) / 2) ELSE 0 END"
+
+
+WALL_CORNERS = [("x1 - uy * h", "y1 + ux * h"), ("x2 - uy * h", "y2 + ux * h"), ("x2 + uy * h", "y2 - ux * h"), ("x1 + uy * h", "y1 - ux * h")]
+#: SQL: walls' rectangles (``wr`` with their boxes), spaces (``sp``), and the sides of both.
+RINGS = f"""{TILT}, wr AS (SELECT *, thickness / 2 AS h, least(x1, x2) - abs(uy) * thickness / 2 AS lx, greatest(x1, x2) + abs(uy) * thickness / 2 AS hx, least(y1, y2) - abs(ux) * thickness / 2 AS ly, greatest(y1, y2) + abs(ux) * thickness / 2 AS hy FROM tw WHERE length > 0),
+sp AS (SELECT * FROM det WHERE kind = 'STAIR'), {sides_sql('ws', 'wr', WALL_CORNERS)}, {sides_sql('ss', 'sp', [(f'x{i}', f'y{i}') for i in range(1, 5)])}"""
+
+
+def in_wall(x: str, y: str, w: str) -> str:
+    return f"(({x} - {w}.x1) * {w}.ux + ({y} - {w}.y1) * {w}.uy BETWEEN 0 AND {w}.length AND abs(({y} - {w}.y1) * {w}.ux - ({x} - {w}.x1) * {w}.uy) <= {w}.h)"
+
+
+def in_space(x: str, y: str) -> str:
+    return "(" + ROOM_IN.replace("my", y).replace("mx", x) + ")"
+
+
+CONTACTS = f"""{RINGS}, cand AS (SELECT a.plan_id, a.det_id AS u, b.det_id AS v, {in_wall('(a.x1 - a.uy * a.h)', '(a.y1 + a.ux * a.h)', 'b')} OR {in_wall('(b.x1 - b.uy * b.h)', '(b.y1 + b.ux * b.h)', 'a')} AS holds FROM wr a JOIN wr b ON a.plan_id = b.plan_id AND a.det_id < b.det_id WHERE a.lx <= b.hx + 20 AND b.lx <= a.hx + 20 AND a.ly <= b.hy + 20 AND b.ly <= a.hy + 20),
+ct AS (SELECT c.plan_id, u AS a_det_id, v AS b_det_id, round(CASE WHEN bool_or(holds) THEN 0 ELSE min({segments('s', 't')}) END + 1e-9, 6) AS d FROM cand c JOIN ws s ON c.plan_id = s.plan_id AND u = s.det_id JOIN ws t ON c.plan_id = t.plan_id AND v = t.det_id GROUP BY c.plan_id, u, v)"""
+
+
+def contacts(spark, sf):
+    return SP.contact_proposals(tilted_walls(spark, sf), 20.0)
+
+
+@query("c21_contact_proposals", f"{CONTACTS} SELECT plan_id, a_det_id, b_det_id, d AS distance, CASE WHEN d = 0 THEN 'touch' ELSE 'gap' END AS contact FROM ct WHERE d <= 20")
 def c21(spark, sf):
-    pairs = self_pairs(walls(spark, sf), BOX, [], 20.0)
-    dx = F.greatest(F.lit(0.0), F.greatest("a_x0", "b_x0") - F.least("a_bx", "b_bx"))
-    dy = F.greatest(F.lit(0.0), F.greatest("a_y0", "b_y0") - F.least("a_by_", "b_by_"))
-    return pairs.withColumn("d2", dx * dx + dy * dy).where("d2 <= 400").select(*IDS, F.when(F.col("d2") == 0, "touch").otherwise("gap").alias("contact"))
+    """Rectangles of walls at any angle that touch or come within 20."""
+    return contacts(spark, sf).withColumnsRenamed({"a_id": "a_det_id", "b_id": "b_det_id"})
 
 
 SPACES = CTE + ", space AS (SELECT * FROM det WHERE kind = 'STAIR')"
@@ -393,34 +431,43 @@ def spaces(spark, sf):
     return detections(spark, sf).where("kind = 'STAIR'")
 
 
-@query("c22_space_boundaries", f"{SPACES} SELECT a.plan_id, a.det_id AS space_id, b.det_id AS wall_id FROM space a JOIN wall b ON a.plan_id = b.plan_id WHERE {BOX_GAP.replace('b.x0', 'b.ax1').replace('b.bx', 'b.ax2').replace('b.y0', 'b.ay1').replace('b.by_', 'b.ay2')} <= least(1.5e0 * b.thk, 300) ** 2")
+def boundaries(spark, sf):
+    return SP.space_boundaries(spaces(spark, sf), tilted_walls(spark, sf), rect_openings(spark, sf))
+
+
+BOUNDS = f"""{RINGS}, {sides_sql('os', 'op', [('x0', 'y0'), ('bx', 'y0'), ('bx', 'by_'), ('x0', 'by_')])},
+cb AS (SELECT a.plan_id, a.det_id AS sid, w.det_id AS wid, w.thickness AS t, {in_space('w.x1', 'w.y1')} AS ins, {in_space('(w.x1 - w.uy * w.h)', '(w.y1 + w.ux * w.h)')} OR {in_wall('a.x1', 'a.y1', 'w')} AS holds FROM sp a JOIN wr w ON a.plan_id = w.plan_id AND w.lx - 600 <= greatest(a.x2, a.x3) AND w.hx + 600 >= a.x1 AND w.ly - 600 <= greatest(a.y3, a.y4) AND w.hy + 600 >= a.y1),
+ax AS (SELECT c.plan_id, sid, wid, round(min({segments('s', 'w')}) + 1e-9, 6) AS off, round(min(least({seg('w.x1', 'w.y1', 's.x1', 's.y1', 's.x2', 's.y2')}, {seg('w.x2', 'w.y2', 's.x1', 's.y1', 's.x2', 's.y2')})) + 1e-9, 6) AS end_ FROM cb c JOIN ss s ON c.plan_id = s.plan_id AND sid = s.det_id JOIN wr w ON c.plan_id = w.plan_id AND wid = w.det_id GROUP BY c.plan_id, sid, wid),
+tc AS (SELECT c.plan_id, sid, wid, round(min({segments('s', 't')}) + 1e-9, 6) AS gap FROM cb c JOIN ss s ON c.plan_id = s.plan_id AND sid = s.det_id JOIN ws t ON c.plan_id = t.plan_id AND wid = t.det_id GROUP BY c.plan_id, sid, wid),
+ru AS (SELECT c.plan_id, sid, wid, CASE WHEN off = 0 THEN 'meets' WHEN ins OR off <= 1.5e0 * t AND off < 300 THEN 'near' WHEN end_ <= t THEN 'end' WHEN holds OR gap <= 0.1e0 THEN 'touches' END AS how FROM cb c JOIN ax USING (plan_id, sid, wid) JOIN tc USING (plan_id, sid, wid)),
+ob AS (SELECT a.plan_id, a.det_id AS sid, o.det_id AS oid, o.kind, {in_space('o.x0', 'o.y0')} OR (a.x1 BETWEEN o.x0 AND o.bx AND a.y1 BETWEEN o.y0 AND o.by_) AS holds FROM sp a JOIN op o ON a.plan_id = o.plan_id),
+og AS (SELECT c.plan_id, sid, oid, any_value(kind) AS kind, round(CASE WHEN bool_or(holds) THEN 0 ELSE min({segments('s', 't')}) END + 1e-9, 6) AS gap FROM ob c JOIN ss s ON c.plan_id = s.plan_id AND sid = s.det_id JOIN os t ON c.plan_id = t.plan_id AND oid = t.det_id GROUP BY c.plan_id, sid, oid),
+sb AS (SELECT plan_id, sid AS space_id, wid AS element_id, 'WALL' AS element, how FROM ru WHERE how IS NOT NULL UNION ALL SELECT plan_id, sid, oid, kind, 'opening' FROM og WHERE gap < 300)"""
+
+
+@query("c22_space_boundaries", f"{BOUNDS} SELECT * FROM sb")
 def c22(spark, sf):
-    """A wall bounds a space if its axis comes within min(1.5 thickness, 300)."""
-    a, b = renamed(spaces(spark, sf), "a_", ["det_id", *BOX]), renamed(walls(spark, sf), "b_", ["det_id", *AXIS])
-    pairs = grid_join(a, b, tuple(f"a_{c}" for c in BOX), ("b_ax1", "b_ay1", "b_ax2", "b_ay2"), 300.0)
-    dx = F.greatest(F.lit(0.0), F.greatest("a_x0", "b_ax1") - F.least("a_bx", "b_ax2"))
-    dy = F.greatest(F.lit(0.0), F.greatest("a_y0", "b_ay1") - F.least("a_by_", "b_ay2"))
-    return pairs.where(dx * dx + dy * dy <= F.least(1.5 * F.col("b_thk"), F.lit(300.0)) ** 2).select("plan_id", F.col("a_det_id").alias("space_id"), F.col("b_det_id").alias("wall_id"))
+    """Walls that bound a space, by the rule that tells it, and the openings near it."""
+    return boundaries(spark, sf)
 
 
-@query("c24_space_overlaps", f"{SPACES} SELECT a.plan_id, a.det_id AS a_det_id, b.det_id AS b_det_id, {s6(IOU)} AS shared FROM space a JOIN space b ON a.plan_id = b.plan_id AND a.det_id < b.det_id WHERE {IOU} > 0.01e0 * least(a.len * a.thk, b.len * b.thk)")
+@query("c24_space_overlaps", f"{RINGS}, {strips_sql('st', 'ss')}, ar AS (SELECT plan_id, det_id, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area FROM ss GROUP BY plan_id, det_id), sh AS (SELECT p.plan_id, p.det_id AS a_det_id, q.det_id AS b_det_id, abs(sum({shared_sql('p', 'q')})) AS shared FROM st p JOIN st q ON p.plan_id = q.plan_id AND p.det_id < q.det_id GROUP BY p.plan_id, p.det_id, q.det_id) SELECT sh.plan_id, a_det_id, b_det_id, round(shared + 1e-7, 3) AS shared FROM sh JOIN ar a ON sh.plan_id = a.plan_id AND a_det_id = a.det_id JOIN ar b ON sh.plan_id = b.plan_id AND b_det_id = b.det_id WHERE round(shared / least(a.area, b.area) + 1e-9, 6) > 0.01e0")
 def c24(spark, sf):
-    pairs = self_pairs(spaces(spark, sf), BOX, ["len", "thk"])
-    w, h = F.least("a_bx", "b_bx") - F.greatest("a_x0", "b_x0"), F.least("a_by_", "b_by_") - F.greatest("a_y0", "b_y0")
-    pairs = pairs.withColumn("shared", F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0)))
-    return pairs.where(F.col("shared") > 0.01 * F.least(F.col("a_len") * F.col("a_thk"), F.col("b_len") * F.col("b_thk"))).select(*IDS, r6(F.col("shared")).alias("shared"))
+    """Spaces, quadrilaterals that aren't rectangles, that share more than a hundredth of either."""
+    o = SP.space_overlaps(spaces(spark, sf))
+    return o.select("plan_id", F.col("a_id").alias("a_det_id"), F.col("b_id").alias("b_det_id"), F.round(F.col("shared") + 1e-7, 3).alias("shared"))
+
 
+#: The contacts' SQL behind that of the boundaries.
+BOTH = BOUNDS + CONTACTS[len(RINGS):]
+SHARED = f"{BOTH}, sw AS (SELECT DISTINCT plan_id, space_id, element_id FROM sb WHERE element = 'WALL') SELECT ct.plan_id, a_det_id, b_det_id, count(*) AS n_spaces FROM ct JOIN sw s ON ct.plan_id = s.plan_id AND a_det_id = s.element_id JOIN sw t ON ct.plan_id = t.plan_id AND b_det_id = t.element_id AND s.space_id = t.space_id WHERE d <= 20 GROUP BY ct.plan_id, a_det_id, b_det_id"
 
-@query("c25_shared_spaces", f"{SPACES}, sb AS (SELECT DISTINCT a.plan_id, a.det_id AS space_id, b.det_id AS wall_id FROM space a JOIN wall b ON a.plan_id = b.plan_id WHERE {BOX_GAP} = 0), ct AS (SELECT DISTINCT a.plan_id, a.det_id AS a_det_id, b.det_id AS b_det_id FROM wall a JOIN wall b ON a.plan_id = b.plan_id AND a.det_id < b.det_id WHERE {BOX_GAP} = 0) SELECT ct.plan_id, a_det_id, b_det_id, count(*) AS n_spaces FROM ct JOIN sb s ON ct.plan_id = s.plan_id AND a_det_id = s.wall_id JOIN sb t ON ct.plan_id = t.plan_id AND b_det_id = t.wall_id AND s.space_id = t.space_id GROUP BY ct.plan_id, a_det_id, b_det_id")
+
+@query("c25_shared_spaces", SHARED)
 def c25(spark, sf):
-    """Spaces that both walls of a contact touch."""
-    sp = renamed(spaces(spark, sf), "a_", ["det_id", *BOX])
-    sb = grid_join(sp, renamed(walls(spark, sf), "b_", ["det_id", *BOX]), tuple(f"a_{c}" for c in BOX), tuple(f"b_{c}" for c in BOX))
-    per_wall = sb.groupBy("plan_id", "b_det_id").agg(F.collect_set("a_det_id").alias("s"))
-    ct = self_pairs(walls(spark, sf), BOX, []).select(*IDS).distinct()
-    left = per_wall.select("plan_id", F.col("b_det_id").alias("a_det_id"), F.col("s").alias("sa"))
-    both = ct.join(left, ["plan_id", "a_det_id"]).join(per_wall, ["plan_id", "b_det_id"]).withColumn("n", F.size(F.array_intersect("sa", "s")))
-    return both.where("n > 0").select(*IDS, F.col("n").cast("long").alias("n_spaces"))
+    """Spaces that both walls of a contact bound."""
+    b = SP.space_boundaries(spaces(spark, sf), tilted_walls(spark, sf))
+    return SP.shared_spaces(contacts(spark, sf), b).withColumnsRenamed({"a_id": "a_det_id", "b_id": "b_det_id"})
 
 
 REL_SQL = """WITH element AS (SELECT o_orderkey AS guid, CASE o_orderkey % 4 WHEN 0 THEN 'IfcWall' WHEN 1 THEN 'IfcOpening' WHEN 2 THEN 'IfcSlab' ELSE 'IfcSpace' END AS type, o_totalprice AS v FROM orders),
@@ -544,11 +591,9 @@ def c35(spark, sf):
     return perimeter_external(axis_walls(spark, sf)).select("plan_id", "det_id", "external").distinct()
 
 
-@query("c36_opening_inside_ratio", f"{CTE}, p AS (SELECT a.plan_id, a.det_id, {IOU} AS inside, a.len * a.thk AS area FROM opening a JOIN wall b ON a.plan_id = b.plan_id) SELECT plan_id, det_id, {s6('max(inside)')} AS inside, {s6('max(area) - max(inside)')} AS outside FROM p WHERE inside > 0 GROUP BY plan_id, det_id")
+@query("c36_opening_inside_ratio", f"{OT}, wr AS (SELECT *, thickness / 2 AS h FROM tw WHERE length > 0), {sides_sql('ws', 'wr', WALL_CORNERS)}, {strips_sql('wt', 'ws')}, {sides_sql('os', 'op', [('x0', 'y0'), ('bx', 'y0'), ('bx', 'by_'), ('x0', 'by_')])}, {strips_sql('ot', 'os')}, ins AS (SELECT hit.plan_id, hit.det_id, abs(sum({shared_sql('p', 'q')})) AS i FROM hit JOIN ot p ON hit.plan_id = p.plan_id AND hit.det_id = p.det_id JOIN wt q ON hit.plan_id = q.plan_id AND wall_id = q.det_id GROUP BY hit.plan_id, hit.det_id), fin AS (SELECT hit.plan_id, hit.det_id, wall_id, i, (bx - x0) * (by_ - y0) AS a FROM hit JOIN op USING (plan_id, det_id) JOIN ins USING (plan_id, det_id)) SELECT plan_id, det_id, wall_id, round(i + 1e-7, 3) AS inside_area, round(greatest(0, a - i) + 1e-7, 3) AS outside_area, round(i / a + 1e-9, 6) AS inside_ratio FROM fin")
 def c36(spark, sf):
-    """Area of an opening inside and outside the wall that holds most of it."""
-    o, w = opening_sides(spark, sf)
-    pairs = grid_join(o, w, tuple(f"o_{c}" for c in BOX), tuple(f"w_{c}" for c in BOX))
-    inside = F.greatest(F.lit(0.0), F.least("o_bx", "w_bx") - F.greatest("o_x0", "w_x0")) * F.greatest(F.lit(0.0), F.least("o_by_", "w_by_") - F.greatest("o_y0", "w_y0"))
-    p = pairs.withColumn("inside", inside).where("inside > 0").groupBy("plan_id", F.col("o_det_id").alias("det_id")).agg(F.max("inside").alias("i"), F.max(F.col("o_len") * F.col("o_thk")).alias("a"))
-    return p.select("plan_id", "det_id", r6(F.col("i")).alias("inside"), r6(F.col("a") - F.col("i")).alias("outside"))
+    """Area of an opening inside and outside its wall, which may run at any angle."""
+    r = SP.opening_inside_ratio(rect_openings(spark, sf), assigned(spark, sf), tilted_walls(spark, sf))
+    r3 = lambda c: F.round(F.col(c) + 1e-7, 3).alias(c)
+    return r.select("plan_id", "det_id", "wall_id", r3("inside_area"), r3("outside_area"), F.round(F.col("inside_ratio") + 1e-9, 6).alias("inside_ratio"))
