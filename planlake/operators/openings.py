@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planlake.functions import geom as G
-from planlake.operators.spatial import best_match, grid_join
+from planlake.operators.spatial import best_match, grid_join, nearest
 from planlake.operators.walls import AXIS, BOX, cols, length, with_box
 from planlake.session import materialize
 
@@ -198,6 +198,32 @@ def fit_opening(assigned: DataFrame, openings: DataFrame, walls: DataFrame, key:
     return best.select(key, F.col("o_id").alias(id_col), F.when(fits, F.col("step")).alias("step"), F.when(fits, F.col("iou")).otherwise(0.0).alias("iou"), *map(pick, ("width", "depth", "cx", "cy")))
 
 
+def opening_bias(fitted: DataFrame, assigned: DataFrame, openings: DataFrame, walls: DataFrame, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
+    """Fitted openings (C30: key, id, cx, cy) moved back by their plan's bias: key, id, orientation, bias, cx, cy.
+
+    An opening's offset is how far the fitted centre lies from the detection's along its wall; the bias is the median offset of the
+    plan's openings in walls of the same orientation: V where the wall runs straight up, else H.
+    """
+    p = on_wall(assigned, openings, walls, key, id_col)
+    n = F.col("w_length")
+    p = p.select(key, F.col("o_id").alias(id_col), "o_cx", "o_cy", ((F.col("w_x2") - F.col("w_x1")) / n).alias("__dx"), ((F.col("w_y2") - F.col("w_y1")) / n).alias("__dy"))
+    f = fitted.select(key, id_col, "cx", "cy").join(p, [key, id_col])
+    off = (F.col("cx") - F.col("o_cx")) * F.col("__dx") + (F.col("cy") - F.col("o_cy")) * F.col("__dy")
+    # Read twice: by the medians and by the openings that they move.
+    f = materialize(f.withColumns({"__off": off, "orientation": F.when(F.abs("__dx") < 1e-6, "V").otherwise("H")}), "fitted-offsets")
+    f = f.join(f.groupBy(key, "orientation").agg(F.median("__off").alias("bias")), [key, "orientation"])
+    moved = lambda c: F.col(f"c{c}") - F.col(f"__d{c}") * F.col("bias")
+    return f.select(key, id_col, "orientation", "bias", moved("x").alias("cx"), moved("y").alias("cy"))
+
+
+def fill_to_opening(fills: DataFrame, openings: DataFrame, reach: float = 2000.0, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
+    """For each fill (a door or window element, ring ``points``) the opening of its plan whose centre is nearest, at any distance:
+    key, id, opening_id, distance; nulls in a plan without openings."""
+    at = lambda df: df.withColumn("__c", G.let(F.col("points"), G.centroid)).select(key, id_col, F.col("__c.x").alias("x"), F.col("__c.y").alias("y"))
+    best = nearest(at(fills), at(openings), reach, key, id_col).withColumnRenamed("other", "opening_id")
+    return fills.select(key, id_col).distinct().join(best, [key, id_col], "left")
+
+
 # The sizes tried, and the least width and depth that is left (mm).
 SCALES = (1.0, 0.98, 0.95, 0.9, 0.85, 0.8, 0.7, 0.6, 0.5)
 LEAST_SIZE = (100.0, 40.0)

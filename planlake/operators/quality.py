@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from planlake.functions import geom as G
 from planlake.operators.openings import assign_openings, on_wall
+from planlake.operators.spatial import computed
 from planlake.operators.walls import cols, length, parallel_overlaps
 
 
@@ -98,6 +99,30 @@ def readiness(walls: Column, rectangular: Column, constant: Column, connects: Co
     return F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("long")
 
 
+def model_metrics(walls: DataFrame, connections: DataFrame, boundaries: DataFrame, layers: DataFrame, tolerance: float = 1.0, key: str = "plan_id") -> DataFrame:
+    """Per plan of ``walls`` (footprints ``points``): walls, rectangular footprints (four corners, all square), constant thickness (four
+    corners, opposite sides equal within the tolerance), and the rows of connections, boundaries and layers."""
+    p = F.col("points")
+    sides = G.let(p, lambda q: F.transform(G.edges(q), lambda e: F.struct((e["b"]["x"] - e["a"]["x"]).alias("dx"), (e["b"]["y"] - e["a"]["y"]).alias("dy"))))
+    w = computed(walls.select(key, "points"), __s=sides)
+    four, s = F.size("points") == 4, [F.col("__s")[i] for i in range(4)]
+    n = [G.hypot(e["dx"], e["dy"]) for e in s]
+    turns = [F.abs(a["dx"] * b["dx"] + a["dy"] * b["dy"]) <= tolerance for a, b in zip(s, s[1:] + s[:1], strict=True)]
+    square, even = reduce(Column.__and__, turns), (F.abs(n[0] - n[2]) <= tolerance) & (F.abs(n[1] - n[3]) <= tolerance)
+    m = w.withColumns({"__r": F.when(four, square), "__e": F.when(four, even)}).groupBy(key).agg(F.count("*").alias("n_walls"), F.count_if("__r").alias("rectangular"), F.count_if("__e").alias("constant"))
+    rows = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    parts = [rows(connections, "connections"), rows(boundaries, "boundaries"), rows(layers, "layers")]
+    return reduce(lambda a, b: a.join(b, key, "left"), parts, m).na.fill(0, ["connections", "boundaries", "layers"])
+
+
+def quantity_consistency(axes: DataFrame, quantities: DataFrame, name: str = "Length", tolerance: float = 0.05, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
+    """Elements whose stored quantity (key, id, name, value) differs from the axis' length by more than the share ``tolerance`` of it:
+    key, id, stored, length. An element with several stored values has a row for each that differs."""
+    q = quantities.where((F.col("name") == name) & F.col("value").isNotNull()).select(key, id_col, F.col("value").alias("stored"))
+    j = q.join(axes.select(key, id_col, length().alias("length")), [key, id_col])
+    return j.where(F.abs(F.col("stored") - F.col("length")) > tolerance * F.col("length"))
+
+
 def plan_qa(walls: DataFrame, connections: DataFrame, openings: DataFrame, hosts: DataFrame, rooms: DataFrame, tolerance: float = 10.0, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
     """Per plan with walls the counters and the four numbers of issues with their total.
 

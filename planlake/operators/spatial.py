@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planlake.session import materialize
+
 CELL = 1000.0
 
 
@@ -61,6 +63,28 @@ def self_pairs(df: DataFrame, box: tuple, columns: list[str], reach: float = 0.0
     return barrier(pairs.where(F.col(f"a_{id_col}") < F.col(f"b_{id_col}")))
 
 
+def nearest(left: DataFrame, right: DataFrame, reach: float = 2000.0, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
+    """For each point (key, id, x, y) of ``left`` the nearest of ``right`` in its plan, at any distance: key, id, other, distance; ties go to the smallest id.
+
+    Points meet within ``reach`` first; those without a hit look eight times as far, and so on, so dense plans are never joined in full
+    and the number of passes is logarithmic in the extent. Points of plans that have none in ``right`` are left out, and so are those with
+    coordinates that are null, not finite or beyond 1e12.
+    """
+    sound = " AND ".join(f"abs({c}) < 1e12" for c in ("x", "y"))
+    one = lambda df, p: df.where(sound).select(key, F.col(id_col).alias(f"__{p}"), F.col("x").alias(f"__{p}x"), F.col("y").alias(f"__{p}y")).distinct()
+    a, b = one(left, "l"), one(right, "r")
+    rest, found = materialize(a.join(b.select(key).distinct(), key, "left_semi"), "nearest-left"), None
+    while True:
+        pairs = grid_join(rest, b, ("__lx", "__ly", "__lx", "__ly"), ("__rx", "__ry", "__rx", "__ry"), reach, reach, key)
+        d = F.sqrt((F.col("__lx") - F.col("__rx")) ** 2 + (F.col("__ly") - F.col("__ry")) ** 2)
+        pairs = pairs.withColumn("__d", F.round(d + 1e-9, 6)).where(F.col("__d") <= reach)
+        hit = materialize(pairs.groupBy(key, "__l").agg(F.min(F.struct("__d", "__r")).alias("m")), "nearest-hits")
+        found = hit if found is None else found.unionByName(hit)
+        rest, reach = materialize(rest.join(hit.select(key, "__l"), [key, "__l"], "left_anti"), "nearest-left"), reach * 8
+        if rest.isEmpty():
+            return found.select(key, F.col("__l").alias(id_col), F.col("m.__r").alias("other"), F.col("m.__d").alias("distance"))
+
+
 def best_match(pairs: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """For each left row the pair that comes first; end the order with an id to make it total."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -168,6 +168,20 @@ def axis_ends(walls: DataFrame, key: str = "plan_id", id_col: str = "det_id") ->
     return walls.select(key, id_col, "thickness", both.alias("end")).select(key, id_col, "thickness", "end.e", "end.x", "end.y")
 
 
+def orientation_bases(axes: DataFrame, key: str = "plan_id") -> DataFrame:
+    """Per plan how many axes lie nearest to 0, to 90 and to 45 or 135 degrees, and use_45: whether the last are more than a sixth.
+
+    Ties go to 0, then to 90. Axes without length count as 0; those with null coordinates don't count.
+    """
+    a = G.line_angle(*cols(""))
+    flat, up, slanted = F.least(a, 180 - a), F.abs(a - 90), F.least(F.abs(a - 45), F.abs(a - 135))
+    nearest_base = F.when((flat <= up) & (flat <= slanted), 0).when(up <= slanted, 90).otherwise(45)
+    d = axes.where(" AND ".join(f"{c} IS NOT NULL" for c in AXIS)).select(key, nearest_base.alias("base"))
+    n = lambda v, name: F.count_if(F.col("base") == v).alias(name)
+    d = d.groupBy(key).agg(n(0, "zero"), n(90, "ninety"), n(45, "forty_five"), F.count("*").alias("n"))
+    return d.select(key, "zero", "ninety", "forty_five", (F.col("forty_five") > F.floor(F.col("n") / 6)).alias("use_45"))
+
+
 def gap_classes(walls: DataFrame, near: float = 50.0, far: float = 100.0, key: str = "plan_id", id_col: str = "det_id") -> DataFrame:
     """Of all pairs of a plan's walls, how many have their nearest ends ``near`` to ``far`` apart (medium) or farther (large); + small.
 

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from planlake.functions import geom as G
 from planlake.functions import labels as L
+from planlake.operators import openings as O
 from planlake.operators import quality as Q
+from planlake.operators import repair as R
 from planlake.operators import walls as W
 from planlake.operators.fits import fit_similarity, line_fit
 from planlake.operators.spatial import best_match
-from planlake.plans.demo import CTE, TILT, detections, openings, rect_openings, tilted_walls, walls
-from planlake.plans.join_queries import OT, REL_SQL, elements, relations
-from planlake.plans.registry import query, r6, s6
+from planlake.plans.demo import CTE, TILT, axis_walls, detections, openings, rect_openings, tilted_walls, walls
+from planlake.plans.join_queries import LABELS, OT, REL_SQL, assigned, boundaries, c12, c14, contacts, elements, relations
+from planlake.plans.registry import SQL, query, r6, s6
 from planlake.plans.scalar_queries import AREA, EXT, near_sql
 
 K = ("plan_id", "det_id")
@@ -105,12 +107,29 @@ def d09(spark, sf):
     return Q.pre_export_checks(tilted_walls(spark, sf).withColumn("thickness", t), rect_openings(spark, sf))
 
 
-@query("d10_readiness", f"{CTE}, m AS (SELECT plan_id, count(*) FILTER (WHERE kind = 'WALL') AS n, count(*) FILTER (WHERE kind = 'WALL' AND jit = 0) AS rect, count(*) FILTER (WHERE kind = 'WALL' AND thk >= 140) AS same, count(*) FILTER (WHERE kind = 'DOOR') AS con, count(*) FILTER (WHERE kind = 'STAIR') AS bound, count(*) FILTER (WHERE kind = 'WINDOW') AS lay FROM det GROUP BY plan_id) SELECT plan_id, greatest(0, least(100, 100 - CASE WHEN n = 0 OR rect = 0 THEN 30 ELSE floor((1 - CAST(rect AS DOUBLE) / greatest(n, 1)) * 20) + floor((1 - CAST(same AS DOUBLE) / greatest(n, 1)) * 10) END - CASE WHEN con > 0 THEN 0 ELSE 15 END - CASE WHEN bound > 0 THEN 0 ELSE 10 END - CASE WHEN lay > 0 THEN 0 ELSE 5 END - CASE WHEN plan_id % 3 = 0 THEN 10 ELSE 0 END))::BIGINT AS readiness FROM m")
+#: SQL: footprints by their sides, contacts (C21), boundaries (C22) and walls with a known structure, counted by plan.
+SIDES = [(f"(x{i % 4 + 1} - x{i})", f"(y{i % 4 + 1} - y{i})") for i in range(1, 5)]
+SQUARE = " AND ".join(f"abs({a} * {c} + {b} * {d}) <= 1" for (a, b), (c, d) in zip(SIDES, SIDES[1:] + SIDES[:1], strict=True))
+EVEN = " AND ".join(f"abs(sqrt({SIDES[i][0]} ** 2 + {SIDES[i][1]} ** 2) - sqrt({SIDES[i + 2][0]} ** 2 + {SIDES[i + 2][1]} ** 2)) <= 1" for i in (0, 1))
+METRICS = f"SELECT m.*, coalesce(connections, 0) AS connections, coalesce(boundaries, 0) AS boundaries, coalesce(layers, 0) AS layers FROM ({CTE} SELECT plan_id, count(*) AS n_walls, count(*) FILTER (WHERE {SQUARE}) AS rectangular, count(*) FILTER (WHERE {EVEN}) AS constant FROM wall GROUP BY plan_id) m LEFT JOIN (SELECT plan_id, count(*) AS connections FROM ({SQL['c21_contact_proposals']}) GROUP BY plan_id) c ON m.plan_id = c.plan_id LEFT JOIN (SELECT plan_id, count(*) AS boundaries FROM ({SQL['c22_space_boundaries']}) GROUP BY plan_id) b ON m.plan_id = b.plan_id LEFT JOIN ({CTE} SELECT plan_id, count(*) AS layers FROM wall WHERE label LIKE 'external%' GROUP BY plan_id) l ON m.plan_id = l.plan_id"
+
+
+def metrics(spark, sf):
+    layers = walls(spark, sf).where(L.is_external(F.col("label")))
+    return Q.model_metrics(walls(spark, sf), contacts(spark, sf), boundaries(spark, sf), layers)
+
+
+@query("d10_model_metrics", METRICS)
+def d10m(spark, sf):
+    """Footprints measured, with the contacts and boundaries of each plan counted."""
+    return metrics(spark, sf)
+
+
+@query("d10_readiness", f"SELECT plan_id, greatest(0, least(100, 100 - CASE WHEN n_walls = 0 OR rectangular = 0 THEN 30 ELSE floor((1 - CAST(rectangular AS DOUBLE) / greatest(n_walls, 1)) * 20) + floor((1 - CAST(constant AS DOUBLE) / greatest(n_walls, 1)) * 10) END - CASE WHEN connections > 0 THEN 0 ELSE 15 END - CASE WHEN boundaries > 0 THEN 0 ELSE 10 END - CASE WHEN layers > 0 THEN 0 ELSE 5 END - CASE WHEN plan_id % 3 = 0 THEN 10 ELSE 0 END))::BIGINT AS readiness FROM ({METRICS})")
 def d10(spark, sf):
-    """Counters of a plan's model, then 100 minus whole-number deductions."""
-    wall = F.col("kind") == "WALL"
-    m = detections(spark, sf).groupBy("plan_id").agg(F.count_if(wall).alias("n"), F.count_if(wall & (F.col("jit") == 0)).alias("rect"), F.count_if(wall & (F.col("thk") >= 140)).alias("same"), *[F.count_if(F.col("kind") == k).alias(c) for k, c in (("DOOR", "con"), ("STAIR", "bound"), ("WINDOW", "lay"))])
-    return m.select("plan_id", Q.readiness(*[F.col(c) for c in ("n", "rect", "same", "con", "bound", "lay")], F.pmod("plan_id", F.lit(3)) != 0).alias("readiness"))
+    """100 minus whole-number deductions by the metrics; every third plan's file is of a wrong format."""
+    m = metrics(spark, sf)
+    return m.select("plan_id", Q.readiness(*[F.col(c) for c in ("n_walls", "rectangular", "constant", "connections", "boundaries", "layers")], F.pmod("plan_id", F.lit(3)) != 0).alias("readiness"))
 
 
 @query("d11_worst_status", WALL_SCORES + " SELECT plan_id, CASE max(CASE status WHEN 'FAIL' THEN 2 WHEN 'WARN' THEN 1 ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'ok' END AS status FROM ws GROUP BY plan_id")
@@ -148,12 +167,12 @@ def d15(spark, sf):
     return t.groupBy("plan_id").agg(r6(F.greatest(F.lit(40.0), 2 * F.median("thk"))).alias("width"), r6(F.stddev_pop("thk")).alias("spread"))
 
 
-@query("d16_opening_bias", f"{CTE}, b AS (SELECT plan_id, horizontal, median(jit) AS bias FROM opening GROUP BY plan_id, horizontal) SELECT o.plan_id, det_id, {s6('x0 - bias')} AS x FROM opening o JOIN b ON o.plan_id = b.plan_id AND o.horizontal = b.horizontal")
+@query("d16_opening_bias", SQL["c30_fit_opening"].split(" SELECT plan_id, det_id, CASE WHEN iou")[0] + f""", bf AS (SELECT *, CASE WHEN iou < 0.05e0 THEN x1 + s * (x2 - x1) WHEN upright THEN x1 ELSE cx + step END AS fx, CASE WHEN iou < 0.05e0 THEN y1 + s * (y2 - y1) WHEN upright THEN cy + step ELSE y1 END AS fy FROM b WHERE k = 1), bo AS (SELECT *, (fx - cx) * ux + (fy - cy) * uy AS off, CASE WHEN abs(ux) < 1e-6 THEN 'V' ELSE 'H' END AS orientation FROM bf), bm AS (SELECT plan_id, orientation, median(off) AS bias FROM bo GROUP BY plan_id, orientation) SELECT plan_id, det_id, orientation, {s6('bias')} AS bias, {s6('fx - ux * bias')} AS cx, {s6('fy - uy * bias')} AS cy FROM bo JOIN bm USING (plan_id, orientation)""")
 def d16(spark, sf):
-    """The median offset by orientation, taken off every opening."""
-    o = openings(spark, sf)
-    b = o.groupBy("plan_id", "horizontal").agg(F.median("jit").alias("bias"))
-    return o.join(b, ["plan_id", "horizontal"]).select(*K, r6(F.col("x0") - F.col("bias")).alias("x"))
+    """Fitted openings moved back by the median offset of their plan and orientation."""
+    a, o, w = assigned(spark, sf), rect_openings(spark, sf), tilted_walls(spark, sf)
+    b = O.opening_bias(O.fit_opening(a, o, w), a, o, w)
+    return b.select(*K, "orientation", *[r6(F.col(c)).alias(c) for c in ("bias", "cx", "cy")])
 
 
 @query("d17_median_iou", WALL_SCORES + f" SELECT plan_id, {s6('median(iou)')} AS median_iou, median(iou) >= 0.9e0 AS accepted FROM ws GROUP BY plan_id")
@@ -161,9 +180,13 @@ def d17(spark, sf):
     return wall_scores(spark, sf).groupBy("plan_id").agg(r6(F.median("iou")).alias("median_iou"), (F.median("iou") >= 0.9).alias("accepted"))
 
 
-@query("d18_orientation_bases", agg("count(*) FILTER (WHERE horizontal) AS zero, count(*) FILTER (WHERE NOT horizontal) AS ninety, count(*) FILTER (WHERE jit = 3) > count(*) // 6 AS use_45", src="wall"))
+FOLDED = "least({a}, 180 - {a}) AS flat, abs({a} - 90) AS up, least(abs({a} - 45), abs({a} - 135)) AS slanted".format(a="degrees(atan2(uy, ux))")
+
+
+@query("d18_orientation_bases", f"{TILT}, fo AS (SELECT plan_id, {FOLDED} FROM tw), fb AS (SELECT plan_id, CASE WHEN flat <= up AND flat <= slanted THEN 0 WHEN up <= slanted THEN 90 ELSE 45 END AS base FROM fo) SELECT plan_id, count(*) FILTER (WHERE base = 0) AS zero, count(*) FILTER (WHERE base = 90) AS ninety, count(*) FILTER (WHERE base = 45) AS forty_five, count(*) FILTER (WHERE base = 45) > count(*) // 6 AS use_45 FROM fb GROUP BY plan_id")
 def d18(spark, sf):
-    return walls(spark, sf).groupBy("plan_id").agg(F.count_if("horizontal").alias("zero"), F.count_if(~F.col("horizontal")).alias("ninety"), (F.count_if(F.col("jit") == 3) > F.floor(F.count("*") / 6)).alias("use_45"))
+    """Axes by the nearest base of their angle."""
+    return W.orientation_bases(tilted_walls(spark, sf))
 
 
 @query("d19_weighted_width", agg(f"{s6('coalesce(sum(thk * len) / nullif(sum(len), 0), avg(thk), 40)')} AS width", src="wall"))
@@ -260,11 +283,12 @@ def d31(spark, sf):
     return c.select("plan_id", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ";").alias("warnings"))
 
 
-@query("d32_quantity_consistency", f"{CTE}, s AS (SELECT plan_id, det_id, len, len + jit * 40 AS stored FROM wall) SELECT plan_id, det_id, stored FROM s WHERE abs(stored - len) > 0.05e0 * len")
+@query("d32_quantity_consistency", f"SELECT w.plan_id, w.det_id, {s6('w.stored')} AS stored, {s6('m.length')} AS length FROM ({CTE} SELECT plan_id, det_id, len AS stored FROM wall) w JOIN (SELECT plan_id, det_id, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS length FROM ({SQL['c14_close_gaps']})) m ON w.plan_id = m.plan_id AND w.det_id = m.det_id WHERE abs(w.stored - m.length) > 0.05e0 * m.length")
 def d32(spark, sf):
-    """Stored length against axis length, five per cent."""
-    w = walls(spark, sf).withColumn("stored", F.col("len") + F.col("jit") * 40)
-    return w.where(F.abs(F.col("stored") - F.col("len")) > 0.05 * F.col("len")).select(*K, "stored")
+    """Lengths stored before gaps were closed (C14) against those of the axes after it, five per cent."""
+    q = walls(spark, sf).select(*K, F.lit("Length").alias("name"), F.col("len").alias("value"))
+    r = Q.quantity_consistency(c14(spark, sf), q)
+    return r.select(*K, *[r6(F.col(c)).alias(c) for c in ("stored", "length")])
 
 
 @query("d33_pset_completeness", REL_SQL + ", need AS (SELECT guid, unnest(['material', 'storey', 'voids']) AS rel FROM element WHERE type = 'IfcWall') SELECT n.guid, count(*) AS missing, string_agg(n.rel, ',' ORDER BY n.rel) AS sets FROM need n WHERE NOT EXISTS (SELECT 1 FROM rel r WHERE r.guid = n.guid AND r.rel = n.rel) GROUP BY n.guid")
@@ -333,17 +357,16 @@ def e06(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").groupBy(F.col("user_id").alias("job_id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), (F.max("event_id") >= 0).alias("seen"))
 
 
-@query("e08_drop_short_links", f"{CTE}, c AS (SELECT *, count(*) OVER (PARTITION BY plan_id, floor(ax1 / 500), floor(ay1 / 500)) AS a, count(*) OVER (PARTITION BY plan_id, floor(ax2 / 500), floor(ay2 / 500)) AS b FROM wall) SELECT plan_id, det_id FROM c WHERE NOT (len < 1500 AND a > 1 AND b > 1)")
+@query("e08_drop_short_links", f"{LABELS}, tied AS (SELECT plan_id, split_part(id, '#', 1) AS det_id, count(DISTINCT id) AS n FROM lab GROUP BY 1, 2) SELECT w.plan_id, w.det_id FROM wall w LEFT JOIN tied t ON w.plan_id = t.plan_id AND w.det_id = t.det_id WHERE NOT (len < 1500 AND coalesce(t.n, 0) >= 2)")
 def e08(spark, sf):
-    """Short axes whose ends both lie in shared clusters go."""
-    at = lambda i: F.count("*").over(Window.partitionBy("plan_id", F.floor(F.col(f"ax{i}") / 500), F.floor(F.col(f"ay{i}") / 500)))
-    w = walls(spark, sf).withColumn("a", at(1)).withColumn("b", at(2))
-    return w.where(~((F.col("len") < 1500) & (F.col("a") > 1) & (F.col("b") > 1))).select(*K)
+    """Axes below 1500 whose ends both lie within 100 of other ends go."""
+    return R.drop_short_links(axis_walls(spark, sf).select(*K, *W.AXIS, "thickness"), 1500.0).select(*K)
 
 
-@query("f01_gaps_ascending", f"{CTE} SELECT plan_id, det_id, len FROM wall WHERE len < 600 ORDER BY len, det_id")
+@query("f01_gaps_ascending", f"SELECT plan_id, a_det_id, b_det_id, gap FROM ({SQL['c12_gap_proposals']}) WHERE gap <= 100 ORDER BY gap, plan_id, a_det_id, b_det_id")
 def f01(spark, sf):
-    return walls(spark, sf).where("len < 600").select(*K, "len").orderBy("len", "det_id")
+    """Gaps between ends up to 100, smallest first."""
+    return c12(spark, sf).where("gap <= 100").select("plan_id", "a_det_id", "b_det_id", "gap").orderBy("gap", "plan_id", "a_det_id", "b_det_id")
 
 
 @query("f02_first_issues", f"{CTE}, r AS (SELECT plan_id, det_id, row_number() OVER (PARTITION BY plan_id ORDER BY det_id, x0, y0) AS k FROM det WHERE {REASON} IS NOT NULL) SELECT plan_id, det_id, k FROM r WHERE k <= 5")

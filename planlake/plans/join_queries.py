@@ -520,6 +520,13 @@ def c27(spark, sf):
     return with_nearest(o, best, F.col("w_det_id").alias("host"))
 
 
+@query("c27_fill_to_opening", f"{TILT}, fl AS (SELECT plan_id, det_id, cx + {SHIFT} AS cx, cy FROM op WHERE confidence >= 0.4e0), fr AS (SELECT f.plan_id, f.det_id, o.det_id AS opening_id, round(sqrt((f.cx - o.cx) ** 2 + (f.cy - o.cy) ** 2) + 1e-9, 6) AS distance FROM fl f JOIN (SELECT * FROM op WHERE kind = 'DOOR') o ON f.plan_id = o.plan_id), fk AS (SELECT *, row_number() OVER (PARTITION BY plan_id, det_id ORDER BY distance, opening_id) AS k FROM fr) SELECT DISTINCT f.plan_id, f.det_id, k.opening_id, k.distance FROM fl f LEFT JOIN fk k ON f.plan_id = k.plan_id AND f.det_id = k.det_id AND k.k = 1")
+def c27f(spark, sf):
+    """Elements that another model sees, each to the nearest door's opening of its plan, at any distance."""
+    fills = moved_openings(spark, sf).where("confidence >= 0.4")
+    return O.fill_to_opening(fills, rect_openings(spark, sf).where("kind = 'DOOR'"), 500.0)
+
+
 @query("c28_fallback_wall", nearest_sql("true", "distance", ", CASE WHEN r.distance <= 500 THEN 'primary' WHEN r.distance < 5000 THEN 'fallback_nearest' WHEN r.wall_id IS NOT NULL THEN 'fallback_first' END AS method, r.distance <= r.w_thk / 2 + 5 AS inside"))
 def c28(spark, sf):
     """The nearest axis at any distance: by the grid within 5000 mm, else by the plan's own walls."""

@@ -14,11 +14,13 @@ from planlake.plans import join_queries as J
 from planlake.operators import merge as M
 from planlake.operators import quality as Q
 from planlake.operators import repair as R
+from planlake.operators import spaces as SP
 from planlake.operators import walls as W
 from planlake.plans import graph_queries as GQ
 from planlake.plans.demo import CTE, TILT, axis_walls, detections, rect_openings, tilted_walls, walls
 from planlake.plans.registry import QUERIES, SQL, query, r6, s6
 from planlake.plans.scalar_queries import AREA, EXT, near_sql
+from planlake.session import materialize
 from planlake.sources import readers, writers
 
 K = ("plan_id", "det_id")
@@ -162,6 +164,14 @@ def p05(spark, sf):
     return o.select(*K, "wall_id", r6(F.col("width")).alias("width"), r6(F.col("depth")).alias("depth")).distinct()
 
 
+@query("p04_merge_with_rooms")
+def p04r(spark, sf):
+    """The QA of models merged with the rooms that their walls enclose, and the walls at each room (K3, C8); no SQL, as K3's polygons have none."""
+    w = tilted_walls(spark, sf)
+    m = M.merge_models(w, J.shifted(w, 12.0), GQ.k01(spark, sf), *models(spark, sf))
+    return m.qa.select("plan_id", "walls", "rooms", "bounded", "room_issues", "total")
+
+
 @query("p06_validation_report", f"SELECT s.plan_id, s.mean, s.passed, s.overall, c.severity, coalesce(g.gaps, 0) AS gaps FROM ({SQL['d07_report_summary']}) s LEFT JOIN ({SQL['d09_pre_export_checks']}) c ON s.plan_id = c.plan_id LEFT JOIN (SELECT plan_id, count(*) AS gaps FROM ({SQL['c12_gap_proposals']}) GROUP BY plan_id) g ON s.plan_id = g.plan_id")
 def p06(spark, sf):
     """Checks before export, gap proposals, scores of every wall and their summary."""
@@ -196,14 +206,17 @@ def p07(spark, sf):
     return out
 
 
-@query("p08_reconnect_proposals", f"SELECT c.plan_id, touching, gaps, coalesce(shared, 0) AS shared, gaps = 0 AND coalesce(n_spaces, 0) > 0 AS closed FROM (SELECT plan_id, count(*) FILTER (WHERE contact = 'touch') AS touching, count(*) FILTER (WHERE contact = 'gap') AS gaps FROM ({SQL['c21_contact_proposals']}) GROUP BY plan_id) c LEFT JOIN (SELECT plan_id, sum(n_spaces)::BIGINT AS shared FROM ({SQL['c25_shared_spaces']}) GROUP BY plan_id) s ON c.plan_id = s.plan_id LEFT JOIN ({J.SPACES} SELECT plan_id, count(*) AS n_spaces FROM space GROUP BY plan_id) n ON c.plan_id = n.plan_id")
+@query("p08_reconnect_proposals", f"SELECT c.plan_id, touching, gaps, coalesce(shared, 0) AS shared, coalesce(highlighted, 0) AS highlighted, gaps = 0 AND coalesce(n_spaces, 0) > 0 AS closed FROM (SELECT plan_id, count(*) FILTER (WHERE contact = 'touch') AS touching, count(*) FILTER (WHERE contact = 'gap') AS gaps FROM ({SQL['c21_contact_proposals']}) GROUP BY plan_id) c LEFT JOIN (SELECT plan_id, sum(n_spaces)::BIGINT AS shared FROM ({SQL['c25_shared_spaces']}) GROUP BY plan_id) s ON c.plan_id = s.plan_id LEFT JOIN ({J.SPACES} SELECT plan_id, count(*) AS n_spaces FROM space GROUP BY plan_id) n ON c.plan_id = n.plan_id LEFT JOIN (SELECT plan_id, count(DISTINCT id) AS highlighted FROM (SELECT plan_id, unnest([a_det_id, b_det_id]) AS id FROM ({SQL['c21_contact_proposals']}) WHERE contact = 'gap') GROUP BY plan_id) h ON c.plan_id = h.plan_id")
 def p08(spark, sf):
-    """Contacts and gaps, spaces that both walls of a contact touch; rooms are closed if there are spaces and no gaps."""
-    c = J.c21(spark, sf).groupBy("plan_id").agg(F.count_if(F.col("contact") == "touch").alias("touching"), F.count_if(F.col("contact") == "gap").alias("gaps"))
-    s = J.c25(spark, sf).groupBy("plan_id").agg(F.sum("n_spaces").alias("shared"))
+    """Contacts and gaps, spaces that both walls of a contact bound, walls to look at (D12); rooms are closed if there are spaces and no gaps."""
+    found = materialize(J.contacts(spark, sf), "contacts")
+    c = found.groupBy("plan_id").agg(F.count_if(F.col("contact") == "touch").alias("touching"), F.count_if(F.col("contact") == "gap").alias("gaps"))
+    bounds = SP.space_boundaries(J.spaces(spark, sf), tilted_walls(spark, sf))
+    s = SP.shared_spaces(found, bounds).groupBy("plan_id").agg(F.sum("n_spaces").alias("shared"))
     n = J.spaces(spark, sf).groupBy("plan_id").agg(F.count("*").alias("n_spaces"))
-    j = c.join(s, "plan_id", "left").join(n, "plan_id", "left").na.fill(0, ["shared", "n_spaces"])
-    return j.select("plan_id", "touching", "gaps", "shared", ((F.col("gaps") == 0) & (F.col("n_spaces") > 0)).alias("closed"))
+    h = found.where("contact = 'gap'").select("plan_id", F.explode(F.array("a_id", "b_id")).alias("id")).groupBy("plan_id").agg(F.count_distinct("id").alias("highlighted"))
+    j = c.join(s, "plan_id", "left").join(n, "plan_id", "left").join(h, "plan_id", "left").na.fill(0, ["shared", "n_spaces", "highlighted"])
+    return j.select("plan_id", "touching", "gaps", "shared", "highlighted", ((F.col("gaps") == 0) & (F.col("n_spaces") > 0)).alias("closed"))
 
 
 @query("p09_analyze", f"SELECT d.label, d.n, d.valid, coalesce(z.n, 0) AS in_west, l.positive, l.negative FROM ({SQL['d01_class_counts']}) d LEFT JOIN ({SQL['c01_zone_counts']}) z ON d.label = z.label AND z.zone = 'west' LEFT JOIN ({SQL['c02_line_counts']}) l ON d.label = l.label")
