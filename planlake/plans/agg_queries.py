@@ -167,7 +167,7 @@ def d15(spark, sf):
     return t.groupBy("plan_id").agg(r6(F.greatest(F.lit(40.0), 2 * F.median("thk"))).alias("width"), r6(F.stddev_pop("thk")).alias("spread"))
 
 
-@query("d16_opening_bias", SQL["c30_fit_opening"].split(" SELECT plan_id, det_id, CASE WHEN iou")[0] + f""", bf AS (SELECT *, CASE WHEN iou < 0.05e0 THEN x1 + s * (x2 - x1) WHEN upright THEN x1 ELSE cx + step END AS fx, CASE WHEN iou < 0.05e0 THEN y1 + s * (y2 - y1) WHEN upright THEN cy + step ELSE y1 END AS fy FROM b WHERE k = 1), bo AS (SELECT *, (fx - cx) * ux + (fy - cy) * uy AS off, CASE WHEN abs(ux) < 1e-6 THEN 'V' ELSE 'H' END AS orientation FROM bf), bm AS (SELECT plan_id, orientation, median(off) AS bias FROM bo GROUP BY plan_id, orientation) SELECT plan_id, det_id, orientation, {s6('bias')} AS bias, {s6('fx - ux * bias')} AS cx, {s6('fy - uy * bias')} AS cy FROM bo JOIN bm USING (plan_id, orientation)""")
+@query("d16_opening_bias", SQL["c30_fit_opening"].split(" SELECT plan_id, det_id, CASE WHEN iou")[0] + f""", bf AS (SELECT *, CASE WHEN iou < 0.05e0 THEN x1 + s * (x2 - x1) WHEN upright THEN x1 ELSE cx + step END AS fx, CASE WHEN iou < 0.05e0 THEN y1 + s * (y2 - y1) WHEN upright THEN cy + step ELSE y1 END AS fy FROM b WHERE k = 1), bo AS (SELECT *, (fx - cx) * ux + (fy - cy) * uy AS shift, CASE WHEN abs(ux) < 1e-6 THEN 'V' ELSE 'H' END AS orientation FROM bf), bm AS (SELECT plan_id, orientation, median(shift) AS bias FROM bo GROUP BY plan_id, orientation) SELECT plan_id, det_id, orientation, {s6('bias')} AS bias, {s6('fx - ux * bias')} AS cx, {s6('fy - uy * bias')} AS cy FROM bo JOIN bm USING (plan_id, orientation)""")
 def d16(spark, sf):
     """Fitted openings moved back by the median offset of their plan and orientation."""
     a, o, w = assigned(spark, sf), rect_openings(spark, sf), tilted_walls(spark, sf)
