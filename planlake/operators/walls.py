@@ -261,8 +261,9 @@ def merge_collinear(axes: DataFrame, max_degrees: float = 1.0, offset: float = 5
     """
     a = axes.select(key, id_col, *AXIS, "thickness").distinct().withColumn("n", F.round(length(), 6)).where("n > 0")
     a = materialize(a, "collinear-axes")
-    reach = max(offset, gap)
-    pairs = self_pairs(with_box(a), BOX, [*AXIS, "n"], reach, id_col, key=key)
+    # The shorter one's middle is near the line, its ends may lie farther off by what its half length makes of the angle.
+    tilt = F.col("n") / 2 * math.sin(math.radians(max_degrees))
+    pairs = self_pairs(with_box(a, tilt), BOX, [*AXIS, "n"], offset + gap, id_col, key=key)
     long = lambda c, mine="b_", other="a_": F.when(F.col("b_n") > F.col("a_n"), F.col(f"{mine}{c}")).otherwise(F.col(f"{other}{c}"))
     pairs = pairs.withColumns({**{f"l_{c}": long(c) for c in (*AXIS, "n")}, **{f"s_{c}": long(c, "a_", "b_") for c in AXIS}})
     pairs = pairs.withColumns({"ux": (F.col("l_x2") - F.col("l_x1")) / F.col("l_n"), "uy": (F.col("l_y2") - F.col("l_y1")) / F.col("l_n"), "turned": angle_between("l_", "s_")})

@@ -58,6 +58,12 @@ def test_bases_and_short_links(spark):
     assert sorted(r["det_id"] for r in R.drop_short_links(spark.createDataFrame(links, WALL)).collect()) == ["a", "b", "stub"]
 
 
+def test_merging_axes_whose_boxes_lie_apart(spark):
+    """The middle of the shorter axis lies on the other's line, its box farther away than the offset."""
+    a = [(1, "long", 2369.0, 598.0, 5654.0, 553.0, 240.0), (1, "short", 938.0, 604.0, 3158.0, 604.0, 115.0)]
+    assert [(r["det_id"], r["n_merged"]) for r in W.merge_collinear(spark.createDataFrame(a, WALL)).collect()] == [("long", 2)]
+
+
 def test_metrics_of_footprints(spark):
     foot = [ring(*rect(0, 0, 900, 200, 0.3)), ring((0, 0), (900, 0), (950, 200), (50, 200)), ring((0, 0), (900, 0), (900, 250), (0, 200)), ring((0, 0), (900, 0), (900, 200)), None]
     w = spark.createDataFrame([(1, str(i), "WALL", p) for i, p in enumerate(foot)], DET)
