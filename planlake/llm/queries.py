@@ -75,8 +75,9 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"), with_text=False)
-    kinds = F.split("base", ",")
-    counts = [F.size(F.filter(kinds, lambda x, k=k: x.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    # A lambda of one parameter: Spark would give a second one the element's place.
+    of_kind = lambda k: F.filter(F.split("base", ","), lambda x: x.startswith(f"{k}:"))
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
 
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from planlake.llm import chat_format, packing, pii, token_counts, toxicity
+from planlake.llm.queries import op10_pii
 
 ODD = [None, "", " ", "   ", " a", "a ", "a  b", "a \n b\t c", "▁a ▁ b", "<|endoftext|> x<|endoftext|>y", "<s> a </s>", "日本 語", "don't  I'll", "\x1c x \x85 y", "x　 y", "▁▁ ", "!!  ?? 12 3", "\r\n \r\n a", "word " * 5000, "longword" * 4000]
 
@@ -341,3 +342,14 @@ def test_pipeline_against_brute_force(spark, make_docs, tmp_path, paths):
     want = corpus_pipeline.run(spark, str(tmp_path))
     cols = ["doc_id", "start", "length", "ids_crc32"]
     assert sorted(map(str, want.select(cols).collect())) == sorted(map(str, d.select(cols).collect()))
+
+
+def test_pii_query_counts_base_spans(spark, tmp_path):
+    texts = ["a@b.cd or a@b.ef, 1.2.3.4, +44 20 7946 0018, 4539 5787 6362 1486", "none", None, "(555) 123-4567 at 10.0.0.1"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op10_pii(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        base = naive_spans(t or "")
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+        assert got[i]["base_sha256"] == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+    assert [got[0][f"n_{k}"] for k in pii.KINDS] == [2, 1, 1, 1]
