@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planlake.llm.segments import slices
+from planlake.llm.shingles import LOWER
 from planlake.session import bounded_broadcast, materialize
 
 TOP = 10
@@ -48,9 +49,10 @@ IN_TERM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """(document number of each term, its number among the distinct terms, the distinct terms): only A-Z are lower-cased."""
-    lower = pc.ascii_lower(texts.cast(pa.large_string()))
-    offsets = np.frombuffer(lower.buffers()[1], dtype=np.int64)[lower.offset : lower.offset + len(lower) + 1]
-    data = np.frombuffer(lower.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    # Arrow's ascii_lower gives wrong texts for a slice of a longer array, so bytes are lower-cased here.
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = LOWER[np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]]
     offsets = offsets - offsets[0]
     inside = IN_TERM[data]
     fresh = np.ones(len(data) + 1, dtype=bool)  # a term ends before a byte that isn't one, and where a text ends

@@ -200,3 +200,16 @@ def test_sketches_never_lie_below_the_score():
     for i, t in enumerate(texts):
         assert n[i] == len(terms(t))
         assert {names[c].decode(): int(f) for c, f in zip(code[doc == i], tf[doc == i], strict=True)} == dict(Counter(terms(t)))
+
+
+def test_terms_of_the_slices_of_a_batch():
+    import pyarrow as pa
+
+    from planlake.llm.segments import slices
+
+    texts = ["Éa Bb", None, "CC dd cc", "", "x Y", "zZ"]
+    batch = pa.record_batch([pa.array(texts)], names=["text"])  # as Spark gives it: slices become large strings later
+    got = [(names[c].decode(), int(d)) for _, part in slices(iter([batch]), 0, 4) for doc, code, names in [search.terms_of(part)] for d, c in zip(doc, code, strict=True)]
+    assert [t for t, _ in got] == [t for text in texts for t in terms(text)]
+    n = [k for _, part in slices(iter([batch]), 0, 4) for k in search.counted(part)[0].tolist()]
+    assert n == [len(terms(t)) for t in texts]
