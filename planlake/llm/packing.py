@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planlake.llm.segments import byte_coder, give_back, slices
+from planlake.llm.segments import SLICE_BYTES, byte_coder, give_back, slices
 
 MAX_LENGTH = 2048
 END_ID = 1
+#: Bytes of text that are packed at once without the cache: ids and their places take many times as much.
+SMALL_SLICE = 1 << 20
 
 
 def pieces_of(n: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,14 +42,16 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     A document's ids are its tokens and END_ID, so null and empty texts have one id. Each id is in one
     piece. ``length`` names the bucket. Documents with the same id (repeated rows, mixes) are packed one by
     one. sequence_id is unique over the result; offset is always 0. Null ids stay null; other columns are ignored.
-    Without ``keep_cache`` a task leaves no encoded words in its worker for the next one: less memory, more encoding.
+    Without ``keep_cache`` a task leaves no encoded words in its worker for the next one and takes smaller slices of text: less memory, more encoding.
     """
     if longest & (longest - 1) or longest < 2:
         raise ValueError("longest must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep_cache:
+            give_back()  # what earlier operators have left in this worker
         c = byte_coder(path)
-        for batch, texts in slices(batches, 1):
+        for batch, texts in slices(batches, 1, SLICE_BYTES if keep_cache else SMALL_SLICE):
             at, codes = c.slice_codes(texts)
             ids = c.rows(codes)
             ends = np.concatenate([[0], np.cumsum(c.size[codes])])[at[1:]]
@@ -66,7 +70,10 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 kind = np.int32 if len(ids) < 1 << 31 else np.int64
                 moved = ids[np.repeat((first - (stop - length)).astype(kind), length) + np.arange(len(ids), dtype=kind)]
                 cols.append(pa.ListArray.from_arrays(np.concatenate([[0], stop]).astype(np.int32), moved.view(np.int32)))
-            yield pa.record_batch(cols, names=names)
+            out = pa.record_batch(cols, names=names)
+            batch = texts = at = codes = ids = ends = raw = crc = cols = moved = None  # not held beside the next slice's
+            yield out
+            out = None
         if not keep_cache:
             c.forget()
             give_back()

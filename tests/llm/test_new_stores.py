@@ -213,3 +213,12 @@ def test_terms_of_the_slices_of_a_batch():
     assert [t for t, _ in got] == [t for text in texts for t in terms(text)]
     n = [k for _, part in slices(iter([batch]), 0, 4) for k in search.counted(part)[0].tolist()]
     assert n == [len(terms(t)) for t in texts]
+
+
+def test_packing_without_the_cache_gives_the_same_pieces(spark, paths, monkeypatch):
+    from planlake.llm import packing
+
+    monkeypatch.setattr(packing, "SMALL_SLICE", 50)  # many slices a batch
+    docs = spark.createDataFrame([(i, f"Some words {i} " * (i % 7 * 9)) for i in range(30)] + [(40, None)], "doc_id long, text string").coalesce(1)
+    rows = [sorted(tuple(r) for r in packing.pack(docs, paths["byte"], longest=64, keep_cache=k).drop("sequence_id").collect()) for k in (True, False)]
+    assert rows[0] == rows[1] and len(rows[0]) > 30
