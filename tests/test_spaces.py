@@ -105,3 +105,21 @@ def test_overlaps_and_openings_inside_walls(spark):
     h = spark.createDataFrame([(1, n, "w") for n in ("in", "half", "out")] + [(1, "lost", None)], "plan_id long, det_id string, wall_id string")
     got = {r["det_id"]: (round(r["inside_area"], 6), round(r["outside_area"], 6), round(r["inside_ratio"], 6)) for r in S.opening_inside_ratio(o, h, w).collect()}
     assert got == {"in": (16000.0, 0.0, 1.0), "half": (8000.0, 8000.0, 0.5), "out": (0.0, 100.0, 0.0)}
+
+
+def test_a_table_paired_with_itself_is_shuffled_once(spark):
+    walls = spark.createDataFrame([(1, c, 10.0 * i, 0.0, 10.0 * i, 90.0, 4.0) for i, c in enumerate("abcdef")], WALL)
+    found = S.contact_proposals(walls, 20.0)
+    assert {(r["a_id"], r["b_id"]) for r in found.collect()} >= {("a", "b"), ("e", "f")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan.split("Initial Plan")[0]
+
+
+def test_contacts_at_spaces_are_those_of_all_contacts_and_boundaries(spark):
+    rng = random.Random(5)
+    spaces = spark.createDataFrame([(k % 3, f"s{k}", ring(*rect(rng.uniform(0, 9000), rng.uniform(0, 9000), 3000, 2000, rng.uniform(0, 3)))) for k in range(30)], SPACE)
+    walls = [(k % 3, f"w{k}", *(rng.uniform(0, 9000) for _ in range(4)), rng.choice([None, 80.0, 300.0])) for k in range(90)]
+    walls = spark.createDataFrame([*walls, (0, "none", 5.0, 5.0, 5.0, 5.0, 80.0), (None, "w", 0.0, 0.0, 9000.0, 0.0, 80.0)], WALL)
+    want = S.shared_spaces(S.contact_proposals(walls, 20.0), S.space_boundaries(spaces, walls))
+    rows = lambda df: sorted(tuple(r) for r in df.select("plan_id", "a_id", "b_id", "n_spaces").collect())
+    assert rows(want) and rows(S.contacts_at_spaces(spaces, walls, 20.0)) == rows(want)
