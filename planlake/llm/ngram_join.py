@@ -26,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession 
 from pyspark.sql import functions as F
@@ -45,6 +44,7 @@ COLUMNS = 4096
 PRUNINGS = 2
 BROADCAST_ROWS = 500_000
 SHARD_BYTES = 24 << 20
+HELD_KEYS = 250_000
 NEED = 1 << 40
 #: Bits of a folded sketch for each shingle, and the power of two that no folded sketch exceeds.
 FOLDS, MAX_FOLD = 4, 16
@@ -165,7 +165,7 @@ def _docs_and_members(docs: DataFrame, id_col: str, text_col: str, words: int, p
             if several.any():  # members found here only pass through; any shard will do
                 rows.append((turn % shards, 1, keys[several].tobytes(), nodes[several].tobytes(), b"", b"", b""))
             turn += 7
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["shard", "kind", "a", "b", "c", "n", "t"]).astype({"shard": "int32", "kind": "int32"}), schema=arrow, preserve_index=False)
+            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in rows], schema=arrow)
 
         for batch, texts in slices(batches, 1):
             u, at = shingle_sets(texts, words)
@@ -183,7 +183,7 @@ def _docs_and_members(docs: DataFrame, id_col: str, text_col: str, words: int, p
                     row = (turn % shards, kind, np.asarray(ids.fill_null(0))[rows].astype(np.int64).tobytes(), fp[rows].tobytes(), fp2[rows].tobytes(), n[rows].tobytes(), hashes[rows].tobytes())
                     yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, row, strict=True))], schema=arrow)
             turn += 7
-            if size > 500_000:
+            if size > HELD_KEYS:
                 yield from flush()
                 held, size = [], 0
         if held:

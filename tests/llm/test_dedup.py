@@ -229,3 +229,11 @@ def test_repeat_rows_gives_what_is_planned(make_docs):
     for r in mixing.repeat_rows(docs).collect():
         rows[key(r)] += 1
     assert {k: v for k, v in plan.items() if v} == dict(rows) and sum(rows.values()) > 40
+
+
+def test_workers_of_the_ngram_join_need_no_pandas():
+    import subprocess
+    import sys
+
+    code = "import sys, planlake.llm.ngram_join; print('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.strip() == "False"

@@ -4,7 +4,6 @@ import random
 
 from pyspark.sql import functions as F
 
-from planlake.operators import walls as W
 from planlake.operators import merge as M
 from planlake.operators import openings as O
 from planlake.operators import quality as Q
