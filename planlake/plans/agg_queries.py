@@ -312,7 +312,7 @@ def d34(spark, sf):
 def d35(spark, sf):
     """Detected polygon where the axis rectangle differs; the demo's detections are rectangles, so the rest take the rectangle."""
     w = tilted_walls(spark, sf).join(detected_walls(spark, sf), list(K))
-    return w.select(*K, W.geometry_choice().alias("choice"))
+    return W.geometry_choice(w).select(*K, "choice")
 
 
 @query("d36_boundary_completeness", REL_SQL + " SELECT e.guid, coalesce(bool_or(rel = 'voids'), false) AS floor, coalesce(bool_or(rel = 'fills'), false) AS ceiling, coalesce(bool_or(rel = 'boundary'), false) AS wall FROM element e LEFT JOIN rel r ON e.guid = r.guid WHERE type = 'IfcSpace' GROUP BY e.guid")
