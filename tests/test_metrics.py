@@ -103,3 +103,9 @@ def test_scores_work_out_shapes_behind_the_join(spark):
     assert [(r["iou"], r["score"], r["status"]) for r in found.collect()] == [(1.0, 100.0, "PASS")]
     below = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1]
     assert "__rect" not in below and "__box" not in below
+
+
+def test_repair_closes_gaps_of_exactly_the_reach(spark):
+    walls = spark.createDataFrame([(1, "a", 40.0, 0.0, 40.0, 3300.0, 115.0), (1, "b", 140.0, 0.0, 3000.0, 0.0, 115.0)], WALL)
+    out, _ = R.repair_axes(walls, spark.createDataFrame([], DET + ", confidence double"), F.lit(False))
+    assert [(r["det_id"], round(r["x1"], 6), abs(round(r["y1"], 6))) for r in out.orderBy("det_id").collect()] == [("a", 90.0, 0.0), ("b", 90.0, 0.0)]
