@@ -109,3 +109,9 @@ def test_repair_closes_gaps_of_exactly_the_reach(spark):
     walls = spark.createDataFrame([(1, "a", 40.0, 0.0, 40.0, 3300.0, 115.0), (1, "b", 140.0, 0.0, 3000.0, 0.0, 115.0)], WALL)
     out, _ = R.repair_axes(walls, spark.createDataFrame([], DET + ", confidence double"), F.lit(False))
     assert [(r["det_id"], round(r["x1"], 6), abs(round(r["y1"], 6))) for r in out.orderBy("det_id").collect()] == [("a", 90.0, 0.0), ("b", 90.0, 0.0)]
+
+
+def test_links_between_ends_exactly_the_reach_apart_go(spark):
+    boxes = {"a": ((0, 0), (80, 0), (80, 3300), (0, 3300)), "b": ((140, -40), (640, -40), (640, 40), (140, 40)), "c": ((700, -40), (3000, -40), (3000, 40), (700, 40))}
+    d = spark.createDataFrame([(1, n, "WALL", ring(*p)) for n, p in boxes.items()], DET)
+    assert sorted(r["det_id"] for r in R.wall_axes(d, 1500.0, merge=False).collect()) == ["a", "c"]
