@@ -139,3 +139,17 @@ def test_axes_turn_to_lines_at_any_distance(spark):
     got = refine_axes(a, lines.where("x1 > 1")).collect()
     assert [r["line_id"] for r in got] == ["w00"] and got[0]["score"] > 60000
     assert [tuple(r) for r in gap_classes(axes(spark, (0, 0, 100, 0, 1), (130, 0, 500, 0, 1), (580, 0, 900, 0, 1), (5000, 0, 6000, 0, 1))).collect()] == [(1, 1, 1, 4)]
+
+
+def test_rings_of_any_number_of_corners(spark):
+    """Compiled tests of four corners say what ``geom.contains`` says; other rings still go that way."""
+    from planlake.operators.rings import corners, four_corners, in_four
+
+    r = random.Random(9)
+    four = [(i, [dict(x=float(r.randint(0, 9)), y=float(r.randint(0, 9))) for _ in range(4)], r.uniform(0, 9), float(r.randint(0, 9))) for i in range(300)]
+    d = corners(spark.createDataFrame(four, "i long, points array<struct<x double, y double>>, px double, py double"), "points", "__s")
+    px, py = F.col("px"), F.col("py")
+    got = d.select(four_corners(F.col("points"), "__s").alias("four"), in_four("__s", px, py).alias("a"), G.contains(F.col("points"), px, py).alias("b")).collect()
+    assert all(v["four"] and v["a"] == v["b"] for v in got) and {v["a"] for v in got} == {True, False}
+    house = [(0, 0), (10, 0), (10, 10), (5, 15), (0, 10)]
+    assert [round(v["area"], 6) for v in regions(rings(spark, (1, house), (1, box(8, 0, 20, 10)), (2, [(0, 0), (4, 0), (0, 3)]))).orderBy("plan_id").collect()] == [225.0, 6.0]
