@@ -103,31 +103,30 @@ def spf_statements(spark: SparkSession, path: str) -> DataFrame:
     """(file, s) of every statement of model files, cut at the semicolons outside strings.
 
     Files are read in splits as pieces between semicolons. A piece lies outside strings where the quotes before it are even in number:
-    they are summed within its split and over the file's earlier splits. Pieces with even quotes on both sides are statements as they
-    are; only those that a string runs through are put together, by the number of statements ended before them. The pieces are
-    written first, so that their order is the same in both sums. A comment may hold neither quotes nor semicolons.
+    they are summed within its split and over the file's earlier splits. The pieces of a statement are put together within their split, which
+    is shuffled once; only what a split's edges cut is put together over splits, by the number of such statements ended before.
+    A comment may hold neither quotes nor semicolons.
     """
     t = spark.read.option("lineSep", ";").text(path)
     meta = F.col("_metadata")
     t = t.select(meta["file_path"].alias("file"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("n"), "value")
-    t = materialize(t.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit("'"), F.lit("")))), "spf-pieces")
-
-    def base(rows: DataFrame, value: Column, name: str) -> DataFrame:
-        """Per split, the sum of ``value`` over the file's earlier splits."""
-        w = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-        per = rows.groupBy("file", "split").agg(F.sum(value).alias("__v"))
-        return per.select("file", "split", F.coalesce(F.sum("__v").over(w), F.lit(0)).alias(name))
-
+    t = t.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit("'"), F.lit(""))))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    per = t.groupBy("file", "split").agg(F.sum("quotes").alias("__v"))
+    t = t.join(per.select("file", "split", F.coalesce(F.sum("__v").over(earlier), F.lit(0)).alias("before")), ["file", "split"])
     w = Window.partitionBy("file", "split").orderBy("n")
-    t = t.join(base(t, F.col("quotes"), "before"), ["file", "split"])
-    t = t.withColumn("after", F.col("before") + F.sum("quotes").over(w)).withColumn("inside", (F.col("after") - F.col("quotes")) % 2 == 1)
-    t = t.select("file", "split", "n", "value", "inside", (F.col("after") % 2 == 0).alias("ends"))
-    whole = t.where("ends AND NOT inside").select("file", F.col("value").alias("s"))
-    cut = materialize(t.where("inside OR NOT ends"), "spf-cut")
-    ended = F.col("ends").cast("long")
-    cut = cut.join(base(cut, ended, "earlier"), ["file", "split"]).withColumn("k", F.col("earlier") + F.sum(ended).over(w) - ended)
-    joined = cut.groupBy("file", "k").agg(F.array_sort(F.collect_list(F.struct("split", "n", "value"))).alias("v"))
-    return whole.unionByName(joined.select("file", F.array_join(F.transform("v", lambda p: p["value"]), ";").alias("s")))
+    t = t.withColumn("after", F.col("before") + F.sum("quotes").over(w)).withColumn("ended", (F.col("after") % 2 == 0).cast("long"))
+    t = t.withColumn("k", F.sum("ended").over(w) - F.col("ended"))
+    piece = F.struct("n", "value", (F.col("after") - F.col("quotes")).alias("quotes"))
+    t = t.groupBy("file", "split", "k").agg(F.array_sort(F.collect_list(piece)).alias("v"), F.max("ended").alias("ended"))
+    text = lambda: F.array_join(F.transform("v", lambda p: p["value"]), ";").alias("s")
+    t = materialize(t.select("file", "split", "k", "ended", (F.col("v")[0]["quotes"] % 2 == 0).alias("begins"), text()), "spf-statements")
+    cut = t.where("NOT begins OR ended = 0")
+    # A split has two such parts at most.
+    over = Window.partitionBy("file").orderBy("split", "k")
+    cut = cut.withColumn("whole", F.sum("ended").over(over) - F.col("ended"))
+    joined = cut.groupBy("file", "whole").agg(F.array_sort(F.collect_list(F.struct("split", "k", F.col("s").alias("value")))).alias("v"))
+    return t.where("begins AND ended = 1").select("file", "s").unionByName(joined.select("file", text()))
 
 
 def read_spf_entities(spark: SparkSession, path: str) -> DataFrame:

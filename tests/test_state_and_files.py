@@ -137,3 +137,21 @@ def test_statements_against_a_scanner(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted(s for s in got if s.strip()) == sorted(want)
     assert len(want) == len(re.findall(r"#\d+=T\(", text))
+
+
+def test_statements_are_put_together_within_their_split(spark, tmp_path):
+    """Strings with semicolons are in every statement: one table is written, and its rows are statements but for those at the edges of splits."""
+    from planlake import session
+
+    text = "".join(f"#{i}=A('a;\n{i};b;c',$);" for i in range(3000)) + "#9000=B('cut; off"
+    (tmp_path / "m.ifc").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        before = len(session._scopes[-1])
+        got = sorted(r["s"] for r in readers.spf_statements(spark, str(tmp_path / "m.ifc")).collect())
+        (path,) = session._scopes[-1][before:]
+        assert got == sorted([f"#{i}=A('a;\n{i};b;c',$)" for i in range(3000)] + ["#9000=B('cut; off"])
+        rows, splits = spark.read.parquet(path), -(-len(text) // 5000)
+        assert rows.where("NOT begins OR ended = 0").count() <= 2 * splits and rows.count() <= 3001 + splits
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
