@@ -115,3 +115,10 @@ def test_links_between_ends_exactly_the_reach_apart_go(spark):
     boxes = {"a": ((0, 0), (80, 0), (80, 3300), (0, 3300)), "b": ((140, -40), (640, -40), (640, 40), (140, 40)), "c": ((700, -40), (3000, -40), (3000, 40), (700, 40))}
     d = spark.createDataFrame([(1, n, "WALL", ring(*p)) for n, p in boxes.items()], DET)
     assert sorted(r["det_id"] for r in R.wall_axes(d, 1500.0, merge=False).collect()) == ["a", "c"]
+
+
+def test_the_wall_graph_reads_its_walls_once_beside_the_clusters(spark):
+    from planlake.plans.queries import QUERIES
+
+    plan = QUERIES["k01_wall_graph"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") > 0 and sum("Relation [" in line and "l_orderkey#" in line for line in plan.splitlines()) == 1
